@@ -12,6 +12,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,7 @@ def build_session(master: str = "local[*]", name: str = "quarrystone", **conf: s
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     settings.update(conf)
     return SparkSession.builder.master(master).appName(name).config(map=settings).getOrCreate()
@@ -63,3 +66,22 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context.
+
+    Python functions are pickled by reference, so workers must be able to import it.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_quarrystone_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    where = tempfile.mkdtemp(prefix="quarrystone-code-")
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
+    bundle = f"{where}/quarrystone.zip"
+    with zipfile.ZipFile(bundle, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    context.addPyFile(bundle)
+    context._quarrystone_shipped = True
