@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
+from quarrystone.session import ship
+
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BI = np.uint64(pow(int(_B), -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -30,7 +32,8 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small: texts may be long, and workers have little memory."""
+    """Make the package known to the workers and keep Arrow batches small: texts may be long, memory short."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
@@ -93,8 +96,11 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         a = b
 
 
-def hash_words(texts: pa.Array) -> Words:
-    """Hash every word of every text (see the module's notes)."""
+def hash_words(texts: pa.Array, lead: int = 0) -> Words:
+    """Hash every word of every text (see the module's notes).
+
+    With ``lead``, hash instead the first ``lead`` bytes of every word that is longer, and 0 for others.
+    """
     raw, off = buffers(texts)
     n = len(raw)
     if n == 0:
@@ -117,8 +123,11 @@ def hash_words(texts: pa.Array) -> Words:
         prefix = np.empty(n + 1, np.uint64)
         prefix[0] = 0
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
-        h = (prefix[ends] - prefix[starts]) * down[starts]
-        h = mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        until = np.minimum(ends, starts + lead) if lead else ends
+        h = (prefix[until] - prefix[starts]) * down[starts]
+        h = mix64(h + (until - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        if lead:
+            h = np.where(ends - starts > lead, mix64(h + np.uint64(lead)), np.uint64(0))
     return Words(h, np.searchsorted(starts, off), starts, ends, data)
 
 
