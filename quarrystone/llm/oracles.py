@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from quarrystone.llm import reshard, urls
 from quarrystone.llm.decontaminate import EXTEND, MASKS, MIN_SHARE
+from quarrystone.llm.katz import CUT
 
 _WORDS = r"regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\x00-\x7F])+')"
 
@@ -31,4 +33,79 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_agree DESC, d
 """
 
 
-SQL: dict[str, str] = {"op7_decontaminate": _decontaminate()}
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _normal(u: str) -> str:
+    u = f"trim({u}, ' ')"
+    part = lambda g: f"regexp_extract({u}, {_quoted(urls._PARTS)}, {g})"
+    host = f"regexp_replace(regexp_replace(lower({part(1)}), ':(80|443)?$', ''), '^(www|m)[.]', '')"
+    kept = f"array_to_string(list_sort(list_filter(string_split(substr({part(3)}, 2), '&'), lambda x: x <> '' AND NOT regexp_matches(x, {_quoted(urls.TRACKING)}))), '&')"
+    full = f"'https://' || {host} || regexp_replace({part(2)}, '/+$', '') || CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END"
+    return f"(CASE WHEN {u} = '' THEN NULL WHEN regexp_matches({u}, {_quoted(urls._PARTS)}) THEN {full} ELSE {u} END)"
+
+
+def _urls() -> str:
+    site, folder = "regexp_extract(trim(url, ' '), '^([A-Za-z]+://[^/?#]*)', 1)", "regexp_extract(trim(url, ' '), '^([A-Za-z]+://[^?#]*/)[^/?#]*', 1)"
+    link = f"""CASE WHEN l = '' THEN NULL WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN l WHEN starts_with(l, '//') THEN 'https:' || l
+      WHEN starts_with(l, '/') THEN {site} || l WHEN length({folder}) > length({site}) THEN {folder} || l ELSE {site} || '/' || l END"""
+
+    def rules(rows: tuple[tuple[str, str], ...]) -> str:
+        host = f"regexp_extract(form, {_quoted(urls._PARTS)}, 1)"
+        path = "regexp_replace(form, '[?].*$', '')"
+        tests = []
+        for kind, value in rows:
+            v = _quoted(value)
+            tests.append(f"({host} = {v} OR ends_with({host}, '.' || {v}))" if kind == "host" else f"({path} = {_normal(v)} OR starts_with({path}, {_normal(v)} || '/'))" if kind == "prefix" else f"form = {_normal(v)}")
+        return " OR ".join(tests)
+
+    return f"""
+WITH RECURSIVE links AS (SELECT url, unnest([regexp_extract(regexp_extract(html, {_quoted(urls._CANONICAL)}, 1), {_quoted(urls._HREF)}, 1), regexp_extract(html, {_quoted(urls._REFRESH)}, 1)]) AS l FROM pages),
+e AS (SELECT {_normal('url')} AS a, {_normal('(' + link + ')')} AS b FROM links),
+sym AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+reach AS (SELECT a AS n, a AS m FROM sym UNION SELECT r.n, s.b FROM reach r JOIN sym s ON s.a = r.m),
+groups AS (SELECT n, min(m) AS class FROM reach GROUP BY n),
+p AS (SELECT page_id, url, {_normal('url')} AS form FROM pages),
+forms AS (SELECT form FROM p WHERE form IS NOT NULL UNION SELECT n FROM groups),
+marked AS (SELECT form, coalesce(class, form) AS class, ({rules(urls.ALLOWED)}) AS ok, ({rules(urls.BLOCKED)}) AS bad FROM forms LEFT JOIN groups ON n = form),
+hit AS (SELECT DISTINCT class FROM marked WHERE bad AND NOT ok),
+named AS (SELECT form, m.class, CASE WHEN ok THEN 'allow rule' WHEN bad THEN 'block rule' WHEN h.class IS NOT NULL THEN 'alias of blocked' ELSE 'none' END AS reason FROM marked m LEFT JOIN hit h ON h.class = m.class)
+SELECT page_id, url, p.form, class, CASE coalesce(reason, 'none') WHEN 'allow rule' THEN 'allow' WHEN 'none' THEN 'keep' ELSE 'block' END AS decision, coalesce(reason, 'none') AS reason
+FROM p LEFT JOIN named ON named.form = p.form
+"""
+
+
+def _katz() -> str:
+    level = lambda r: f"CASE WHEN a < 1 AND n{r} > 0 AND n{r + 1} > 0 AND ({r + 1}.0 * n{r + 1} / ({r} * n{r}) - a) / (1 - a) > 0 AND ({r + 1}.0 * n{r + 1} / ({r} * n{r}) - a) / (1 - a) <= 1 THEN ({r + 1}.0 * n{r + 1} / ({r} * n{r}) - a) / (1 - a) ELSE 1.0 END"
+    numbers = ", ".join(f"count(*) FILTER (c = {r})::DOUBLE AS n{r}" for r in range(1, CUT + 2))
+    return f"""
+WITH d AS (SELECT doc_id, list_concat(list_concat(['<s>'], {_WORDS}), ['</s>']) AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, unnest(t[1 : len(t) - 1]) AS h, unnest(t[2 : len(t)]) AS w FROM d),
+g AS (SELECT h, w, count(*) AS c FROM b GROUP BY h, w),
+n AS (SELECT {numbers} FROM g),
+a AS (SELECT *, CASE WHEN n1 > 0 THEN {CUT + 1}.0 * n{CUT + 1} / n1 ELSE 1.0 END AS a FROM n),
+k AS (SELECT [{', '.join(level(r) for r in range(1, CUT + 1))}] AS d FROM a),
+x AS (SELECT h, w, c, CASE WHEN c <= {CUT} THEN d[c] ELSE 1.0 END::DOUBLE AS d FROM g, k),
+s AS (SELECT h, sum(c) AS total, bool_or(d < 1) AS left_over FROM x GROUP BY h),
+p AS (SELECT x.h, w, ln(d * c / (total + CASE WHEN left_over THEN 0 ELSE 1 END)) AS lp FROM x JOIN s ON s.h = x.h)
+SELECT doc_id, count(*) AS n_tokens, round(sum(lp), 4) AS logprob FROM b JOIN p ON p.h = b.h AND p.w = b.w WHERE doc_id IS NOT NULL GROUP BY doc_id
+"""
+
+
+def _reshard() -> str:
+    b, n = reshard.BLOCKS, reshard.NEW_SHARDS
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS n_bytes, coalesce(((doc_id % {b}) + {b}) % {b}, 0) AS blk FROM documents),
+blocks AS (SELECT source, blk, sum(n_bytes)::BIGINT AS size FROM d GROUP BY ALL),
+olds AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, sum(size)::BIGINT AS size FROM blocks GROUP BY source),
+news AS (SELECT j, (total * (j + 1)) // {n} - (total * j) // {n} AS cap FROM range({n}) r(j), (SELECT sum(size)::BIGINT AS total FROM olds)),
+both AS (SELECT coalesce(i, j) AS k, source, coalesce(size, 0) AS size, coalesce(cap, 0) AS cap, CASE WHEN i IS NULL OR j IS NULL THEN 0 ELSE least(size, cap) END AS stay FROM olds FULL JOIN news ON i = j),
+flow AS (SELECT *, coalesce(sum(size - stay) OVER w, 0)::BIGINT AS gave, coalesce(sum(cap - stay) OVER w, 0)::BIGINT AS got FROM both WINDOW w AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+mid AS (SELECT b.source, b.blk, f.k, 2 * coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + b.size AS m, f.stay, f.gave FROM blocks b JOIN flow f ON f.k = (SELECT o.i FROM olds o WHERE o.source IS NOT DISTINCT FROM b.source)),
+goal AS (SELECT m.source, m.blk, m.k, CASE WHEN m.m < 2 * m.stay THEN m.k ELSE (SELECT min(f.k) FROM flow f WHERE m.m - 2 * m.stay + 2 * m.gave < 2 * (f.got + f.cap - f.stay) AND f.cap > f.stay) END AS j FROM mid m)
+SELECT doc_id, d.source AS old_shard, j::INTEGER AS new_shard, n_bytes, j <> k AS moved FROM d JOIN goal g ON g.source IS NOT DISTINCT FROM d.source AND g.blk = d.blk
+"""
+
+
+SQL: dict[str, str] = {"op1_url_filter": _urls(), "op4_katz": _katz(), "op5_reshard": _reshard(), "op7_decontaminate": _decontaminate()}
