@@ -100,8 +100,8 @@ WITH d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS n_bytes, coal
 blocks AS (SELECT source, blk, sum(n_bytes)::BIGINT AS size FROM d GROUP BY ALL),
 olds AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, sum(size)::BIGINT AS size FROM blocks GROUP BY source),
 news AS (SELECT j, (total * (j + 1)) // {n} - (total * j) // {n} AS cap FROM range({n}) r(j), (SELECT sum(size)::BIGINT AS total FROM olds)),
-both AS (SELECT coalesce(i, j) AS k, source, coalesce(size, 0) AS size, coalesce(cap, 0) AS cap, CASE WHEN i IS NULL OR j IS NULL THEN 0 ELSE least(size, cap) END AS stay FROM olds FULL JOIN news ON i = j),
-flow AS (SELECT *, coalesce(sum(size - stay) OVER w, 0)::BIGINT AS gave, coalesce(sum(cap - stay) OVER w, 0)::BIGINT AS got FROM both WINDOW w AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+paired AS (SELECT coalesce(i, j) AS k, source, coalesce(size, 0) AS size, coalesce(cap, 0) AS cap, CASE WHEN i IS NULL OR j IS NULL THEN 0 ELSE least(size, cap) END AS stay FROM olds FULL JOIN news ON i = j),
+flow AS (SELECT *, coalesce(sum(size - stay) OVER w, 0)::BIGINT AS gave, coalesce(sum(cap - stay) OVER w, 0)::BIGINT AS got FROM paired WINDOW w AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 mid AS (SELECT b.source, b.blk, f.k, 2 * coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + b.size AS m, f.stay, f.gave FROM blocks b JOIN flow f ON f.k = (SELECT o.i FROM olds o WHERE o.source IS NOT DISTINCT FROM b.source)),
 goal AS (SELECT m.source, m.blk, m.k, CASE WHEN m.m < 2 * m.stay THEN m.k ELSE (SELECT min(f.k) FROM flow f WHERE m.m - 2 * m.stay + 2 * m.gave < 2 * (f.got + f.cap - f.stay) AND f.cap > f.stay) END AS j FROM mid m)
 SELECT doc_id, d.source AS old_shard, j::INTEGER AS new_shard, n_bytes, j <> k AS moved FROM d JOIN goal g ON g.source IS NOT DISTINCT FROM d.source AND g.blk = d.blk
