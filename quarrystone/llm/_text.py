@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarrystone.session import ship
 
@@ -38,6 +39,25 @@ def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def named(name: str) -> Column:
+    """A column by its exact name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` less the columns called like any of ``names`` (Spark doesn't tell capitals apart)."""
+    gone = {n.lower() for n in names}
+    return df.select(*(named(c) for c in df.columns if c.lower() not in gone))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         with np.errstate(over="ignore"):

@@ -22,8 +22,8 @@ cut out by the pattern of the vocabulary.  Decoding concatenates the labels.
 
 Defined cases.  A null text gives null tokens and a null decoded text, an empty text no
 tokens.  Every byte string is encodable; special tokens are ordinary text.  Rows are
-independent, so repeated rows, null ids and extra columns pass through; an empty table
-gives an empty result.
+independent, so repeated rows, null ids and extra columns pass through, but columns called like
+the ones that are added are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrystone.llm._text import arrow_batches
+from quarrystone.llm._text import arrow_batches, without
 
 #: A byte-level BPE vocabulary with its merges in order; the place is a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -310,6 +310,7 @@ def encode_decode(docs: DataFrame, text_col: str = "text", tokens_col: str = "to
 def _with(docs: DataFrame, added: list[tuple[str, str]], text_col: str, path: str, decode_too: bool) -> DataFrame:
     spark = docs.sparkSession
     arrow_batches(spark)
+    docs = without(docs, *(n for n, _ in added))
     sent, at = send(spark, path), docs.columns.index(text_col)
     schema = T.StructType(docs.schema.fields + T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in added)).fields)
 
@@ -331,6 +332,7 @@ def decode(tokens: DataFrame, tokens_col: str = "tokens", decoded_col: str = "de
     """``tokens`` with the decoded text of a column of token ids; an id that isn't in the vocabulary is an error."""
     spark = tokens.sparkSession
     arrow_batches(spark)
+    tokens = without(tokens, decoded_col)
     sent, at = send(spark, path), tokens.columns.index(tokens_col)
     schema = tokens.withColumn(decoded_col, F.lit(None).cast("string")).schema
 

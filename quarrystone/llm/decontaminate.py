@@ -18,7 +18,7 @@ so does a null or empty item.  A document without an id is compared and reported
 with a null id.  Repeated rows, in either table, give the same finding once.
 Between overlaps of one item and one document the one with most agreeing words, then
 the first in the document, then the first in the item is reported.  An empty table
-on either side gives no findings.
+on either side gives no findings.  Extra columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm._text import arrow_batches, chunks, hash_words, mix64, windows
+from quarrystone.llm._text import arrow_batches, chunks, hash_words, mix64, named, unused, windows
 
 MASKS = ("110110101111", "111010011011", "101101110011", "111100110101")
 EXTEND = 4
@@ -201,7 +201,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     spark = docs.sparkSession
     arrow_batches(spark)
     names = docs.columns
-    out = docs.withColumn("__lower", F.lower(F.col(text_col)))
+    out = docs.withColumn(unused(docs, "__lower"), F.lower(F.col(text_col)))
     schema = out.schema
     for s in slices(benchmark, item_col, item_text, slice_words):
         sent = spark.sparkContext.broadcast(s)
@@ -214,4 +214,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 yield x.filter(pa.array(clean))
 
         out = out.mapInArrow(run, schema)
-    return out.select(*names)
+    return out.select(*map(named, names))

@@ -17,7 +17,7 @@ local part, each within its class.  secret: hexadecimal runs of 32 or more.
 
 Defined cases.  A null text stays null, an empty one empty, and texts with nothing to
 replace are returned unchanged; whole texts are searched.  Ids may be null or
-repeated; rows are never joined.  An empty table gives an empty result.
+repeated; rows are never joined, and extra columns are kept, but one called like the count is replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm._text import arrow_batches
+from quarrystone.llm._text import arrow_batches, without
 
 ROUNDS = 10
 #: For tests and examples; production passes a secret key.
@@ -227,6 +227,8 @@ def replace_texts(texts: pa.Array, key: bytes) -> tuple[pa.Array, pa.Array]:
 def apply(docs: DataFrame, text_col: str = "text", key: bytes = DEMO_KEY, count_col: str | None = None) -> DataFrame:
     """``docs`` with the text column pseudonymised and, if named, a column with the number of findings."""
     arrow_batches(docs.sparkSession)
+    if count_col is not None:
+        docs = without(docs, count_col)
     at = docs.columns.index(text_col)
     schema = docs.schema if count_col is None else docs.withColumn(count_col, F.lit(0)).schema
 

@@ -17,6 +17,7 @@ Defined cases.  A document counts its text's UTF-8 bytes and one more, so a null
 text counts 1.  A null shard name is a shard of its own, ranked first; a null id falls into
 block 0.  Repeated rows are moved together and all kept.  More new shards than old: the
 rest start empty; fewer: the surplus old shards are emptied.  No documents: no shards, an empty result.
+Columns of the input called like those that are added, or like the __ ones used within, are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.llm._text import named, without
 from quarrystone.session import scratch_path
 
 BLOCKS = 256
@@ -211,6 +213,7 @@ def reshard(docs: DataFrame, capacities: list[int] | None = None, shards: int =
     Affected shards are read back from the files written for them.
     """
     spark = docs.sparkSession
+    docs = without(docs, "new_shard", "n_bytes", "moved", "__block", "__bytes", "__shard", "__at", "__affected", "__folder")
     found = plan(block_sizes(docs, id_col, shard_col, text_col), capacities, shards)
     rows = [(found.shards[i], b, j, i != j, j in found.affected) for (i, b), j in found.target.items()]
     table = spark.createDataFrame(rows, "__shard string, __at int, new_shard int, moved boolean, __affected boolean")
@@ -222,7 +225,7 @@ def reshard(docs: DataFrame, capacities: list[int] | None = None, shards: int =
     affected = placed.where("__affected").drop("__affected")
     layout = affected.withColumn("__folder", F.col("new_shard"))
     layout.repartition("new_shard", F.pmod("__block", F.lit(4))).drop("__block").write.partitionBy("__folder").parquet(path)
-    final = [*docs.columns, "new_shard", "n_bytes", "moved"]
+    final = [named(c) for c in (*docs.columns, "new_shard", "n_bytes", "moved")]
     again = spark.read.schema(layout.drop("__block").schema).parquet(path).select(*final)
     left = placed.where("not __affected").select(*final)
     return again.unionByName(left), found, path

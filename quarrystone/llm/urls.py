@@ -17,7 +17,7 @@ listing an address's host suffixes and path prefixes.
 Defined cases.  A null or blank address belongs to no class and is kept; one that isn't
 http(s) is its own normal form, trimmed.  Null html declares nothing.  Null or blank
 rules and edge ends are dropped, repeated ones count once.  Several rows with one address
-get the same decision.  With no edges every normal form is its own class.  Empty tables are fine.
+get the same decision.  Columns of the input called form, class, decision or reason are replaced.  With no edges every normal form is its own class.  Empty tables are fine.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm._components import components
+from quarrystone.llm._text import named
 
 TRACKING = "^(utm_[^=]*|ref|ref_src|fbclid|gclid|msclkid|mc_cid|mc_eid|igshid)(=|$)"
 _PARTS = r"^[Hh][Tt][Tt][Pp][Ss]?://([^/?#]*)([^?#]*)([?][^#]*)?"
@@ -98,7 +99,8 @@ def filter_urls(pages: DataFrame, blocked: DataFrame, allowed: DataFrame, redire
     if redirects is not None:
         edges = edges.unionByName(redirects.select(normal_form(F.col("source")).alias("a"), normal_form(F.col("target")).alias("b")))
     groups = components(edges)
-    rest = [c for c in pages.columns if c != html_col]
+    added = {html_col.lower(), "form", "class", "decision", "reason"}
+    rest = [named(c) for c in pages.columns if c.lower() not in added]
     rows = pages.select(*rest, normal_form(F.col(url_col)).alias("form"))
     ends = groups.select(F.col("node").alias("form"))
     forms = rows.select("form").where("form is not null").unionByName(ends).distinct()
