@@ -9,12 +9,13 @@ finaliser spreads it.  Nothing here loops over words in Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrystone.session import ship
 
@@ -50,6 +51,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(named(c) for c in df.columns if c.lower() not in gone))
 
 
+def map_rows(df: DataFrame, run: Callable, added: str = "") -> DataFrame:
+    """``df`` through an Arrow function that keeps all columns in place and appends ``added`` (DDL).
+
+    Columns go by number within, as Spark's own call can't address every name.
+    """
+    safe = df.toDF(*(f"__{k}" for k in range(len(df.columns))))
+    extra = T.StructType.fromDDL(added).fields if added else []
+    return safe.mapInArrow(run, T.StructType(safe.schema.fields + extra)).toDF(*df.columns, *(f.name for f in extra))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column is called so."""
     taken = {c.lower() for c in df.columns}

@@ -40,10 +40,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quarrystone.llm._text import arrow_batches, without
+from quarrystone.llm._text import arrow_batches, map_rows, without
 
 #: A byte-level BPE vocabulary with its merges in order; the place is a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -312,7 +310,6 @@ def _with(docs: DataFrame, added: list[tuple[str, str]], text_col: str, path: st
     arrow_batches(spark)
     docs = without(docs, *(n for n, _ in added))
     sent, at = send(spark, path), docs.columns.index(text_col)
-    schema = T.StructType(docs.schema.fields + T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in added)).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(path, sent)
@@ -325,7 +322,7 @@ def _with(docs: DataFrame, added: list[tuple[str, str]], text_col: str, path: st
                     columns.append(pa.array([None if p is None else e.decode(p.tolist()) for p in parts], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*y.schema.names, *(n for n, _ in added)])
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, ", ".join(f"`{n}` {t}" for n, t in added))
 
 
 def decode(tokens: DataFrame, tokens_col: str = "tokens", decoded_col: str = "decoded", path: str = VOCABULARY) -> DataFrame:
@@ -334,7 +331,6 @@ def decode(tokens: DataFrame, tokens_col: str = "tokens", decoded_col: str = "de
     arrow_batches(spark)
     tokens = without(tokens, decoded_col)
     sent, at = send(spark, path), tokens.columns.index(tokens_col)
-    schema = tokens.withColumn(decoded_col, F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(path, sent)
@@ -342,4 +338,4 @@ def decode(tokens: DataFrame, tokens_col: str = "tokens", decoded_col: str = "de
             text = pa.array([None if t is None else e.decode(t) for t in x.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*x.columns, text], names=[*x.schema.names, decoded_col])
 
-    return tokens.mapInArrow(run, schema)
+    return map_rows(tokens, run, f"`{decoded_col}` string")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm._text import arrow_batches, chunks, hash_words, mix64, named, unused, windows
+from quarrystone.llm._text import arrow_batches, chunks, hash_words, map_rows, mix64, named, unused, windows
 
 MASKS = ("110110101111", "111010011011", "101101110011", "111100110101")
 EXTEND = 4
@@ -202,7 +202,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     arrow_batches(spark)
     names = docs.columns
     out = docs.withColumn(unused(docs, "__lower"), F.lower(F.col(text_col)))
-    schema = out.schema
     for s in slices(benchmark, item_col, item_text, slice_words):
         sent = spark.sparkContext.broadcast(s)
 
@@ -213,5 +212,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 clean[d] = False
                 yield x.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, schema)
+        out = map_rows(out, run)
     return out.select(*map(named, names))

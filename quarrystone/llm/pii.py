@@ -30,9 +30,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quarrystone.llm._text import arrow_batches, without
+from quarrystone.llm._text import arrow_batches, map_rows, without
 
 ROUNDS = 10
 #: For tests and examples; production passes a secret key.
@@ -230,7 +229,6 @@ def apply(docs: DataFrame, text_col: str = "text", key: bytes = DEMO_KEY, count_
     if count_col is not None:
         docs = without(docs, count_col)
     at = docs.columns.index(text_col)
-    schema = docs.schema if count_col is None else docs.withColumn(count_col, F.lit(0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -242,4 +240,4 @@ def apply(docs: DataFrame, text_col: str = "text", key: bytes = DEMO_KEY, count_
                 names.append(count_col)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, "" if count_col is None else f"`{count_col}` int")

@@ -59,4 +59,4 @@ def test_awkward_rows(spark):
 def test_end_of_a_long_text(spark):
     docs = spark.createDataFrame([(1, LONG + " " + ITEM)], "doc_id long, text string")
     bench = spark.createDataFrame([(5, ITEM)], "item_id long, text string")
-    assert C.find(docs, bench).first()["n_agree"] == 16
+    assert C.find(docs, bench).first()["n_agree"] == 17
