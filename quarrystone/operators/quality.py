@@ -150,7 +150,7 @@ def test_map(files: DataFrame, edges: DataFrame) -> DataFrame:
     """(test, source, how): a test covers the sources it imports, else those its name points at in the nearest folder (ties kept)."""
     own = files.where(~is_fixture(F.col("file"))).select("file", is_test(F.col("file")).alias("t"))
     tests, sources = own.where("t").select(F.col("file").alias("test")), own.where("not t").select(F.col("file").alias("source"))
-    direct = edges.select(F.col("src").alias("test"), F.col("dst").alias("source")).join(tests, "test", "left_semi").join(own.where("t").select(F.col("file").alias("source")), "source", "left_anti").distinct()
+    direct = edges.select(F.col("src").alias("test"), F.col("dst").alias("source")).join(tests, "test", "left_semi").join(own.where("t").select(F.col("file").alias("source")), "source", "left_anti").select("test", "source").distinct()
     named = tests.withColumn("__base", test_target(F.col("test"))).join(sources.withColumn("__base", F.regexp_replace(basename(F.col("source")), "[.][^.]+$", "")), "__base")
     dirs = lambda c: F.slice(F.split(c, "/"), F.lit(1), F.size(F.split(c, "/")) - 1)
     same = F.zip_with(dirs(F.col("test")), dirs(F.col("source")), lambda a, b: F.coalesce(a == b, F.lit(False)))
