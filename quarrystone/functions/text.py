@@ -54,6 +54,15 @@ def stem_sql(w: str) -> str:
     )
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Rounded as binary arithmetic does it, halves up: floor(x * 10^p + 0.5) / 10^p."""
+    return F.floor(x * F.lit(float(10**places)) + F.lit(0.5)).cast("double") / F.lit(float(10**places))
+
+
+def rounded_sql(x: str, places: int) -> str:
+    return f"(floor(({x})::DOUBLE * 1e{places}::DOUBLE + 0.5::DOUBLE) / 1e{places}::DOUBLE)"
+
+
 def rating(complexity: Column) -> Column:
     return F.when(complexity <= 5, "low").when(complexity <= 10, "moderate").when(complexity <= 20, "high").otherwise("very-high")
 

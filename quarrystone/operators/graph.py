@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.functions.text import rounded
 from quarrystone.session import discard, materialize
 
 #: Kinds that are only ever used through an explicit import.
@@ -76,7 +77,7 @@ def coupling(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def instability(ca: Column, ce: Column) -> Column:
-    return F.when(ca + ce > 0, F.round(ce / (ca + ce), 2)).otherwise(0.0)
+    return F.when(ca + ce > 0, rounded(ce / (ca + ce), 2)).otherwise(0.0)
 
 
 def module_coupling(edges: DataFrame, module_of: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def layer_violations(edges: DataFrame, coupled: DataFrame, min_gap: float = 0.0)
     """Edges from a stabler file to a less stable one: severity = the difference of instability."""
     a = coupled.select(F.col("file").alias("src"), F.col("instability").alias("i_src"))
     b = coupled.select(F.col("file").alias("dst"), F.col("instability").alias("i_dst"))
-    rows = edges.join(a, "src").join(b, "dst").withColumn("severity", F.round(F.col("i_dst") - F.col("i_src"), 2))
+    rows = edges.join(a, "src").join(b, "dst").withColumn("severity", rounded(F.col("i_dst") - F.col("i_src"), 2))
     return rows.where(F.col("severity") > min_gap).select("src", "dst", "i_src", "i_dst", "severity")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.text import basename, grade, rating
+from quarrystone.functions.text import basename, grade, rating, rounded
 
 # Complexity ---------------------------------------------------------------------------------
 
@@ -25,7 +25,7 @@ def complexity(spans: DataFrame, decisions: DataFrame, key: str = "file", start:
 
 def file_complexity(files: DataFrame, per_span: DataFrame, key: str = "file") -> DataFrame:
     """(key, max_complexity, avg_complexity) of every file; 0 where it has no span."""
-    agg = per_span.groupBy(key).agg(F.max("complexity").alias("m"), F.round(F.avg("complexity"), 1).alias("a"))
+    agg = per_span.groupBy(key).agg(F.max("complexity").alias("m"), rounded(F.avg("complexity"), 1).alias("a"))
     return files.select(key).distinct().join(agg, key, "left").select(key, F.coalesce("m", F.lit(0)).alias("max_complexity"), F.coalesce("a", F.lit(0.0)).alias("avg_complexity"))
 
 
@@ -168,7 +168,7 @@ def coverage_summary(files: DataFrame, links: DataFrame) -> DataFrame:
     linked = links.select(F.col("test").alias("file"), F.lit(True).alias("__on")).distinct()
     rows = own.join(tested, "file", "left").join(linked, "file", "left")
     n = rows.agg(F.count_if("t").alias("n_tests"), F.count_if(~F.col("t")).alias("n_sources"), F.count_if(~F.col("t") & F.col("__hit").isNotNull()).alias("n_tested"), F.count_if(F.col("t") & F.col("__on").isNull()).alias("n_orphans"))
-    return n.withColumn("ratio", F.when(F.col("n_sources") > 0, F.round(F.col("n_tested") / F.col("n_sources"), 2)).otherwise(1.0))
+    return n.withColumn("ratio", F.when(F.col("n_sources") > 0, rounded(F.col("n_tested") / F.col("n_sources"), 2)).otherwise(1.0))
 
 
 def merge_coverage(files: DataFrame, report: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.text import identifier_words, size_bucket, stem
+from quarrystone.functions.text import identifier_words, rounded, size_bucket, stem
 from quarrystone.session import materialize
 
 
@@ -53,8 +53,8 @@ def scan_lines(lines: DataFrame, rules: Iterable[LineRule] = RULES, near: int =
     """(file, line_no, rule, severity, snippet): every rule on every line in one pass.
 
     Comment lines are skipped.  A route without a limiter is reported unless a limiter
-    keyword stands within ``near`` lines, found by a window over the file's lines; the
-    window is skipped when no line of the input can trigger that rule's file filter.
+    keyword stands within ``near`` lines, found by a window over the lines of the files that
+    the rule looks at.
     """
     rules = list(rules)
     comment = F.col("text").rlike(_COMMENT)
@@ -232,7 +232,7 @@ def semantic_search(symbols: DataFrame, query: str, k: int = 20) -> DataFrame:
     named = scored.join(symbols.select("symbol_id", "qualified_name").distinct(), "symbol_id")
     flat = F.when(F.contains(F.lower("qualified_name"), F.lit("".join(wanted))), 1.2).otherwise(1.0)
     top = named.withColumn("__score", F.col("__score") * flat).orderBy(F.desc("__score"), "symbol_id").limit(k)
-    return top.select("symbol_id", F.round(F.col("__score") / F.max("__score").over(Window.partitionBy()), 3).alias("score"), "matched")
+    return top.select("symbol_id", rounded(F.col("__score") / F.max("__score").over(Window.partitionBy()), 3).alias("score"), "matched")
 
 
 # Symbols ------------------------------------------------------------------------------------

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.functions.text import rounded_sql
 from quarrystone.operators import graph as G
 from quarrystone.operators import search as S
 from quarrystone.plans import adapters as A
 from quarrystone.plans.registry import query
 
 _C, _P = A.CUSTOMER_SQL, A.PART_SQL
-_INSTABILITY = "CASE WHEN ca + ce > 0 THEN round(ce::DOUBLE / (ca + ce), 2) ELSE 0.0 END"
+_INSTABILITY = f"CASE WHEN ca + ce > 0 THEN {rounded_sql('ce::DOUBLE / (ca + ce)', 2)} ELSE 0.0::DOUBLE END"
+_SEVERITY = rounded_sql("b.instability - a.instability", 2)
 _COUPLED = f"cp AS (SELECT file, ca, ce, {_INSTABILITY} AS instability FROM (SELECT file, (SELECT count(*) FROM pe WHERE dst = file) AS ca, (SELECT count(*) FROM pe WHERE src = file) AS ce FROM (SELECT file FROM pf)))"
 
 
@@ -72,7 +74,7 @@ def module_rollup(spark: SparkSession, d: str) -> DataFrame:
     return rows.rollup("module", "other").agg(F.count(F.lit(1)).alias("weight")).select(star("module"), star("other"), "weight")
 
 
-@query(f"WITH {_P}, {_COUPLED} SELECT src, dst, a.instability AS i_src, b.instability AS i_dst, round(b.instability - a.instability, 2) AS severity FROM pe JOIN cp a ON a.file = src JOIN cp b ON b.file = dst WHERE round(b.instability - a.instability, 2) > 0")
+@query(f"WITH {_P}, {_COUPLED} SELECT src, dst, a.instability AS i_src, b.instability AS i_dst, {_SEVERITY} AS severity FROM pe JOIN cp a ON a.file = src JOIN cp b ON b.file = dst WHERE {_SEVERITY} > 0")
 def layer_violations(spark: SparkSession, d: str) -> DataFrame:
     edges = A.part_imports(spark, d).distinct()
     return G.layer_violations(edges, G.coupling(A.part_files(spark, d), edges))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.functions.text import RATING_SQL
+from quarrystone.functions.text import RATING_SQL, rounded, rounded_sql
 from quarrystone.operators import delta as D
 from quarrystone.operators import graph as G
 from quarrystone.operators import quality as Q
 from quarrystone.operators import search as S
 from quarrystone.plans import adapters as A
 from quarrystone.plans import graph_plans, text_plans
-from quarrystone.plans.graph_plans import _COUPLED
+from quarrystone.plans.graph_plans import _COUPLED, _SEVERITY
 from quarrystone.plans.registry import ORACLES, query
 
 # A user's signup opens a span of 14 days; the user's errors in it are its decision points.
@@ -37,7 +37,7 @@ def complexity(spark: SparkSession, d: str) -> DataFrame:
     return _complexity(spark, d)
 
 
-@query(f"WITH {_CX} SELECT u.user_id, coalesce(max(complexity), 0) AS max_complexity, coalesce(round(avg(complexity), 1), 0.0) AS avg_complexity FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN cx ON cx.user_id = u.user_id GROUP BY u.user_id")
+@query(f"WITH {_CX} SELECT u.user_id, coalesce(max(complexity), 0) AS max_complexity, coalesce({rounded_sql('avg(complexity)', 1)}, 0.0::DOUBLE) AS avg_complexity FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN cx ON cx.user_id = u.user_id GROUP BY u.user_id")
 def file_complexity(spark: SparkSession, d: str) -> DataFrame:
     return Q.file_complexity(A.table(spark, d, "events"), _complexity(spark, d), "user_id")
 
@@ -144,7 +144,7 @@ def test_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_TM} SELECT (SELECT count(*) FROM t) AS n_tests, (SELECT count(*) FROM s) AS n_sources, (SELECT count(DISTINCT source) FROM tm) AS n_tested, (SELECT count(*) FROM t WHERE file NOT IN (SELECT test FROM tm)) AS n_orphans, round((SELECT count(DISTINCT source) FROM tm)::DOUBLE / (SELECT count(*) FROM s), 2) AS ratio"""
+    f"""WITH {_TM} SELECT (SELECT count(*) FROM t) AS n_tests, (SELECT count(*) FROM s) AS n_sources, (SELECT count(DISTINCT source) FROM tm) AS n_tested, (SELECT count(*) FROM t WHERE file NOT IN (SELECT test FROM tm)) AS n_orphans, {rounded_sql('(SELECT count(DISTINCT source) FROM tm)::DOUBLE / (SELECT count(*) FROM s)', 2)} AS ratio"""
 )
 def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
     files, edges = _tests(spark, d)
@@ -170,8 +170,8 @@ _METRICS = f"""WITH {A.PART_SQL}, {A.CUSTOMER_SQL}, {_COUPLED}, {_CX},
 m AS (SELECT (SELECT count(*) FROM cs WHERE exported AND kind IN ('function', 'class', 'const') AND symbol_id NOT IN (SELECT dst FROM di)) AS dead,
  (SELECT count(*) FROM pe a JOIN pe b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst) AS cycles, (SELECT count(*) FROM cx WHERE complexity > 20) AS very_high, (SELECT count(*) FROM cx WHERE complexity > 10 AND complexity <= 20) AS high,
  (SELECT count(*) FROM (SELECT count(DISTINCT src) AS n FROM di GROUP BY dst ORDER BY n DESC LIMIT 8) WHERE n >= 8) AS god_nodes,
- (SELECT count(*) FROM pe JOIN cp a ON a.file = src JOIN cp b ON b.file = dst WHERE round(b.instability - a.instability, 2) > 0) AS sdp,
- (SELECT round(count(DISTINCT user_id)::DOUBLE / (SELECT count(*) FROM customer), 2) FROM events) AS coverage, (SELECT max(complexity) FROM cx) AS max_complexity),
+ (SELECT count(*) FROM pe JOIN cp a ON a.file = src JOIN cp b ON b.file = dst WHERE {_SEVERITY} > 0) AS sdp,
+ (SELECT {rounded_sql('count(DISTINCT user_id)::DOUBLE / (SELECT count(*) FROM customer)', 2)} FROM events) AS coverage, (SELECT max(complexity) FROM cx) AS max_complexity),
 sc AS (SELECT *, round(greatest(0, 100 - least(20.0, 1.5 * dead)::DOUBLE - least(22, 6 * cycles) - least(28, 4 * very_high + high) - least(12, 4 * god_nodes) - least(10, sdp) - least(8.0, round(8 * (1 - coverage)))::DOUBLE))::INTEGER AS score FROM m)"""
 
 
@@ -189,7 +189,7 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
         cx.agg(F.count_if(F.col("complexity") > 20).alias("very_high"), F.count_if(F.col("complexity").between(11, 20)).alias("high"), F.max("complexity").alias("max_complexity")),
         tops.agg(F.count_if(F.col("n") >= 8).alias("god_nodes")),
         n(G.layer_violations(edges, G.coupling(A.part_files(spark, d), edges)), "sdp"),
-        A.table(spark, d, "events").agg(F.count_distinct("user_id").alias("u")).crossJoin(n(A.table(spark, d, "customer"), "c")).select(F.round(F.col("u") / F.col("c"), 2).alias("coverage")),
+        A.table(spark, d, "events").agg(F.count_distinct("user_id").alias("u")).crossJoin(n(A.table(spark, d, "customer"), "c")).select(rounded(F.col("u") / F.col("c"), 2).alias("coverage")),
     ]
     out = parts[0]
     for p in parts[1:]:

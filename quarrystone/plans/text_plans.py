@@ -103,7 +103,7 @@ k AS (SELECT {dfs}, (SELECT count(*) FROM part)::DOUBLE AS total),
 per AS (SELECT id, max(total) AS total, {aggs}, {rest} FROM g, k GROUP BY id),
 sc AS (SELECT id, {matched} AS matched, ({base}) * (0.5 + 0.5 * ({matched})::DOUBLE / {n}) * CASE WHEN {' + '.join(f'h{j}' for j in range(n))} = {n} THEN 1.25 ELSE 1.0 END / (1 + 0.15 * rest) * CASE WHEN contains(lower(p_name), '{''.join(wanted)}') THEN 1.2 ELSE 1.0 END AS score FROM per JOIN part ON 'p' || p_partkey = id),
 top AS (SELECT * FROM sc WHERE matched > 0 ORDER BY score DESC, id LIMIT 20)
-SELECT id AS symbol_id, round(score / max(score) OVER (), 3) AS score, matched FROM top"""
+SELECT id AS symbol_id, {T.rounded_sql('score / max(score) OVER ()', 3)} AS score, matched FROM top"""
 
 
 @query(_semantic_sql())
