@@ -7,11 +7,11 @@ bit moves one count by one, so the Manhattan distance of two count vectors never
 exceeds the Hamming distance of the fingerprints: it is a lower bound.
 
 Range join.  Two vectors within Manhattan distance 15 agree within 1 on at least
-one of 8 groups of 8 segments (8 groups at 2 or more would make 16).  A row goes to
-the grid cells (group, sum of the group's counts, length class) and the next one up
-in sum and in class, so each such pair meets in one cell that owns it.  In a cell,
-rows are matched with the count vectors at distance 0 and 1 of their own; the pairs
-are filtered by the Manhattan distance over all segments (the popcount of XORed
+one of 8 groups of 8 segments (8 groups at 2 or more would make 16).  A row's home
+is the grid cell (group, sums of the counts of the group's two halves, length class); it also
+goes to the next one up in either sum and in class, so each such pair meets where one of them is at
+home, and only pairs with one at home are looked at.  In a cell, rows are matched with the count
+vectors at distance 0 and 1 of their own; the pairs are filtered by the Manhattan distance over all segments (the popcount of XORed
 thermometer codes) and then verified by the exact Hamming distance.  The join is
 exact: no pair within the limits is lost, and no cell or partner count is capped.
 
@@ -118,17 +118,23 @@ def _thermometer(f: np.ndarray) -> np.ndarray:
 
 
 _THREES = 3 ** np.arange(8, dtype=np.int64)
+_DIGITS = (np.arange(3**8)[:, None] // _THREES) % 3
+#: Of a code: the sums of the counts of its two halves, as the first plus ten times the second.
+_PLACE = _DIGITS[:, :4].sum(1) + 10 * _DIGITS[:, 4:].sum(1)
+#: Of 16 bits with a count in every two: the code.
+_CODE = np.zeros(1 << 16, np.int64)
+_CODE[(_DIGITS << (2 * np.arange(8))).sum(1)] = np.arange(3**8)
+#: Steps from a code to itself and to those one count higher: (digit or -1, guest from, guest to).
+_STEPS = [(-1, 0, 1), *((k, a, b) for k in range(8) for a, b in ((0, 0), (0, 1), (1, 0)))]
+_STEP_DIGIT = np.array([k for k, _, _ in _STEPS])
+_STEP_FROM = np.array([a for _, a, _ in _STEPS])
+_STEP_BY = np.array([(2 * 3**k if k >= 0 else 0) + b - a for k, a, b in _STEPS])
 
 
-def _codes(f0: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the 8 groups, the base-3 code of its count vector and the sum of its counts."""
-    codes, sums = np.empty((len(f0), GROUPS), np.int64), np.empty((len(f0), GROUPS), np.int64)
-    for g in range(GROUPS):
-        half = _counts((f0, f1)[g // 4]) >> np.uint64(16 * (g % 4))
-        digits = [((half >> np.uint64(2 * k)) & np.uint64(3)).astype(np.int64) for k in range(8)]
-        codes[:, g] = sum(x * t for x, t in zip(digits, _THREES, strict=True))
-        sums[:, g] = sum(digits)
-    return codes, sums
+def _codes(f0: np.ndarray, f1: np.ndarray) -> np.ndarray:
+    """For each of the 8 groups, the number of its count vector: its counts as digits to base 3."""
+    fields = np.stack((_counts(f0), _counts(f1)), axis=1)
+    return _CODE[fields.view(np.uint16).astype(np.int64)]
 
 
 def _length_class(n: np.ndarray) -> np.ndarray:
@@ -141,34 +147,38 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             y = x.slice(at, 20_000)
             f0, f1 = (y.column(k).to_numpy().view(np.uint64) for k in (2, 3))
             n = y.column(1).to_numpy()
-            _, sums = _codes(f0, f1)
+            places = _PLACE[_codes(f0, f1)]
             size = _length_class(n)
             rows = np.arange(len(n))
             cell, take = [], []
             for g in range(GROUPS):
-                for up in (0, 1):
+                for up in (0, 1, 10):
                     for longer in (0, 1):
-                        cell.append(g + 8 * (sums[:, g] + up) + 256 * (size + longer))
+                        cell.append(g + 8 * (places[:, g] + up) + 800 * (size + longer))
                         take.append(rows)
             cell, take = np.concatenate(cell), np.concatenate(take)
             yield pa.RecordBatch.from_arrays([pa.array(cell), *(y.column(k).take(pa.array(take)) for k in range(4))], names=["cell", "id", "n", "f0", "f1"])
 
 
-def near_pairs(code: np.ndarray, f0: np.ndarray, f1: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs whose codes are at Manhattan distance at most 1 and that are verified near-duplicates."""
-    order = np.argsort(code, kind="stable")
-    key = code[order]
+def near_pairs(code: np.ndarray, f0: np.ndarray, f1: np.ndarray, n: np.ndarray, place: int, guest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs whose codes are at Manhattan distance at most 1 and that are verified near-duplicates.
+
+    Of a pair, one code at least must be at home at ``place``, and one row at least not be a ``guest`` by length.
+    """
+    order = np.argsort(2 * code + guest, kind="stable")
+    key = (2 * code + guest)[order]
     f0, f1, n = f0[order], f1[order], n[order]
     u0, u1 = _thermometer(f0), _thermometer(f1)
     uniq, first, count = np.unique(key, return_index=True, return_counts=True)
-    left, right = [np.arange(len(uniq))], [np.arange(len(uniq))]
-    for t in _THREES:
-        lower = np.flatnonzero((uniq // t) % 3 < 2)
-        at = np.searchsorted(uniq, uniq[lower] + t)
-        hit = (at < len(uniq)) & (uniq[np.minimum(at, len(uniq) - 1)] == uniq[lower] + t)
-        left.append(lower[hit])
-        right.append(at[hit])
-    p, q = np.concatenate(left), np.concatenate(right)
+    far = uniq % 2
+    home = _PLACE[uniq // 2] == place
+    own = np.flatnonzero((far == 0) & home)
+    digits = _DIGITS[uniq // 2]
+    step, lower = np.nonzero((far[None] == _STEP_FROM[:, None]) & ((_STEP_DIGIT < 0)[:, None] | (digits[:, np.maximum(_STEP_DIGIT, 0)].T < 2)))
+    goal = uniq[lower] + _STEP_BY[step]
+    at = np.minimum(np.searchsorted(uniq, goal), len(uniq) - 1)
+    hit = (uniq[at] == goal) & (home[lower] | home[at])
+    p, q = np.concatenate((own, lower[hit])), np.concatenate((own, at[hit]))
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def verify(i: np.ndarray, j: np.ndarray) -> None:
@@ -223,12 +233,14 @@ def _stars(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _match(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Star edges over the near pairs that meet in this cell."""
-    g = int(key[0].as_py()) % 8
+    cell = int(key[0].as_py())
+    g, place, size = cell % 8, cell // 8 % 100, cell // 800
     ids = table.column("id").combine_chunks()
     f0, f1 = (table.column(k).to_numpy().view(np.uint64) for k in ("f0", "f1"))
     n = table.column("n").to_numpy()
-    codes, _ = _codes(f0, f1)
-    i, j = near_pairs(codes[:, g], f0, f1, n)
+    i, j = near_pairs(_codes(f0, f1)[:, g], f0, f1, n, place, (_length_class(n) != size).astype(np.int64))
+    if not len(i):
+        return pa.table({"a": ids.slice(0, 0), "b": ids.slice(0, 0)})
     label = _stars(len(n), i, j)
     far = np.flatnonzero(label != np.arange(len(n)))
     return pa.table({"a": ids.take(pa.array(label[far])), "b": ids.take(pa.array(far))})
