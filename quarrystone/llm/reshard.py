@@ -34,6 +34,8 @@ from quarrystone.session import scratch_path
 
 BLOCKS = 256
 NEW_SHARDS = 24
+#: Bytes of text that one task writes to a new shard, as far as its blocks allow.
+TASK_BYTES = 128 << 20
 #: A block table up to this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -168,6 +170,8 @@ class Plan:
     moved_bytes: int
     least_bytes: int
     affected: frozenset[int]
+    total_bytes: int
+    new_shards: int
 
 
 def plan(blocks: list[tuple[str | None, int, int]], capacities: list[int] | None = None, shards: int = NEW_SHARDS) -> Plan:
@@ -193,7 +197,7 @@ def plan(blocks: list[tuple[str | None, int, int]], capacities: list[int] | None
         if i != j:
             moved += size
             affected |= {i, j}
-    return Plan(names, target, moved, least, frozenset(affected))
+    return Plan(names, target, moved, least, frozenset(affected), sum(sizes), max(1, len(capacities)))
 
 
 def _sized(docs: DataFrame, id_col: str, shard_col: str, text_col: str) -> DataFrame:
@@ -224,7 +228,8 @@ def reshard(docs: DataFrame, capacities: list[int] | None = None, shards: int =
     path = scratch_path(spark, "shards")
     affected = placed.where("__affected").drop("__affected")
     layout = affected.withColumn("__folder", F.col("new_shard"))
-    layout.repartition("new_shard", F.pmod("__block", F.lit(4))).drop("__block").write.partitionBy("__folder").parquet(path)
+    tasks = min(BLOCKS, max(4, -(-found.total_bytes // max(1, found.new_shards * TASK_BYTES))))
+    layout.repartition(found.new_shards * tasks, "new_shard", F.pmod("__block", F.lit(tasks))).drop("__block").write.partitionBy("__folder").parquet(path)
     final = [named(c) for c in (*docs.columns, "new_shard", "n_bytes", "moved")]
     again = spark.read.schema(layout.drop("__block").schema).parquet(path).select(*final)
     left = placed.where("not __affected").select(*final)
