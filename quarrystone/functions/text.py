@@ -11,15 +11,22 @@ from pyspark.sql import functions as F
 
 def identifier_words(name: Column) -> Column:
     """The lower-case words of an identifier: getHTTPServerByID2 -> get, http, server, by, id, 2."""
+    small, capital, digit = r"\p{Lower}", r"\p{Upper}", r"\p{Digit}"
+    places = (f"(?<=[{small}{digit}])(?={capital})", f"(?<={capital})(?={capital}{small})", f"(?<=[{small}{capital}])(?={digit})", f"(?<={digit})(?=[{small}{capital}])")
     s = F.regexp_replace(name, "[^A-Za-z0-9]+", " ")
-    s = F.regexp_replace(s, "([a-z0-9])([A-Z])", "$1 $2")
-    s = F.regexp_replace(s, "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    s = F.regexp_replace(s, "([A-Za-z])([0-9])", "$1 $2")
-    s = F.regexp_replace(s, "([0-9])([A-Za-z])", "$1 $2")
-    return F.filter(F.split(F.lower(s), " "), lambda x: x != "")
+    return F.filter(F.split(F.lower(F.regexp_replace(s, "|".join(places), " ")), " "), lambda x: x != "")
 
 
-IDENTIFIER_SQL = r"""list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')), ' '), lambda x: x <> '')"""
+def _identifier_sql() -> str:
+    x = "regexp_replace({0}, '[^A-Za-z0-9]+', ' ', 'g')"
+    small, capital, digit = "[:lower:]", "[:upper:]", "[:digit:]"
+    for before, after in ((f"[{small}{digit}]", f"[{capital}]"), (f"[{capital}]+", f"[{capital}][{small}]"), (f"[{small}{capital}]", f"[{digit}]"), (f"[{digit}]", f"[{small}{capital}]")):
+        x = f"regexp_replace({x}, '({before})({after})', '\\1 \\2', 'g')"
+    return f"list_filter(string_split(lower({x}), ' '), lambda x: x <> '')"
+
+
+#: The same in SQL, for format() with the expression.
+IDENTIFIER_SQL = _identifier_sql()
 
 
 def _undoubled(s: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.text import basename, grade, rating, rounded
 
-# Complexity ---------------------------------------------------------------------------------
+# Complexity
 
 
 def complexity(spans: DataFrame, decisions: DataFrame, key: str = "file", start: str = "start_line", end: str = "end_line", at: str = "line_no", ident: str = "symbol_id") -> DataFrame:
@@ -35,7 +35,7 @@ def risk_map(churn: DataFrame, complexity_: DataFrame, key: str = "file") -> Dat
     return rows.where("risk > 0").select(key, "churn", "complexity", "risk")
 
 
-# Rules and smells ---------------------------------------------------------------------------
+# Rules and smells
 
 
 def general_rules(metrics: DataFrame, limits: dict[str, float], key: str = "file") -> DataFrame:
@@ -118,7 +118,7 @@ def fix_suggestions(findings: DataFrame, max_priority: int = 3) -> DataFrame:
     return findings.join(F.broadcast(known), "rule").where(F.col("priority") <= max_priority)
 
 
-# Test coverage ------------------------------------------------------------------------------
+# Test coverage
 
 _TEST_DIR = "(?i)(^|/)(tests?|__tests__|specs?|testing|e2e|integration-tests)/"
 _FIXTURE_DIR = "(?i)(^|/)(fixtures?|__fixtures__|mocks|__mocks__|testdata|snapshots|__snapshots__)/"
@@ -182,7 +182,7 @@ def merge_coverage(files: DataFrame, report: DataFrame) -> DataFrame:
     return rows.select("file", F.when(F.col("m1").isNotNull(), F.col("l1")).otherwise(F.col("l2")).alias("line_cov"), F.when(F.col("m1").isNotNull(), F.col("b1")).otherwise(F.col("b2")).alias("branch_cov"), F.coalesce("m1", "m2").alias("matched"))
 
 
-# Score, gate, history -----------------------------------------------------------------------
+# Score, gate, history
 
 
 def health_score(metrics: DataFrame) -> DataFrame:

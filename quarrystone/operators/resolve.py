@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.text import dirname
 
-_SUFFIXES = ("", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".py", ".pyi", ".rb", ".h", ".hpp", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/__init__.py", "/mod.rs", ".rs", ".go", ".php")
+_SUFFIXES = ("", *("." + x for x in "ts tsx mts cts js jsx mjs cjs vue svelte py pyi rb h hpp".split()), *("/index." + x for x in "ts tsx js jsx mjs".split()), "/__init__.py", "/mod.rs", ".rs", ".go", ".php")
 
 
 def normalised(path: Column) -> Column:

@@ -78,7 +78,7 @@ def scan_lines(lines: DataFrame, rules: Iterable[LineRule] = RULES, near: int =
     return out.select("file", "line_no", "f.rule", "f.severity", F.left(F.trim("text"), F.lit(120)).alias("snippet"))
 
 
-# TF-IDF -------------------------------------------------------------------------------------
+# TF-IDF
 
 
 def term_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -103,7 +103,7 @@ def cosine_search(weights: DataFrame, query: list[str], k: int = 20) -> DataFram
     return scored.orderBy(F.desc("score"), "doc").limit(k)
 
 
-# Semantic search ----------------------------------------------------------------------------
+# Semantic search
 
 STOP = frozenset("a an and are as at be by code do does for from function how i in is it its method of on or something stuff that the thing this to we what when where which with you".split())
 #: Words that stand for one another; each row is one group.
@@ -169,7 +169,7 @@ def concepts(query: str) -> list[str]:
     """The distinct stems of a query without its stop words, in order."""
     import re
 
-    s = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", re.sub("[^A-Za-z0-9]+", " ", query))
+    s = re.sub("(?<=[a-z0-9])(?=[A-Z])", " ", re.sub("[^A-Za-z0-9]+", " ", query))
     out: list[str] = []
     for w in s.lower().split():
         t = _py_stem(w)
@@ -235,7 +235,7 @@ def semantic_search(symbols: DataFrame, query: str, k: int = 20) -> DataFrame:
     return top.select("symbol_id", rounded(F.col("__score") / F.max("__score").over(Window.partitionBy()), 3).alias("score"), "matched")
 
 
-# Symbols ------------------------------------------------------------------------------------
+# Symbols
 
 
 def search_symbols(symbols: DataFrame, pattern: str, mode: str = "contains", kind: str | None = None, exported_only: bool = False) -> DataFrame:

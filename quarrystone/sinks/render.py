@@ -107,7 +107,7 @@ def html_table(title: str, df: DataFrame, limit: int = 25) -> str:
 def html_report(title: str, tables: dict[str, DataFrame], limit: int = 25) -> str:
     """One page with the first rows of each table; order the tables before."""
     style = "body{font-family:sans-serif;margin:2rem}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.2rem .5rem;text-align:left}"
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{style}</style></head><body><h1>{html.escape(title)}</h1>{''.join(html_table(k, v, limit) for k, v in tables.items())}</body></html>"
+    return f"<!DOCTYPE html><title>{html.escape(title)}</title><meta charset=utf-8><style>{style}</style><body><h1>{html.escape(title)}</h1>{''.join(html_table(k, v, limit) for k, v in tables.items())}</body>"
 
 
 def skeleton_tree(symbols: DataFrame, files: list[str]) -> dict[str, list[dict]]:

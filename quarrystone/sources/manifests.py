@@ -14,7 +14,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Workspaces ---------------------------------------------------------------------------------
+# Workspaces
 
 
 def workspace(spark: SparkSession, root: str) -> DataFrame:
@@ -38,7 +38,7 @@ def package_edges(packages: DataFrame) -> DataFrame:
     return packages.where("internal").select(F.col("name").alias("src"), F.col("dependency").alias("dst")).distinct()
 
 
-# Aliases ------------------------------------------------------------------------------------
+# Aliases
 
 
 def read_jsonc(text: str) -> dict:
@@ -62,7 +62,7 @@ def path_aliases(config: str, depth: int = 5) -> list[tuple[str, str]]:
     return own + [(k, v) for k, v in rest if k not in known]
 
 
-# Source maps --------------------------------------------------------------------------------
+# Source maps
 
 
 def source_map(text: str, folder: str = ".") -> list[str]:
@@ -84,7 +84,7 @@ def source_map(text: str, folder: str = ".") -> list[str]:
     return [f"{root.rstrip('/')}/{s}" if root else s for s in data.get("sources", [])]
 
 
-# Coverage reports ---------------------------------------------------------------------------
+# Coverage reports
 
 _COLUMNS = "file string, line_cov double, branch_cov double, function_cov double"
 

@@ -62,7 +62,7 @@ class Parsed:
         self.imports.append({"file": self.file, "ordinal": len(self.imports), "symbol": symbol, "from_spec": spec, "alias": alias} | kinds)
 
 
-# Python ------------------------------------------------------------------------------------------
+# Python
 
 
 class _Python(ast.NodeVisitor):
@@ -152,7 +152,7 @@ class _Python(ast.NodeVisitor):
         super().generic_visit(node)
 
 
-# Brace languages ---------------------------------------------------------------------------------
+# Brace languages
 
 _SCRIPT = {"typescript", "tsx", "javascript", "vue", "svelte"}
 

@@ -20,7 +20,7 @@ def changed(spark: SparkSession, root: str, base: str = "HEAD") -> DataFrame:
     for line in _git(root, "diff", "--name-status", "-M", base).splitlines():
         status, *paths = line.split("\t")
         rows.append((paths[-1], "M" if status[0] in "RC" else status[0]))
-    rows += [(f, "A") for f in _git(root, "ls-files", "--others", "--exclude-standard").splitlines()]
+    rows += [(f, "A") for f in _git(root, *"ls-files --others --exclude-standard".split()).splitlines()]
     return spark.createDataFrame(rows, "file string, status string")
 
 

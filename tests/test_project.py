@@ -155,7 +155,7 @@ def test_manifests(spark, tmp_path):
         (tmp_path / name / "package.json").write_text(json.dumps({"name": f"@d/{name}", "dependencies": deps}))
     w = manifests.workspace(spark, str(tmp_path))
     assert w.select("name").distinct().count() == 3 and manifests.package_edges(w).count() == 3
-    (tmp_path / "base.json").write_text('{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"], "~x": ["x.ts"],}}} // note')
+    (tmp_path / "base.json").write_text('{"compilerOptions": {"paths": {"@/*": ["src/*"], "~x": ["x.ts"],}, /* here */ "baseUrl": "."}} // note')
     (tmp_path / "tsconfig.json").write_text('{"extends": "./base", "compilerOptions": {"paths": {"@/*": ["lib/*"]}}}')
     assert manifests.path_aliases(str(tmp_path / "tsconfig.json")) == [("@/", f"{tmp_path}/lib/"), ("~x", f"{tmp_path}/x.ts")]
     raw = json.dumps({"sources": ["x.ts"], "sourceRoot": "/src/"})
