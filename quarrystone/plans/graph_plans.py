@@ -110,6 +110,22 @@ def change_impact(spark: SparkSession, d: str) -> DataFrame:
     return G.impact(_dearest_edges(spark, d), seeds).where("file <> seed").select("seed", "file")
 
 
+def _line_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct edge of all lines: a line's supplier and part import each other."""
+    l = A.table(spark, d, "lineitem").select(A._p("l_suppkey", "s").alias("src"), A._p("l_partkey", "p").alias("dst")).distinct()
+    return l.unionByName(l.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+_ALL_LINES = """al AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)"""
+
+
+@query(f"WITH RECURSIVE {_ALL_LINES}, r AS (SELECT src AS file, dst AS seed FROM al WHERE dst = 's1' UNION SELECT e.src, r.seed FROM r JOIN al e ON e.dst = r.file) SELECT seed, file FROM r WHERE file <> seed")
+def change_impact_all(spark: SparkSession, d: str) -> DataFrame:
+    """``change_impact`` over the edges of all lines, not only the dearest."""
+    seeds = spark.createDataFrame([("s1", "s1")], "seed string, file string")
+    return G.impact(_line_edges(spark, d), seeds).where("file <> seed").select("seed", "file")
+
+
 @query(
     f"""WITH {_P},
 two AS (SELECT a.src || ' > ' || a.dst || ' > ' || a.src AS cycle, 2 AS length FROM pe a JOIN pe b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst),

@@ -262,6 +262,16 @@ def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     return D.blast_radius(broken, graph_plans._dearest_edges(spark, d)).select("seed", "file")
 
 
+@query(
+    f"""WITH RECURSIVE {_DIFF}, {graph_plans._ALL_LINES},
+seeds AS (SELECT DISTINCT 's' || k AS seed FROM df WHERE change = 'removed'), r AS (SELECT seed, seed AS file FROM seeds UNION SELECT r.seed, e.src FROM r JOIN al e ON e.dst = r.file) SELECT seed, file FROM r WHERE seed <> file"""
+)
+def blast_radius_all(spark: SparkSession, d: str) -> DataFrame:
+    """``blast_radius`` over the edges of all lines, not only the dearest."""
+    broken = _diff(spark, d).where("change = 'removed'").select(A._p("k", "s").alias("file"))
+    return D.blast_radius(broken, graph_plans._line_edges(spark, d)).select("seed", "file")
+
+
 @query(
     """WITH a AS (SELECT n_nationkey::BIGINT AS k, sha256(n_name) AS h FROM nation), b AS (SELECT s_suppkey AS k, sha256(n_name) AS h FROM supplier JOIN nation ON n_nationkey = s_nationkey)
 SELECT coalesce(a.k, b.k) AS file, CASE WHEN a.k IS NULL THEN 'deleted' WHEN b.k IS NOT NULL AND a.h = b.h THEN 'unchanged' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.k = b.k"""
