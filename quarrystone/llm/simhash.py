@@ -6,17 +6,18 @@ of 2 bits and mapped to the vector of their bit counts, each 0, 1 or 2.  Flippin
 bit moves one count by one, so the Manhattan distance of two count vectors never
 exceeds the Hamming distance of the fingerprints: it is a lower bound.
 
-Range join.  Two vectors within Manhattan distance 15 agree within 1 on at least
-one of 8 groups of 8 segments (8 groups at 2 or more would make 16).  A row's home
+Range join.  Two vectors within Manhattan distance 23 agree within 2 on at least
+one of 8 groups of 8 segments (8 groups at 3 or more would make 24).  A row's home
 is the grid cell (group, sums of the counts of the group's two halves, length class); it also
-goes to the next one up in either sum and in class, so each such pair meets where one of them is at
+goes to the cells whose sums are up to 2 steps away, of each two opposite ones to one, and to the next
+class, so each such pair meets where one of them is at
 home, and only pairs with one at home are looked at.  In a cell, rows are matched with the count
-vectors at distance 0 and 1 of their own; the pairs are filtered by the Manhattan distance over all segments (the popcount of XORed
+vectors at distance 0 to 2 of their own; the pairs are filtered by the Manhattan distance over all segments (the popcount of XORed
 thermometer codes) and then verified by the exact Hamming distance.  The join is
 exact: no pair within the limits is lost, and no cell or partner count is capped.
 
 Limits.  Two documents are near-duplicates when their fingerprints differ in at
-most 15 bits and their numbers of distinct words by a factor of at most 1.2.
+most 23 bits and their numbers of distinct words by a factor of at most 1.2.
 Documents joined by a chain of such pairs form a group; the least id stands for it.
 
 Defined cases.  A null or empty text, or one without a word, has no fingerprint and
@@ -40,9 +41,11 @@ from quarrystone.llm._text import arrow_batches, chunks, hash_words, mix64
 from quarrystone.session import materialize
 
 BITS = 128
-MAX_HAMMING = 15
+MAX_HAMMING = 23
 LENGTH_RATIO = 1.2
 GROUPS = 8
+#: What a group's count vectors may differ by: GROUPS * (NEAR + 1) > MAX_HAMMING.
+NEAR = 2
 _SPREAD = np.uint64(0xA24BAED4963EE407)
 _EVEN = np.uint64(0x5555555555555555)
 
@@ -124,11 +127,10 @@ _PLACE = _DIGITS[:, :4].sum(1) + 10 * _DIGITS[:, 4:].sum(1)
 #: Of 16 bits with a count in every two: the code.
 _CODE = np.zeros(1 << 16, np.int64)
 _CODE[(_DIGITS << (2 * np.arange(8))).sum(1)] = np.arange(3**8)
-#: Steps from a code to itself and to those one count higher: (digit or -1, guest from, guest to).
-_STEPS = [(-1, 0, 1), *((k, a, b) for k in range(8) for a, b in ((0, 0), (0, 1), (1, 0)))]
-_STEP_DIGIT = np.array([k for k, _, _ in _STEPS])
-_STEP_FROM = np.array([a for _, a, _ in _STEPS])
-_STEP_BY = np.array([(2 * 3**k if k >= 0 else 0) + b - a for k, a, b in _STEPS])
+#: Of a code: its counts in unary, 2 bits each, so that XOR and popcount give Manhattan distances.
+_UNARY = (((1 << _DIGITS) - 1) << (2 * np.arange(8))).sum(1).astype(np.uint16)
+#: Steps in the sums of the two halves within NEAR, of each two opposite ones the one that counts up.
+_UPS = [(x, y) for x in range(NEAR + 1) for y in range(-NEAR, NEAR + 1) if x + abs(y) <= NEAR and (x > 0 or y >= 0)]
 
 
 def _codes(f0: np.ndarray, f1: np.ndarray) -> np.ndarray:
@@ -143,25 +145,28 @@ def _length_class(n: np.ndarray) -> np.ndarray:
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
-        for at in range(0, x.num_rows, 20_000):
-            y = x.slice(at, 20_000)
-            f0, f1 = (y.column(k).to_numpy().view(np.uint64) for k in (2, 3))
-            n = y.column(1).to_numpy()
+        for at in range(0, x.num_rows, 10_000):
+            part = x.slice(at, 10_000)
+            f0, f1 = (part.column(k).to_numpy().view(np.uint64) for k in (2, 3))
+            n = part.column(1).to_numpy()
             places = _PLACE[_codes(f0, f1)]
             size = _length_class(n)
             rows = np.arange(len(n))
             cell, take = [], []
             for g in range(GROUPS):
-                for up in (0, 1, 10):
+                first, second = places[:, g] % 10, places[:, g] // 10
+                for x, y in _UPS:
+                    # no row is at home beyond the sums 0 to 8
+                    own = rows[(first + x <= 8) & (second + y >= 0) & (second + y <= 8)]
                     for longer in (0, 1):
-                        cell.append(g + 8 * (places[:, g] + up) + 800 * (size + longer))
-                        take.append(rows)
+                        cell.append(g + 8 * (places[own, g] + x + 10 * y) + 800 * (size[own] + longer))
+                        take.append(own)
             cell, take = np.concatenate(cell), np.concatenate(take)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), *(y.column(k).take(pa.array(take)) for k in range(4))], names=["cell", "id", "n", "f0", "f1"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), *(part.column(k).take(pa.array(take)) for k in range(4))], names=["cell", "id", "n", "f0", "f1"])
 
 
 def near_pairs(code: np.ndarray, f0: np.ndarray, f1: np.ndarray, n: np.ndarray, place: int, guest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs whose codes are at Manhattan distance at most 1 and that are verified near-duplicates.
+    """Index pairs whose codes are at Manhattan distance at most NEAR and that are verified near-duplicates.
 
     Of a pair, one code at least must be at home at ``place``, and one row at least not be a ``guest`` by length.
     """
@@ -172,13 +177,11 @@ def near_pairs(code: np.ndarray, f0: np.ndarray, f1: np.ndarray, n: np.ndarray,
     uniq, first, count = np.unique(key, return_index=True, return_counts=True)
     far = uniq % 2
     home = _PLACE[uniq // 2] == place
-    own = np.flatnonzero((far == 0) & home)
-    digits = _DIGITS[uniq // 2]
-    step, lower = np.nonzero((far[None] == _STEP_FROM[:, None]) & ((_STEP_DIGIT < 0)[:, None] | (digits[:, np.maximum(_STEP_DIGIT, 0)].T < 2)))
-    goal = uniq[lower] + _STEP_BY[step]
-    at = np.minimum(np.searchsorted(uniq, goal), len(uniq) - 1)
-    hit = (uniq[at] == goal) & (home[lower] | home[at])
-    p, q = np.concatenate((own, lower[hit])), np.concatenate((own, at[hit]))
+    own, unary = np.flatnonzero(home), _UNARY[uniq // 2]
+    p, q = np.nonzero(np.bitwise_count(unary[own, None] ^ unary[None]) <= NEAR)
+    p = own[p]
+    met = (far[p] + far[q] < 2) & (~home[q] | (p <= q))
+    p, q = p[met], q[met]
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def verify(i: np.ndarray, j: np.ndarray) -> None:

@@ -74,6 +74,23 @@ def test_many_copies_make_one_group(spark):
     assert len(got) == 2999 and {r["duplicate_of"] for r in got} == {0}
 
 
+def test_copies_with_edited_words_are_found(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(60):
+        words = [f"w{k}x{j}" for j in range(120)]
+        edited = list(words)
+        for j in rng.choice(120, 6, replace=False):
+            edited[j] = f"new{k}x{j}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited))]
+    f0, f1, _ = S.fingerprint_texts(pa.array([t for _, t in rows]))
+    d = np.bitwise_count(f0[::2] ^ f0[1::2]) + np.bitwise_count(f1[::2] ^ f1[1::2])
+    want = {(2 * k + 1, 2 * k) for k in np.flatnonzero(d <= 23).tolist()}
+    assert (d > 15).any() and len(want) >= 58
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["id"], r["duplicate_of"]) for r in S.duplicates(docs).collect()} == want
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     got = {(r["id"], r["duplicate_of"]) for r in S.duplicates(docs).collect()}
