@@ -179,6 +179,60 @@ def elementary_cycles(edges: DataFrame, max_length: int = 3) -> DataFrame:
     return found
 
 
+def cycle_groups(edges: DataFrame) -> DataFrame:
+    """(component, file) of every strongly connected component of at least two files, whatever the length of its cycles.
+
+    ``component`` is its least file.  The least label is sent along the edges and against them until
+    nothing changes: files with both equal to one label are its component, and edges that leave it are
+    dropped.  What remains is peeled and done again.
+    """
+    spark, found = edges.sparkSession, None
+    rest = cyclic_core(edges)
+    while not rest.isEmpty():
+        nodes = rest.select(F.col("src").alias("file")).unionByName(rest.select(F.col("dst").alias("file"))).distinct()
+        fwd, back = _least_reaching(nodes, rest), _least_reaching(nodes, rest.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        both, _ = materialize(fwd.withColumnRenamed("label", "down").join(back.withColumnRenamed("label", "up"), "file"), "labels")
+        done = both.where("down = up").select(F.col("down").alias("component"), "file")
+        found = done if found is None else found.unionByName(done)
+        # edges between files whose labels differ join no two files of one component
+        a = both.where("down <> up").select(F.col("file").alias("src"), F.col("down").alias("d"), F.col("up").alias("u"))
+        b = both.where("down <> up").select(F.col("file").alias("dst"), F.col("down").alias("d"), F.col("up").alias("u"))
+        rest = cyclic_core(rest.join(a, "src").join(b, ["dst", "d", "u"]).select("src", "dst"))
+    if found is None:
+        return spark.createDataFrame([], "component string, file string")
+    sized = found.groupBy("component").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("component")
+    return found.join(sized, "component", "left_semi")
+
+
+def _least_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file, label): the least file among those that reach each file, itself included."""
+    now, path = materialize(nodes.select("file", F.col("file").alias("label")), "least")
+    frontier = now
+    while True:
+        sent = frontier.join(edges, frontier["file"] == edges["src"]).groupBy(F.col("dst").alias("file")).agg(F.min("label").alias("new"))
+        joined = now.join(sent, "file", "left")
+        nxt, new_path = materialize(joined.select("file", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("less")), "least")
+        discard(edges.sparkSession, path)
+        now, path = nxt.select("file", "label"), new_path
+        frontier = nxt.where("less").select("file", "label")
+        if frontier.isEmpty():
+            return now
+
+
+def long_cycles(edges: DataFrame, max_length: int) -> DataFrame:
+    """(cycle, length): one row for every strongly connected component of more than ``max_length`` files: its sorted files and their number.
+
+    A longer cycle needs such a component; one may be without it, as a chain of mutual imports is.
+    """
+    groups = cycle_groups(edges).groupBy("component").agg(F.sort_array(F.collect_list("file")).alias("f")).where(F.size("f") > max_length)
+    return groups.select(F.concat(F.lit("component: "), F.array_join("f", ", ")).alias("cycle"), F.size("f").alias("length"))
+
+
+def all_cycles(edges: DataFrame, max_length: int) -> DataFrame:
+    """``elementary_cycles`` and ``long_cycles``: a graph with any cycle has at least one row."""
+    return elementary_cycles(edges, max_length).unionByName(long_cycles(edges, max_length))
+
+
 def arch_rules(edges: DataFrame, rules: list[dict], src: str = "src", dst: str = "dst") -> DataFrame:
     """Violations of glob rules.
 

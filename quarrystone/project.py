@@ -58,7 +58,8 @@ class Project:
         return graph.dead_exports(self.symbols, self.edges)
 
     def cycles(self, max_length: int = 6) -> DataFrame:
-        return graph.elementary_cycles(self.file_edges, max_length)
+        """Elementary cycles of at most ``max_length`` files; a component of more files is one row besides."""
+        return graph.all_cycles(self.file_edges, max_length)
 
     def coupling(self) -> DataFrame:
         return graph.coupling(self.files, self.file_edges)
