@@ -6,8 +6,10 @@ seeds with its source.  The masked windows of the benchmark are hashed under eve
 mask and so is every window of the training texts; equal hashes are hits.  Around
 each hit the words of the window, widened by EXTEND words on either side as far as
 item and document go, are compared one by one; the overlap is verified when at
-least MIN_SHARE of them agree.  An item shorter than the masks is seeded by its
-whole run of words instead.
+least MIN_SHARE of them agree, or of a part of them that holds the window: an excerpt
+may end in mid-item.  An item shorter than the masks is seeded at its whole length
+and verified whole: from SHORT words on by masks that leave out any places that
+MIN_SHARE lets differ, below that by all its words.
 
 The benchmark is broadcast in slices of at most SLICE_WORDS words, each checked for
 size; a larger benchmark takes several slices and as many passes over the texts, so
@@ -16,7 +18,7 @@ nothing that is broadcast grows with the data, and the training texts are never
 Defined cases.  A null or empty text, or one without a word, overlaps nothing, and
 so does a null or empty item.  A document without an id is compared and reported
 with a null id.  Repeated rows, in either table, give the same finding once.
-Between overlaps of one item and one document the one with most agreeing words, then
+Between overlaps of one item and one document a fully widened one, then the one with most agreeing words, then
 the first in the document, then the first in the item is reported.  An empty table
 on either side gives no findings.  Extra columns of any name are kept as they are.
 """
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ from quarrystone.llm._text import arrow_batches, chunks, hash_words, map_rows, m
 MASKS = ("110110101111", "111010011011", "101101110011", "111100110101")
 EXTEND = 4
 MIN_SHARE = 0.75
+#: Words from which an item shorter than the masks may differ from its copy.
+SHORT = 6
 SLICE_WORDS = 1_000_000
 _FILTER_BITS = 22
 
@@ -71,12 +76,19 @@ def hash_of_mask(mask: str) -> np.uint64:
     return hash_words(pa.array([mask])).h[0]
 
 
+def short_masks(n: int) -> tuple[str, ...]:
+    """Masks of length ``n`` of which one at least keeps only agreeing words wherever MIN_SHARE of them agree."""
+    holes = int(n * (1 - MIN_SHARE)) if n >= SHORT else 0
+    block = np.arange(n) * (holes + 2) // n
+    return tuple("".join("0" if b in out else "1" for b in block) for out in combinations(range(holes + 2), holes))
+
+
 def build_slice(ids: list, texts: list[str], masks: tuple[str, ...] = MASKS) -> Slice:
     words = hash_words(pa.array(texts, pa.string()))
     span = max(map(len, masks))
     count = np.diff(words.off)
     short = sorted({int(c) for c in count if 0 < c < span})
-    all_masks = tuple(masks) + tuple("1" * c for c in short)
+    all_masks = tuple(masks) + tuple(m for c in short for m in short_masks(c))
     seeds, item, at = [], [], []
     for m in all_masks:
         pos, doc = windows(words.h, words.off, len(m))
@@ -146,14 +158,34 @@ def overlaps(texts: pa.Array, s: Slice) -> tuple[np.ndarray, ...]:
             same = words.h[words.off[d[k]] + start[k] + step] == s.words[s.off[i[k]] + item_start[k] + step]
             agree = np.bincount(k[same], minlength=len(hit))
             ok = agree >= MIN_SHARE * wide
-            found.append(np.stack((d + a, i, start, item_start, wide, agree), axis=1)[ok])
-    rows = np.concatenate(found) if found else np.zeros((0, 6), np.int64)
+            found.append(np.stack((d + a, i, start, item_start, wide, agree, np.zeros(len(d), np.int64)), axis=1)[ok])
+            if len(m) >= 12 and not ok.all():
+                at = np.zeros((len(hit), len(m) + 2 * EXTEND), np.int64)
+                at[k, step - back[k] + EXTEND] = same
+                b, g, w = _part(at[~ok], len(m), back[~ok], ahead[~ok])
+                part = np.stack(((d + a)[~ok], i[~ok], p[~ok] - b, q[~ok] - b, w, g, np.ones(len(g), np.int64)), axis=1)
+                found.append(part[g > 0])
+    rows = np.concatenate(found) if found else np.zeros((0, 7), np.int64)
     if len(rows):
-        rows = rows[np.lexsort((-rows[:, 4], rows[:, 3], rows[:, 2], -rows[:, 5], rows[:, 1], rows[:, 0]))]
+        rows = rows[np.lexsort((-rows[:, 4], rows[:, 3], rows[:, 2], -rows[:, 5], rows[:, 6], rows[:, 1], rows[:, 0]))]
         first = np.ones(len(rows), bool)
         first[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
         rows = rows[first]
-    return tuple(rows.T)
+    return tuple(rows.T[:6])
+
+
+def _part(same: np.ndarray, n: int, back: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words back, agreeing, words) of the part around each window of ``n`` words in which MIN_SHARE agree, with most agreeing and then fewest words; 0 agreeing if none does."""
+    left, right = (np.cumsum(x, axis=1) for x in (same[:, EXTEND - 1 :: -1], same[:, EXTEND + n :]))
+    core = same[:, EXTEND : EXTEND + n].sum(1)
+    best = np.zeros((3, len(core)), np.int64)
+    for b in range(EXTEND + 1):
+        for e in range(EXTEND + 1):
+            g = core + (left[:, b - 1] if b else 0) + (right[:, e - 1] if e else 0)
+            w = n + b + e
+            better = (b <= back) & (e <= ahead) & (g >= MIN_SHARE * w) & ((g > best[1]) | ((g == best[1]) & (w < best[2])))
+            best[:, better] = np.stack((np.full(len(g), b), g, np.full(len(g), w)))[:, better]
+    return best[0], best[1], best[2]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slice_words: int = SLICE_WORDS) -> DataFrame:

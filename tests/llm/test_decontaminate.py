@@ -1,3 +1,4 @@
+import itertools
 import re
 
 from quarrystone.llm import decontaminate as C
@@ -60,3 +61,27 @@ def test_end_of_a_long_text(spark):
     docs = spark.createDataFrame([(1, LONG + " " + ITEM)], "doc_id long, text string")
     bench = spark.createDataFrame([(5, ITEM)], "item_id long, text string")
     assert C.find(docs, bench).first()["n_agree"] == 17
+
+
+def test_short_items_with_substitutions(spark):
+    for n in range(C.SHORT, 12):
+        masks = C.short_masks(n)
+        allowed = n - -int(-C.MIN_SHARE * n // 1)
+        for out in itertools.combinations(range(n), allowed):
+            assert any(all(m[k] == "0" for k in out) for m in masks)
+    words = ITEM.split()[:11]
+    texts = [(k, "x " + " ".join("other" if j in at else w for j, w in enumerate(words)) + " y") for k, at in enumerate([(), (0,), (5,), (2, 9), (1, 5, 9)])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert {(r["doc_id"], r["n_agree"]) for r in C.find(docs, bench).collect()} == {(0, 11), (1, 10), (2, 10), (3, 9)}
+
+
+def test_verbatim_excerpts_of_long_items(spark):
+    item = [f"i{k}" for k in range(40)]
+    pad = [f"x{k}" for k in range(20)]
+    texts = [(n, " ".join(pad + item[10 : 10 + n] + pad)) for n in (8, 12, 13, 14, 15)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in C.find(docs, bench).collect()}
+    assert set(got) == {12, 13, 14, 15}
+    assert all(got[n]["n_agree"] == n and got[n]["doc_start"] == 20 and got[n]["item_start"] == 10 for n in (12, 13, 14))
