@@ -1,85 +1,122 @@
-"""Language-model scores by Katz backoff over word bigrams.
+"""Language-model scores by Katz backoff over word trigrams.
 
-Counting covers every document.  Good-Turing discounts d(r), r up to CUT, come from the
-numbers of n-grams seen once, twice and so on; higher counts are kept as they are.
+Documents fall into FOLDS folds by their id.  Every document is counted, and each is scored by
+the model of all folds but its own, so its own words don't vouch for it and n-grams that
+the model never saw occur all the time.
+
+Good-Turing discounts d(r), r up to CUT, come for every order from the numbers of n-grams seen
+once, twice and so on; higher counts are kept as they are.
 P(w) = d c(w) / N, what is left being the probability of a word never seen.
-P(w | h) = d c(h w) / c(h) if h w was seen, else alpha(h) P(w), where
-alpha(h) = (1 - sum of P(w | h) over seen w) / (1 - sum of P(w) over the same w) makes the
-probabilities after h add up to exactly 1.  A text is read between two marks, so its
-first word has a history and its end is a token.
-
-Tables.  Words are 63-bit hashes.  Those frequent enough to hold one of CODES slots have
-a small number instead, which makes what is shuffled and stored several times smaller;
-the slot table is of fixed size, and a word without a slot goes by its hash, so nothing
-is lost.  A bigram is sent to a bucket by its history, or by both words if the history has
-a slot (its count is known, so it can be spread), packed with its document in
-compressed blocks.  A bucket's task counts its bigrams and writes (history, word, count)
-arrays with the documents they occur in, partitioned by bucket.  Backoff weights are one row a
-history; the unigram sums in them take slotted words from the fixed table and
-others from a join.
-
-Scoring the corpus reads the buckets: each occurrence gets its conditional probability,
-and logarithms are added up by document.  Other documents are scored by joins with the
-tables (``score``), token by token: bigram, else backoff weight times unigram, else the unseen word.
+P(w | h) = d c(h w) / c(h) if h w was seen, else alpha(h) P(w | h'), h' being h without its
+first word, where alpha(h) = (1 - sum of P(w | h) over seen w) / (1 - sum of P(w | h') over the
+same w) makes the probabilities after h add up to exactly 1; alpha is 1 if h wasn't seen.
+A text is read after two start marks, and its end is a token.  ln P is kept in steps of 1 / SCALE,
+so that sums don't depend on their order.
+
+Tables, all in the shared folder.
+unigrams: (w, c0, c1, ...), words being 63-bit hashes, counts by fold.
+chunks: texts of one fold as word codes, CHUNK_TOKENS tokens in a row.  The most frequent word of each
+of SLOTS slots has a small code; the others are listed in the chunk by their hashes.
+ngrams: one row a bucket of about BUCKET_TOKENS tokens, holding what each chunk counted.  A
+trigram u v w goes to the bucket of v, so a bucket holds all that follows v, and with it both
+backoffs of its trigrams.  Of the words v above HOT_TOKENS (and one in HOT_WORDS tokens, so
+their list is bounded) the trigrams are spread by u and v; their bigrams are counted beforehand and
+each trigram brings its bigram's count along.  Chunks count before anything is sent, so a
+trigram that makes up a third of the corpus is one row a chunk.
+
+Scoring.  A bucket merges its chunks' counts, evaluates the recursion for every distinct trigram
+of every chunk and answers in the chunk's own order; the chunk adds its answers up by document.
 
 Defined cases.  A null text isn't counted and has no score; an empty one has one token, its
-end.  Rows without an id count in the corpus but get no score; rows that
-share an id are scored together.  Where the numbers of counts allow no discount
-(one is zero, or the formula leaves (0, 1]) a count is kept whole; if that
-leaves a history nothing for unseen words, its counts are divided by one more than their sum.  An empty
-table gives empty tables and results.
+end.  Rows without an id count in the corpus (fold 0) but get no score; rows that
+share an id are scored together.  Ids may be of any type: other than integers, they go to folds by a checksum.
+Where the numbers of counts allow no discount (one is zero, or the formula leaves
+(0, 1]) a count is kept whole; if that leaves a history nothing for unseen words, its counts
+are divided by one more than their sum.  If the other folds are empty, each word has probability 1.
+An empty table gives empty tables and results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarrystone.llm._text import arrow_batches, chunks, hash_words, mix64
-from quarrystone.session import materialize, scratch_path
+from quarrystone.llm._text import arrow_batches, chunks, hash_words, mix64, named
+from quarrystone.session import materialize
 
 CUT = 5
-SLOT_BITS = 17
-CODES = 1 << SLOT_BITS
-#: Tokens in a bucket on average, and tokens that a task packs at a time.
+FOLDS = 4
+SCALE = 1_000_000
+SLOT_BITS = 19
+SLOTS = 1 << SLOT_BITS
+#: Tokens in a chunk, of which a piece of one text is at most one in PIECES, and tokens in a bucket on average.
+CHUNK_TOKENS = 1_200_000
+PIECES = 5
 BUCKET_TOKENS = 1_000_000
-PACK_TOKENS = 1_200_000
-#: Distinct bigrams in a row of the bigram table.
-ROW_BIGRAMS = 20_000
+#: A word's trigrams are spread if it is more frequent than this and than one in HOT_WORDS tokens.
+HOT_TOKENS = 250_000
+HOT_WORDS = 1 << 20
 START, END = np.uint64(1), np.uint64(2)
 _FREQUENT = np.uint64(1 << 20)
-_HALF = np.uint64(1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def fold_of(doc_id: Column, kind: T.DataType, folds: int = FOLDS) -> Column:
+    """The fold of an id; null ids are in the first."""
+    if isinstance(kind, T.IntegralType):
+        mixed = F.shiftright(F.pmod(doc_id.cast("long"), F.lit(1 << 20)) * F.lit(40503), 10)
+        fold = F.pmod(mixed, F.lit(folds))
+    else:
+        fold = F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
+    return F.coalesce(fold, F.lit(0)).cast("int")
+
+
+def word_ids(h: np.ndarray) -> np.ndarray:
+    """63-bit words; the few that look like slots or marks are moved up."""
+    w = h >> np.uint64(1)
+    return np.where(w < _FREQUENT, w + _FREQUENT, w)
+
+
+def slot_of(words: np.ndarray) -> np.ndarray:
+    return np.where(words <= END, words - START, words >> np.uint64(63 - SLOT_BITS)).astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Slots:
-    """The word in each slot (0: none), its count and P(w); marks are in the first two."""
+    """The word of each slot (0: none) and its counts by fold; and the hot words, sorted, with theirs."""
 
     word: np.ndarray
     count: np.ndarray
-    p: np.ndarray
+    hot: np.ndarray
+    hot_count: np.ndarray
 
-    def ids(self, words: np.ndarray) -> np.ndarray:
-        """Slot numbers of words that hold one, else the hash."""
+    def codes(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A code for every word, and the sorted words that those from SLOTS on stand for."""
         slot = slot_of(words)
-        return np.where(self.word[slot] == words, slot, words)
-
-
-def slot_of(words: np.ndarray) -> np.ndarray:
-    marks = words <= END
-    return np.where(marks, words - START, words >> np.uint64(63 - SLOT_BITS))
+        other = np.flatnonzero(self.word[slot] != words)
+        rare, back = np.unique(words[other], return_inverse=True)
+        slot[other] = SLOTS + back
+        return slot.astype(np.uint32), rare
 
+    def hot_index(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word in the list of hot ones, or -1."""
+        if not len(self.hot):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
+        return np.where(self.hot[at] == words, at, -1)
 
-def word_ids(h: np.ndarray) -> np.ndarray:
-    """63-bit words; the few that look like slots or marks are moved up."""
-    w = h >> _HALF
-    return np.where(w < _FREQUENT, w + _FREQUENT, w)
+    def words_of(self, rare: np.ndarray) -> np.ndarray:
+        """The word of each code, given those beyond the slots."""
+        return np.concatenate((self.word, rare))
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -94,322 +131,631 @@ def discounts(n: list[int]) -> np.ndarray:
     return d
 
 
-def _gather(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, back = np.unique(h, return_inverse=True)
-    return u, np.bincount(back, c, minlength=len(u)).astype(np.int64)
-
-
-def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size, texts = [], 0, 0
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers as one compressed block, byte planes apart."""
+    head = struct.pack("<i", len(columns)) + b"".join(struct.pack("<cbi", c.dtype.char.encode(), c.itemsize, len(c)) for c in columns)
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
+
+
+def unpack(block: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    count, at = struct.unpack_from("<i", raw)[0], 4
+    kinds = [struct.unpack_from("<cbi", raw, at + 6 * k) for k in range(count)]
+    at, out = at + 6 * count, []
+    for kind, wide, n in kinds:
+        planes = np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n)
+        out.append(np.ascontiguousarray(planes.T).view(np.dtype(kind.decode())).reshape(n))
+        at += n * wide
+    return out
+
+
+def grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each row, first row of each group), groups in the order of the columns' values."""
+    n = len(columns[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = [max(1, int(c.max()).bit_length()) for c in columns]
+    new = np.ones(n, bool)
+    if sum(bits) <= 63:
+        key = columns[0].astype(np.int64)
+        for c, b in zip(columns[1:], bits[1:], strict=True):
+            key = (key << b) | c
+        order = np.argsort(key)
+        key = key[order]
+        new[1:] = key[1:] != key[:-1]
+    else:
+        order = np.lexsort(columns[::-1])
+        new[1:] = np.logical_or.reduce([(c[order[1:]] != c[order[:-1]]) for c in columns])
+    group = np.empty(n, np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, order[new]
+
+
+# Unigrams
+
+
+def _unigrams(batches: Iterator[pa.RecordBatch], folds: int) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size, texts = 0, np.zeros(folds, np.int64)
 
     def merged() -> pa.RecordBatch:
-        h, c = _gather(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        w, f, c = (np.concatenate([h[k] for h in held]) for k in range(3))
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["w", "c"])
+        u, back = np.unique(w, return_inverse=True)
+        by = np.bincount(back * folds + f, c, minlength=folds * len(u)).astype(np.int64).reshape(-1, folds)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *(pa.array(by[:, k].copy()) for k in range(folds))], names=["w", *(f"c{k}" for k in range(folds))])
 
     for x in batches:
+        fold = x.column(1).to_numpy()
         for a, b in chunks(x.column(0), 4 << 20):
-            u, c = np.unique(word_ids(hash_words(x.column(0).slice(a, b - a)).h), return_counts=True)
-            held.append((u, c))
-            size += len(u)
-        texts += x.num_rows
-        if size > 1_500_000:
+            words = hash_words(x.column(0).slice(a, b - a))
+            of = np.repeat(fold[a:b], np.diff(words.off))
+            h = word_ids(words.h)
+            for k in range(folds):
+                u, c = np.unique(h[of == k], return_counts=True)
+                held.append((u, np.full(len(u), k), c))
+                size += len(u)
+        texts += np.bincount(fold, minlength=folds)
+        if size > 2_000_000:
             yield merged()
             size = 0
-    if texts:
-        held.append((np.array([START, END]), np.array([texts, texts])))
+    if texts.any():
+        for k in range(folds):
+            held.append((np.array([START, END]), np.array([k, k]), np.array([texts[k], texts[k]])))
         yield merged()
 
 
-def _bigrams(x: pa.RecordBatch, a: int, b: int, slots: Slots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(history, word, row) of every bigram of rows a to b; column 1 has the texts."""
-    words = hash_words(x.column(1).slice(a, b - a))
-    w = slots.ids(word_ids(words.h))
-    n = np.diff(words.off)
-    row = np.repeat(np.arange(len(n)), n + 1)
-    prev, follow = np.empty(len(row), np.uint64), np.empty(len(row), np.uint64)
-    last = np.cumsum(n + 1) - 1
-    first = last - n
-    start, end = slots.ids(np.array([START, END]))
-    inner = np.ones(len(row), bool)
-    inner[last] = False
-    follow[inner], follow[last] = w, end
-    inner[:] = True
-    inner[first] = False
-    prev[inner], prev[first] = w, start
-    return prev, follow, row + a
-
-
-def _packed(*columns: np.ndarray) -> bytes:
-    """Columns of 8-byte numbers, byte planes apart so that they compress."""
-    squeeze = zstandard.ZstdCompressor(level=1)
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
-    return squeeze.compress(b"".join(planes))
-
-
-def _unpacked(blob: bytes, columns: int) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = len(raw) // (8 * columns)
-    return np.ascontiguousarray(raw.reshape(columns, 8, n).transpose(0, 2, 1)).view(np.uint64).reshape(columns, n)
-
-
-def _pack(batches: Iterator[pa.RecordBatch], slots: Slots, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of bigrams with their documents, one for each bucket and PACK_TOKENS tokens."""
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        prev, follow, doc = (np.concatenate([h[k] for h in held]) for k in range(3))
-        held.clear()
-        spread = np.where(prev < _FREQUENT, mix64(prev * np.uint64(0x9E3779B97F4A7C15) + follow), mix64(prev))
-        bucket = spread % np.uint64(buckets)
-        order = np.argsort((bucket << np.uint64(40)) | (prev & np.uint64((1 << 40) - 1)))
-        bucket, prev, follow, doc = bucket[order], prev[order], follow[order], doc[order]
-        cut = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
-        for k in range(0, len(cut) - 1, 64):
-            some = range(k, min(k + 64, len(cut) - 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(bucket[cut[j]]) for j in some], pa.int32()), pa.array([_packed(*(c[cut[j] : cut[j + 1]] for c in (prev, follow, doc))) for j in some], pa.binary())], names=["bucket", "block"]
-            )
+# Chunks of texts
+
+
+def _sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the texts, each text after two start marks and before its end; and how many it predicts."""
+    words = hash_words(texts)
+    n = np.diff(words.off) + 1
+    seq = np.full(int((n + 2).sum()), START)
+    ends = np.cumsum(n + 2)
+    inner = np.ones(len(seq), bool)
+    starts = ends - n - 2
+    inner[starts] = inner[starts + 1] = inner[ends - 1] = False
+    seq[inner] = word_ids(words.h)
+    seq[ends - 1] = END
+    return seq, n
+
+
+def _pieces(ids: pa.Array, seq: np.ndarray, n: np.ndarray, most: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Long texts in pieces, each with the two words before it."""
+    if not len(n) or n.max() <= most:
+        return ids, seq, n
+    take, parts, lens, at = [], [], [], 0
+    for k, size in enumerate(n.tolist()):
+        for a in range(0, size, most):
+            b = min(size, a + most)
+            take.append(k)
+            lens.append(b - a)
+            parts.append(seq[at + a : at + b + 2])
+        at += size + 2
+    return ids.take(pa.array(take)), np.concatenate(parts), np.array(lens)
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch], slots: Slots, folds: int, chunk_tokens: int) -> Iterator[pa.RecordBatch]:
+    """(chunk, fold, ids, lens, codes, rare) of the texts of a task."""
+    task, made = TaskContext.get().partitionId(), 0
+    held: list[list[tuple[pa.Array, np.ndarray, np.ndarray]]] = [[] for _ in range(folds)]
+    size = [0] * folds
+
+    def flush(f: int) -> pa.RecordBatch:
+        nonlocal made
+        ids = pa.concat_arrays([h[0] for h in held[f]])
+        seq, n = (np.concatenate([h[k] for h in held[f]]) for k in (1, 2))
+        held[f].clear()
+        size[f] = 0
+        made += 1
+        codes, rare = slots.codes(seq)
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        values = [pa.array([task << 24 | made]), pa.array([f], pa.int32()), one(ids), one(pa.array(n.astype(np.int32))), pa.array([pack(codes)], pa.binary()), pa.array([pack(rare)], pa.binary())]
+        return pa.RecordBatch.from_arrays(values, names=["chunk", "fold", "ids", "lens", "codes", "rare"])
 
     for x in batches:
-        ids = x.column(0)
-        known = ids.is_valid().to_numpy(zero_copy_only=False)
-        number = ids.cast(pa.int64()).fill_null(0).to_numpy()
         for a, b in chunks(x.column(1)):
-            prev, follow, row = _bigrams(x, a, b, slots)
-            doc = np.where(known[row], number[row].view(np.uint64) if number.dtype == np.int64 else number[row], _NO_DOC)
-            held.append((prev, follow, doc))
-            size += len(prev)
-            if size > PACK_TOKENS:
-                yield from flush()
-                size = 0
-    if size:
-        yield from flush()
-
-
-#: Stands for a null id; ids are 64-bit integers, and this one is the least of them.
-_NO_DOC = np.uint64(1 << 63)
-
-
-def _count(table: pa.Table) -> pa.Table:
-    """Rows of the bigram table of one bucket."""
-    parts = [_unpacked(b.as_py(), 3) for b in table.column("block")]
-    prev, follow, doc = np.concatenate(parts, axis=1) if len(parts) > 1 else parts[0]
-    del parts
-    order = np.lexsort((doc, follow, prev))
-    prev, follow, doc = prev[order], follow[order], doc[order]
-    new = np.ones(len(prev), bool)
-    new[1:] = (prev[1:] != prev[:-1]) | (follow[1:] != follow[:-1])
-    at = np.flatnonzero(new)
-    c = np.diff(np.append(at, len(prev)))
-    h, w = prev[at], follow[at]
-    head = np.ones(len(h), bool)
-    head[1:] = h[1:] != h[:-1]
-    group = np.cumsum(head) - 1
-    total = np.bincount(group, c).astype(np.int64)
-    kinds = np.bitwise_or.reduceat(np.where(c <= CUT, 1 << np.minimum(c, CUT), 0), np.flatnonzero(head))
-    history = np.where(h < _FREQUENT, 0, (total << 8 | kinds)[group])
-    rows: dict[str, list] = {k: [] for k in ("bucket", "h", "w", "c", "history", "docs", *(f"n{r}" for r in range(1, CUT + 2)))}
-    bucket = table.column("bucket")[0].as_py()
-    for a in range(0, len(at), ROW_BIGRAMS):
-        b = min(a + ROW_BIGRAMS, len(at))
-        rows["bucket"].append(bucket)
-        for k, v in (("h", h.view(np.int64)), ("w", w.view(np.int64)), ("c", c), ("history", history)):
-            rows[k].append(v[a:b])
-        rows["docs"].append(_packed(doc[at[a] : at[b] if b < len(at) else len(doc)]))
-        n = np.bincount(np.minimum(c[a:b], CUT + 2), minlength=CUT + 3)
-        for r in range(1, CUT + 2):
-            rows[f"n{r}"].append(int(n[r]))
-    kind = {"bucket": pa.int32(), "docs": pa.binary()}
-    return pa.table({k: pa.array(v, kind.get(k, pa.int64() if k[0] == "n" else pa.list_(pa.int64()))) for k, v in rows.items()})
-
-
-_TABLE = "bucket int, h array<long>, w array<long>, c array<long>, history array<long>, docs binary, " + ", ".join(f"n{r} long" for r in range(1, CUT + 2))
+            fold = x.column(2).slice(a, b - a).to_numpy()
+            seq, n = _sequences(x.column(1).slice(a, b - a))
+            of = np.repeat(fold, n + 2)
+            for f in np.unique(fold).tolist():
+                own = fold == f
+                ids, s, m = _pieces(x.column(0).slice(a, b - a).filter(pa.array(own)), seq[of == f], n[own], max(1, chunk_tokens // PIECES))
+                start, first = 0, 0
+                total = np.cumsum(m)
+                while first < len(m):
+                    room = chunk_tokens - size[f] + (total[first - 1] if first else 0)
+                    last = max(first + 1, int(np.searchsorted(total, room, side="right")))
+                    stop = start + int((m[first:last] + 2).sum())
+                    held[f].append((ids.slice(first, last - first), s[start:stop], m[first:last]))
+                    size[f] += int(m[first:last].sum())
+                    first, start = last, stop
+                    if size[f] >= chunk_tokens or first < len(m):
+                        yield flush(f)
+    for f in range(folds):
+        if held[f]:
+            yield flush(f)
+
+
+class Chunk:
+    """A chunk read back: its tokens' codes and those of the two words before, and what it was told so far."""
+
+    def __init__(self, table: pa.Table, slots: Slots):
+        kind = table.column("kind").to_numpy()
+        base = int(np.flatnonzero(kind == 0)[0])
+        get = lambda name, row: table.column(name)[row].as_py()
+        self.number, self.fold, self.slots = get("chunk", base), get("fold", base), slots
+        self.n = table.column("lens")[base].values.to_numpy().astype(np.int64)
+        self.ids = table.column("ids")[base].values
+        (codes,), (self.rare,) = unpack(get("a", base)), unpack(get("b", base))
+        inner = np.ones(len(codes), bool)
+        starts = np.cumsum(self.n + 2) - self.n - 2
+        inner[starts] = inner[starts + 1] = False
+        at = np.flatnonzero(inner)
+        self.u, self.v, self.w = codes[at - 2].astype(np.int64), codes[at - 1].astype(np.int64), codes[at].astype(np.int64)
+        self.words = slots.words_of(self.rare)
+        told = {k: [(get("part", int(r)), get("a", int(r))) for r in np.flatnonzero(kind == k)] for k in (1, 2, 3)}
+        self.rare_count = np.stack(unpack(told[1][0][1]), axis=1) if told[1] else np.zeros((len(self.rare), slots.count.shape[1]), np.int64)
+        self.answers = {2: dict(told[2]), 3: dict(told[3])}
+
+    def answered(self, kind: int, parts: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """The answers of all parts, one row for each of the questions that ``parts`` and ``order`` describe."""
+        blocks = [np.stack(unpack(self.answers[kind][p]), axis=1) for p in np.unique(parts).tolist()]
+        out = np.empty((len(parts), blocks[0].shape[1] if blocks else 1), blocks[0].dtype if blocks else np.int64)
+        if blocks:
+            out[order] = np.concatenate(blocks)
+        return out
+
+    def hot_pairs(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(v, w, times) of the distinct bigrams after hot words, by v and w; the part each belongs to; and the order of parts."""
+        hot = self.slots.hot_index(self.words[np.arange(len(self.words))]) >= 0
+        at = np.flatnonzero(hot[self.v])
+        key, c = np.unique(self.v[at] << 32 | self.w[at], return_counts=True)
+        v, w = key >> 32, key & 0xFFFFFFFF
+        part = (mix64(self.words[v] * _ODD + self.words[w]) % np.uint64(parts)).astype(np.int64)
+        return v, w, c, part, np.argsort(part, kind="stable")
+
+    def trigrams(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(group of each token, first token of each group) of the distinct trigrams, by v, u and w; whether v is hot; the bucket; the order of buckets."""
+        group, first = grouped(self.v, self.u, self.w)
+        hot_word = self.slots.hot_index(self.words) >= 0
+        v, u = self.v[first], self.u[first]
+        hot = hot_word[v]
+        spread = mix64(self.words[v] * _ODD)
+        spread[hot] = mix64(spread[hot] + self.words[u[hot]] * _ODD)
+        bucket = (spread % np.uint64(buckets)).astype(np.int64)
+        return group, first, hot, bucket, np.argsort(bucket, kind="stable")
+
+    def listed(self, *codes: np.ndarray) -> np.ndarray:
+        """The words of those codes that no other chunk knows, in order of appearance."""
+        return np.concatenate([self.rare[c[c >= SLOTS] - SLOTS] for c in codes])
+
+
+def _cuts(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to) of the runs of sorted parts."""
+    edge = np.concatenate(([0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(parts)])) if len(parts) else [0]
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        yield int(parts[a]), int(a), int(b)
+
+
+def _plain(c: np.ndarray) -> np.ndarray:
+    """Codes as they are sent: all words that no slot holds under one code."""
+    return np.minimum(c, SLOTS).astype(np.uint32)
+
+
+_ASK = "chunk long, part int, fold int, block binary"
+
+
+def _asked(chunk: Chunk, blocks: list[tuple[int, bytes]]) -> pa.Table:
+    n = len(blocks)
+    return pa.table([pa.array([chunk.number] * n, pa.int64()), pa.array([p for p, _ in blocks], pa.int32()), pa.array([chunk.fold] * n, pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["chunk", "part", "fold", "block"])
+
+
+def _ask_pairs(chunk: Chunk, parts: int) -> pa.Table:
+    v, w, c, part, order = chunk.hot_pairs(parts)
+    v, w, c, part = v[order], w[order], c[order], part[order]
+    blocks = []
+    for p, a, b in _cuts(part):
+        rare = w[a:b][w[a:b] >= SLOTS] - SLOTS
+        blocks.append((p, pack(chunk.slots.hot_index(chunk.words[v[a:b]]).astype(np.uint32), _plain(w[a:b]), c[a:b].astype(np.uint32), chunk.rare[rare], *chunk.rare_count[rare].T)))
+    return _asked(chunk, blocks)
+
+
+def _ask_trigrams(chunk: Chunk, buckets: int, parts: int) -> pa.Table:
+    group, first, hot, bucket, order = chunk.trigrams(buckets)
+    c = np.bincount(group, minlength=len(first))
+    pv, pw, _, part, by = chunk.hot_pairs(parts)
+    pairs = chunk.answered(2, part, by)
+    known = pv << 32 | pw
+    first, hot, bucket, c = first[order], hot[order], bucket[order], c[order]
+    u, v, w = chunk.u[first], chunk.v[first], chunk.w[first]
+    blocks = []
+    for p, a, b in _cuts(bucket):
+        x, y, z = v[a:b], u[a:b], w[a:b]
+        rare = z[z >= SLOTS] - SLOTS
+        h = hot[a:b]
+        own = pairs[np.searchsorted(known, x[h] << 32 | z[h])] if h.any() else np.zeros((0, chunk.slots.count.shape[1]), np.int64)
+        blocks.append((p, pack(_plain(x), _plain(y), _plain(z), c[a:b].astype(np.uint32), chunk.listed(x, y, z), *chunk.rare_count[rare].T, *own.T)))
+    return _asked(chunk, blocks)
+
+
+# What buckets answer
+
+
+class Merged:
+    """Blocks of one bucket under common codes."""
+
+    def __init__(self, blocks: list[list[np.ndarray]], words: int, slots: Slots):
+        """``words``: how many of the leading columns are words' codes; the count follows, then the listed words and their counts."""
+        self.size = np.array([len(b[0]) for b in blocks])
+        folds = slots.count.shape[1]
+        listed = np.concatenate([b[words + 1] for b in blocks])
+        rare, back = np.unique(listed, return_inverse=True)
+        self.columns = []
+        at = 0
+        place = []
+        for b in blocks:
+            own = []
+            for k in range(words):
+                c = b[k].astype(np.int64)
+                miss = np.flatnonzero(c == SLOTS)
+                c[miss] = SLOTS + back[at : at + len(miss)]
+                at += len(miss)
+                own.append(c)
+            place.append((own, at))
+        self.columns = [np.concatenate([o[k] for o, _ in place]) for k in range(words)]
+        self.times = np.concatenate([b[words] for b in blocks]).astype(np.int64)
+        self.word = slots.words_of(rare)
+        # the counts of the listed last words
+        self.word_count = np.zeros((len(rare), folds), np.int64)
+        for b, (_, end) in zip(blocks, place, strict=True):
+            last = len(b[words + 2])
+            if last:
+                self.word_count[back[end - last : end]] = np.stack(b[words + 2 : words + 2 + folds], axis=1)
+        self.word_count = np.concatenate((slots.count, self.word_count))
+        self.rest = [b[words + 2 + folds :] for b in blocks]
+
+    def by_fold(self, group: np.ndarray, groups: int, fold: np.ndarray, folds: int) -> np.ndarray:
+        of = np.repeat(fold, self.size)
+        return np.bincount(group * folds + of, self.times, minlength=groups * folds).astype(np.int64).reshape(groups, folds)
+
+
+def _without(c: np.ndarray) -> np.ndarray:
+    """Counts of the model of each fold: all but the fold's own."""
+    return c.sum(1, keepdims=True) - c
+
+
+def _histogram(c: np.ndarray) -> np.ndarray:
+    """How many n-grams each fold's model saw r times, r from 1 to CUT + 1: folds by r."""
+    return np.stack([np.bincount(np.minimum(m, CUT + 2), minlength=CUT + 3)[1 : CUT + 2] for m in c.T])
+
+
+def _answer_pairs(table: pa.Table, slots: Slots, d1: np.ndarray, divisor: np.ndarray, unseen: np.ndarray) -> pa.Table:
+    """Counts by fold of the bigrams that chunks asked for; and, without a chunk, sums over each hot word's followers."""
+    folds = slots.count.shape[1]
+    # the hot word's place isn't a code, so it is put after the codes
+    raw = [unpack(b.as_py()) for b in table.column("block")]
+    m = Merged([[b[1], *b[2:]] for b in raw], 1, slots)
+    hot = np.concatenate([b[0] for b in raw]).astype(np.int64)
+    group, first = grouped(hot, m.columns[0])
+    c = m.by_fold(group, len(first), table.column("fold").to_numpy(), folds)
+    blocks, at = [], 0
+    for n in m.size.tolist():
+        blocks.append(pack(*c[group[at : at + n]].T))
+        at += n
+    model = _without(c)
+    head, of = np.unique(hot[first], return_inverse=True)
+    p1 = _level(d1, divisor, unseen, _without(m.word_count[m.columns[0][first]]))
+    sums = []
+    for k in range(folds):
+        r = np.minimum(model[:, k], CUT + 2)
+        by = np.bincount(of * (CUT + 3) + r, minlength=len(head) * (CUT + 3)).reshape(-1, CUT + 3)
+        big = np.bincount(of, np.where(model[:, k] > CUT, model[:, k], 0), minlength=len(head))
+        mass = np.bincount(of, np.where(model[:, k] > 0, p1[:, k], 0.0), minlength=len(head))
+        sums += [*by[:, 1 : CUT + 2].T.astype(np.int64), big.astype(np.int64), mass]
+    n = len(blocks)
+    part = table.column("part")[0].as_py()
+    return pa.table([pa.array([*table.column("chunk").to_pylist(), None], pa.int64()), pa.array([part] * (n + 1), pa.int32()), pa.array([*blocks, pack(head, *sums)], pa.binary())], names=["chunk", "part", "block"])
+
+
+def _level(d: np.ndarray, divisor: np.ndarray, unseen: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """P(w) in each fold's model, given the model's counts (words by folds)."""
+    p = np.empty(c.shape)
+    for k in range(c.shape[1]):
+        p[:, k] = np.where(c[:, k] > 0, d[k][np.minimum(c[:, k], CUT + 1)] * c[:, k] / divisor[k], unseen[k])
+    return p
+
+
+_NGRAMS = "part int, chunks array<long>, folds array<int>, blocks array<binary>, n array<long>"
+
+
+class Bucket:
+    """The n-grams of a bucket: distinct trigrams by v, u, w with counts by fold, their pairs (v, u), bigrams (v, w) and words v."""
+
+    def __init__(self, folds: np.ndarray, blocks: list[list[np.ndarray]], slots: Slots):
+        m = self.m = Merged(blocks, 3, slots)
+        v, u, w = m.columns
+        wide = slots.count.shape[1]
+        self.group, first = grouped(v, u, w)
+        self.c3 = _without(m.by_fold(self.group, len(first), folds, wide))
+        self.v, self.u, self.w = v[first], u[first], w[first]
+        self.hot = slots.hot_index(m.word[self.v])
+        new = np.ones(len(first), bool)
+        new[1:] = (self.v[1:] != self.v[:-1]) | (self.u[1:] != self.u[:-1])
+        self.pair = np.cumsum(new) - 1
+        self.bigram, at = grouped(self.v, self.w)
+        self.at = at
+        self.bigram_v = np.cumsum(np.concatenate(([True], self.v[at][1:] != self.v[at][:-1]))) - 1 if len(at) else at
+        self.heads = self.v[at][np.concatenate(([True], self.v[at][1:] != self.v[at][:-1]))] if len(at) else at
+        self.c2 = np.stack([np.bincount(self.bigram, self.c3[:, k], minlength=len(at)) for k in range(wide)], axis=1).astype(np.int64)
+        # of hot words, the counts came along
+        hot_rows = np.flatnonzero(slots.hot_index(m.word)[v] >= 0)
+        if len(hot_rows):
+            told = np.concatenate([np.stack(r, axis=1) for r in m.rest if len(r[0])])
+            self.c2[self.bigram[self.group[hot_rows]]] = _without(told.astype(np.int64))
+
+    def histogram(self) -> np.ndarray:
+        """Counts of counts, trigrams and then bigrams of words that aren't hot."""
+        return np.concatenate((_histogram(self.c3), _histogram(self.c2[self.hot[self.at] < 0]))).astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Model:
-    """A trained model: where its tables are, and what is of fixed size.
-
-    ``unigrams``: w, c.  ``bigrams``: see _TABLE, partitioned by bucket.
-    ``histories``: h, total, left, alpha.  ``whole`` marks the slots whose history has nothing left.
-    """
+    """The tables of a model, and what is of bounded size: slots, discounts, and sums over the followers of hot words."""
 
     unigrams: DataFrame
-    bigrams: DataFrame
-    histories: DataFrame
-    slots: Slots
-    d1: np.ndarray
-    d2: np.ndarray
-    tokens: int
-    unseen: float
-    whole: np.ndarray
-
-
-def _levels(counts: DataFrame) -> list[int]:
-    got = {r["c"]: r["n"] for r in counts.where(F.col("c") <= CUT + 1).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return [0, *(got.get(r, 0) for r in range(1, CUT + 2))]
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Count, discount and normalise over all of ``docs``; the tables stay in the shared folder."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text")).where("text is not null")
-    counts, _ = materialize(slim.select("text").mapInArrow(_unigrams, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "unigrams")
-    start = int(START)
-    seen = counts.where(F.col("w") != start)
-    tokens = seen.agg(F.sum("c")).first()[0] or 0
-    d1 = discounts(_levels(seen))
-    kept = sum(float(d1[r]) * r * n for r, n in enumerate(_levels(seen)))
-    above = seen.where(F.col("c") > CUT + 1).agg(F.sum("c")).first()[0] or 0
-    unseen = 1 - (kept + above) / tokens if tokens else 1.0
-    divisor = tokens if unseen > 1e-12 else tokens + 1
-    if tokens and unseen <= 1e-12:
-        unseen = 1 / (tokens + 1)
-    slots = _slots(counts, d1, divisor)
-    sent = spark.sparkContext.broadcast(slots)
-    buckets = max(1, -(-tokens // BUCKET_TOKENS))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _pack(batches, sent.value, buckets)
-
-    blocks = slim.mapInArrow(pack, "bucket int, block binary")
-    table = blocks.groupBy("bucket").applyInArrow(_count, _TABLE)
-    path = scratch_path(spark, "bigrams")
-    table.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
-    bigrams = spark.read.schema(table.schema).parquet(path)
-    n2 = bigrams.agg(*(F.coalesce(F.sum(f"n{r}"), F.lit(0)).alias(f"n{r}") for r in range(1, CUT + 2))).first()
-    d2 = discounts([0, *n2])
-    histories, _ = materialize(_histories(bigrams, counts, sent, d1, d2, divisor), "histories")
-    whole = np.zeros(CODES, bool)
-    # at most CODES rows, whatever the corpus
-    for r in histories.where((F.col("h") < CODES) & (F.col("total") < F.col("divisor"))).select("h").toLocalIterator():
-        whole[r["h"]] = True
-    return Model(counts, bigrams, histories, slots, d1, d2, divisor, unseen, whole)
-
-
-def _slots(counts: DataFrame, d1: np.ndarray, divisor: int) -> Slots:
-    """The most frequent word of each slot; CODES rows at most come to the driver."""
-    slot = F.when(F.col("w") <= int(END), F.col("w") - 1).otherwise(F.shiftrightunsigned("w", 63 - SLOT_BITS))
+    base: DataFrame
+    ngrams: DataFrame
+    sent: object
+    folds: int
+    buckets: int
+    tokens: np.ndarray
+    d: tuple[np.ndarray, np.ndarray, np.ndarray]
+    divisor: np.ndarray
+    unseen: np.ndarray
+    hot: dict[str, np.ndarray]
+
+
+def evaluate(b: Bucket, slots: Slots, d: tuple[np.ndarray, ...], divisor: np.ndarray, unseen: np.ndarray, hot: dict[str, np.ndarray]) -> np.ndarray:
+    """ln P of every distinct trigram in each fold's model, trigrams by folds."""
+    d1, d2, d3 = d
+    wide = b.c3.shape[1]
+    p1 = _level(d1, divisor, unseen, _without(b.m.word_count[b.w[b.at]]))
+    hot_head = slots.hot_index(b.m.word[b.heads])
+    is_hot = hot_head >= 0
+    out = np.empty(b.c3.shape)
+    heads, pairs = len(b.heads), int(b.pair[-1]) + 1 if len(b.pair) else 0
+    for k in range(wide):
+        c2, c3 = b.c2[:, k], b.c3[:, k]
+        kept = d2[k][np.minimum(c2, CUT + 1)]
+        total = np.bincount(b.bigram_v, c2, minlength=heads)
+        mass = np.bincount(b.bigram_v, kept * c2, minlength=heads)
+        part = np.bincount(b.bigram_v, (kept < 1) & (c2 > 0), minlength=heads) > 0
+        lower = np.bincount(b.bigram_v, np.where(c2 > 0, p1[:, k], 0.0), minlength=heads)
+        for own, known in ((total, "total"), (mass, "mass"), (part, "part"), (lower, "lower")):
+            own[is_hot] = hot[known][hot_head[is_hot], k]
+        own = total + ~part
+        alpha = np.where(total > 0, (1 - mass / own) / (1 - lower), 1.0)
+        seen2 = kept * c2 / own[b.bigram_v]
+        p2 = np.where(c2 > 0, seen2, alpha[b.bigram_v] * p1[:, k])
+        kept = d3[k][np.minimum(c3, CUT + 1)]
+        total = np.bincount(b.pair, c3, minlength=pairs)
+        part = np.bincount(b.pair, (kept < 1) & (c3 > 0), minlength=pairs) > 0
+        own = total + ~part
+        mass = np.bincount(b.pair, kept * c3, minlength=pairs)
+        lower = np.bincount(b.pair, np.where(c3 > 0, seen2[b.bigram], 0.0), minlength=pairs)
+        alpha = np.where(total > 0, (1 - mass / own) / (1 - lower), 1.0)
+        out[:, k] = np.log(np.where(c3 > 0, kept * c3 / own[b.pair], alpha[b.pair] * p2[b.bigram]))
+    return out
+
+
+# The whole job
+
+
+def _slots(counts: DataFrame, least: int, folds: int) -> Slots:
+    """The most frequent word of each slot, and the hot words: at most SLOTS and HOT_WORDS rows come to the driver."""
+    every = counts.withColumn("c", sum((F.col(f"c{k}") for k in range(1, folds)), F.col("c0")))
     marks = F.col("w") <= int(END)
-    best = counts.where((F.col("c") > 1) | marks).groupBy(slot.alias("slot")).agg(F.max(F.struct(marks.alias("m"), F.col("c"), F.col("w"))).alias("x")).select("slot", "x.c", "x.w")
+    slot = F.when(marks, F.col("w") - 1).otherwise(F.shiftrightunsigned("w", 63 - SLOT_BITS))
+    by = [f"c{k}" for k in range(folds)]
+    best = every.where((F.col("c") > 1) | marks).groupBy(slot.alias("slot")).agg(F.max(F.struct(marks.alias("m"), F.col("c"), F.col("w"), *by)).alias("x")).select("slot", "x.w", *(f"x.{k}" for k in by))
     got = best.toPandas()
-    word, count = np.zeros(CODES, np.uint64), np.zeros(CODES, np.int64)
+    word, count = np.zeros(SLOTS, np.uint64), np.zeros((SLOTS, folds), np.int64)
     at = got["slot"].to_numpy(np.int64)
-    word[at], count[at] = got["w"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(np.int64)
-    p = d1[np.minimum(count, CUT + 1)] * count / max(divisor, 1)
-    p[0] = 0.0
-    return Slots(word, count, p)
+    word[at], count[at] = got["w"].to_numpy(np.int64).view(np.uint64), got[by].to_numpy(np.int64)
+    hot = every.where(F.col("c") > least).where(F.col("w") != int(END)).orderBy("w").toPandas()
+    return Slots(word, count, hot["w"].to_numpy(np.int64).view(np.uint64), hot[by].to_numpy(np.int64).reshape(-1, folds))
 
 
-def _histories(bigrams: DataFrame, counts: DataFrame, sent, d1: np.ndarray, d2: np.ndarray, divisor: int) -> DataFrame:
-    """(h, total, divisor, left, alpha) of every history."""
+_PARCEL = ("chunk", "kind", "part", "fold", "ids", "lens", "a", "b")
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = sent.value
-        for x in batches:
-            h, w, c = (x.column(k).flatten().to_numpy() for k in range(3))
-            u, back = np.unique(h, return_inverse=True)
-            held = w < CODES
-            mass = np.bincount(back, d2[np.minimum(c, CUT + 1)] * c, minlength=len(u))
-            p = np.bincount(back, np.where(held, slots.p[np.minimum(w, CODES - 1)], 0.0), minlength=len(u))
-            total = np.bincount(back, c, minlength=len(u)).astype(np.int64)
-            part = np.bincount(back, np.where(d2[np.minimum(c, CUT + 1)] < 1, c, 0), minlength=len(u)).astype(np.int64)
-            none = np.zeros(len(u), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (u, total, part, mass, p, none)], names=["h", "total", "part", "mass", "p", "w"])
-            rare = ~held
-            if rare.any():
-                zero, nil = np.zeros(int(rare.sum()), np.int64), np.zeros(int(rare.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h[rare], zero, zero, nil, nil, w[rare])], names=["h", "total", "part", "mass", "p", "w"])
-
-    rows, _ = materialize(bigrams.select("h", "w", "c").mapInArrow(sums, "h long, total long, part long, mass double, p double, w long"), "sums")
-    level = F.element_at(F.lit([float(x) for x in d1]), F.least(F.col("c"), F.lit(CUT + 1)).cast("int") + 1)
-    rare = rows.where("w <> 0").select("h", "w").join(counts, "w").groupBy("h").agg(F.sum(level * F.col("c") / F.lit(float(divisor))).alias("p"))
-    flat = rows.where("w = 0").groupBy("h").agg(F.sum("total").alias("total"), F.sum("part").alias("part"), F.sum("mass").alias("mass"), F.sum("p").alias("p"))
-    every = flat.unionByName(rare.select("h", F.lit(0).alias("total"), F.lit(0).alias("part"), F.lit(0.0).alias("mass"), "p")).groupBy("h").agg(*(F.sum(k).alias(k) for k in ("total", "part", "mass", "p")))
-    # with no discounted count nothing is left, so one is added to the divisor
-    own = F.when(F.col("part") > 0, F.col("total")).otherwise(F.col("total") + 1)
-    left = 1 - F.col("mass") / own
-    return every.select("h", "total", own.alias("divisor"), left.alias("left"), (left / (1 - F.col("p"))).alias("alpha"))
-
-
-def score_corpus(model: Model) -> DataFrame:
-    """(id, n_tokens, logprob) of every document that the model was trained on; natural logarithms."""
-    spark = model.bigrams.sparkSession
-    sent = spark.sparkContext.broadcast((model.slots.count, model.whole, model.d2))
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, whole, d2 = sent.value
-        discounted = np.zeros(256, bool)
-        for mask in range(256):
-            discounted[mask] = any(mask >> r & 1 and d2[r] < 1 for r in range(1, CUT + 1))
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def merged() -> pa.RecordBatch:
-            doc, lp, n = (np.concatenate([h[k] for h in held]) for k in range(3))
-            held.clear()
-            u, back = np.unique(doc, return_inverse=True)
-            values = (u.view(np.int64), np.bincount(back, lp, minlength=len(u)), np.bincount(back, n, minlength=len(u)).astype(np.int64))
-            held.append((u, values[1], values[2]))
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["id", "logprob", "n_tokens"])
 
-        for x in batches:
-            for k in range(x.num_rows):
-                h, c, history = (x.column(j)[k].values.to_numpy() for j in range(3))
-                doc = _unpacked(x.column(3)[k].as_py(), 1)[0]
-                slot = np.minimum(h, CODES - 1)
-                total = np.where(h < CODES, count[slot] + whole[slot], (history >> 8) + ~discounted[history & 255])
-                lp = np.repeat(np.log(d2[np.minimum(c, CUT + 1)] * c / total), c)
-                u, back = np.unique(doc, return_inverse=True)
-                held.append((u, np.bincount(back, lp), np.bincount(back)))
-                size += len(u)
-                if size > 3_000_000:
-                    size = merged().num_rows
-                    if size > 1_500_000:
-                        yield merged()
-                        held.clear()
-                        size = 0
-        if held:
-            yield merged()
+def _by_chunk(base: DataFrame, told: list[DataFrame], run, schema: str) -> DataFrame:
+    """``run`` on every chunk with what it was told, its rows brought together."""
+    shape = base.schema
+    rows = base
+    for t in told:
+        rows = rows.unionByName(t.select(*(F.col(c) if c in t.columns else F.lit(None).cast(shape[c].dataType).alias(c) for c in _PARCEL)))
+    return rows.groupBy("chunk").applyInArrow(run, schema)
 
-    parts = model.bigrams.select("h", "c", "history", "docs").mapInArrow(sums, "id long, logprob double, n_tokens long")
-    return parts.where(F.col("id") != -(1 << 63)).groupBy("id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("logprob").alias("logprob"))
 
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, fold: Column | None = None, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, hot_tokens: int = HOT_TOKENS) -> Model:
+    """Count, discount and normalise over all of ``docs``; the tables stay in the shared folder.
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, logprob) of documents that the model needn't have seen: joins with the tables, token by token."""
+    ``fold`` gives each row's fold, if not the one of its id.  The sizes don't change any result.
+    """
     spark = docs.sparkSession
     arrow_batches(spark)
-    sent = spark.sparkContext.broadcast(model.slots)
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for a, b in chunks(x.column(1)):
-                prev, follow, row = _bigrams(x, a, b, sent.value)
-                yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(row)), pa.array(prev.view(np.int64)), pa.array(follow.view(np.int64))], names=["id", "h", "w"])
-
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text")).where("id is not null and text is not null")
-    read = slim.mapInArrow(tokens, "id long, h long, w long").groupBy("id", "h", "w").agg(F.count(F.lit(1)).alias("times"))
-    pairs = model.bigrams.select(F.explode(F.arrays_zip("h", "w", "c")).alias("x")).select("x.*")
-    words = _by_id(model.unigrams, model.slots, spark)
-    of = lambda d, c: F.element_at(F.lit([float(x) for x in d]), F.least(c, F.lit(CUT + 1)).cast("int") + 1) * c
-    uni = words.select("w", (of(model.d1, F.col("c1")) / F.lit(float(max(model.tokens, 1)))).alias("p"))
-    joined = read.join(pairs, ["h", "w"], "left").join(model.histories.select("h", "divisor", "alpha"), "h", "left").join(uni, "w", "left")
-    lower = F.coalesce("p", F.lit(model.unseen))
-    p = F.when(F.col("c").isNotNull(), of(model.d2, F.col("c")) / F.col("divisor")).otherwise(F.coalesce("alpha", F.lit(1.0)) * lower)
-    return joined.groupBy("id").agg(F.sum("times").alias("n_tokens"), F.sum(F.log(p) * F.col("times")).alias("logprob"))
-
-
-def _by_id(counts: DataFrame, slots: Slots, spark: SparkSession) -> DataFrame:
-    """(w, c1): unigram counts under the numbers that bigrams use; the start mark is left out."""
+    kind = docs.schema[id_col].dataType
+    fold = fold_of(named(id_col), kind, folds) if fold is None else fold
+    slim = docs.select(named(id_col).alias("id"), F.lower(named(text_col)).alias("text"), fold.alias("fold")).where("text is not null")
+    by = [f"c{k}" for k in range(folds)]
+    counted = slim.select("text", "fold").mapInArrow(lambda x: _unigrams(x, folds), "w long, " + ", ".join(f"{c} long" for c in by))
+    unigrams, _ = materialize(counted.groupBy("w").agg(*(F.sum(c).alias(c) for c in by)), "unigrams")
+    tokens, n1 = _unigram_figures(unigrams, folds)
+    total = int(tokens.sum())
+    d1 = [discounts([0, *n]) for n in n1]
+    divisor, unseen = _unseen(d1, n1, tokens)
+    slots = _slots(unigrams, max(hot_tokens, total // HOT_WORDS), folds)
     sent = spark.sparkContext.broadcast(slots)
+    id_type = kind.simpleString()
+    texts, _ = materialize(slim.select("id", "text", "fold").mapInArrow(lambda x: _chunk_rows(x, sent.value, folds, chunk_tokens), f"chunk long, fold int, ids array<{id_type}>, lens array<int>, codes binary, rare binary"), "chunks")
+    base = texts.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("part"), "fold", "ids", "lens", F.col("codes").alias("a"), F.col("rare").alias("b"))
+    told = [_rare_counts(texts, unigrams, by)]
+    buckets = max(1, -(-total // bucket_tokens))
+    parts = max(1, -(-int(slots.hot_count.sum()) // (2 * bucket_tokens)))
+    slim_base = base.withColumn("ids", F.lit(None).cast(base.schema["ids"].dataType))
+    hot_n = np.zeros((folds, CUT + 1), np.int64)
+    sums = None
+    if len(slots.hot):
+        asked = _by_chunk(slim_base, told, lambda t: _ask_pairs(Chunk(t, sent.value), parts), _ASK)
+        answers, _ = materialize(asked.groupBy("part").applyInArrow(lambda t: _answer_pairs(t, sent.value, d1, divisor, unseen), "chunk long, part int, block binary"), "hot")
+        told.append(answers.where("chunk is not null").select("chunk", F.lit(2).alias("kind"), "part", F.col("block").alias("a")))
+        sums = _hot_sums(answers.where("chunk is null"), len(slots.hot), folds)
+        hot_n = sums["n"].sum(0)
+    asked = _by_chunk(slim_base, told, lambda t: _ask_trigrams(Chunk(t, sent.value), buckets, parts), _ASK)
+
+    def store(t: pa.Table) -> pa.Table:
+        blocks = [b.as_py() for b in t.column("block")]
+        n = Bucket(t.column("fold").to_numpy(), [unpack(b) for b in blocks], sent.value).histogram()
+        return pa.table([pa.array([t.column("part")[0].as_py()], pa.int32()), pa.array([t.column("chunk").to_pylist()], pa.list_(pa.int64())), pa.array([t.column("fold").to_pylist()], pa.list_(pa.int32())), pa.array([blocks], pa.list_(pa.binary())), pa.array([n.ravel()], pa.list_(pa.int64()))], names=["part", "chunks", "folds", "blocks", "n"])
+
+    ngrams, _ = materialize(asked.groupBy("part").applyInArrow(store, _NGRAMS), "ngrams")
+    size = 2 * folds * (CUT + 1)
+    got = ngrams.agg(*(F.coalesce(F.sum(F.col("n")[k]), F.lit(0)).alias(f"n{k}") for k in range(size))).first()
+    n3, n2 = np.array(list(got), np.int64).reshape(2, folds, CUT + 1)
+    d2, d3 = ([discounts([0, *map(int, n)]) for n in x] for x in (n2 + hot_n, n3))
+    return Model(unigrams, base, ngrams, sent, folds, buckets, tokens, (np.array(d1), np.array(d2), np.array(d3)), divisor, unseen, _hot_histories(sums, slots, np.array(d2), folds))
+
+
+def _unigram_figures(unigrams: DataFrame, folds: int) -> tuple[np.ndarray, list[list[int]]]:
+    """Tokens of each fold, the end mark among them; and how many words each fold's model saw 1 to CUT + 1 times."""
+    every = sum((F.col(f"c{k}") for k in range(1, folds)), F.col("c0"))
+    columns = [F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in range(folds)]
+    columns += [F.count_if(every - F.col(f"c{k}") == r) for k in range(folds) for r in range(1, CUT + 2)]
+    got = list(unigrams.where(F.col("w") != int(START)).agg(*(c.alias(f"x{k}") for k, c in enumerate(columns))).first())
+    return np.array(got[:folds], np.int64), np.array(got[folds:], np.int64).reshape(folds, CUT + 1).tolist()
+
+
+def _unseen(d1: list[np.ndarray], n1: list[list[int]], tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each fold's model, what counts are divided by, and the probability of a word never seen."""
+    divisor, unseen = np.ones(len(d1)), np.ones(len(d1))
+    for k, n in enumerate(n1):
+        total = int(tokens.sum() - tokens[k])
+        if total:
+            cut = sum((1 - float(d1[k][r])) * r * n[r - 1] for r in range(1, CUT + 1))
+            divisor[k], unseen[k] = (total, cut / total) if cut > 0 else (total + 1, 1 / (total + 1))
+    return divisor, unseen
+
+
+def _rare_counts(texts: DataFrame, unigrams: DataFrame, by: list[str]) -> DataFrame:
+    """The counts of each chunk's words without a slot, in the chunk's order."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for k in range(x.num_rows):
+                (rare,) = unpack(x.column(1)[k].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rare), x.column(0)[k].as_py())), pa.array(rare.view(np.int64))], names=["chunk", "w"])
 
-    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for k in range(x.num_rows):
+                rows = x.column(1)[k].values
+                order = np.argsort(rows.field("w").to_numpy())
+                a = pack(*(rows.field(c).to_numpy()[order] for c in by))
+                yield pa.RecordBatch.from_arrays([x.column(0).slice(k, 1), pa.array([a], pa.binary())], names=["chunk", "a"])
+
+    rare = texts.select("chunk", "rare").mapInArrow(listed, "chunk long, w long")
+    found = rare.join(unigrams, "w").groupBy("chunk").agg(F.collect_list(F.struct("w", *by)).alias("x"))
+    got, _ = materialize(found.mapInArrow(packed, "chunk long, a binary"), "rare")
+    return got.select("chunk", F.lit(1).alias("kind"), "a")
+
+
+def _hot_sums(answers: DataFrame, size: int, folds: int) -> dict[str, np.ndarray]:
+    """n (hot words by folds by r), big and lower: a row for each part comes to the driver, one number set for each hot word."""
+    out = {"n": np.zeros((size, folds, CUT + 1), np.int64), "big": np.zeros((size, folds)), "lower": np.zeros((size, folds))}
+    for r in answers.select("block").toLocalIterator():
+        head, *sums = unpack(bytes(r["block"]))
+        wide = CUT + 3
+        for k in range(folds):
+            own = sums[k * wide : (k + 1) * wide]
+            out["n"][head, k] += np.stack(own[: CUT + 1], axis=1)
+            out["big"][head, k] += own[CUT + 1]
+            out["lower"][head, k] += own[CUT + 2]
+    return out
+
+
+def _hot_histories(sums: dict[str, np.ndarray] | None, slots: Slots, d2: np.ndarray, folds: int) -> dict[str, np.ndarray]:
+    """total, mass, part and lower of each hot word in each fold's model."""
+    total = _without(slots.hot_count).astype(float) if len(slots.hot) else np.zeros((0, folds))
+    if sums is None:
+        return {"total": total, "mass": total, "part": total > 0, "lower": total}
+    r = np.arange(1, CUT + 1)
+    mass = (sums["n"][:, :, :CUT] * (r * d2[:, 1 : CUT + 1])[None]).sum(2) + sums["big"]
+    part = ((sums["n"][:, :, :CUT] > 0) & (d2[:, 1 : CUT + 1] < 1)[None]).any(2)
+    return {"total": total, "mass": mass, "part": part, "lower": sums["lower"]}
+
+
+def _answers(model: Model, asked: tuple[int, ...]) -> DataFrame:
+    """(chunk, part, block): the scores of every chunk's distinct trigrams, bucket by bucket, in steps of 1 / SCALE."""
+    sent, d, divisor, unseen, hot = model.sent, model.d, model.divisor, model.unseen, model.hot
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            w = sent.value.ids(x.column(0).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.uint64).view(np.int64)), x.column(1)], names=["w", "c1"])
+            for k in range(x.num_rows):
+                numbers, folds = (x.column(j)[k].values.to_numpy() for j in (1, 2))
+                b = Bucket(folds, [unpack(y.as_py()) for y in x.column(3)[k].values], sent.value)
+                lp = np.rint(evaluate(b, sent.value, d, divisor, unseen, hot) * SCALE).astype(np.int32)
+                rows, at = [], 0
+                for n, f in zip(b.m.size.tolist(), folds.tolist(), strict=True):
+                    rows.append(pack(lp[b.group[at : at + n], f]) if f in asked else None)
+                    at += n
+                part = x.column(0)[k].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([part] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "part", "a"])
+
+    spread = model.ngrams.select("part", "chunks", "folds", "blocks")
+    return spread.mapInArrow(run, "chunk long, part int, a binary").where("a is not null")
+
 
-    return counts.where(F.col("w") != int(START)).mapInArrow(rename, "w long, c1 long")
+def scores(model: Model, asked: tuple[int, ...] | None = None, each: bool = False) -> DataFrame:
+    """(id, n_tokens, logprob) of the documents of the folds ``asked`` (all), each under the model of the other folds; natural logarithms.
+
+    With ``each``, (id, place, logprob) of every token instead.
+    """
+    spark = model.base.sparkSession
+    arrow_batches(spark)
+    folds = tuple(range(model.folds)) if asked is None else asked
+    sent, buckets = model.sent, model.buckets
+    told = _answers(model, folds).select("chunk", F.lit(3).alias("kind"), "part", "a")
+    kind = model.base.schema["ids"].dataType.elementType
+
+    def add(table: pa.Table) -> pa.Table:
+        c = Chunk(table, sent.value)
+        group, _, _, bucket, order = c.trigrams(buckets)
+        lp = c.answered(3, bucket, order)[:, 0].astype(np.int64)[group]
+        if each:
+            place = np.arange(len(lp)) - np.repeat(np.cumsum(c.n) - c.n, c.n)
+            return pa.table([c.ids.take(pa.array(np.repeat(np.arange(len(c.n)), c.n))), pa.array(place), pa.array(lp)], names=["id", "n_tokens", "lp"])
+        return pa.table([c.ids, pa.array(c.n), pa.array(np.add.reduceat(lp, np.cumsum(c.n) - c.n))], names=["id", "n_tokens", "lp"])
+
+    base = model.base.where(F.col("fold").isin(*folds))
+    # a chunk's own row tells Spark its size; answers of other folds were left out above
+    rows = _by_chunk(base, [told], add, T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("lp", T.LongType())])).where("id is not null")
+    if each:
+        return rows.select("id", F.col("n_tokens").alias("place"), (F.col("lp") / SCALE).alias("logprob"))
+    return rows.groupBy("id").agg(F.sum("n_tokens").alias("n_tokens"), (F.sum("lp") / SCALE).alias("logprob"))
+
+
+def cross_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
+    """(id, n_tokens, logprob) of every document under the model of the folds it isn't in."""
+    return scores(train(docs, id_col, text_col, folds))
+
+
+def score(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", each: bool = False) -> DataFrame:
+    """(id, n_tokens, logprob) of ``docs`` under the model of ``corpus``, both with the same columns."""
+    slim = lambda df, f: df.select(named(id_col).alias("id"), named(text_col).alias("text"), F.lit(f).alias("fold"))
+    both = slim(corpus, 0).unionByName(slim(docs, 1))
+    return scores(train(both, "id", "text", 2, F.col("fold")), (1,), each)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quarrystone.llm import reshard, urls
 from quarrystone.llm.decontaminate import EXTEND, MASKS, MIN_SHARE
-from quarrystone.llm.katz import CUT
+from quarrystone.llm.katz import CUT, FOLDS, SCALE
 
 _WORDS = r"regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\x00-\x7F])+')"
 
@@ -77,19 +77,41 @@ FROM p LEFT JOIN named ON named.form = p.form
 
 
 def _katz() -> str:
-    level = lambda r: f"CASE WHEN a < 1 AND n{r} > 0 AND n{r + 1} > 0 AND ({r + 1}.0 * n{r + 1} / ({r} * n{r}) - a) / (1 - a) > 0 AND ({r + 1}.0 * n{r + 1} / ({r} * n{r}) - a) / (1 - a) <= 1 THEN ({r + 1}.0 * n{r + 1} / ({r} * n{r}) - a) / (1 - a) ELSE 1.0 END"
+    ratio = lambda r: f"(({r + 1}.0 * n{r + 1} / ({r} * n{r}) - a) / (1 - a))"
+    level = lambda r: f"CASE WHEN a < 1 AND n{r} > 0 AND n{r + 1} > 0 AND {ratio(r)} > 0 AND {ratio(r)} <= 1 THEN {ratio(r)} ELSE 1.0 END::DOUBLE"
     numbers = ", ".join(f"count(*) FILTER (c = {r})::DOUBLE AS n{r}" for r in range(1, CUT + 2))
+
+    def kept(n: int) -> str:
+        """Discounts of an order in each fold's model, and the n-grams' counts with them."""
+        key = ", ".join("uvw"[3 - n :])
+        return f"""n{n} AS (SELECT m, {numbers} FROM c{n} GROUP BY m),
+k{n} AS (SELECT m, [{', '.join(level(r) for r in range(1, CUT + 1))}] AS d FROM (SELECT *, CASE WHEN n1 > 0 THEN {CUT + 1}.0 * n{CUT + 1} / n1 ELSE 1.0 END AS a FROM n{n})),
+x{n} AS (SELECT c{n}.m, {key}, c, CASE WHEN c <= {CUT} THEN d[c] ELSE 1.0 END::DOUBLE AS d FROM c{n} JOIN k{n} ON k{n}.m = c{n}.m)"""
+
     return f"""
-WITH d AS (SELECT doc_id, list_concat(list_concat(['<s>'], {_WORDS}), ['</s>']) AS t FROM documents WHERE text IS NOT NULL),
-b AS (SELECT doc_id, unnest(t[1 : len(t) - 1]) AS h, unnest(t[2 : len(t)]) AS w FROM d),
-g AS (SELECT h, w, count(*) AS c FROM b GROUP BY h, w),
-n AS (SELECT {numbers} FROM g),
-a AS (SELECT *, CASE WHEN n1 > 0 THEN {CUT + 1}.0 * n{CUT + 1} / n1 ELSE 1.0 END AS a FROM n),
-k AS (SELECT [{', '.join(level(r) for r in range(1, CUT + 1))}] AS d FROM a),
-x AS (SELECT h, w, c, CASE WHEN c <= {CUT} THEN d[c] ELSE 1.0 END::DOUBLE AS d FROM g, k),
-s AS (SELECT h, sum(c) AS total, bool_or(d < 1) AS left_over FROM x GROUP BY h),
-p AS (SELECT x.h, w, ln(d * c / (total + CASE WHEN left_over THEN 0 ELSE 1 END)) AS lp FROM x JOIN s ON s.h = x.h)
-SELECT doc_id, count(*) AS n_tokens, round(sum(lp), 4) AS logprob FROM b JOIN p ON p.h = b.h AND p.w = b.w WHERE doc_id IS NOT NULL GROUP BY doc_id
+WITH t AS (SELECT doc_id, coalesce((((doc_id % 1048576 + 1048576) % 1048576) * 40503 // 1024) % {FOLDS}, 0) AS f, list_concat(list_concat(['<s>', '<s>'], {_WORDS}), ['</s>']) AS t FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, f, unnest(t[1 : len(t) - 2]) AS u, unnest(t[2 : len(t) - 1]) AS v, unnest(t[3 : len(t)]) AS w FROM t),
+s AS (SELECT f, u, v, w, count(*) AS c FROM o GROUP BY ALL),
+c3 AS (SELECT m, u, v, w, sum(c)::BIGINT AS c FROM s JOIN range({FOLDS}) r(m) ON m <> f GROUP BY ALL),
+c2 AS (SELECT m, v, w, sum(c)::BIGINT AS c FROM c3 GROUP BY ALL),
+c1 AS (SELECT m, w, sum(c)::BIGINT AS c FROM c3 GROUP BY ALL),
+{kept(1)},
+{kept(2)},
+{kept(3)},
+h1 AS (SELECT m, sum(c) AS total, sum((1 - d) * c) AS cut FROM x1 GROUP BY m),
+z1 AS (SELECT m, CASE WHEN cut > 0 THEN total ELSE total + 1 END AS own, CASE WHEN cut > 0 THEN cut / total ELSE 1.0 / (total + 1) END AS never FROM h1),
+p1 AS (SELECT x1.m, w, d * c / own AS p FROM x1 JOIN z1 ON z1.m = x1.m),
+h2 AS (SELECT m, v, sum(c) + CASE WHEN bool_or(d < 1) THEN 0 ELSE 1 END AS own, sum(d * c) AS mass FROM x2 GROUP BY m, v),
+b2 AS (SELECT x2.m, x2.v, any_value((1 - mass / own)) / (1 - sum(p1.p)) AS alpha FROM x2 JOIN h2 ON h2.m = x2.m AND h2.v = x2.v JOIN p1 ON p1.m = x2.m AND p1.w = x2.w GROUP BY x2.m, x2.v),
+p2 AS (SELECT x2.m, x2.v, w, d * c / own AS p FROM x2 JOIN h2 ON h2.m = x2.m AND h2.v = x2.v),
+h3 AS (SELECT m, u, v, sum(c) + CASE WHEN bool_or(d < 1) THEN 0 ELSE 1 END AS own, sum(d * c) AS mass FROM x3 GROUP BY m, u, v),
+b3 AS (SELECT x3.m, x3.u, x3.v, any_value((1 - mass / own)) / (1 - sum(p2.p)) AS alpha FROM x3 JOIN h3 ON h3.m = x3.m AND h3.u = x3.u AND h3.v = x3.v JOIN p2 ON p2.m = x3.m AND p2.v = x3.v AND p2.w = x3.w GROUP BY x3.m, x3.u, x3.v),
+p3 AS (SELECT x3.m, x3.u, x3.v, w, d * c / own AS p FROM x3 JOIN h3 ON h3.m = x3.m AND h3.u = x3.u AND h3.v = x3.v),
+l AS (SELECT s.f, s.u, s.v, s.w, ln(CASE WHEN p3.p IS NOT NULL THEN p3.p ELSE coalesce(b3.alpha, 1) * CASE WHEN p2.p IS NOT NULL THEN p2.p ELSE coalesce(b2.alpha, 1) * coalesce(p1.p, never, 1) END END) AS lp
+  FROM s LEFT JOIN p3 ON p3.m = f AND p3.u = s.u AND p3.v = s.v AND p3.w = s.w LEFT JOIN b3 ON b3.m = f AND b3.u = s.u AND b3.v = s.v
+  LEFT JOIN p2 ON p2.m = f AND p2.v = s.v AND p2.w = s.w LEFT JOIN b2 ON b2.m = f AND b2.v = s.v LEFT JOIN p1 ON p1.m = f AND p1.w = s.w LEFT JOIN z1 ON z1.m = f)
+SELECT doc_id, count(*) AS n_tokens, round(sum(round(lp * {SCALE})::BIGINT) / {SCALE}, 4) AS logprob, round(sum(round(lp * {SCALE})::BIGINT) / {SCALE} / count(*), 4) AS mean_logprob
+FROM o JOIN l ON l.f = o.f AND l.u = o.u AND l.v = o.v AND l.w = o.w WHERE doc_id IS NOT NULL GROUP BY doc_id
 """
 
 

@@ -34,9 +34,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-probability of every document under the bigram model of all of them."""
-    scored = katz.score_corpus(katz.train(_table(spark, sf_dir, "documents")))
-    return scored.select(F.col("id").alias("doc_id"), "n_tokens", F.round("logprob", 4).alias("logprob"))
+    """Log-probability of every document under the trigram model of the other folds, and the mean over its tokens."""
+    scored = katz.cross_scores(_table(spark, sf_dir, "documents"))
+    return scored.select(F.col("id").alias("doc_id"), "n_tokens", F.round("logprob", 4).alias("logprob"), F.round(F.col("logprob") / F.col("n_tokens"), 4).alias("mean_logprob"))
 
 
 def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
