@@ -46,12 +46,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrystone.llm._text import arrow_batches, chunks, hash_words, mix64, named
-from quarrystone.session import materialize
+from quarrystone.session import discard, materialize
 
 CUT = 5
 FOLDS = 4
@@ -63,7 +63,7 @@ CHUNK_TOKENS = 1_200_000
 PIECES = 5
 BUCKET_TOKENS = 1_000_000
 #: A word's trigrams are spread if it is more frequent than this and than one in HOT_WORDS tokens.
-HOT_TOKENS = 250_000
+HOT_TOKENS = 1_000_000
 HOT_WORDS = 1 << 20
 START, END = np.uint64(1), np.uint64(2)
 _FREQUENT = np.uint64(1 << 20)
@@ -92,8 +92,12 @@ def slot_of(words: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Slots:
-    """The word of each slot (0: none) and its counts by fold; and the hot words, sorted, with theirs."""
+    """The code of each slot, the word of each code (0: none) and its counts by fold; and the hot words, sorted, with theirs.
 
+    Codes go by frequency, so that those of frequent words are small and compress well.
+    """
+
+    code: np.ndarray
     word: np.ndarray
     count: np.ndarray
     hot: np.ndarray
@@ -101,11 +105,11 @@ class Slots:
 
     def codes(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A code for every word, and the sorted words that those from SLOTS on stand for."""
-        slot = slot_of(words)
-        other = np.flatnonzero(self.word[slot] != words)
+        code = self.code[slot_of(words)]
+        other = np.flatnonzero(self.word[code] != words)
         rare, back = np.unique(words[other], return_inverse=True)
-        slot[other] = SLOTS + back
-        return slot.astype(np.uint32), rare
+        code[other] = SLOTS + back
+        return code, rare
 
     def hot_index(self, words: np.ndarray) -> np.ndarray:
         """The place of each word in the list of hot ones, or -1."""
@@ -281,29 +285,25 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], slots: Slots, folds: int, chu
 
 
 class Chunk:
-    """A chunk read back: its tokens' codes and those of the two words before, and what it was told so far."""
-
-    def __init__(self, table: pa.Table, slots: Slots):
-        kind = table.column("kind").to_numpy()
-        base = int(np.flatnonzero(kind == 0)[0])
-        get = lambda name, row: table.column(name)[row].as_py()
-        self.number, self.fold, self.slots = get("chunk", base), get("fold", base), slots
-        self.n = table.column("lens")[base].values.to_numpy().astype(np.int64)
-        self.ids = table.column("ids")[base].values
-        (codes,), (self.rare,) = unpack(get("a", base)), unpack(get("b", base))
+    """A chunk read back: its tokens' codes and those of the two words before, and what it was told."""
+
+    def __init__(self, row: dict, slots: Slots):
+        self.number, self.fold, self.ids, self.slots = row["chunk"], row["fold"], row["ids"], slots
+        self.n = row["lens"].to_numpy().astype(np.int64)
+        (codes,), (self.rare,) = unpack(row["codes"]), unpack(row["rare"])
         inner = np.ones(len(codes), bool)
         starts = np.cumsum(self.n + 2) - self.n - 2
         inner[starts] = inner[starts + 1] = False
         at = np.flatnonzero(inner)
         self.u, self.v, self.w = codes[at - 2].astype(np.int64), codes[at - 1].astype(np.int64), codes[at].astype(np.int64)
         self.words = slots.words_of(self.rare)
-        told = {k: [(get("part", int(r)), get("a", int(r))) for r in np.flatnonzero(kind == k)] for k in (1, 2, 3)}
-        self.rare_count = np.stack(unpack(told[1][0][1]), axis=1) if told[1] else np.zeros((len(self.rare), slots.count.shape[1]), np.int64)
-        self.answers = {2: dict(told[2]), 3: dict(told[3])}
+        self.hot_word = slots.hot_index(self.words)
+        self.rare_count = np.stack(unpack(row["known"]), axis=1) if row["known"] else np.zeros((len(self.rare), slots.count.shape[1]), np.int64)
+        self.told = dict(zip(row["parts"], row["told"], strict=True))
 
-    def answered(self, kind: int, parts: np.ndarray, order: np.ndarray) -> np.ndarray:
-        """The answers of all parts, one row for each of the questions that ``parts`` and ``order`` describe."""
-        blocks = [np.stack(unpack(self.answers[kind][p]), axis=1) for p in np.unique(parts).tolist()]
+    def answered(self, parts: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """What all parts told, one row for each of the questions that ``parts`` and ``order`` describe."""
+        blocks = [np.stack(unpack(self.told[p]), axis=1) for p in np.unique(parts).tolist()]
         out = np.empty((len(parts), blocks[0].shape[1] if blocks else 1), blocks[0].dtype if blocks else np.int64)
         if blocks:
             out[order] = np.concatenate(blocks)
@@ -311,8 +311,7 @@ class Chunk:
 
     def hot_pairs(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(v, w, times) of the distinct bigrams after hot words, by v and w; the part each belongs to; and the order of parts."""
-        hot = self.slots.hot_index(self.words[np.arange(len(self.words))]) >= 0
-        at = np.flatnonzero(hot[self.v])
+        at = np.flatnonzero(self.hot_word[self.v] >= 0)
         key, c = np.unique(self.v[at] << 32 | self.w[at], return_counts=True)
         v, w = key >> 32, key & 0xFFFFFFFF
         part = (mix64(self.words[v] * _ODD + self.words[w]) % np.uint64(parts)).astype(np.int64)
@@ -321,9 +320,8 @@ class Chunk:
     def trigrams(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(group of each token, first token of each group) of the distinct trigrams, by v, u and w; whether v is hot; the bucket; the order of buckets."""
         group, first = grouped(self.v, self.u, self.w)
-        hot_word = self.slots.hot_index(self.words) >= 0
         v, u = self.v[first], self.u[first]
-        hot = hot_word[v]
+        hot = self.hot_word[v] >= 0
         spread = mix64(self.words[v] * _ODD)
         spread[hot] = mix64(spread[hot] + self.words[u[hot]] * _ODD)
         bucket = (spread % np.uint64(buckets)).astype(np.int64)
@@ -346,29 +344,41 @@ def _plain(c: np.ndarray) -> np.ndarray:
     return np.minimum(c, SLOTS).astype(np.uint32)
 
 
+def _steps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Two columns of codes, mostly in order, as the differences between rows."""
+    key = _plain(x).astype(np.uint64) << np.uint64(SLOT_BITS + 1) | _plain(y)
+    return np.diff(key, prepend=np.uint64(0))
+
+
+def _trigram_block(block: bytes) -> list[np.ndarray]:
+    steps, *rest = unpack(block)
+    key = np.cumsum(steps)
+    return [(key >> np.uint64(SLOT_BITS + 1)).astype(np.uint32), (key & np.uint64((2 << SLOT_BITS) - 1)).astype(np.uint32), *rest]
+
+
 _ASK = "chunk long, part int, fold int, block binary"
 
 
-def _asked(chunk: Chunk, blocks: list[tuple[int, bytes]]) -> pa.Table:
+def _asked(chunk: Chunk, blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
     n = len(blocks)
-    return pa.table([pa.array([chunk.number] * n, pa.int64()), pa.array([p for p, _ in blocks], pa.int32()), pa.array([chunk.fold] * n, pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["chunk", "part", "fold", "block"])
+    return pa.RecordBatch.from_arrays([pa.array([chunk.number] * n, pa.int64()), pa.array([p for p, _ in blocks], pa.int32()), pa.array([chunk.fold] * n, pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["chunk", "part", "fold", "block"])
 
 
-def _ask_pairs(chunk: Chunk, parts: int) -> pa.Table:
+def _ask_pairs(chunk: Chunk, parts: int) -> pa.RecordBatch:
     v, w, c, part, order = chunk.hot_pairs(parts)
     v, w, c, part = v[order], w[order], c[order], part[order]
     blocks = []
     for p, a, b in _cuts(part):
         rare = w[a:b][w[a:b] >= SLOTS] - SLOTS
-        blocks.append((p, pack(chunk.slots.hot_index(chunk.words[v[a:b]]).astype(np.uint32), _plain(w[a:b]), c[a:b].astype(np.uint32), chunk.rare[rare], *chunk.rare_count[rare].T)))
+        blocks.append((p, pack(chunk.hot_word[v[a:b]].astype(np.uint32), _plain(w[a:b]), c[a:b].astype(np.uint32), chunk.rare[rare], *chunk.rare_count[rare].T)))
     return _asked(chunk, blocks)
 
 
-def _ask_trigrams(chunk: Chunk, buckets: int, parts: int) -> pa.Table:
+def _ask_trigrams(chunk: Chunk, buckets: int, parts: int) -> pa.RecordBatch:
     group, first, hot, bucket, order = chunk.trigrams(buckets)
     c = np.bincount(group, minlength=len(first))
     pv, pw, _, part, by = chunk.hot_pairs(parts)
-    pairs = chunk.answered(2, part, by)
+    pairs = chunk.answered(part, by)
     known = pv << 32 | pw
     first, hot, bucket, c = first[order], hot[order], bucket[order], c[order]
     u, v, w = chunk.u[first], chunk.v[first], chunk.w[first]
@@ -378,7 +388,7 @@ def _ask_trigrams(chunk: Chunk, buckets: int, parts: int) -> pa.Table:
         rare = z[z >= SLOTS] - SLOTS
         h = hot[a:b]
         own = pairs[np.searchsorted(known, x[h] << 32 | z[h])] if h.any() else np.zeros((0, chunk.slots.count.shape[1]), np.int64)
-        blocks.append((p, pack(_plain(x), _plain(y), _plain(z), c[a:b].astype(np.uint32), chunk.listed(x, y, z), *chunk.rare_count[rare].T, *own.T)))
+        blocks.append((p, pack(_steps(x, y), _plain(z), c[a:b].astype(np.uint32), chunk.listed(x, y, z), *chunk.rare_count[rare].T, *own.T)))
     return _asked(chunk, blocks)
 
 
@@ -507,7 +517,7 @@ class Model:
     """The tables of a model, and what is of bounded size: slots, discounts, and sums over the followers of hot words."""
 
     unigrams: DataFrame
-    base: DataFrame
+    chunks: DataFrame
     ngrams: DataFrame
     sent: object
     folds: int
@@ -566,20 +576,46 @@ def _slots(counts: DataFrame, least: int, folds: int) -> Slots:
     word, count = np.zeros(SLOTS, np.uint64), np.zeros((SLOTS, folds), np.int64)
     at = got["slot"].to_numpy(np.int64)
     word[at], count[at] = got["w"].to_numpy(np.int64).view(np.uint64), got[by].to_numpy(np.int64)
+    order = np.argsort(-count.sum(1), kind="stable")
+    code = np.empty(SLOTS, np.uint32)
+    code[order] = np.arange(SLOTS)
     hot = every.where(F.col("c") > least).where(F.col("w") != int(END)).orderBy("w").toPandas()
-    return Slots(word, count, hot["w"].to_numpy(np.int64).view(np.uint64), hot[by].to_numpy(np.int64).reshape(-1, folds))
+    return Slots(code, word[order], count[order], hot["w"].to_numpy(np.int64).view(np.uint64), hot[by].to_numpy(np.int64).reshape(-1, folds))
+
+
+def _told(texts: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """Each chunk in one row with what it was told: ``answers`` of (chunk, part, block), part -1 being the counts of its listed words."""
+    own = [F.col(c) for c in ("chunk", "fold", "ids", "lens", "codes", "rare")]
+    rows = texts.select(*own, F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("block"))
+    for x in answers:
+        rows = rows.unionByName(x.select("chunk", "part", "block"), allowMissingColumns=True)
+    kind = texts.schema["ids"].dataType.elementType.simpleString()
+
+    def gather(t: pa.Table) -> pa.Table:
+        part = t.column("part").to_pylist()
+        base = part.index(None)
+        known = next((k for k, p in enumerate(part) if p == -1), None)
+        told = [k for k, p in enumerate(part) if p is not None and p >= 0]
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        block = t.column("block")
+        values = [t.column(c).slice(base, 1).combine_chunks() for c in ("chunk", "fold", "ids", "lens", "codes", "rare")]
+        values += [pa.array([None if known is None else block[known].as_py()], pa.binary()), one(pa.array([part[k] for k in told], pa.int32())), one(pa.array([block[k].as_py() for k in told], pa.binary()))]
+        return pa.table(values, names=["chunk", "fold", "ids", "lens", "codes", "rare", "known", "parts", "told"])
+
+    return rows.groupBy("chunk").applyInArrow(gather, f"chunk long, fold int, ids array<{kind}>, lens array<int>, codes binary, rare binary, known binary, parts array<int>, told array<binary>")
 
 
-_PARCEL = ("chunk", "kind", "part", "fold", "ids", "lens", "a", "b")
+def _each_chunk(told: DataFrame, slots, run, schema: str | T.StructType) -> DataFrame:
+    """``run`` on every chunk; it returns a record batch."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for k in range(x.num_rows):
+                row = {n: x.column(n)[k] for n in x.schema.names}
+                row |= {n: row[n].as_py() for n in ("chunk", "fold", "codes", "rare", "known", "parts", "told")} | {n: row[n].values for n in ("ids", "lens")}
+                yield run(Chunk(row, slots.value))
 
-def _by_chunk(base: DataFrame, told: list[DataFrame], run, schema: str) -> DataFrame:
-    """``run`` on every chunk with what it was told, its rows brought together."""
-    shape = base.schema
-    rows = base
-    for t in told:
-        rows = rows.unionByName(t.select(*(F.col(c) if c in t.columns else F.lit(None).cast(shape[c].dataType).alias(c) for c in _PARCEL)))
-    return rows.groupBy("chunk").applyInArrow(run, schema)
+    return told.mapInArrow(rows, schema)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, fold: Column | None = None, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, hot_tokens: int = HOT_TOKENS) -> Model:
@@ -602,25 +638,30 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     slots = _slots(unigrams, max(hot_tokens, total // HOT_WORDS), folds)
     sent = spark.sparkContext.broadcast(slots)
     id_type = kind.simpleString()
-    texts, _ = materialize(slim.select("id", "text", "fold").mapInArrow(lambda x: _chunk_rows(x, sent.value, folds, chunk_tokens), f"chunk long, fold int, ids array<{id_type}>, lens array<int>, codes binary, rare binary"), "chunks")
-    base = texts.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("part"), "fold", "ids", "lens", F.col("codes").alias("a"), F.col("rare").alias("b"))
-    told = [_rare_counts(texts, unigrams, by)]
+    texts, texts_path = materialize(slim.select("id", "text", "fold").mapInArrow(lambda x: _chunk_rows(x, sent.value, folds, chunk_tokens), f"chunk long, fold int, ids array<{id_type}>, lens array<int>, codes binary, rare binary"), "chunks")
     buckets = max(1, -(-total // bucket_tokens))
     parts = max(1, -(-int(slots.hot_count.sum()) // (2 * bucket_tokens)))
-    slim_base = base.withColumn("ids", F.lit(None).cast(base.schema["ids"].dataType))
+    spent = []
+    rare, path = materialize(_rare_counts(texts, unigrams, by), "rare")
+    spent += [texts_path, path]
+    held, path = materialize(_told(texts, [rare]), "chunks")
     hot_n = np.zeros((folds, CUT + 1), np.int64)
     sums = None
     if len(slots.hot):
-        asked = _by_chunk(slim_base, told, lambda t: _ask_pairs(Chunk(t, sent.value), parts), _ASK)
-        answers, _ = materialize(asked.groupBy("part").applyInArrow(lambda t: _answer_pairs(t, sent.value, d1, divisor, unseen), "chunk long, part int, block binary"), "hot")
-        told.append(answers.where("chunk is not null").select("chunk", F.lit(2).alias("kind"), "part", F.col("block").alias("a")))
+        spent.append(path)
+        asked = _each_chunk(held, sent, lambda c: _ask_pairs(c, parts), _ASK)
+        answers, path = materialize(asked.groupBy("part").applyInArrow(lambda t: _answer_pairs(t, sent.value, d1, divisor, unseen), "chunk long, part int, block binary"), "hot")
+        spent.append(path)
         sums = _hot_sums(answers.where("chunk is null"), len(slots.hot), folds)
         hot_n = sums["n"].sum(0)
-    asked = _by_chunk(slim_base, told, lambda t: _ask_trigrams(Chunk(t, sent.value), buckets, parts), _ASK)
+        held, _ = materialize(_told(texts, [rare, answers.where("chunk is not null")]), "chunks")
+    for path in spent:
+        discard(spark, path)
+    asked = _each_chunk(held, sent, lambda c: _ask_trigrams(c, buckets, parts), _ASK)
 
     def store(t: pa.Table) -> pa.Table:
         blocks = [b.as_py() for b in t.column("block")]
-        n = Bucket(t.column("fold").to_numpy(), [unpack(b) for b in blocks], sent.value).histogram()
+        n = Bucket(t.column("fold").to_numpy(), [_trigram_block(b) for b in blocks], sent.value).histogram()
         return pa.table([pa.array([t.column("part")[0].as_py()], pa.int32()), pa.array([t.column("chunk").to_pylist()], pa.list_(pa.int64())), pa.array([t.column("fold").to_pylist()], pa.list_(pa.int32())), pa.array([blocks], pa.list_(pa.binary())), pa.array([n.ravel()], pa.list_(pa.int64()))], names=["part", "chunks", "folds", "blocks", "n"])
 
     ngrams, _ = materialize(asked.groupBy("part").applyInArrow(store, _NGRAMS), "ngrams")
@@ -628,7 +669,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     got = ngrams.agg(*(F.coalesce(F.sum(F.col("n")[k]), F.lit(0)).alias(f"n{k}") for k in range(size))).first()
     n3, n2 = np.array(list(got), np.int64).reshape(2, folds, CUT + 1)
     d2, d3 = ([discounts([0, *map(int, n)]) for n in x] for x in (n2 + hot_n, n3))
-    return Model(unigrams, base, ngrams, sent, folds, buckets, tokens, (np.array(d1), np.array(d2), np.array(d3)), divisor, unseen, _hot_histories(sums, slots, np.array(d2), folds))
+    return Model(unigrams, held, ngrams, sent, folds, buckets, tokens, (np.array(d1), np.array(d2), np.array(d3)), divisor, unseen, _hot_histories(sums, slots, np.array(d2), folds))
 
 
 def _unigram_figures(unigrams: DataFrame, folds: int) -> tuple[np.ndarray, list[list[int]]]:
@@ -670,8 +711,7 @@ def _rare_counts(texts: DataFrame, unigrams: DataFrame, by: list[str]) -> DataFr
 
     rare = texts.select("chunk", "rare").mapInArrow(listed, "chunk long, w long")
     found = rare.join(unigrams, "w").groupBy("chunk").agg(F.collect_list(F.struct("w", *by)).alias("x"))
-    got, _ = materialize(found.mapInArrow(packed, "chunk long, a binary"), "rare")
-    return got.select("chunk", F.lit(1).alias("kind"), "a")
+    return found.mapInArrow(packed, "chunk long, a binary").select("chunk", F.lit(-1).alias("part"), F.col("a").alias("block"))
 
 
 def _hot_sums(answers: DataFrame, size: int, folds: int) -> dict[str, np.ndarray]:
@@ -707,17 +747,17 @@ def _answers(model: Model, asked: tuple[int, ...]) -> DataFrame:
         for x in batches:
             for k in range(x.num_rows):
                 numbers, folds = (x.column(j)[k].values.to_numpy() for j in (1, 2))
-                b = Bucket(folds, [unpack(y.as_py()) for y in x.column(3)[k].values], sent.value)
+                b = Bucket(folds, [_trigram_block(y.as_py()) for y in x.column(3)[k].values], sent.value)
                 lp = np.rint(evaluate(b, sent.value, d, divisor, unseen, hot) * SCALE).astype(np.int32)
                 rows, at = [], 0
                 for n, f in zip(b.m.size.tolist(), folds.tolist(), strict=True):
                     rows.append(pack(lp[b.group[at : at + n], f]) if f in asked else None)
                     at += n
                 part = x.column(0)[k].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([part] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "part", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([part] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "part", "block"])
 
     spread = model.ngrams.select("part", "chunks", "folds", "blocks")
-    return spread.mapInArrow(run, "chunk long, part int, a binary").where("a is not null")
+    return spread.mapInArrow(run, "chunk long, part int, block binary").where("block is not null")
 
 
 def scores(model: Model, asked: tuple[int, ...] | None = None, each: bool = False) -> DataFrame:
@@ -725,25 +765,25 @@ def scores(model: Model, asked: tuple[int, ...] | None = None, each: bool = Fals
 
     With ``each``, (id, place, logprob) of every token instead.
     """
-    spark = model.base.sparkSession
+    spark = model.chunks.sparkSession
     arrow_batches(spark)
     folds = tuple(range(model.folds)) if asked is None else asked
     sent, buckets = model.sent, model.buckets
-    told = _answers(model, folds).select("chunk", F.lit(3).alias("kind"), "part", "a")
-    kind = model.base.schema["ids"].dataType.elementType
+    kind = model.chunks.schema["ids"].dataType.elementType
 
-    def add(table: pa.Table) -> pa.Table:
-        c = Chunk(table, sent.value)
+    def add(c: Chunk) -> pa.RecordBatch:
         group, _, _, bucket, order = c.trigrams(buckets)
-        lp = c.answered(3, bucket, order)[:, 0].astype(np.int64)[group]
+        lp = c.answered(bucket, order)[:, 0].astype(np.int64)[group]
         if each:
             place = np.arange(len(lp)) - np.repeat(np.cumsum(c.n) - c.n, c.n)
-            return pa.table([c.ids.take(pa.array(np.repeat(np.arange(len(c.n)), c.n))), pa.array(place), pa.array(lp)], names=["id", "n_tokens", "lp"])
-        return pa.table([c.ids, pa.array(c.n), pa.array(np.add.reduceat(lp, np.cumsum(c.n) - c.n))], names=["id", "n_tokens", "lp"])
-
-    base = model.base.where(F.col("fold").isin(*folds))
-    # a chunk's own row tells Spark its size; answers of other folds were left out above
-    rows = _by_chunk(base, [told], add, T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("lp", T.LongType())])).where("id is not null")
+            values = [c.ids.take(pa.array(np.repeat(np.arange(len(c.n)), c.n))), pa.array(place), pa.array(lp)]
+        else:
+            values = [c.ids, pa.array(c.n), pa.array(np.add.reduceat(lp, np.cumsum(c.n) - c.n))]
+        return pa.RecordBatch.from_arrays(values, names=["id", "n_tokens", "lp"])
+
+    told = _told(model.chunks.where(F.col("fold").isin(*folds)), [_answers(model, folds)])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("lp", T.LongType())])
+    rows = _each_chunk(told, sent, add, schema).where("id is not null")
     if each:
         return rows.select("id", F.col("n_tokens").alias("place"), (F.col("lp") / SCALE).alias("logprob"))
     return rows.groupBy("id").agg(F.sum("n_tokens").alias("n_tokens"), (F.sum("lp") / SCALE).alias("logprob"))
