@@ -59,11 +59,11 @@ SCALE = 1_000_000
 SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
 #: Tokens in a chunk, of which a piece of one text is at most one in PIECES, and tokens in a bucket on average.
-CHUNK_TOKENS = 1_200_000
+CHUNK_TOKENS = 800_000
 PIECES = 5
-BUCKET_TOKENS = 1_000_000
+BUCKET_TOKENS = 400_000
 #: A word's trigrams are spread if it is more frequent than this and than one in HOT_WORDS tokens.
-HOT_TOKENS = 1_000_000
+HOT_TOKENS = 400_000
 HOT_WORDS = 1 << 20
 START, END = np.uint64(1), np.uint64(2)
 _FREQUENT = np.uint64(1 << 20)
@@ -192,7 +192,7 @@ def _unigrams(batches: Iterator[pa.RecordBatch], folds: int) -> Iterator[pa.Reco
 
     for x in batches:
         fold = x.column(1).to_numpy()
-        for a, b in chunks(x.column(0), 4 << 20):
+        for a, b in chunks(x.column(0)):
             words = hash_words(x.column(0).slice(a, b - a))
             of = np.repeat(fold[a:b], np.diff(words.off))
             h = word_ids(words.h)
@@ -640,7 +640,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     id_type = kind.simpleString()
     texts, texts_path = materialize(slim.select("id", "text", "fold").mapInArrow(lambda x: _chunk_rows(x, sent.value, folds, chunk_tokens), f"chunk long, fold int, ids array<{id_type}>, lens array<int>, codes binary, rare binary"), "chunks")
     buckets = max(1, -(-total // bucket_tokens))
-    parts = max(1, -(-int(slots.hot_count.sum()) // (2 * bucket_tokens)))
+    parts = max(1, -(-int(slots.hot_count.sum()) // (4 * bucket_tokens)))
     spent = []
     rare, path = materialize(_rare_counts(texts, unigrams, by), "rare")
     spent += [texts_path, path]
