@@ -41,6 +41,8 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -56,14 +58,14 @@ from quarrystone.session import discard, materialize
 CUT = 5
 FOLDS = 4
 SCALE = 1_000_000
-SLOT_BITS = 19
+SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
 #: Tokens in a chunk, of which a piece of one text is at most one in PIECES, and tokens in a bucket on average.
-CHUNK_TOKENS = 800_000
+CHUNK_TOKENS = 500_000
 PIECES = 5
-BUCKET_TOKENS = 400_000
+BUCKET_TOKENS = 300_000
 #: A word's trigrams are spread if it is more frequent than this and than one in HOT_WORDS tokens.
-HOT_TOKENS = 400_000
+HOT_TOKENS = 300_000
 HOT_WORDS = 1 << 20
 START, END = np.uint64(1), np.uint64(2)
 _FREQUENT = np.uint64(1 << 20)
@@ -294,8 +296,9 @@ class Chunk:
         inner = np.ones(len(codes), bool)
         starts = np.cumsum(self.n + 2) - self.n - 2
         inner[starts] = inner[starts + 1] = False
-        at = np.flatnonzero(inner)
-        self.u, self.v, self.w = codes[at - 2].astype(np.int64), codes[at - 1].astype(np.int64), codes[at].astype(np.int64)
+        at = np.flatnonzero(inner).astype(np.int32)
+        # 32 bits do for codes; keys are made of them in 64
+        self.u, self.v, self.w = (codes[at - k].astype(np.int32) for k in (2, 1, 0))
         self.words = slots.words_of(self.rare)
         self.hot_word = slots.hot_index(self.words)
         self.rare_count = np.stack(unpack(row["known"]), axis=1) if row["known"] else np.zeros((len(self.rare), slots.count.shape[1]), np.int64)
@@ -312,7 +315,7 @@ class Chunk:
     def hot_pairs(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(v, w, times) of the distinct bigrams after hot words, by v and w; the part each belongs to; and the order of parts."""
         at = np.flatnonzero(self.hot_word[self.v] >= 0)
-        key, c = np.unique(self.v[at] << 32 | self.w[at], return_counts=True)
+        key, c = np.unique(self.v[at].astype(np.int64) << 32 | self.w[at], return_counts=True)
         v, w = key >> 32, key & 0xFFFFFFFF
         part = (mix64(self.words[v] * _ODD + self.words[w]) % np.uint64(parts)).astype(np.int64)
         return v, w, c, part, np.argsort(part, kind="stable")
@@ -387,7 +390,7 @@ def _ask_trigrams(chunk: Chunk, buckets: int, parts: int) -> pa.RecordBatch:
         x, y, z = v[a:b], u[a:b], w[a:b]
         rare = z[z >= SLOTS] - SLOTS
         h = hot[a:b]
-        own = pairs[np.searchsorted(known, x[h] << 32 | z[h])] if h.any() else np.zeros((0, chunk.slots.count.shape[1]), np.int64)
+        own = pairs[np.searchsorted(known, x[h].astype(np.int64) << 32 | z[h])] if h.any() else np.zeros((0, chunk.slots.count.shape[1]), np.int64)
         blocks.append((p, pack(_steps(x, y), _plain(z), c[a:b].astype(np.uint32), chunk.listed(x, y, z), *chunk.rare_count[rare].T, *own.T)))
     return _asked(chunk, blocks)
 
@@ -567,15 +570,18 @@ def evaluate(b: Bucket, slots: Slots, d: tuple[np.ndarray, ...], divisor: np.nda
 
 def _slots(counts: DataFrame, least: int, folds: int) -> Slots:
     """The most frequent word of each slot, and the hot words: at most SLOTS and HOT_WORDS rows come to the driver."""
-    every = counts.withColumn("c", sum((F.col(f"c{k}") for k in range(1, folds)), F.col("c0")))
+    every = counts.withColumn("c", reduce(add, (F.col(f"c{k}") for k in range(folds))))
     marks = F.col("w") <= int(END)
     slot = F.when(marks, F.col("w") - 1).otherwise(F.shiftrightunsigned("w", 63 - SLOT_BITS))
     by = [f"c{k}" for k in range(folds)]
     best = every.where((F.col("c") > 1) | marks).groupBy(slot.alias("slot")).agg(F.max(F.struct(marks.alias("m"), F.col("c"), F.col("w"), *by)).alias("x")).select("slot", "x.w", *(f"x.{k}" for k in by))
-    got = best.toPandas()
     word, count = np.zeros(SLOTS, np.uint64), np.zeros((SLOTS, folds), np.int64)
-    at = got["slot"].to_numpy(np.int64)
-    word[at], count[at] = got["w"].to_numpy(np.int64).view(np.uint64), got[by].to_numpy(np.int64)
+    got = best.toArrow()
+    at = got.column("slot").to_numpy()
+    word[at] = got.column("w").to_numpy().view(np.uint64)
+    for k, c in enumerate(by):
+        count[at, k] = got.column(c).to_numpy()
+    del got
     order = np.argsort(-count.sum(1), kind="stable")
     code = np.empty(SLOTS, np.uint32)
     code[order] = np.arange(SLOTS)
@@ -674,7 +680,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
 def _unigram_figures(unigrams: DataFrame, folds: int) -> tuple[np.ndarray, list[list[int]]]:
     """Tokens of each fold, the end mark among them; and how many words each fold's model saw 1 to CUT + 1 times."""
-    every = sum((F.col(f"c{k}") for k in range(1, folds)), F.col("c0"))
+    every = reduce(add, (F.col(f"c{k}") for k in range(folds)))
     columns = [F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in range(folds)]
     columns += [F.count_if(every - F.col(f"c{k}") == r) for k in range(folds) for r in range(1, CUT + 2)]
     got = list(unigrams.where(F.col("w") != int(START)).agg(*(c.alias(f"x{k}") for k, c in enumerate(columns))).first())
@@ -771,7 +777,7 @@ def scores(model: Model, asked: tuple[int, ...] | None = None, each: bool = Fals
     sent, buckets = model.sent, model.buckets
     kind = model.chunks.schema["ids"].dataType.elementType
 
-    def add(c: Chunk) -> pa.RecordBatch:
+    def total(c: Chunk) -> pa.RecordBatch:
         group, _, _, bucket, order = c.trigrams(buckets)
         lp = c.answered(bucket, order)[:, 0].astype(np.int64)[group]
         if each:
@@ -783,7 +789,7 @@ def scores(model: Model, asked: tuple[int, ...] | None = None, each: bool = Fals
 
     told = _told(model.chunks.where(F.col("fold").isin(*folds)), [_answers(model, folds)])
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("lp", T.LongType())])
-    rows = _each_chunk(told, sent, add, schema).where("id is not null")
+    rows = _each_chunk(told, sent, total, schema).where("id is not null")
     if each:
         return rows.select("id", F.col("n_tokens").alias("place"), (F.col("lp") / SCALE).alias("logprob"))
     return rows.groupBy("id").agg(F.sum("n_tokens").alias("n_tokens"), (F.sum("lp") / SCALE).alias("logprob"))
