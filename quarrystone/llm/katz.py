@@ -41,7 +41,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from operator import add
 
 import numpy as np
@@ -289,7 +289,8 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], slots: Slots, folds: int, chu
 class Chunk:
     """A chunk read back: its tokens' codes and those of the two words before, and what it was told."""
 
-    def __init__(self, row: dict, slots: Slots):
+    def __init__(self, row: dict, slots: Slots, rare_parts: int):
+        self.rare_parts = rare_parts
         self.number, self.fold, self.ids, self.slots = row["chunk"], row["fold"], row["ids"], slots
         self.n = row["lens"].to_numpy().astype(np.int64)
         (codes,), (self.rare,) = unpack(row["codes"]), unpack(row["rare"])
@@ -301,9 +302,15 @@ class Chunk:
         self.u, self.v, self.w = (codes[at - k].astype(np.int32) for k in (2, 1, 0))
         self.words = slots.words_of(self.rare)
         self.hot_word = slots.hot_index(self.words)
-        self.rare_count = np.stack(unpack(row["known"]), axis=1) if row["known"] else np.zeros((len(self.rare), slots.count.shape[1]), np.int64)
         self.told = dict(zip(row["parts"], row["told"], strict=True))
 
+    @cached_property
+    def rare_count(self) -> np.ndarray:
+        """The counts by fold of the listed words."""
+        if not len(self.rare):
+            return np.zeros((0, self.slots.count.shape[1]), np.int64)
+        return self.answered(*_rare_parts(self.rare, self.rare_parts))
+
     def answered(self, parts: np.ndarray, order: np.ndarray) -> np.ndarray:
         """What all parts told, one row for each of the questions that ``parts`` and ``order`` describe."""
         blocks = [np.stack(unpack(self.told[p]), axis=1) for p in np.unique(parts).tolist()]
@@ -362,9 +369,9 @@ def _trigram_block(block: bytes) -> list[np.ndarray]:
 _ASK = "chunk long, part int, fold int, block binary"
 
 
-def _asked(chunk: Chunk, blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
+def _asks(number: int, fold: int, blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
     n = len(blocks)
-    return pa.RecordBatch.from_arrays([pa.array([chunk.number] * n, pa.int64()), pa.array([p for p, _ in blocks], pa.int32()), pa.array([chunk.fold] * n, pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["chunk", "part", "fold", "block"])
+    return pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array([p for p, _ in blocks], pa.int32()), pa.array([fold] * n, pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["chunk", "part", "fold", "block"])
 
 
 def _ask_pairs(chunk: Chunk, parts: int) -> pa.RecordBatch:
@@ -374,7 +381,7 @@ def _ask_pairs(chunk: Chunk, parts: int) -> pa.RecordBatch:
     for p, a, b in _cuts(part):
         rare = w[a:b][w[a:b] >= SLOTS] - SLOTS
         blocks.append((p, pack(chunk.hot_word[v[a:b]].astype(np.uint32), _plain(w[a:b]), c[a:b].astype(np.uint32), chunk.rare[rare], *chunk.rare_count[rare].T)))
-    return _asked(chunk, blocks)
+    return _asks(chunk.number, chunk.fold, blocks)
 
 
 def _ask_trigrams(chunk: Chunk, buckets: int, parts: int) -> pa.RecordBatch:
@@ -392,7 +399,7 @@ def _ask_trigrams(chunk: Chunk, buckets: int, parts: int) -> pa.RecordBatch:
         h = hot[a:b]
         own = pairs[np.searchsorted(known, x[h].astype(np.int64) << 32 | z[h])] if h.any() else np.zeros((0, chunk.slots.count.shape[1]), np.int64)
         blocks.append((p, pack(_steps(x, y), _plain(z), c[a:b].astype(np.uint32), chunk.listed(x, y, z), *chunk.rare_count[rare].T, *own.T)))
-    return _asked(chunk, blocks)
+    return _asks(chunk.number, chunk.fold, blocks)
 
 
 # What buckets answer
@@ -525,6 +532,7 @@ class Model:
     sent: object
     folds: int
     buckets: int
+    rare_parts: int
     tokens: np.ndarray
     d: tuple[np.ndarray, np.ndarray, np.ndarray]
     divisor: np.ndarray
@@ -532,37 +540,43 @@ class Model:
     hot: dict[str, np.ndarray]
 
 
-def evaluate(b: Bucket, slots: Slots, d: tuple[np.ndarray, ...], divisor: np.ndarray, unseen: np.ndarray, hot: dict[str, np.ndarray]) -> np.ndarray:
-    """ln P of every distinct trigram in each fold's model, trigrams by folds."""
+def evaluate(b: Bucket, slots: Slots, d: tuple[np.ndarray, ...], divisor: np.ndarray, unseen: np.ndarray, hot: dict[str, np.ndarray], asked: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """ln P of the trigrams ``asked`` (places among the distinct ones), each in the model of ``fold``."""
     d1, d2, d3 = d
-    wide = b.c3.shape[1]
+    if not len(b.v):
+        return np.zeros(len(asked))
     p1 = _level(d1, divisor, unseen, _without(b.m.word_count[b.w[b.at]]))
     hot_head = slots.hot_index(b.m.word[b.heads])
     is_hot = hot_head >= 0
-    out = np.empty(b.c3.shape)
-    heads, pairs = len(b.heads), int(b.pair[-1]) + 1 if len(b.pair) else 0
-    for k in range(wide):
+    out = np.empty(len(asked))
+    first = lambda group: np.flatnonzero(np.diff(group, prepend=-1))
+    head_at, pair_at = first(b.bigram_v), first(b.pair)
+    for k in range(b.c3.shape[1]):
         c2, c3 = b.c2[:, k], b.c3[:, k]
         kept = d2[k][np.minimum(c2, CUT + 1)]
-        total = np.bincount(b.bigram_v, c2, minlength=heads)
-        mass = np.bincount(b.bigram_v, kept * c2, minlength=heads)
-        part = np.bincount(b.bigram_v, (kept < 1) & (c2 > 0), minlength=heads) > 0
-        lower = np.bincount(b.bigram_v, np.where(c2 > 0, p1[:, k], 0.0), minlength=heads)
+        mine = kept * c2
+        total = np.add.reduceat(c2, head_at).astype(float)
+        mass = np.add.reduceat(mine, head_at)
+        part = np.add.reduceat((kept < 1) & (c2 > 0), head_at, dtype=np.int32) > 0
+        lower = np.add.reduceat(np.where(c2 > 0, p1[:, k], 0.0), head_at)
         for own, known in ((total, "total"), (mass, "mass"), (part, "part"), (lower, "lower")):
             own[is_hot] = hot[known][hot_head[is_hot], k]
         own = total + ~part
         alpha = np.where(total > 0, (1 - mass / own) / (1 - lower), 1.0)
-        seen2 = kept * c2 / own[b.bigram_v]
+        seen2 = mine / own[b.bigram_v]
         p2 = np.where(c2 > 0, seen2, alpha[b.bigram_v] * p1[:, k])
         kept = d3[k][np.minimum(c3, CUT + 1)]
-        total = np.bincount(b.pair, c3, minlength=pairs)
-        part = np.bincount(b.pair, (kept < 1) & (c3 > 0), minlength=pairs) > 0
+        mine = kept * c3
+        total = np.add.reduceat(c3, pair_at)
+        part = np.add.reduceat((kept < 1) & (c3 > 0), pair_at, dtype=np.int32) > 0
         own = total + ~part
-        mass = np.bincount(b.pair, kept * c3, minlength=pairs)
-        lower = np.bincount(b.pair, np.where(c3 > 0, seen2[b.bigram], 0.0), minlength=pairs)
-        alpha = np.where(total > 0, (1 - mass / own) / (1 - lower), 1.0)
-        out[:, k] = np.log(np.where(c3 > 0, kept * c3 / own[b.pair], alpha[b.pair] * p2[b.bigram]))
-    return out
+        lower = np.add.reduceat(np.where(c3 > 0, seen2[b.bigram], 0.0), pair_at)
+        alpha = np.where(total > 0, (1 - np.add.reduceat(mine, pair_at) / own) / (1 - lower), 1.0)
+        at = np.flatnonzero(fold == k)
+        t = asked[at]
+        pair = b.pair[t]
+        out[at] = np.where(c3[t] > 0, mine[t] / own[pair], alpha[pair] * p2[b.bigram[t]])
+    return np.log(out)
 
 
 # The whole job
@@ -590,7 +604,7 @@ def _slots(counts: DataFrame, least: int, folds: int) -> Slots:
 
 
 def _told(texts: DataFrame, answers: list[DataFrame]) -> DataFrame:
-    """Each chunk in one row with what it was told: ``answers`` of (chunk, part, block), part -1 being the counts of its listed words."""
+    """Each chunk in one row with what it was told: ``answers`` of (chunk, part, block), parts below 0 being counts of its listed words."""
     own = [F.col(c) for c in ("chunk", "fold", "ids", "lens", "codes", "rare")]
     rows = texts.select(*own, F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("block"))
     for x in answers:
@@ -600,26 +614,25 @@ def _told(texts: DataFrame, answers: list[DataFrame]) -> DataFrame:
     def gather(t: pa.Table) -> pa.Table:
         part = t.column("part").to_pylist()
         base = part.index(None)
-        known = next((k for k, p in enumerate(part) if p == -1), None)
-        told = [k for k, p in enumerate(part) if p is not None and p >= 0]
+        told = [k for k, p in enumerate(part) if p is not None]
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         block = t.column("block")
         values = [t.column(c).slice(base, 1).combine_chunks() for c in ("chunk", "fold", "ids", "lens", "codes", "rare")]
-        values += [pa.array([None if known is None else block[known].as_py()], pa.binary()), one(pa.array([part[k] for k in told], pa.int32())), one(pa.array([block[k].as_py() for k in told], pa.binary()))]
-        return pa.table(values, names=["chunk", "fold", "ids", "lens", "codes", "rare", "known", "parts", "told"])
+        values += [one(pa.array([part[k] for k in told], pa.int32())), one(pa.array([block[k].as_py() for k in told], pa.binary()))]
+        return pa.table(values, names=["chunk", "fold", "ids", "lens", "codes", "rare", "parts", "told"])
 
-    return rows.groupBy("chunk").applyInArrow(gather, f"chunk long, fold int, ids array<{kind}>, lens array<int>, codes binary, rare binary, known binary, parts array<int>, told array<binary>")
+    return rows.groupBy("chunk").applyInArrow(gather, f"chunk long, fold int, ids array<{kind}>, lens array<int>, codes binary, rare binary, parts array<int>, told array<binary>")
 
 
-def _each_chunk(told: DataFrame, slots, run, schema: str | T.StructType) -> DataFrame:
+def _each_chunk(told: DataFrame, slots, rare_parts: int, run, schema: str | T.StructType) -> DataFrame:
     """``run`` on every chunk; it returns a record batch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for k in range(x.num_rows):
                 row = {n: x.column(n)[k] for n in x.schema.names}
-                row |= {n: row[n].as_py() for n in ("chunk", "fold", "codes", "rare", "known", "parts", "told")} | {n: row[n].values for n in ("ids", "lens")}
-                yield run(Chunk(row, slots.value))
+                row |= {n: row[n].as_py() for n in ("chunk", "fold", "codes", "rare", "parts", "told")} | {n: row[n].values for n in ("ids", "lens")}
+                yield run(Chunk(row, slots.value, rare_parts))
 
     return told.mapInArrow(rows, schema)
 
@@ -648,14 +661,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     buckets = max(1, -(-total // bucket_tokens))
     parts = max(1, -(-int(slots.hot_count.sum()) // (4 * bucket_tokens)))
     spent = []
-    rare, path = materialize(_rare_counts(texts, unigrams, by), "rare")
+    # tokens without a slot, of which an asking part is sent a chunk's distinct ones
+    rare_parts = max(1, (total - int(slots.count.sum())) // (4 * bucket_tokens))
+    rare, path = materialize(_rare_counts(texts, rare_parts, folds), "rare")
     spent += [texts_path, path]
     held, path = materialize(_told(texts, [rare]), "chunks")
     hot_n = np.zeros((folds, CUT + 1), np.int64)
     sums = None
     if len(slots.hot):
         spent.append(path)
-        asked = _each_chunk(held, sent, lambda c: _ask_pairs(c, parts), _ASK)
+        asked = _each_chunk(held, sent, rare_parts, lambda c: _ask_pairs(c, parts), _ASK)
         answers, path = materialize(asked.groupBy("part").applyInArrow(lambda t: _answer_pairs(t, sent.value, d1, divisor, unseen), "chunk long, part int, block binary"), "hot")
         spent.append(path)
         sums = _hot_sums(answers.where("chunk is null"), len(slots.hot), folds)
@@ -663,7 +678,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         held, _ = materialize(_told(texts, [rare, answers.where("chunk is not null")]), "chunks")
     for path in spent:
         discard(spark, path)
-    asked = _each_chunk(held, sent, lambda c: _ask_trigrams(c, buckets, parts), _ASK)
+    asked = _each_chunk(held, sent, rare_parts, lambda c: _ask_trigrams(c, buckets, parts), _ASK)
 
     def store(t: pa.Table) -> pa.Table:
         blocks = [b.as_py() for b in t.column("block")]
@@ -675,7 +690,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     got = ngrams.agg(*(F.coalesce(F.sum(F.col("n")[k]), F.lit(0)).alias(f"n{k}") for k in range(size))).first()
     n3, n2 = np.array(list(got), np.int64).reshape(2, folds, CUT + 1)
     d2, d3 = ([discounts([0, *map(int, n)]) for n in x] for x in (n2 + hot_n, n3))
-    return Model(unigrams, held, ngrams, sent, folds, buckets, tokens, (np.array(d1), np.array(d2), np.array(d3)), divisor, unseen, _hot_histories(sums, slots, np.array(d2), folds))
+    return Model(unigrams, held, ngrams, sent, folds, buckets, rare_parts, tokens, (np.array(d1), np.array(d2), np.array(d3)), divisor, unseen, _hot_histories(sums, slots, np.array(d2), folds))
 
 
 def _unigram_figures(unigrams: DataFrame, folds: int) -> tuple[np.ndarray, list[list[int]]]:
@@ -698,26 +713,43 @@ def _unseen(d1: list[np.ndarray], n1: list[list[int]], tokens: np.ndarray) -> tu
     return divisor, unseen
 
 
-def _rare_counts(texts: DataFrame, unigrams: DataFrame, by: list[str]) -> DataFrame:
-    """The counts of each chunk's words without a slot, in the chunk's order."""
+def _rare_counts(texts: DataFrame, parts: int, folds: int) -> DataFrame:
+    """(chunk, part, block): the counts by fold of each chunk's listed words; parts count down from -1."""
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for k in range(x.num_rows):
-                (rare,) = unpack(x.column(1)[k].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rare), x.column(0)[k].as_py())), pa.array(rare.view(np.int64))], names=["chunk", "w"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for k in range(x.num_rows):
-                rows = x.column(1)[k].values
-                order = np.argsort(rows.field("w").to_numpy())
-                a = pack(*(rows.field(c).to_numpy()[order] for c in by))
-                yield pa.RecordBatch.from_arrays([x.column(0).slice(k, 1), pa.array([a], pa.binary())], names=["chunk", "a"])
-
-    rare = texts.select("chunk", "rare").mapInArrow(listed, "chunk long, w long")
-    found = rare.join(unigrams, "w").groupBy("chunk").agg(F.collect_list(F.struct("w", *by)).alias("x"))
-    return found.mapInArrow(packed, "chunk long, a binary").select("chunk", F.lit(-1).alias("part"), F.col("a").alias("block"))
+                number, fold = x.column(0)[k].as_py(), x.column(1)[k].as_py()
+                (codes,), (rare,) = unpack(x.column(3)[k].as_py()), unpack(x.column(4)[k].as_py())
+                # words before a piece belong to the piece before
+                n = x.column(2)[k].values.to_numpy().astype(np.int64)
+                codes = codes.copy()
+                starts = np.cumsum(n + 2) - n - 2
+                codes[starts] = codes[starts + 1] = 0
+                c = np.bincount(codes[codes >= SLOTS] - SLOTS, minlength=len(rare)).astype(np.uint32)
+                part, order = _rare_parts(rare, parts)
+                rare, c = rare[order], c[order]
+                blocks = [(p, pack(rare[a:b], c[a:b])) for p, a, b in _cuts(part[order])]
+                yield _asks(number, fold, blocks)
+
+    def answer(t: pa.Table) -> pa.Table:
+        raw = [unpack(b.as_py()) for b in t.column("block")]
+        size = [len(r[0]) for r in raw]
+        fold = np.repeat(t.column("fold").to_numpy(), size)
+        u, back = np.unique(np.concatenate([r[0] for r in raw]), return_inverse=True)
+        c = np.bincount(back * folds + fold, np.concatenate([r[1] for r in raw]), minlength=len(u) * folds).astype(np.int64).reshape(-1, folds)[back]
+        ends = np.cumsum(size)
+        blocks = [pack(*c[b - n : b].T) for n, b in zip(size, ends, strict=True)]
+        return pa.table([t.column("chunk"), t.column("part"), pa.array(blocks, pa.binary())], names=["chunk", "part", "block"])
+
+    asked = texts.select("chunk", "fold", "lens", "codes", "rare").mapInArrow(ask, _ASK)
+    return asked.groupBy("part").applyInArrow(answer, "chunk long, part int, block binary")
+
+
+def _rare_parts(rare: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part that counts each listed word, and the order of parts."""
+    part = -1 - (mix64(rare) % np.uint64(parts)).astype(np.int64)
+    return part, np.argsort(part, kind="stable")
 
 
 def _hot_sums(answers: DataFrame, size: int, folds: int) -> dict[str, np.ndarray]:
@@ -754,10 +786,11 @@ def _answers(model: Model, asked: tuple[int, ...]) -> DataFrame:
             for k in range(x.num_rows):
                 numbers, folds = (x.column(j)[k].values.to_numpy() for j in (1, 2))
                 b = Bucket(folds, [_trigram_block(y.as_py()) for y in x.column(3)[k].values], sent.value)
-                lp = np.rint(evaluate(b, sent.value, d, divisor, unseen, hot) * SCALE).astype(np.int32)
+                of = np.repeat(folds, b.m.size)
+                lp = np.rint(evaluate(b, sent.value, d, divisor, unseen, hot, b.group, of) * SCALE).astype(np.int32)
                 rows, at = [], 0
                 for n, f in zip(b.m.size.tolist(), folds.tolist(), strict=True):
-                    rows.append(pack(lp[b.group[at : at + n], f]) if f in asked else None)
+                    rows.append(pack(lp[at : at + n]) if f in asked else None)
                     at += n
                 part = x.column(0)[k].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([part] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "part", "block"])
@@ -789,7 +822,7 @@ def scores(model: Model, asked: tuple[int, ...] | None = None, each: bool = Fals
 
     told = _told(model.chunks.where(F.col("fold").isin(*folds)), [_answers(model, folds)])
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("lp", T.LongType())])
-    rows = _each_chunk(told, sent, total, schema).where("id is not null")
+    rows = _each_chunk(told, sent, model.rare_parts, total, schema).where("id is not null")
     if each:
         return rows.select("id", F.col("n_tokens").alias("place"), (F.col("lp") / SCALE).alias("logprob"))
     return rows.groupBy("id").agg(F.sum("n_tokens").alias("n_tokens"), (F.sum("lp") / SCALE).alias("logprob"))
