@@ -61,11 +61,11 @@ SCALE = 1_000_000
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
 #: Tokens in a chunk, of which a piece of one text is at most one in PIECES, and tokens in a bucket on average.
-CHUNK_TOKENS = 500_000
+CHUNK_TOKENS = 400_000
 PIECES = 5
-BUCKET_TOKENS = 300_000
+BUCKET_TOKENS = 250_000
 #: A word's trigrams are spread if it is more frequent than this and than one in HOT_WORDS tokens.
-HOT_TOKENS = 300_000
+HOT_TOKENS = 250_000
 HOT_WORDS = 1 << 20
 START, END = np.uint64(1), np.uint64(2)
 _FREQUENT = np.uint64(1 << 20)
@@ -203,7 +203,7 @@ def _unigrams(batches: Iterator[pa.RecordBatch], folds: int) -> Iterator[pa.Reco
                 held.append((u, np.full(len(u), k), c))
                 size += len(u)
         texts += np.bincount(fold, minlength=folds)
-        if size > 2_000_000:
+        if size > 500_000:
             yield merged()
             size = 0
     if texts.any():
