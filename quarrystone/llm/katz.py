@@ -20,8 +20,8 @@ of SLOTS slots has a small code; the others are listed in the chunk by their has
 ngrams: one row a bucket of about BUCKET_TOKENS tokens, holding what each chunk counted.  A
 trigram u v w goes to the bucket of v, so a bucket holds all that follows v, and with it both
 backoffs of its trigrams.  Of the words v above HOT_TOKENS (and one in HOT_WORDS tokens, so
-their list is bounded) the trigrams are spread by u and v; their bigrams are counted beforehand and
-each trigram brings its bigram's count along.  Chunks count before anything is sent, so a
+their list is bounded) the trigrams are spread by u and v; the buckets that share such a word ask for the
+counts of its bigrams, which are added up by bigram.  Chunks count before anything is sent, so a
 trigram that makes up a third of the corpus is one row a chunk.
 
 Scoring.  A bucket merges its chunks' counts, evaluates the recursion for every distinct trigram
@@ -65,8 +65,10 @@ CHUNK_TOKENS = 400_000
 PIECES = 5
 BUCKET_TOKENS = 250_000
 #: A word's trigrams are spread if it is more frequent than this and than one in HOT_WORDS tokens.
-HOT_TOKENS = 250_000
+HOT_TOKENS = 300_000
 HOT_WORDS = 1 << 20
+#: Bytes of text that are hashed at a time.
+TEXT_BYTES = 1 << 18
 START, END = np.uint64(1), np.uint64(2)
 _FREQUENT = np.uint64(1 << 20)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -194,7 +196,7 @@ def _unigrams(batches: Iterator[pa.RecordBatch], folds: int) -> Iterator[pa.Reco
 
     for x in batches:
         fold = x.column(1).to_numpy()
-        for a, b in chunks(x.column(0)):
+        for a, b in chunks(x.column(0), TEXT_BYTES):
             words = hash_words(x.column(0).slice(a, b - a))
             of = np.repeat(fold[a:b], np.diff(words.off))
             h = word_ids(words.h)
@@ -263,7 +265,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], slots: Slots, folds: int, chu
         return pa.RecordBatch.from_arrays(values, names=["chunk", "fold", "ids", "lens", "codes", "rare"])
 
     for x in batches:
-        for a, b in chunks(x.column(1)):
+        for a, b in chunks(x.column(1), TEXT_BYTES):
             fold = x.column(2).slice(a, b - a).to_numpy()
             seq, n = _sequences(x.column(1).slice(a, b - a))
             of = np.repeat(fold, n + 2)
@@ -319,23 +321,15 @@ class Chunk:
             out[order] = np.concatenate(blocks)
         return out
 
-    def hot_pairs(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(v, w, times) of the distinct bigrams after hot words, by v and w; the part each belongs to; and the order of parts."""
-        at = np.flatnonzero(self.hot_word[self.v] >= 0)
-        key, c = np.unique(self.v[at].astype(np.int64) << 32 | self.w[at], return_counts=True)
-        v, w = key >> 32, key & 0xFFFFFFFF
-        part = (mix64(self.words[v] * _ODD + self.words[w]) % np.uint64(parts)).astype(np.int64)
-        return v, w, c, part, np.argsort(part, kind="stable")
-
-    def trigrams(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(group of each token, first token of each group) of the distinct trigrams, by v, u and w; whether v is hot; the bucket; the order of buckets."""
+    def trigrams(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(group of each token, first token of each group) of the distinct trigrams, by v, u and w; the bucket; the order of buckets."""
         group, first = grouped(self.v, self.u, self.w)
         v, u = self.v[first], self.u[first]
         hot = self.hot_word[v] >= 0
         spread = mix64(self.words[v] * _ODD)
         spread[hot] = mix64(spread[hot] + self.words[u[hot]] * _ODD)
         bucket = (spread % np.uint64(buckets)).astype(np.int64)
-        return group, first, hot, bucket, np.argsort(bucket, kind="stable")
+        return group, first, bucket, np.argsort(bucket, kind="stable")
 
     def listed(self, *codes: np.ndarray) -> np.ndarray:
         """The words of those codes that no other chunk knows, in order of appearance."""
@@ -374,31 +368,16 @@ def _asks(number: int, fold: int, blocks: list[tuple[int, bytes]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array([p for p, _ in blocks], pa.int32()), pa.array([fold] * n, pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["chunk", "part", "fold", "block"])
 
 
-def _ask_pairs(chunk: Chunk, parts: int) -> pa.RecordBatch:
-    v, w, c, part, order = chunk.hot_pairs(parts)
-    v, w, c, part = v[order], w[order], c[order], part[order]
-    blocks = []
-    for p, a, b in _cuts(part):
-        rare = w[a:b][w[a:b] >= SLOTS] - SLOTS
-        blocks.append((p, pack(chunk.hot_word[v[a:b]].astype(np.uint32), _plain(w[a:b]), c[a:b].astype(np.uint32), chunk.rare[rare], *chunk.rare_count[rare].T)))
-    return _asks(chunk.number, chunk.fold, blocks)
-
-
-def _ask_trigrams(chunk: Chunk, buckets: int, parts: int) -> pa.RecordBatch:
-    group, first, hot, bucket, order = chunk.trigrams(buckets)
+def _ask_trigrams(chunk: Chunk, buckets: int) -> pa.RecordBatch:
+    group, first, bucket, order = chunk.trigrams(buckets)
     c = np.bincount(group, minlength=len(first))
-    pv, pw, _, part, by = chunk.hot_pairs(parts)
-    pairs = chunk.answered(part, by)
-    known = pv << 32 | pw
-    first, hot, bucket, c = first[order], hot[order], bucket[order], c[order]
+    first, bucket, c = first[order], bucket[order], c[order]
     u, v, w = chunk.u[first], chunk.v[first], chunk.w[first]
     blocks = []
     for p, a, b in _cuts(bucket):
         x, y, z = v[a:b], u[a:b], w[a:b]
         rare = z[z >= SLOTS] - SLOTS
-        h = hot[a:b]
-        own = pairs[np.searchsorted(known, x[h].astype(np.int64) << 32 | z[h])] if h.any() else np.zeros((0, chunk.slots.count.shape[1]), np.int64)
-        blocks.append((p, pack(_steps(x, y), _plain(z), c[a:b].astype(np.uint32), chunk.listed(x, y, z), *chunk.rare_count[rare].T, *own.T)))
+        blocks.append((p, pack(_steps(x, y), _plain(z), c[a:b].astype(np.uint32), chunk.listed(x, y, z), *chunk.rare_count[rare].T)))
     return _asks(chunk.number, chunk.fold, blocks)
 
 
@@ -406,41 +385,28 @@ def _ask_trigrams(chunk: Chunk, buckets: int, parts: int) -> pa.RecordBatch:
 
 
 class Merged:
-    """Blocks of one bucket under common codes."""
+    """Blocks of one bucket under common codes: v, u, w, times of the rows of all blocks, the word of each code and the counts of the last words."""
 
     def __init__(self, blocks: list[list[np.ndarray]], words: int, slots: Slots):
-        """``words``: how many of the leading columns are words' codes; the count follows, then the listed words and their counts."""
+        """``words``: how many of the leading columns are words' codes; a column follows, then the listed words and their counts, then others."""
         self.size = np.array([len(b[0]) for b in blocks])
         folds = slots.count.shape[1]
-        listed = np.concatenate([b[words + 1] for b in blocks])
-        rare, back = np.unique(listed, return_inverse=True)
-        self.columns = []
+        rare, back = np.unique(np.concatenate([b[words + 1] for b in blocks]), return_inverse=True)
+        self.word_count = np.concatenate((slots.count, np.zeros((len(rare), folds), np.int64)))
+        columns: list[list[np.ndarray]] = [[] for _ in range(words)]
         at = 0
-        place = []
         for b in blocks:
-            own = []
             for k in range(words):
                 c = b[k].astype(np.int64)
                 miss = np.flatnonzero(c == SLOTS)
                 c[miss] = SLOTS + back[at : at + len(miss)]
                 at += len(miss)
-                own.append(c)
-            place.append((own, at))
-        self.columns = [np.concatenate([o[k] for o, _ in place]) for k in range(words)]
+                columns[k].append(c)
+            # the last column's listed words bring their counts
+            self.word_count[c[miss]] = np.stack(b[words + 2 : words + 2 + folds], axis=1)
+        self.columns = [np.concatenate(c) for c in columns]
         self.times = np.concatenate([b[words] for b in blocks]).astype(np.int64)
         self.word = slots.words_of(rare)
-        # the counts of the listed last words
-        self.word_count = np.zeros((len(rare), folds), np.int64)
-        for b, (_, end) in zip(blocks, place, strict=True):
-            last = len(b[words + 2])
-            if last:
-                self.word_count[back[end - last : end]] = np.stack(b[words + 2 : words + 2 + folds], axis=1)
-        self.word_count = np.concatenate((slots.count, self.word_count))
-        self.rest = [b[words + 2 + folds :] for b in blocks]
-
-    def by_fold(self, group: np.ndarray, groups: int, fold: np.ndarray, folds: int) -> np.ndarray:
-        of = np.repeat(fold, self.size)
-        return np.bincount(group * folds + of, self.times, minlength=groups * folds).astype(np.int64).reshape(groups, folds)
 
 
 def _without(c: np.ndarray) -> np.ndarray:
@@ -453,22 +419,22 @@ def _histogram(c: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(np.minimum(m, CUT + 2), minlength=CUT + 3)[1 : CUT + 2] for m in c.T])
 
 
-def _answer_pairs(table: pa.Table, slots: Slots, d1: np.ndarray, divisor: np.ndarray, unseen: np.ndarray) -> pa.Table:
-    """Counts by fold of the bigrams that chunks asked for; and, without a chunk, sums over each hot word's followers."""
+def _answer_pairs(table: pa.Table, slots: Slots, d1: list[np.ndarray], divisor: np.ndarray, unseen: np.ndarray) -> pa.Table:
+    """Counts by fold of the bigrams that buckets asked for; and, without a bucket, sums over each hot word's followers."""
     folds = slots.count.shape[1]
-    # the hot word's place isn't a code, so it is put after the codes
     raw = [unpack(b.as_py()) for b in table.column("block")]
-    m = Merged([[b[1], *b[2:]] for b in raw], 1, slots)
-    hot = np.concatenate([b[0] for b in raw]).astype(np.int64)
-    group, first = grouped(hot, m.columns[0])
-    c = m.by_fold(group, len(first), table.column("fold").to_numpy(), folds)
+    m = Merged([[b[1], b[0], *b[2:]] for b in raw], 1, slots)
+    hot, w = m.times, m.columns[0]
+    group, first = grouped(hot, w)
+    own = [np.concatenate([b[3 + folds + k] for b in raw]) for k in range(folds)]
+    c = np.stack([np.bincount(group, x, minlength=len(first)) for x in own], axis=1).astype(np.int64)
     blocks, at = [], 0
     for n in m.size.tolist():
         blocks.append(pack(*c[group[at : at + n]].T))
         at += n
     model = _without(c)
     head, of = np.unique(hot[first], return_inverse=True)
-    p1 = _level(d1, divisor, unseen, _without(m.word_count[m.columns[0][first]]))
+    p1 = _level(d1, divisor, unseen, _without(m.word_count[w[first]]))
     sums = []
     for k in range(folds):
         r = np.minimum(model[:, k], CUT + 2)
@@ -476,9 +442,8 @@ def _answer_pairs(table: pa.Table, slots: Slots, d1: np.ndarray, divisor: np.nda
         big = np.bincount(of, np.where(model[:, k] > CUT, model[:, k], 0), minlength=len(head))
         mass = np.bincount(of, np.where(model[:, k] > 0, p1[:, k], 0.0), minlength=len(head))
         sums += [*by[:, 1 : CUT + 2].T.astype(np.int64), big.astype(np.int64), mass]
-    n = len(blocks)
-    part = table.column("part")[0].as_py()
-    return pa.table([pa.array([*table.column("chunk").to_pylist(), None], pa.int64()), pa.array([part] * (n + 1), pa.int32()), pa.array([*blocks, pack(head, *sums)], pa.binary())], names=["chunk", "part", "block"])
+    part = table.column("ask")[0].as_py()
+    return pa.table([pa.array([*table.column("part").to_pylist(), None], pa.int32()), pa.array([part] * (len(blocks) + 1), pa.int32()), pa.array([*blocks, pack(head, *sums)], pa.binary())], names=["part", "ask", "block"])
 
 
 def _level(d: np.ndarray, divisor: np.ndarray, unseen: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -489,7 +454,8 @@ def _level(d: np.ndarray, divisor: np.ndarray, unseen: np.ndarray, c: np.ndarray
     return p
 
 
-_NGRAMS = "part int, chunks array<long>, folds array<int>, blocks array<binary>, n array<long>"
+_NGRAMS_ARROW = pa.schema([("part", pa.int32()), ("chunks", pa.list_(pa.int64())), ("folds", pa.list_(pa.int32())), ("blocks", pa.list_(pa.binary())), ("n", pa.list_(pa.int64())), ("asks", pa.list_(pa.struct([("ask", pa.int32()), ("block", pa.binary())])))])
+_NGRAMS = "part int, chunks array<long>, folds array<int>, blocks array<binary>, n array<long>, asks array<struct<ask: int, block: binary>>"
 
 
 class Bucket:
@@ -498,28 +464,54 @@ class Bucket:
     def __init__(self, folds: np.ndarray, blocks: list[list[np.ndarray]], slots: Slots):
         m = self.m = Merged(blocks, 3, slots)
         v, u, w = m.columns
+        del m.columns
         wide = slots.count.shape[1]
         self.group, first = grouped(v, u, w)
-        self.c3 = _without(m.by_fold(self.group, len(first), folds, wide))
         self.v, self.u, self.w = v[first], u[first], w[first]
-        self.hot = slots.hot_index(m.word[self.v])
+        of = np.repeat(folds, m.size)
+        own = np.bincount(self.group * wide + of, m.times, minlength=len(first) * wide).astype(np.int64).reshape(-1, wide)
         new = np.ones(len(first), bool)
         new[1:] = (self.v[1:] != self.v[:-1]) | (self.u[1:] != self.u[:-1])
         self.pair = np.cumsum(new) - 1
-        self.bigram, at = grouped(self.v, self.w)
-        self.at = at
-        self.bigram_v = np.cumsum(np.concatenate(([True], self.v[at][1:] != self.v[at][:-1]))) - 1 if len(at) else at
-        self.heads = self.v[at][np.concatenate(([True], self.v[at][1:] != self.v[at][:-1]))] if len(at) else at
-        self.c2 = np.stack([np.bincount(self.bigram, self.c3[:, k], minlength=len(at)) for k in range(wide)], axis=1).astype(np.int64)
-        # of hot words, the counts came along
-        hot_rows = np.flatnonzero(slots.hot_index(m.word)[v] >= 0)
-        if len(hot_rows):
-            told = np.concatenate([np.stack(r, axis=1) for r in m.rest if len(r[0])])
-            self.c2[self.bigram[self.group[hot_rows]]] = _without(told.astype(np.int64))
+        self.bigram, self.at = grouped(self.v, self.w)
+        head = np.ones(len(self.at), bool)
+        head[1:] = self.v[self.at][1:] != self.v[self.at][:-1]
+        self.bigram_v, self.heads = np.cumsum(head) - 1, self.v[self.at][head]
+        self.own2 = np.stack([np.bincount(self.bigram, own[:, k], minlength=len(self.at)) for k in range(wide)], axis=1).astype(np.int64)
+        self.c3, self.c2 = _without(own), _without(self.own2)
+        #: The bigrams of hot words, of which other buckets hold parts.
+        hot = slots.hot_index(m.word[self.heads])
+        self.shared = np.flatnonzero(hot[self.bigram_v] >= 0)
+        self.hot = hot
 
     def histogram(self) -> np.ndarray:
         """Counts of counts, trigrams and then bigrams of words that aren't hot."""
-        return np.concatenate((_histogram(self.c3), _histogram(self.c2[self.hot[self.at] < 0]))).astype(np.int64)
+        return np.concatenate((_histogram(self.c3), _histogram(self.c2[self.hot[self.bigram_v] < 0]))).astype(np.int64)
+
+    def _parts(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        at = self.at[self.shared]
+        part = (mix64(self.m.word[self.v[at]] * _ODD + self.m.word[self.w[at]]) % np.uint64(parts)).astype(np.int64)
+        return part, np.argsort(part, kind="stable")
+
+    def asks(self, parts: int) -> list[dict]:
+        """What to ask of each part: hot word, follower and this bucket's own counts by fold."""
+        part, order = self._parts(parts)
+        rows, part = self.shared[order], part[order]
+        out = []
+        for p, a, b in _cuts(part):
+            own = rows[a:b]
+            w = self.w[self.at[own]]
+            rare = w[w >= SLOTS]
+            block = pack(self.hot[self.bigram_v[own]].astype(np.uint32), _plain(w), self.m.word[rare], *self.m.word_count[rare].T, *self.own2[own].T)
+            out.append({"ask": p, "block": block})
+        return out
+
+    def told(self, answers: dict[int, bytes], parts: int) -> None:
+        """Take in the whole counts of the bigrams of hot words."""
+        part, order = self._parts(parts)
+        blocks = [np.stack(unpack(answers[p]), axis=1) for p in np.unique(part).tolist()]
+        if blocks:
+            self.c2[self.shared[order]] = _without(np.concatenate(blocks).astype(np.int64))
 
 
 @dataclass(frozen=True)
@@ -529,9 +521,11 @@ class Model:
     unigrams: DataFrame
     chunks: DataFrame
     ngrams: DataFrame
+    shared: DataFrame | None
     sent: object
     folds: int
     buckets: int
+    parts: int
     rare_parts: int
     tokens: np.ndarray
     d: tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -546,7 +540,7 @@ def evaluate(b: Bucket, slots: Slots, d: tuple[np.ndarray, ...], divisor: np.nda
     if not len(b.v):
         return np.zeros(len(asked))
     p1 = _level(d1, divisor, unseen, _without(b.m.word_count[b.w[b.at]]))
-    hot_head = slots.hot_index(b.m.word[b.heads])
+    hot_head = b.hot
     is_hot = hot_head >= 0
     out = np.empty(len(asked))
     first = lambda group: np.flatnonzero(np.diff(group, prepend=-1))
@@ -665,32 +659,30 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     rare_parts = max(1, (total - int(slots.count.sum())) // (4 * bucket_tokens))
     rare, path = materialize(_rare_counts(texts, rare_parts, folds), "rare")
     spent += [texts_path, path]
-    held, path = materialize(_told(texts, [rare]), "chunks")
-    hot_n = np.zeros((folds, CUT + 1), np.int64)
-    sums = None
-    if len(slots.hot):
-        spent.append(path)
-        asked = _each_chunk(held, sent, rare_parts, lambda c: _ask_pairs(c, parts), _ASK)
-        answers, path = materialize(asked.groupBy("part").applyInArrow(lambda t: _answer_pairs(t, sent.value, d1, divisor, unseen), "chunk long, part int, block binary"), "hot")
-        spent.append(path)
-        sums = _hot_sums(answers.where("chunk is null"), len(slots.hot), folds)
-        hot_n = sums["n"].sum(0)
-        held, _ = materialize(_told(texts, [rare, answers.where("chunk is not null")]), "chunks")
+    held, _ = materialize(_told(texts, [rare]), "chunks")
     for path in spent:
         discard(spark, path)
-    asked = _each_chunk(held, sent, rare_parts, lambda c: _ask_trigrams(c, buckets, parts), _ASK)
+    asked = _each_chunk(held, sent, rare_parts, lambda c: _ask_trigrams(c, buckets), _ASK)
 
     def store(t: pa.Table) -> pa.Table:
         blocks = [b.as_py() for b in t.column("block")]
-        n = Bucket(t.column("fold").to_numpy(), [_trigram_block(b) for b in blocks], sent.value).histogram()
-        return pa.table([pa.array([t.column("part")[0].as_py()], pa.int32()), pa.array([t.column("chunk").to_pylist()], pa.list_(pa.int64())), pa.array([t.column("fold").to_pylist()], pa.list_(pa.int32())), pa.array([blocks], pa.list_(pa.binary())), pa.array([n.ravel()], pa.list_(pa.int64()))], names=["part", "chunks", "folds", "blocks", "n"])
+        b = Bucket(t.column("fold").to_numpy(), [_trigram_block(x) for x in blocks], sent.value)
+        row = {"part": t.column("part")[0].as_py(), "chunks": t.column("chunk").to_pylist(), "folds": t.column("fold").to_pylist(), "blocks": blocks, "n": b.histogram().ravel().tolist(), "asks": b.asks(parts)}
+        return pa.Table.from_pylist([row], _NGRAMS_ARROW)
 
     ngrams, _ = materialize(asked.groupBy("part").applyInArrow(store, _NGRAMS), "ngrams")
+    answers, sums, hot_n = None, None, np.zeros((folds, CUT + 1), np.int64)
+    if len(slots.hot):
+        pairs = ngrams.select("part", F.explode("asks").alias("x")).select("part", "x.*")
+        answers, _ = materialize(pairs.groupBy("ask").applyInArrow(lambda t: _answer_pairs(t, sent.value, d1, divisor, unseen), "part int, ask int, block binary"), "hot")
+        sums = _hot_sums(answers.where("part is null"), len(slots.hot), folds)
+        hot_n = sums["n"].sum(0)
+        answers = answers.where("part is not null")
     size = 2 * folds * (CUT + 1)
     got = ngrams.agg(*(F.coalesce(F.sum(F.col("n")[k]), F.lit(0)).alias(f"n{k}") for k in range(size))).first()
     n3, n2 = np.array(list(got), np.int64).reshape(2, folds, CUT + 1)
     d2, d3 = ([discounts([0, *map(int, n)]) for n in x] for x in (n2 + hot_n, n3))
-    return Model(unigrams, held, ngrams, sent, folds, buckets, rare_parts, tokens, (np.array(d1), np.array(d2), np.array(d3)), divisor, unseen, _hot_histories(sums, slots, np.array(d2), folds))
+    return Model(unigrams, held, ngrams, answers, sent, folds, buckets, parts, rare_parts, tokens, (np.array(d1), np.array(d2), np.array(d3)), divisor, unseen, _hot_histories(sums, slots, np.array(d2), folds))
 
 
 def _unigram_figures(unigrams: DataFrame, folds: int) -> tuple[np.ndarray, list[list[int]]]:
@@ -779,24 +771,26 @@ def _hot_histories(sums: dict[str, np.ndarray] | None, slots: Slots, d2: np.ndar
 
 def _answers(model: Model, asked: tuple[int, ...]) -> DataFrame:
     """(chunk, part, block): the scores of every chunk's distinct trigrams, bucket by bucket, in steps of 1 / SCALE."""
-    sent, d, divisor, unseen, hot = model.sent, model.d, model.divisor, model.unseen, model.hot
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for k in range(x.num_rows):
-                numbers, folds = (x.column(j)[k].values.to_numpy() for j in (1, 2))
-                b = Bucket(folds, [_trigram_block(y.as_py()) for y in x.column(3)[k].values], sent.value)
-                of = np.repeat(folds, b.m.size)
-                lp = np.rint(evaluate(b, sent.value, d, divisor, unseen, hot, b.group, of) * SCALE).astype(np.int32)
-                rows, at = [], 0
-                for n, f in zip(b.m.size.tolist(), folds.tolist(), strict=True):
-                    rows.append(pack(lp[at : at + n]) if f in asked else None)
-                    at += n
-                part = x.column(0)[k].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([part] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "part", "block"])
-
-    spread = model.ngrams.select("part", "chunks", "folds", "blocks")
-    return spread.mapInArrow(run, "chunk long, part int, block binary").where("block is not null")
+    sent, d, divisor, unseen, hot, parts = model.sent, model.d, model.divisor, model.unseen, model.hot, model.parts
+
+    def run(t: pa.Table) -> pa.Table:
+        asks = t.column("ask").to_pylist()
+        k = asks.index(None)
+        numbers, folds = (t.column(c)[k].values.to_numpy() for c in ("chunks", "folds"))
+        b = Bucket(folds, [_trigram_block(y.as_py()) for y in t.column("blocks")[k].values], sent.value)
+        b.told({p: t.column("block")[j].as_py() for j, p in enumerate(asks) if p is not None}, parts)
+        of = np.repeat(folds, b.m.size)
+        lp = np.rint(evaluate(b, sent.value, d, divisor, unseen, hot, b.group, of) * SCALE).astype(np.int32)
+        rows, at = [], 0
+        for n, f in zip(b.m.size.tolist(), folds.tolist(), strict=True):
+            rows.append(pack(lp[at : at + n]) if f in asked else None)
+            at += n
+        return pa.table([pa.array(numbers), pa.array([t.column("part")[k].as_py()] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "part", "block"])
+
+    rows = model.ngrams.select("part", "chunks", "folds", "blocks", F.lit(None).cast("int").alias("ask"), F.lit(None).cast("binary").alias("block"))
+    if model.shared is not None:
+        rows = rows.unionByName(model.shared, allowMissingColumns=True)
+    return rows.groupBy("part").applyInArrow(run, "chunk long, part int, block binary").where("block is not null")
 
 
 def scores(model: Model, asked: tuple[int, ...] | None = None, each: bool = False) -> DataFrame:
@@ -811,7 +805,7 @@ def scores(model: Model, asked: tuple[int, ...] | None = None, each: bool = Fals
     kind = model.chunks.schema["ids"].dataType.elementType
 
     def total(c: Chunk) -> pa.RecordBatch:
-        group, _, _, bucket, order = c.trigrams(buckets)
+        group, _, bucket, order = c.trigrams(buckets)
         lp = c.answered(bucket, order)[:, 0].astype(np.int64)[group]
         if each:
             place = np.arange(len(lp)) - np.repeat(np.cumsum(c.n) - c.n, c.n)
