@@ -7,7 +7,8 @@ Both pages become lines of text, the lines are aligned by a longest common
 subsequence, and the lines of the page that lie on it are deleted: what is left is
 the page's own text.
 
-Distribution.  Range bounds over (host, path) come from a pass over the addresses only.
+Distribution.  A pass over the table writes addresses and sizes; from them come the ranges over
+(host, path, id), one for every RANGE_BYTES of html.
 Every page is sent to its range once; the last page before and the first after each
 range boundary are sent to the neighbouring range too, so every page meets both its
 neighbours though a host may span any number of ranges.
@@ -16,24 +17,31 @@ Defined cases.  Null html gives null text, html without text an empty one.  A pa
 an address, or alone on its host, keeps all its lines.  Two pages with one path are
 neighbours in the order of their ids, null ids first, then html.  A row that repeats another in address, id and html
 counts once when neighbours are sought, so it isn't compared with itself; each repeat is
-returned.  If a longest common subsequence isn't unique, the one that takes matches latest in
+returned.  Integer ids are in numeric order, others in that of their text; the whole id counts.  If a longest common subsequence isn't unique, the one that takes matches latest in
 both pages is deleted.  Lines are compared without surrounding blanks; empty lines are
-dropped.  Very long pages are aligned by bit vectors, a machine word of lines at a time.
+dropped.  Very long pages are aligned by bit vectors, a machine word of lines at a time, of which only
+every so many are kept and those between made again, so memory grows as the lines to the power 1.5.
 An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrystone.llm._text import arrow_batches
+from quarrystone.session import discard, materialize
+
+#: Bytes of html in a range on average; a task works on one range, at times on a few.
+RANGE_BYTES = 32 << 20
 
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!doctype[^>]*>", re.I | re.S)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul|body|html|title|option)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|\n", re.I)
@@ -73,29 +81,31 @@ def shared_lines(own: list[str], other: list[str]) -> list[bool]:
         at[x] = at.get(x, 0) | (1 << j)
     # Bit j of v is 0 where the length grows between the first j and j + 1 columns.
     full = (1 << len(cols)) - 1
-    v, states = full, []
-    for i in rows:
-        m = at.get(own[i], 0)
+    masks = [at.get(own[i], 0) for i in rows]
+
+    def after(v: int, m: int) -> int:
         u = v & m
-        states.append(v)
-        v = ((v + u) | (v - u)) & full
-    j = len(cols)
-    now = v
-    for k in range(len(rows) - 1, -1, -1):
-        before = states[k]
-        below = (1 << j) - 1
-        if (~now & below).bit_count() > (~before & below).bit_count():
-            out[rows[k]] = True
-            m = at[own[rows[k]]] & below
-            # the latest column of this line from which the lengths still add up
-            need = (~now & below).bit_count()
-            while m:
-                c = m.bit_length() - 1
-                if (~before & ((1 << c) - 1)).bit_count() == need - 1:
-                    j = c
-                    break
-                m ^= 1 << c
-        now = before
+        return ((v + u) | (v - u)) & full
+
+    step = max(1, math.isqrt(len(rows)))
+    v, kept = full, []
+    for k, m in enumerate(masks):
+        if k % step == 0:
+            kept.append(v)
+        v = after(v, m)
+    j, now = len(cols), v
+    for block in range(len(kept) - 1, -1, -1):
+        first = block * step
+        states = [kept[block]]
+        for k in range(first, min(first + step, len(rows)) - 1):
+            states.append(after(states[-1], masks[k]))
+        for k in range(first + len(states) - 1, first - 1, -1):
+            before, own = states[k - first], masks[k] & ((1 << j) - 1)
+            # the line is on it if its latest column leaves no more to be lost
+            c = own.bit_length() - 1
+            if c >= 0 and (~before & ((1 << c) - 1)).bit_count() + 1 == (~now & ((1 << j) - 1)).bit_count():
+                out[rows[k]], j = True, c
+            now = before
     return out
 
 
@@ -114,8 +124,13 @@ def _keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     return pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.when(host != "", host).alias("host"), path.alias("path"))
 
 
-def _order_key(host: str, path: str, text: str) -> tuple[bytes, bytes, bytes]:
-    return host.encode(), path.encode(), text.encode()
+def _tie(kind: T.DataType) -> Column:
+    """The whole id as a text whose byte order serves Spark and Python alike; nulls are first."""
+    if isinstance(kind, T.IntegralType):
+        text = F.lpad(F.hex(F.col("id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    else:
+        text = F.concat(F.lit("1"), F.col("id").cast("string"))
+    return F.coalesce(text, F.lit(""))
 
 
 def page_differences(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -124,13 +139,13 @@ def page_differences(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     arrow_batches(spark, 200)
     kind = pages.schema[id_col].dataType.simpleString()
     keyed = _keyed(pages, id_col, url_col, html_col)
-    # Sorting by the id's text makes one byte order serve Spark and Python alike.
-    tie = F.coalesce(F.lpad(F.col("id").cast("string"), 20, "0"), F.lit(""))
-    slim = keyed.where("host is not null").select("host", "path", tie.alias("tie"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tie = _tie(keyed.schema["id"].dataType)
+    slim, slim_path = materialize(keyed.where("host is not null").select("host", "path", tie.alias("tie"), F.octet_length("html").alias("n")), "addresses")
+    parts = max(1, -(-(slim.agg(F.sum("n")).first()[0] or 0) // RANGE_BYTES))
     ranged = slim.repartitionByRange(parts, "host", "path", "tie").withColumn("part", F.spark_partition_id())
     key = F.struct("host", "path", "tie")
     ends = ranged.groupBy("part").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy("lo").collect()
+    discard(spark, slim_path)
     bounds = [tuple(x.encode() for x in r["lo"]) for r in ends][1:]
     last = [tuple(x.encode() for x in r["hi"]) for r in ends]
     first = [tuple(x.encode() for x in r["lo"]) for r in ends]
