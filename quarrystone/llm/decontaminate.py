@@ -7,9 +7,11 @@ mask and so is every window of the training texts; equal hashes are hits.  Aroun
 each hit the words of the window, widened by EXTEND words on either side as far as
 item and document go, are compared one by one; the overlap is verified when at
 least MIN_SHARE of them agree, or of a part of them that holds the window: an excerpt
-may end in mid-item.  An item shorter than the masks is seeded at its whole length
-and verified whole: from SHORT words on by masks that leave out any places that
-MIN_SHARE lets differ, below that by all its words.
+may end in mid-item.  An item shorter than the masks is seeded at its whole length,
+by masks that leave out any places that MIN_SHARE lets differ, and verified whole.  An item of fewer
+than SHORTEST words says too little to name a passage: it overlaps nothing and is listed by ``unusable``.
+Hits are verified HITS at a time, of which the best overlap of each text and item is kept, so
+repetitive texts against repetitive items take time but no more memory.
 
 The benchmark is broadcast in slices of at most SLICE_WORDS words, each checked for
 size; a larger benchmark takes several slices and as many passes over the texts, so
@@ -34,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm._text import arrow_batches, chunks, hash_words, map_rows, mix64, named, unused, windows
+from quarrystone.llm._text import Words, arrow_batches, chunks, hash_words, map_rows, mix64, named, unused, windows
 
 MASKS = ("110110101111", "111010011011", "101101110011", "111100110101")
 EXTEND = 4
 MIN_SHARE = 0.75
-#: Words from which an item shorter than the masks may differ from its copy.
-SHORT = 6
+#: Words that an item needs.
+SHORTEST = 6
+#: Hits that are verified together.
+HITS = 1 << 17
 SLICE_WORDS = 1_000_000
 _FILTER_BITS = 22
 
@@ -78,7 +82,7 @@ def hash_of_mask(mask: str) -> np.uint64:
 
 def short_masks(n: int) -> tuple[str, ...]:
     """Masks of length ``n`` of which one at least keeps only agreeing words wherever MIN_SHARE of them agree."""
-    holes = int(n * (1 - MIN_SHARE)) if n >= SHORT else 0
+    holes = int(n * (1 - MIN_SHARE))
     block = np.arange(n) * (holes + 2) // n
     return tuple("".join("0" if b in out else "1" for b in block) for out in combinations(range(holes + 2), holes))
 
@@ -87,7 +91,7 @@ def build_slice(ids: list, texts: list[str], masks: tuple[str, ...] = MASKS) ->
     words = hash_words(pa.array(texts, pa.string()))
     span = max(map(len, masks))
     count = np.diff(words.off)
-    short = sorted({int(c) for c in count if 0 < c < span})
+    short = sorted({int(c) for c in count if c < span})
     all_masks = tuple(masks) + tuple(m for c in short for m in short_masks(c))
     seeds, item, at = [], [], []
     for m in all_masks:
@@ -114,7 +118,7 @@ def slices(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iter
     rows = benchmark.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).where("text is not null").distinct().orderBy("id", "text")
     for r in rows.toLocalIterator():
         n = len(hash_words(pa.array([r["text"]])).h)
-        if not n:
+        if n < SHORTEST:
             continue
         if ids and total + n > limit:
             yield build_slice(ids, texts)
@@ -126,6 +130,19 @@ def slices(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iter
         yield build_slice(ids, texts)
 
 
+def unusable(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, n_words) of the items that are too short to be looked for; null and empty ones have no words."""
+    arrow_batches(benchmark.sparkSession)
+    kind = benchmark.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            n = np.diff(hash_words(x.column(1)).off)
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(n.astype(np.int64))], names=["item_id", "n_words"]).filter(pa.array(n < SHORTEST))
+
+    return benchmark.select(named(id_col).alias("item_id"), F.lower(named(text_col)).alias("text")).mapInArrow(run, f"item_id {kind}, n_words long")
+
+
 def overlaps(texts: pa.Array, s: Slice) -> tuple[np.ndarray, ...]:
     """(text, item, start in text, start in item, words, agreeing) of every verified overlap, best per text and item."""
     found = []
@@ -142,38 +159,58 @@ def overlaps(texts: pa.Array, s: Slice) -> tuple[np.ndarray, ...]:
                 continue
             key, pos, doc = key[some], pos[some], doc[some]
             lo, hi = np.searchsorted(s.seeds, key, "left"), np.searchsorted(s.seeds, key, "right")
-            many = hi - lo
-            hit = np.repeat(np.arange(len(key)), many)
-            seed = np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-            if not len(hit):
-                continue
-            d, i = doc[hit], s.item[seed]
-            p, q = pos[hit] - words.off[d], s.at[seed]
-            size = s.off[i + 1] - s.off[i]
-            back = np.minimum(EXTEND, np.minimum(p, q))
-            ahead = np.minimum(EXTEND, np.minimum(count[d] - p, size - q) - len(m))
-            start, item_start, wide = p - back, q - back, len(m) + back + ahead
-            k = np.repeat(np.arange(len(hit)), wide)
-            step = np.arange(len(k)) - np.repeat(np.cumsum(wide) - wide, wide)
-            same = words.h[words.off[d[k]] + start[k] + step] == s.words[s.off[i[k]] + item_start[k] + step]
-            agree = np.bincount(k[same], minlength=len(hit))
-            ok = agree >= MIN_SHARE * wide
-            found.append(np.stack((d + a, i, start, item_start, wide, agree, np.zeros(len(d), np.int64)), axis=1)[ok])
-            if len(m) >= 12 and not ok.all():
-                at = np.zeros((len(hit), len(m) + 2 * EXTEND), np.int64)
-                at[k, step - back[k] + EXTEND] = same
-                b, g, w = _part(at[~ok], len(m), back[~ok], ahead[~ok])
-                part = np.stack(((d + a)[~ok], i[~ok], p[~ok] - b, q[~ok] - b, w, g, np.ones(len(g), np.int64)), axis=1)
-                found.append(part[g > 0])
-    rows = np.concatenate(found) if found else np.zeros((0, 7), np.int64)
-    if len(rows):
-        rows = rows[np.lexsort((-rows[:, 4], rows[:, 3], rows[:, 2], -rows[:, 5], rows[:, 6], rows[:, 1], rows[:, 0]))]
-        first = np.ones(len(rows), bool)
-        first[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-        rows = rows[first]
+            for c, e in _shares(hi - lo):
+                found.append(_verify(words, count, doc[c:e], pos[c:e], lo[c:e], hi[c:e], s, len(m), a))
+                if sum(map(len, found)) > HITS:
+                    found = [_best(np.concatenate(found))]
+    rows = _best(np.concatenate(found)) if found else np.zeros((0, 7), np.int64)
     return tuple(rows.T[:6])
 
 
+def _shares(many: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of windows with at most HITS hits (one window at least)."""
+    total = np.cumsum(many)
+    a = 0
+    while a < len(many):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS, side="right")))
+        yield a, b
+        a = b
+
+
+def _best(rows: np.ndarray) -> np.ndarray:
+    """Of each text and item the overlap that is reported."""
+    rows = rows[np.lexsort((-rows[:, 4], rows[:, 3], rows[:, 2], -rows[:, 5], rows[:, 6], rows[:, 1], rows[:, 0]))]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+    return rows[first]
+
+
+def _verify(words: Words, count: np.ndarray, doc: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, s: Slice, n: int, base: int) -> np.ndarray:
+    """The verified overlaps around the hits of some windows of ``n`` words: text, item, starts, words, agreeing, and 1 for a part."""
+    many = hi - lo
+    hit = np.repeat(np.arange(len(many)), many)
+    seed = np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+    d, i = doc[hit], s.item[seed]
+    p, q = pos[hit] - words.off[d], s.at[seed]
+    size = s.off[i + 1] - s.off[i]
+    back = np.minimum(EXTEND, np.minimum(p, q))
+    ahead = np.minimum(EXTEND, np.minimum(count[d] - p, size - q) - n)
+    start, item_start, wide = p - back, q - back, n + back + ahead
+    k = np.repeat(np.arange(len(hit)), wide)
+    step = np.arange(len(k)) - np.repeat(np.cumsum(wide) - wide, wide)
+    same = words.h[words.off[d[k]] + start[k] + step] == s.words[s.off[i[k]] + item_start[k] + step]
+    agree = np.bincount(k[same], minlength=len(hit))
+    ok = agree >= MIN_SHARE * wide
+    rows = np.stack((d + base, i, start, item_start, wide, agree, np.zeros(len(d), np.int64)), axis=1)[ok]
+    if n >= 12 and not ok.all():
+        at = np.zeros((len(hit), n + 2 * EXTEND), np.int64)
+        at[k, step - back[k] + EXTEND] = same
+        b, g, w = _part(at[~ok], n, back[~ok], ahead[~ok])
+        part = np.stack(((d + base)[~ok], i[~ok], p[~ok] - b, q[~ok] - b, w, g, np.ones(len(g), np.int64)), axis=1)
+        rows = np.concatenate((rows, part[g > 0]))
+    return rows
+
+
 def _part(same: np.ndarray, n: int, back: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words back, agreeing, words) of the part around each window of ``n`` words in which MIN_SHARE agree, with most agreeing and then fewest words; 0 agreeing if none does."""
     left, right = (np.cumsum(x, axis=1) for x in (same[:, EXTEND - 1 :: -1], same[:, EXTEND + n :]))

@@ -1,6 +1,9 @@
 import itertools
 import re
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from quarrystone.llm import decontaminate as C
 
 from .common import LONG, awkward, empty
@@ -15,7 +18,7 @@ def _brute(texts, items):
     for d, t in texts:
         for i, u in items:
             a, b = WORD.findall((t or "").lower()), WORD.findall((u or "").lower())
-            masks = C.MASKS if len(b) >= span else ("1" * len(b),) if b else ()
+            masks = C.MASKS if len(b) >= span else C.short_masks(len(b)) if len(b) >= C.SHORTEST else ()
             for m in masks:
                 for p in range(len(a) - len(m) + 1):
                     for q in range(len(b) - len(m) + 1):
@@ -32,21 +35,24 @@ def _brute(texts, items):
 def test_against_brute_force(spark):
     words = ITEM.split()
     swap = lambda *at: " ".join("other" if k in at else w for k, w in enumerate(words))
-    texts = [(1, f"some start {ITEM} and an end"), (2, f"x {swap(4)} y"), (3, f"x {swap(3, 9)} y"), (4, swap(*range(0, 17, 2))), (5, " ".join(words[:8])), (6, "nothing like it"), (7, ITEM.upper()), (8, "short one"), (9, "a short one here"), (10, f"{ITEM} {ITEM}")]
-    items = [(100, ITEM), (101, "short one"), (102, None), (103, "")]
+    texts = [(1, f"some start {ITEM} and an end"), (2, f"x {swap(4)} y"), (3, f"x {swap(3, 9)} y"), (4, swap(*range(0, 17, 2))), (5, " ".join(words[:8])), (6, "nothing like it"), (7, ITEM.upper()), (8, "short one of just six words"), (9, "a short one of just five words here"), (11, "what is the capital of spain today"), (10, f"{ITEM} {ITEM}")]
+    items = [(100, ITEM), (101, "short one of just six words"), (102, None), (103, ""), (104, "yes"), (105, "what is the capital of france today")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {tuple(r) for r in C.find(docs, bench).collect()}
     assert got == _brute(texts, items)
     assert {1, 2, 3, 7, 10} <= {r[0] for r in got} and not {4, 6} & {r[0] for r in got}
+    assert {(8, 101), (9, 101), (11, 105)} == {r[:2] for r in got if r[1] != 100}
+    assert {tuple(r) for r in C.unusable(bench).collect()} == {(102, 0), (103, 0), (104, 1)}
     assert {tuple(r) for r in C.find(docs, bench, slice_words=5).collect()} == got
     kept = {r["doc_id"] for r in C.keep_clean(docs, bench).collect()}
     assert kept == {k for k, _ in texts} - {r[0] for r in got}
 
 
 def test_awkward_rows(spark):
-    docs = awkward(spark)
-    bench = spark.createDataFrame([(1, "same text, twice over"), (1, "same text, twice over"), (None, "a text without an id"), (3, None)], "item_id long, text string")
+    longer = F.when(F.col("text").startswith("same text"), F.concat("text", F.lit(" and again"))).when(F.col("text").startswith("a text"), F.concat(F.lit("here "), "text")).otherwise(F.col("text"))
+    docs = awkward(spark).withColumn("text", longer)
+    bench = spark.createDataFrame([(1, "same text, twice over and again"), (1, "same text, twice over and again"), (None, "here a text without an id"), (3, None), (4, "twice over")], "item_id long, text string")
     got = sorted(((r["doc_id"], r["item_id"]) for r in C.find(docs, bench).collect()), key=str)
     assert got == sorted([(6, 1), (7, 1), (None, None)], key=str)
     kept = C.keep_clean(docs, bench)
@@ -64,7 +70,7 @@ def test_end_of_a_long_text(spark):
 
 
 def test_short_items_with_substitutions(spark):
-    for n in range(C.SHORT, 12):
+    for n in range(C.SHORTEST, 12):
         masks = C.short_masks(n)
         allowed = n - -int(-C.MIN_SHARE * n // 1)
         for out in itertools.combinations(range(n), allowed):
@@ -85,3 +91,11 @@ def test_verbatim_excerpts_of_long_items(spark):
     got = {r["doc_id"]: r for r in C.find(docs, bench).collect()}
     assert set(got) == {12, 13, 14, 15}
     assert all(got[n]["n_agree"] == n and got[n]["doc_start"] == 20 and got[n]["item_start"] == 10 for n in (12, 13, 14))
+
+
+def test_repetitive_texts_are_verified_in_blocks(spark, monkeypatch):
+    item, text = "na " * 60, "na " * 900
+    want = C.overlaps(pa.array([text]), C.build_slice([1], [item]))
+    monkeypatch.setattr(C, "HITS", 500)
+    got = C.overlaps(pa.array([text]), C.build_slice([1], [item]))
+    assert [x.tolist() for x in got] == [x.tolist() for x in want] and len(want[0]) == 1
