@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quarrystone.llm import reshard, urls
-from quarrystone.llm.decontaminate import EXTEND, MASKS, MIN_SHARE
+from quarrystone.llm.decontaminate import EXTEND, MASKS, MIN_SHARE, SHORTEST, short_masks
 from quarrystone.llm.katz import CUT, FOLDS, SCALE
 
 _WORDS = r"regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\x00-\x7F])+')"
@@ -15,14 +15,16 @@ def _decontaminate() -> str:
     seeds = []
     for n, m in enumerate(MASKS):
         seeds.append(f"SELECT {n} AS mask, {len(m)} AS wide, id, item, i, [{keep(m, 'i')}] AS seed FROM p WHERE i + {len(m) - 1} <= n AND (NOT item OR n >= {span})")
+    for n in range(SHORTEST, span):
+        for k, m in enumerate(short_masks(n)):
+            seeds.append(f"SELECT {100 * n + k} AS mask, {n} AS wide, id, item, i, [{keep(m, 'i')}] AS seed FROM p JOIN short s ON s.n = {n} WHERE i + {n - 1} <= p.n AND (NOT item OR p.n = {n})")
     return f"""
 WITH d AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark),
 t AS (SELECT doc_id AS id, false AS item, w, len(w) AS n FROM d UNION ALL SELECT item_id, true, w, len(w) FROM b),
 p AS (SELECT id, item, w, n, unnest(range(1, n + 1)) AS i FROM t WHERE n > 0),
-short AS (SELECT DISTINCT n FROM t WHERE item AND n > 0 AND n < {span}),
-seeds AS ({' UNION ALL '.join(seeds)}
-  UNION ALL SELECT 100 + s.n, s.n, id, item, i, w[i : i + s.n - 1] FROM p JOIN short s ON i + s.n - 1 <= p.n AND (NOT item OR p.n = s.n)),
+short AS (SELECT DISTINCT n FROM t WHERE item AND n < {span}),
+seeds AS ({' UNION ALL '.join(seeds)}),
 hits AS (SELECT DISTINCT x.id AS doc_id, y.id AS item_id, x.i AS p, y.i AS q, x.wide FROM seeds x JOIN seeds y ON NOT x.item AND y.item AND x.mask = y.mask AND x.seed = y.seed),
 spans AS (SELECT h.doc_id, h.item_id, d.w AS dw, b.w AS bw, p - back AS ds, q - back AS qs, wide + back + ahead AS n FROM (
   SELECT h.*, least({EXTEND}, p - 1, q - 1) AS back, least({EXTEND}, len(d.w) - p - wide + 1, len(b.w) - q - wide + 1) AS ahead
@@ -116,12 +118,15 @@ FROM o JOIN l ON l.f = o.f AND l.u = o.u AND l.v = o.v AND l.w = o.w WHERE doc_i
 
 
 def _reshard() -> str:
-    b, n = reshard.BLOCKS, reshard.NEW_SHARDS
+    n = reshard.NEW_SHARDS
     return f"""
-WITH d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS n_bytes, coalesce(((doc_id % {b}) + {b}) % {b}, 0) AS blk FROM documents),
+WITH raw AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS n_bytes FROM documents),
+sizes AS (SELECT source, sum(n_bytes)::BIGINT AS size, (sum(sum(n_bytes)) OVER ())::BIGINT AS total FROM raw GROUP BY source),
+counts AS (SELECT source, size, total, greatest(1, least({reshard.MAX_BLOCK}, total // {n * reshard.BLOCKS})) AS bytes FROM sizes),
+d AS (SELECT doc_id, raw.source, n_bytes, ((doc_id % k) + k) % k AS blk FROM raw JOIN (SELECT source AS s, (size + bytes - 1) // bytes AS k FROM counts) ON s IS NOT DISTINCT FROM raw.source),
 blocks AS (SELECT source, blk, sum(n_bytes)::BIGINT AS size FROM d GROUP BY ALL),
-olds AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, sum(size)::BIGINT AS size FROM blocks GROUP BY source),
-news AS (SELECT j, (total * (j + 1)) // {n} - (total * j) // {n} AS cap FROM range({n}) r(j), (SELECT sum(size)::BIGINT AS total FROM olds)),
+olds AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, size FROM sizes),
+news AS (SELECT j, (total * (j + 1)) // {n} - (total * j) // {n} AS cap FROM range({n}) r(j), (SELECT max(total) AS total FROM sizes)),
 paired AS (SELECT coalesce(i, j) AS k, source, coalesce(size, 0) AS size, coalesce(cap, 0) AS cap, CASE WHEN i IS NULL OR j IS NULL THEN 0 ELSE least(size, cap) END AS stay FROM olds FULL JOIN news ON i = j),
 flow AS (SELECT *, coalesce(sum(size - stay) OVER w, 0)::BIGINT AS gave, coalesce(sum(cap - stay) OVER w, 0)::BIGINT AS got FROM paired WINDOW w AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 mid AS (SELECT b.source, b.blk, f.k, 2 * coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + b.size AS m, f.stay, f.gave FROM blocks b JOIN flow f ON f.k = (SELECT o.i FROM olds o WHERE o.source IS NOT DISTINCT FROM b.source)),

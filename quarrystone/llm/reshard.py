@@ -7,15 +7,18 @@ old shards to all new ones, so the network has three arcs a shard instead of
 their product.  A primal-dual solver finds the flow that moves the fewest bytes; the
 amounts that leave a shard are matched with those that others lack in rank order.
 
-A shard's documents fall into BLOCKS blocks by id.  Blocks, in order, are cut at the
+A shard's documents fall into blocks by id, as many as its size asks for: BLOCKS for a
+new shard of average size, and at least one for MAX_BLOCK bytes.  Blocks, in order, are cut at the
 flow's amounts: the first stay, the next go to the first receiver and so on; a block goes
-where its middle byte falls, so a shard misses its capacity by less than one block for
-each of its cuts.  Only sizes of blocks come to the driver: BLOCKS rows a shard, whatever the data.
-Shards that lose or get a block are rewritten, one folder each, and others left alone.
+where its middle byte falls, so a cut misses its place by at most half a block.
+Only the sizes of shards come to the driver; blocks are added up and placed by a window over each shard.
+Shards that lose or get a block are rewritten, one folder each, and others left alone; as many tasks write
+a shard as its size asks for.
 
 Defined cases.  A document counts its text's UTF-8 bytes and one more, so a null or empty
-text counts 1.  A null shard name is a shard of its own, ranked first; a null id falls into
-block 0.  Repeated rows are moved together and all kept.  More new shards than old: the
+text counts 1.  A null shard name is a shard of its own, ranked first.  Ids may be of any type: integers go to blocks
+by their remainder, others by a checksum, and null ids by that of the text.  Repeated rows are moved together and all kept, though
+several tasks may write them.  More new shards than old: the
 rest start empty; fewer: the surplus old shards are emptied.  No documents: no shards, an empty result.
 Columns of the input called like those that are added, or like the __ ones used within, are replaced.
 """
@@ -24,18 +27,20 @@ from __future__ import annotations
 
 import heapq
 from collections import deque
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrystone.llm._text import named, without
-from quarrystone.session import scratch_path
+from quarrystone.session import materialize, scratch_path
 
-BLOCKS = 256
+BLOCKS = 64
+MAX_BLOCK = 32 << 20
 NEW_SHARDS = 24
-#: Bytes of text that one task writes to a new shard, as far as its blocks allow.
-TASK_BYTES = 128 << 20
+#: Bytes of text that one task writes to a new shard.
+TASK_BYTES = 64 << 20
 #: A block table up to this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -163,52 +168,74 @@ def even_capacities(total: int, shards: int) -> list[int]:
 
 @dataclass(frozen=True)
 class Plan:
-    """Where each block goes: (old shard, block) to the new shard; and what that costs."""
+    """Old shards by rank, the cuts of each, and what that costs.
+
+    ``cuts``: for each old shard, (bytes up to which, new shard).  ``moved_bytes``: what the blocks that
+    move hold; ``least_bytes``: the flow's cost.  ``affected``: the shards that lose or get a block.
+    """
 
     shards: list[str | None]
-    target: dict[tuple[int, int], int]
-    moved_bytes: int
+    sizes: list[int]
+    cuts: list[list[tuple[int, int]]]
+    block_bytes: int
     least_bytes: int
-    affected: frozenset[int]
-    total_bytes: int
     new_shards: int
+    moved_bytes: int = 0
+    affected: frozenset[int] = frozenset()
 
 
-def plan(blocks: list[tuple[str | None, int, int]], capacities: list[int] | None = None, shards: int = NEW_SHARDS) -> Plan:
-    """Solve the transfers for (shard, block, bytes) rows."""
-    names = sorted({s for s, _, _ in blocks}, key=lambda s: (s is not None, s or ""))
-    rank = {s: k for k, s in enumerate(names)}
-    sizes = [0] * len(names)
-    for s, _, size in blocks:
-        sizes[rank[s]] += size
+def plan(sizes: dict[str | None, int], capacities: list[int] | None = None, shards: int = NEW_SHARDS) -> Plan:
+    """Solve the transfers for the shards' sizes."""
+    names = sorted(sizes, key=lambda s: (s is not None, s or ""))
+    held = [sizes[s] for s in names]
     if capacities is None:
-        capacities = even_capacities(sum(sizes), shards)
-    stay, moves, least = transfers(sizes, capacities)
+        capacities = even_capacities(sum(held), shards)
+    stay, moves, least = transfers(held, capacities)
     cuts: list[list[tuple[int, int]]] = [[(stay[i], i)] if stay[i] else [] for i in range(len(names))]
     for i, j, amount in moves:
         cuts[i].append(((cuts[i][-1][0] if cuts[i] else 0) + amount, j))
-    target, moved, affected, done = {}, 0, set(), [0] * len(names)
-    for s, b, size in sorted(blocks, key=lambda r: (rank[r[0]], r[1])):
-        i = rank[s]
-        middle = 2 * done[i] + size
-        done[i] += size
-        j = next(j for upto, j in cuts[i] if middle < 2 * upto)
-        target[i, b] = j
-        if i != j:
-            moved += size
-            affected |= {i, j}
-    return Plan(names, target, moved, least, frozenset(affected), sum(sizes), max(1, len(capacities)))
+    block = max(1, min(MAX_BLOCK, sum(held) // (max(1, len(capacities)) * BLOCKS)))
+    return Plan(names, held, cuts, block, least, max(1, len(capacities)))
+
+
+def _key(name: Column) -> Column:
+    """A shard's name as a join key that isn't null."""
+    return F.coalesce(F.concat(F.lit("="), name.cast("string")), F.lit(""))
+
+
+def _sized(docs: DataFrame, shard_col: str, text_col: str) -> DataFrame:
+    return docs.withColumns({"__shard": _key(named(shard_col)), "__bytes": F.coalesce(F.octet_length(named(text_col)), F.lit(0)).cast("long") + 1})
+
+
+def shard_sizes(docs: DataFrame, shard_col: str = "source", text_col: str = "text") -> dict[str | None, int]:
+    """Bytes of each shard: one row a shard."""
+    rows = _sized(docs, shard_col, text_col).groupBy("__shard").agg(F.sum("__bytes").alias("n"))
+    return {r["__shard"][1:] if r["__shard"] else None: r["n"] for r in rows.toLocalIterator()}
+
+
+def _block(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """The block of a row among ``__blocks``."""
+    other = lambda c: F.crc32(c.cast("string").cast("binary"))
+    number = F.col(id_col).cast("long") if isinstance(docs.schema[id_col].dataType, T.IntegralType) else other(named(id_col))
+    return F.pmod(F.coalesce(number, other(named(text_col)), F.lit(0)), F.col("__blocks"))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _sized(docs: DataFrame, id_col: str, shard_col: str, text_col: str) -> DataFrame:
-    block = F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(BLOCKS)), F.lit(0)).cast("int")
-    return docs.withColumns({"__block": block, "__bytes": F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 1})
+def targets(blocks: DataFrame, found: Plan) -> DataFrame:
+    """(__shard, __at, new_shard, moved, size): where each block of (__shard, __at, size) goes."""
+    spark = blocks.sparkSession
+    rows = [(_name(found.shards[i]), 2 * (own[k - 1][0] if k else 0), 2 * upto, j, i != j) for i, own in enumerate(found.cuts) for k, (upto, j) in enumerate(own)]
+    cuts = _small(spark.createDataFrame(rows, "__shard string, __from long, __to long, new_shard int, moved boolean"), len(rows))
+    before = Window.partitionBy("__shard").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    middle = 2 * F.coalesce(F.sum("size").over(before), F.lit(0)) + F.col("size")
+    return blocks.withColumn("__middle", middle).join(cuts, "__shard").where("__middle >= __from and __middle < __to").select("__shard", "__at", "new_shard", "moved", "size")
 
 
-def block_sizes(docs: DataFrame, id_col: str = "doc_id", shard_col: str = "source", text_col: str = "text") -> list[tuple[str | None, int, int]]:
-    """(shard, block, bytes): at most BLOCKS rows a shard."""
-    rows = _sized(docs, id_col, shard_col, text_col).groupBy(F.col(shard_col).cast("string").alias("s"), "__block").agg(F.sum("__bytes").alias("n"))
-    return [(r["s"], r["__block"], r["n"]) for r in rows.toLocalIterator()]
+def _name(s: str | None) -> str:
+    return "" if s is None else "=" + s
 
 
 def reshard(docs: DataFrame, capacities: list[int] | None = None, shards: int = NEW_SHARDS, id_col: str = "doc_id", shard_col: str = "source", text_col: str = "text") -> tuple[DataFrame, Plan, str]:
@@ -217,20 +244,25 @@ def reshard(docs: DataFrame, capacities: list[int] | None = None, shards: int =
     Affected shards are read back from the files written for them.
     """
     spark = docs.sparkSession
-    docs = without(docs, "new_shard", "n_bytes", "moved", "__block", "__bytes", "__shard", "__at", "__affected", "__folder")
-    found = plan(block_sizes(docs, id_col, shard_col, text_col), capacities, shards)
-    rows = [(found.shards[i], b, j, i != j, j in found.affected) for (i, b), j in found.target.items()]
-    table = spark.createDataFrame(rows, "__shard string, __at int, new_shard int, moved boolean, __affected boolean")
-    if len(rows) <= BROADCAST_ROWS:
-        table = F.broadcast(table)
-    sized = _sized(docs, id_col, shard_col, text_col)
-    placed = sized.join(table, F.col(shard_col).cast("string").eqNullSafe(F.col("__shard")) & (F.col("__block") == F.col("__at"))).withColumnRenamed("__bytes", "n_bytes").drop("__shard", "__at")
+    docs = without(docs, "new_shard", "n_bytes", "moved", "__bytes", "__shard", "__at", "__blocks", "__affected", "__folder")
+    found = plan(shard_sizes(docs, shard_col, text_col), capacities, shards)
+    count = [(_name(s), -(-n // found.block_bytes)) for s, n in zip(found.shards, found.sizes, strict=True)]
+    blocks = _small(spark.createDataFrame(count, "__shard string, __blocks long"), len(count))
+    sized = _sized(docs, shard_col, text_col).join(blocks, "__shard").withColumn("__at", _block(docs, id_col, text_col))
+    goal, _ = materialize(targets(sized.groupBy("__shard", "__at").agg(F.sum("__bytes").alias("size")), found), "blocks")
+    rank = {_name(s): i for i, s in enumerate(found.shards)}
+    moves = goal.groupBy("__shard", "new_shard", "moved").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    affected = frozenset(k for r in moves if r["moved"] for k in (rank[r["__shard"]], r["new_shard"]))
+    found = replace(found, moved_bytes=sum(r["size"] for r in moves if r["moved"]), affected=affected)
+    table = _small(goal.select("__shard", "__at", "new_shard", "moved", F.col("new_shard").isin(*affected).alias("__affected") if affected else F.lit(False).alias("__affected")), sum(r["n"] for r in moves))
+    placed = sized.join(table, ["__shard", "__at"]).withColumnRenamed("__bytes", "n_bytes").drop("__shard", "__at", "__blocks")
     path = scratch_path(spark, "shards")
-    affected = placed.where("__affected").drop("__affected")
-    layout = affected.withColumn("__folder", F.col("new_shard"))
-    tasks = min(BLOCKS, max(4, -(-found.total_bytes // max(1, found.new_shards * TASK_BYTES))))
-    layout.repartition(found.new_shards * tasks, "new_shard", F.pmod("__block", F.lit(tasks))).drop("__block").write.partitionBy("__folder").parquet(path)
+    layout = placed.where("__affected").drop("__affected").withColumn("__folder", F.col("new_shard"))
+    tasks = max(4, -(-sum(found.sizes) // (found.new_shards * TASK_BYTES)))
+    # the partition a row comes from spreads even rows that are all alike
+    salt = F.pmod(F.xxhash64(named(id_col), named(text_col)) + F.spark_partition_id(), F.lit(tasks))
+    layout.repartition(found.new_shards * tasks, "new_shard", salt).write.partitionBy("__folder").parquet(path)
     final = [named(c) for c in (*docs.columns, "new_shard", "n_bytes", "moved")]
-    again = spark.read.schema(layout.drop("__block").schema).parquet(path).select(*final)
+    again = spark.read.schema(layout.schema).parquet(path).select(*final)
     left = placed.where("not __affected").select(*final)
     return again.unionByName(left), found, path

@@ -46,11 +46,60 @@ def test_layout_holds_every_row_within_a_block_of_capacity(spark):
     got = layout.toPandas()
     assert sorted(got["doc_id"]) == sorted(docs.toPandas()["doc_id"])
     assert sorted(got["text"]) == sorted(docs.toPandas()["text"])
-    size, caps = got.groupby("new_shard")["n_bytes"].sum(), R.even_capacities(int(got["n_bytes"].sum()), 7)
-    block = max(s for _, _, s in R.block_sizes(docs))
-    assert all(abs(size[j] - c) <= block * 30 for j, c in enumerate(caps))
+    size = got.groupby("new_shard")["n_bytes"].sum()
+    sizes = dict(zip(plan.shards, plan.sizes, strict=True))
+    count = {s: -(-n // plan.block_bytes) for s, n in sizes.items()}
+    block = max(g["n_bytes"].sum() for _, g in got.groupby([got["source"], [i % count[s] for i, s in zip(got["doc_id"], got["source"], strict=True)]]))
+    # what the flow sends to each shard, and how many runs of blocks that is
+    sent, runs = [0] * 7, [0] * 7
+    for own in plan.cuts:
+        done = 0
+        for upto, j in own:
+            sent[j] += upto - done
+            runs[j] += 1
+            done = upto
+    assert sent == R.even_capacities(sum(plan.sizes), 7)
+    assert all(abs(size[j] - sent[j]) <= block * runs[j] for j in range(7))
     assert got[got["moved"]]["n_bytes"].sum() == plan.moved_bytes
-    assert abs(plan.moved_bytes - plan.least_bytes) <= block * 60
+    assert abs(plan.moved_bytes - plan.least_bytes) <= block / 2 * len(plan.shards)
+    assert R.shard_sizes(docs) == sizes
+
+
+def _brute(rows, shards):
+    """Where every row goes, block by block, in plain loops."""
+    size = {}
+    for _, s, t in rows:
+        size[s] = size.get(s, 0) + len((t or "").encode()) + 1
+    found = R.plan(size, shards=shards)
+    out = {}
+    for i, s in enumerate(found.shards):
+        k = -(-size[s] // found.block_bytes)
+        blocks = {}
+        for n, (d, shard, t) in enumerate(rows):
+            if shard == s:
+                blocks.setdefault(d % k, []).append((n, len((t or "").encode()) + 1))
+        done = 0
+        for b in sorted(blocks):
+            own = sum(x for _, x in blocks[b])
+            j = next(j for upto, j in found.cuts[i] if 2 * done + own < 2 * upto)
+            done += own
+            out |= {n: (j, j != i) for n, _ in blocks[b]}
+    return out
+
+
+def test_against_brute_force(spark):
+    rows = [(k * 7, f"s{(k * k) % 5}", "x" * (k * 37 % 211)) for k in range(400)] + [(k, "big", "y" * 150) for k in range(300)]
+    want = _brute(rows, 6)
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, source string, text string, n int")
+    layout, plan, _ = R.reshard(docs, shards=6)
+    assert {r["n"]: (r["new_shard"], r["moved"]) for r in layout.collect()} == want
+    assert len({r["new_shard"] for r in layout.where("source = 'big'").collect()}) > 1
+
+
+def test_ids_of_any_type_and_null_ids(spark):
+    rows = [(f"id{k}", "a", "t" * k) for k in range(50)] + [(None, "a", f"{k}") for k in range(50)]
+    layout, _, _ = R.reshard(spark.createDataFrame(rows, "doc_id string, source string, text string"), shards=3)
+    assert layout.count() == 100 and len({r["new_shard"] for r in layout.where("doc_id is null").collect()}) > 1
 
 
 def test_awkward_rows(spark):
