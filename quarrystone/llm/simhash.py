@@ -8,16 +8,19 @@ exceeds the Hamming distance of the fingerprints: it is a lower bound.
 
 Range join.  Two vectors within Manhattan distance 23 agree within 2 on at least
 one of 8 groups of 8 segments (8 groups at 3 or more would make 24).  A row's home
-is the grid cell (group, sums of the counts of the group's two halves, length class); it also
-goes to the cells whose sums are up to 2 steps away, of each two opposite ones to one, and to the next
-class, so each such pair meets where one of them is at
+is the grid cell (group, sums of the counts of the group's two halves); it also
+goes to the cells whose sums are up to 2 steps away, of each two opposite ones to one,
+so each such pair meets where one of them is at
 home, and only pairs with one at home are looked at.  In a cell, rows are matched with the count
 vectors at distance 0 to 2 of their own; the pairs are filtered by the Manhattan distance over all segments (the popcount of XORed
 thermometer codes) and then verified by the exact Hamming distance.  The join is
-exact: no pair within the limits is lost, and no cell or partner count is capped.
+exact: no pair within the limit is lost, and no cell or partner count is capped.
+The rows of each cell are counted first.  A cell of more than CELL_ROWS is worked on by several
+tasks: each has a share of the rows at home, by a hash of their ids, and meets all rows of the cell.
 
-Limits.  Two documents are near-duplicates when their fingerprints differ in at
-most 23 bits and their numbers of distinct words by a factor of at most 1.2.
+Limit.  Two documents are near-duplicates when their fingerprints differ in at
+most 23 bits.  ``length_ratio`` (off) asks besides that their numbers of distinct words differ by at most
+that factor, and keeps cells for each class of lengths, which makes very large corpora cheaper.
 Documents joined by a chain of such pairs form a group; the least id stands for it.
 
 Defined cases.  A null or empty text, or one without a word, has no fingerprint and
@@ -42,8 +45,9 @@ from quarrystone.session import materialize
 
 BITS = 128
 MAX_HAMMING = 23
-LENGTH_RATIO = 1.2
 GROUPS = 8
+#: Rows that a task of the join meets, about.
+CELL_ROWS = 1_000_000
 #: What a group's count vectors may differ by: GROUPS * (NEAR + 1) > MAX_HAMMING.
 NEAR = 2
 _SPREAD = np.uint64(0xA24BAED4963EE407)
@@ -139,45 +143,73 @@ def _codes(f0: np.ndarray, f1: np.ndarray) -> np.ndarray:
     return _CODE[fields.view(np.uint16).astype(np.int64)]
 
 
-def _length_class(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(n) / np.log(LENGTH_RATIO) + 1e-9).astype(np.int64)
+def _length_class(n: np.ndarray, ratio: float | None) -> np.ndarray:
+    return np.zeros(len(n), np.int64) if ratio is None else np.floor(np.log(n) / np.log(ratio) + 1e-9).astype(np.int64)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _placed(f0: np.ndarray, f1: np.ndarray, n: np.ndarray, ratio: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(rows, their cell, whether its sums are theirs) for every cell that rows go to."""
+    places, size, rows = _PLACE[_codes(f0, f1)], _length_class(n, ratio), np.arange(len(n))
+    for g in range(GROUPS):
+        first, second = places[:, g] % 10, places[:, g] // 10
+        for x, y in _UPS:
+            # no row is at home beyond the sums 0 to 8
+            own = rows[(first + x <= 8) & (second + y >= 0) & (second + y <= 8)]
+            for longer in (0,) if ratio is None else (0, 1):
+                yield own, g + 8 * (places[own, g] + x + 10 * y) + 800 * (size[own] + longer), not (x or y)
+
+
+def _sizes(batches: Iterator[pa.RecordBatch], ratio: float | None) -> Iterator[pa.RecordBatch]:
+    """(cell, rows) of a task's rows."""
+    total: dict[int, int] = {}
+    for x in batches:
+        f0, f1 = (x.column(k).to_numpy().view(np.uint64) for k in (1, 2))
+        for _, cell, _ in _placed(f0, f1, x.column(0).to_numpy(), ratio):
+            u, c = np.unique(cell, return_counts=True)
+            for k, v in zip(u.tolist(), c.tolist(), strict=True):
+                total[k] = total.get(k, 0) + v
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()))], names=["cell", "rows"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch], ratio: float | None, shares: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Every row in its cells: once for each task of the cell; ``mine`` tells the share of the rows at home."""
+    large = np.array(sorted(shares), np.int64)
+    count = np.array([shares[k] for k in sorted(shares)], np.int64)
     for x in batches:
         for at in range(0, x.num_rows, 10_000):
             part = x.slice(at, 10_000)
             f0, f1 = (part.column(k).to_numpy().view(np.uint64) for k in (2, 3))
-            n = part.column(1).to_numpy()
-            places = _PLACE[_codes(f0, f1)]
-            size = _length_class(n)
-            rows = np.arange(len(n))
-            cell, take = [], []
-            for g in range(GROUPS):
-                first, second = places[:, g] % 10, places[:, g] // 10
-                for x, y in _UPS:
-                    # no row is at home beyond the sums 0 to 8
-                    own = rows[(first + x <= 8) & (second + y >= 0) & (second + y <= 8)]
-                    for longer in (0, 1):
-                        cell.append(g + 8 * (places[own, g] + x + 10 * y) + 800 * (size[own] + longer))
-                        take.append(own)
-            cell, take = np.concatenate(cell), np.concatenate(take)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), *(part.column(k).take(pa.array(take)) for k in range(4))], names=["cell", "id", "n", "f0", "f1"])
-
-
-def near_pairs(code: np.ndarray, f0: np.ndarray, f1: np.ndarray, n: np.ndarray, place: int, guest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            salt = part.column(4).to_numpy().view(np.uint64)
+            cells, takes, tasks, mines = [], [], [], []
+            for own, cell, home in _placed(f0, f1, part.column(1).to_numpy(), ratio):
+                times = np.ones(len(own), np.int64)
+                if len(large):
+                    k = np.minimum(np.searchsorted(large, cell), len(large) - 1)
+                    times = np.where(large[k] == cell, count[k], 1)
+                task = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                own, cell, times = (np.repeat(v, times) for v in (own, cell, times))
+                cells.append(cell)
+                takes.append(own)
+                tasks.append(task)
+                mines.append(((salt[own] % times.astype(np.uint64)).astype(np.int64) == task) & home)
+            take = pa.array(np.concatenate(takes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(tasks).astype(np.int32)), pa.array(np.concatenate(mines)), *(part.column(k).take(take) for k in range(4))], names=["cell", "task", "mine", "id", "n", "f0", "f1"])
+
+
+def near_pairs(code: np.ndarray, f0: np.ndarray, f1: np.ndarray, n: np.ndarray, mine: np.ndarray, guest: np.ndarray, ratio: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs whose codes are at Manhattan distance at most NEAR and that are verified near-duplicates.
 
-    Of a pair, one code at least must be at home at ``place``, and one row at least not be a ``guest`` by length.
+    Of a pair, one row at least is ``mine``, and one at least not a ``guest`` by length.
     """
-    order = np.argsort(2 * code + guest, kind="stable")
-    key = (2 * code + guest)[order]
+    key = 4 * code + 2 * mine + guest
+    order = np.argsort(key, kind="stable")
+    key = key[order]
     f0, f1, n = f0[order], f1[order], n[order]
     u0, u1 = _thermometer(f0), _thermometer(f1)
     uniq, first, count = np.unique(key, return_index=True, return_counts=True)
-    far = uniq % 2
-    home = _PLACE[uniq // 2] == place
-    own, unary = np.flatnonzero(home), _UNARY[uniq // 2]
+    home, far = uniq // 2 % 2 == 1, uniq % 2
+    own, unary = np.flatnonzero(home), _UNARY[uniq // 4]
     p, q = np.nonzero(np.bitwise_count(unary[own, None] ^ unary[None]) <= NEAR)
     p = own[p]
     met = (far[p] + far[q] < 2) & (~home[q] | (p <= q))
@@ -186,8 +218,9 @@ def near_pairs(code: np.ndarray, f0: np.ndarray, f1: np.ndarray, n: np.ndarray,
 
     def verify(i: np.ndarray, j: np.ndarray) -> None:
         near = np.bitwise_count(f0[i] ^ f0[j]) + np.bitwise_count(f1[i] ^ f1[j]) <= MAX_HAMMING
-        a, b = n[i], n[j]
-        near &= np.maximum(a, b) <= LENGTH_RATIO * np.minimum(a, b)
+        if ratio is not None:
+            a, b = n[i], n[j]
+            near &= np.maximum(a, b) <= ratio * np.minimum(a, b)
         found.append((i[near], j[near]))
 
     area = count[p] * count[q]
@@ -234,14 +267,13 @@ def _stars(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def _match(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _match(key: tuple[pa.Scalar, ...], table: pa.Table, ratio: float | None) -> pa.Table:
     """Star edges over the near pairs that meet in this cell."""
-    cell = int(key[0].as_py())
-    g, place, size = cell % 8, cell // 8 % 100, cell // 800
+    g, size = int(key[0].as_py()) % 8, int(key[0].as_py()) // 800
     ids = table.column("id").combine_chunks()
     f0, f1 = (table.column(k).to_numpy().view(np.uint64) for k in ("f0", "f1"))
-    n = table.column("n").to_numpy()
-    i, j = near_pairs(_codes(f0, f1)[:, g], f0, f1, n, place, (_length_class(n) != size).astype(np.int64))
+    n, mine = table.column("n").to_numpy(), table.column("mine").to_numpy()
+    i, j = near_pairs(_codes(f0, f1)[:, g], f0, f1, n, mine.astype(np.int64), (_length_class(n, ratio) != size).astype(np.int64), ratio)
     if not len(i):
         return pa.table({"a": ids.slice(0, 0), "b": ids.slice(0, 0)})
     label = _stars(len(n), i, j)
@@ -249,26 +281,31 @@ def _match(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"a": ids.take(pa.array(label[far])), "b": ids.take(pa.array(far))})
 
 
-def near_edges(prints: DataFrame) -> DataFrame:
+def near_edges(prints: DataFrame, length_ratio: float | None = None) -> DataFrame:
     """(a, b): edges whose components are the near-duplicate groups of ``prints`` (id, n, f0, f1)."""
     kind = prints.schema["id"].dataType.simpleString()
-    cells = prints.select("id", "n", "f0", "f1").mapInArrow(_cells, f"cell long, id {kind}, n long, f0 long, f1 long")
-    return cells.groupBy("cell").applyInArrow(_match, f"a {kind}, b {kind}").distinct()
+    # at most 8 x 81 cells for each class of lengths
+    sizes = prints.select("n", "f0", "f1").mapInArrow(lambda x: _sizes(x, length_ratio), "cell long, rows long").groupBy("cell").agg(F.sum("rows").alias("rows")).where(F.col("rows") > CELL_ROWS)
+    shares = {r["cell"]: -(-r["rows"] // CELL_ROWS) for r in sizes.collect()}
+    rows = prints.select("id", "n", "f0", "f1", F.xxhash64("id").alias("salt"))
+    cells = rows.mapInArrow(lambda x: _cells(x, length_ratio, shares), f"cell long, task int, mine boolean, id {kind}, n long, f0 long, f1 long")
+    return cells.groupBy("cell", "task").applyInArrow(lambda k, t: _match(k, t, length_ratio), f"a {kind}, b {kind}").distinct()
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_ratio: float | None = None) -> DataFrame:
     """(id, text_key, duplicate_of): every document that another of its group stands for.
 
     Documents with the same fingerprint and length are first folded into the least
     id, so a group of many exact copies costs one row in the join.
     """
     found, _ = materialize(fingerprints(docs, id_col, text_col), "simhash")
-    return _duplicates(found)
+    return _duplicates(found, length_ratio)
 
 
-def _duplicates(found: DataFrame) -> DataFrame:
+def _duplicates(found: DataFrame, length_ratio: float | None = None) -> DataFrame:
     heads = found.groupBy("f0", "f1", "n").agg(F.min("id").alias("id"))
-    groups = components(near_edges(heads)).select(F.col("node").alias("head"), "component")
+    heads, _ = materialize(heads, "prints")
+    groups = components(near_edges(heads, length_ratio)).select(F.col("node").alias("head"), "component")
     rows = found.join(heads.withColumnRenamed("id", "head"), ["f0", "f1", "n"]).join(groups, "head", "left")
     named = rows.select("id", "text_key", F.coalesce("component", "head").alias("duplicate_of"))
     return named.where("id <> duplicate_of").distinct()

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from .common import LONG, awkward, empty, row, SCHEMA
 D = "/root/testdata/sf0.01"
 
 
-def _groups(ids, f0, f1, n):
+def _groups(ids, f0, f1, n, ratio=None):
     """Least id of every document's group, by comparing all pairs."""
     parent = {i: i for i in ids}
 
@@ -21,7 +22,9 @@ def _groups(ids, f0, f1, n):
         return x
 
     d = np.bitwise_count(f0[:, None] ^ f0[None]) + np.bitwise_count(f1[:, None] ^ f1[None])
-    near = (d <= S.MAX_HAMMING) & (np.maximum(n[:, None], n[None]) <= S.LENGTH_RATIO * np.minimum(n[:, None], n[None]))
+    near = d <= S.MAX_HAMMING
+    if ratio is not None:
+        near &= np.maximum(n[:, None], n[None]) <= ratio * np.minimum(n[:, None], n[None])
     for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
         a, b = find(ids[i]), find(ids[j])
         if a != b:
@@ -38,6 +41,15 @@ def test_whole_table_against_all_pairs(spark):
     assert S.keep_one(docs).count() == docs.count() - len(want)
 
 
+@pytest.mark.parametrize("ratio,rows", [(None, 150), (1.2, 60)])
+def test_cells_of_several_tasks_and_length_limits(spark, monkeypatch, ratio, rows):
+    monkeypatch.setattr(S, "CELL_ROWS", rows)
+    p = S.fingerprints(spark.read.parquet(f"{D}/documents.parquet")).toPandas()
+    want = {i: g for i, g in _groups(p["id"].to_list(), p["f0"].to_numpy().view(np.uint64), p["f1"].to_numpy().view(np.uint64), p["n"].to_numpy(), ratio).items() if i != g}
+    got = S.duplicates(spark.read.parquet(f"{D}/documents.parquet"), length_ratio=ratio)
+    assert {r["id"]: r["duplicate_of"] for r in got.collect()} == want
+
+
 def test_fingerprint_by_definition():
     rng = np.random.default_rng(3)
     words = [f"w{k}" for k in range(60)]
