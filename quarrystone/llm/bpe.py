@@ -15,10 +15,13 @@ lost, and its birth; a label has the state it leads to, its left part and its bi
 Whether state p has arc y is then: if p is younger than y, y isn't what p lost and p's
 parent has y; else p has the left part of y (a byte is an arc of the first state).
 
-Encoding.  From the state reached so far, the longest label that continues the word and
-is an arc of that state is followed; at a dead end the walk goes back to the next
-shorter one.  As every prefix has exactly one accepted path, this finds it.  Words are
-cut out by the pattern of the vocabulary.  Decoding concatenates the labels.
+Encoding.  Read from the left, every prefix of a word has exactly one accepted path, so a place in
+the word has one state: the last token of its prefix.  It is the one token that ends at the place and
+is an arc of the state at its own beginning, so states follow from left to right by two
+tables, the tree of all labels' bytes and the arcs, and nothing is tried twice.  All new words
+of a batch go through the tables together, in step; arcs once tested are kept in a table of
+fixed size.  Walking back from the end gives the tokens.  Words are
+cut out by the pattern of the vocabulary; words are remembered with their tokens.  Decoding gathers the labels' bytes.
 
 Defined cases.  A null text gives null tokens and a null decoded text, an empty text no
 tokens.  Every byte string is encodable; special tokens are ordinary text.  Rows are
@@ -38,17 +41,18 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm._text import arrow_batches, map_rows, without
+from quarrystone.llm._text import arrow_batches, chunks, map_rows, without
 
 #: A byte-level BPE vocabulary with its merges in order; the place is a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: The pattern by which byte-level BPE vocabularies of this kind cut words.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a worker remembers with their tokens; beyond it, it starts afresh.
-REMEMBER = 400_000
+#: Words and pieces that a worker remembers with their tokens; beyond it, it starts afresh.
+REMEMBER = 300_000
 
 
 @dataclass(frozen=True)
@@ -151,117 +155,221 @@ class _Arcs:
         return True
 
 
+#: Arcs kept, each at the place that its two tokens hash to.
+ARC_BITS = 22
+#: Bytes of a word beyond which it goes through the tables alone.
+LONG_WORD = 128
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Tree:
+    """The labels' bytes as a table: node and byte to node; leaves have no row."""
+
+    def __init__(self, labels: tuple[bytes, ...]):
+        child: dict[tuple[int, int], int] = {}
+        token = [-1]
+        for y, x in enumerate(labels):
+            node = 0
+            for c in x:
+                node = child.setdefault((node, c), len(token))
+                if node == len(token):
+                    token.append(-1)
+            token[node] = y
+        inner = sorted({n for n, _ in child})
+        order = np.full(len(token), -1)
+        order[inner] = np.arange(len(inner))
+        leaves = np.flatnonzero(order < 0)
+        order[leaves] = len(inner) + np.arange(len(leaves))
+        used = sorted({c for _, c in child})
+        #: Class of each byte; the last class has no arcs.
+        self.kind = np.full(256, len(used), np.int64)
+        self.kind[used] = np.arange(len(used))
+        self.inner = len(inner)
+        self.step = np.full((len(inner), len(used) + 1), -1, np.int32)
+        at = np.array([(n, c) for n, c in child])
+        self.step[order[at[:, 0]], self.kind[at[:, 1]]] = order[list(child.values())]
+        self.token = np.full(len(token), -1, np.int32)
+        self.token[order] = token
+
+
 class Encoder:
     """Encodes and decodes with an automaton; remembers words."""
 
     def __init__(self, a: Automaton, pattern: str = PATTERN):
-        self.labels, self.ids = a.labels, a.ids.tolist()
+        self.labels, self.ids = a.labels, a.ids
         self.leads, self.has = a.leads.tolist(), a.arcs().has
-        self.number = {x: k for k, x in enumerate(a.labels)}
-        self.size = [len(x) for x in a.labels]
-        self.shorter = [next((k for n in range(len(x) - 1, 0, -1) if (k := self.number.get(x[:n])) is not None), -1) for x in a.labels]
-        self.reach: dict[bytes, int] = {}
-        for x in a.labels:
-            if len(x) >= 4:
-                self.reach[x[:4]] = max(self.reach.get(x[:4], 0), len(x))
-        self.by_id = dict(zip(self.ids, self.labels, strict=True))
+        self.size = np.array([len(x) for x in a.labels])
+        self.tree = Tree(a.labels)
         self.words = regex.compile(pattern).findall
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.word = _Memory(self._word, REMEMBER // 2)
-        self.first = _Memory(self._piece, REMEMBER // 8)
-        self.spaced = _Memory(self._spaced, REMEMBER)
+        self.arc_key, self.arc = np.full(1 << ARC_BITS, -1, np.int64), np.zeros(1 << ARC_BITS, bool)
+        self.of_word: dict[str, tuple[int, ...]] = {}
+        self.of_piece: dict[str, tuple[int, ...] | None] = {}
+        self.off = np.concatenate(([0], np.cumsum(self.size)))
+        self.bytes = np.frombuffer(b"".join(a.labels), np.uint8)
+        self.label = np.full(int(self.ids.max()) + 1, -1, np.int64)
+        self.label[self.ids] = np.arange(len(self.ids))
+
+    def arcs(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether ``token`` is an arc of the state that ``before`` leads to."""
+        key = before.astype(np.int64) * len(self.size) + token
+        at = ((key.astype(np.uint64) * _MIX) >> np.uint64(64 - ARC_BITS)).astype(np.int64)
+        miss = self.arc_key[at] != key
+        if not miss.any():
+            return self.arc[at]
+        out = self.arc[at]
+        new, back = np.unique(key[miss], return_inverse=True)
+        n, has, leads = len(self.size), self.has, self.leads
+        found = np.array([has(leads[k // n], k % n) for k in new.tolist()])
+        out[miss] = found[back]
+        put = ((new.astype(np.uint64) * _MIX) >> np.uint64(64 - ARC_BITS)).astype(np.int64)
+        self.arc_key[put], self.arc[put] = new, found
+        # of two new arcs with one place, the key that stayed must go with its own value
+        lost = self.arc_key[put] != new
+        if lost.any():
+            held = dict(zip(new.tolist(), found.tolist(), strict=True))
+            for p in np.unique(put[lost]).tolist():
+                self.arc[p] = held[int(self.arc_key[p])]
+        return out
+
+    def paths(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens (numbered by age) of the accepted paths over the words, one after another, and where each word's begin (n + 1)."""
+        size = np.array([len(w) for w in words])
+        start = np.cumsum(size) - size
+        data = self.tree.kind[np.frombuffer(b"".join(words), np.uint8)]
+        total = len(data)
+        if not total:
+            return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64)
+        end_of = np.repeat(start + size, size)
+        # every token within a word: where it begins and ends
+        begin, node = np.arange(total), np.zeros(total, np.int64)
+        at = begin.copy()
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(begin):
+            node = self.tree.step[node, data[at]]
+            live = node >= 0
+            begin, node, at = begin[live], node[live], at[live] + 1
+            y = self.tree.token[node]
+            hit = y >= 0
+            found.append((begin[hit], at[hit], y[hit]))
+            on = (node < self.tree.inner) & (at < end_of[begin])
+            begin, node, at = begin[on], node[on].astype(np.int64), at[on]
+        begin, stop, token = (np.concatenate([f[k] for f in found]) for k in range(3))
+        from_ = np.repeat(start, size)[begin]
+        place = stop - from_
+        order = np.argsort(place, kind="stable")
+        begin, stop, token, place = begin[order], stop[order], token[order], place[order]
+        # the last token of the prefix that ends before each byte; a word's own beginning has none, and is the end of the word before
+        last = np.full(total + 1, -1, np.int64)
+        own = np.zeros(total + 1, bool)
+        own[start] = True
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)])) if len(place) else [0]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            x, y = begin[a:b], token[a:b]
+            ok = own[x]
+            rest = np.flatnonzero(~ok)
+            if len(rest):
+                ok[rest] = self.arcs(last[x[rest]], y[rest])
+            last[stop[a:b][ok]] = y[ok]
+        at, number = (start + size)[size > 0], np.flatnonzero(size > 0)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        y = last[at]
+        while len(at):
+            out.append((number, y))
+            at = at - self.size[y]
+            on = at > start[number]
+            at, number = at[on], number[on]
+            y = last[at]
+        number, token = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+        # rounds went from the words' ends backwards
+        order = np.argsort(number[::-1], kind="stable")
+        return token[::-1][order], np.concatenate(([0], np.cumsum(np.bincount(number, minlength=len(words)))))
 
     def path(self, word: bytes) -> list[int]:
-        """The tokens (numbered by age) of the one accepted path over ``word``.
-
-        Arcs are tried from the longest; a place that was left again is dead, as
-        only one accepted path leads to it.
-        """
-        number, reach, size, shorter, leads, pairs, has = self.number, self.reach, self.size, self.shorter, self.leads, self.pairs, self.has
-        n, at, path, dead = len(word), 0, [], set()
-        token = -1
-        while at < n or token >= 0:
-            if token < 0:
-                end = at + reach.get(word[at : at + 4], 3)
-                while token < 0:
-                    token = number.get(word[at:end], -1)
-                    end -= 1
-            before = path[-1] if path else -1
-            while token >= 0:
-                end = at + size[token]
-                if end not in dead:
-                    if before < 0:
-                        break
-                    pair = before, token
-                    ok = pairs.get(pair)
-                    if ok is None:
-                        if len(pairs) > REMEMBER:
-                            pairs.clear()
-                        ok = pairs[pair] = has(leads[before], token)
-                    if ok:
-                        break
-                token = shorter[token]
-            if token >= 0:
-                path.append(token)
-                at += size[token]
-                token = -1
-            else:
-                dead.add(at)
-                token = path.pop()
-                at -= size[token]
-                token = shorter[token]
-                if token < 0:
-                    dead.add(at)
-                    while token < 0:
-                        token = path.pop()
-                        at -= size[token]
-                        token = shorter[token]
-        return path
-
-    def _word(self, word: str) -> list[int]:
-        ids = self.ids
-        return [ids[y] for y in self.path(word.encode("utf-8", "surrogatepass"))]
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.word.__getitem__, self.words(piece))))
-
-    def _spaced(self, piece: str) -> tuple[int, ...]:
+        """The tokens (numbered by age) of the accepted path over one word."""
+        return self.paths([word])[0].tolist()
+
+    def learn(self, words: set[str]) -> None:
+        """Remember the tokens of words: short ones go through the tables together."""
+        new = [w for w in words if w not in self.of_word]
+        raw = [w.encode("utf-8", "surrogatepass") for w in new]
+        short = [k for k, w in enumerate(raw) if len(w) <= LONG_WORD]
+        for group in ([short] if short else []) + [[k] for k, w in enumerate(raw) if len(w) > LONG_WORD]:
+            token, off = self.paths([raw[k] for k in group])
+            ids = self.ids[token].tolist()
+            for k, a, b in zip(group, off[:-1].tolist(), off[1:].tolist(), strict=True):
+                self.of_word[new[k]] = tuple(ids[a:b])
+
+    def _cut(self, piece: str) -> list[str] | None:
+        """The words of a piece and the space before it; None if the space doesn't surely begin a word, being next to another blank."""
         if piece.isalpha():
-            return tuple(self._word(" " + piece))
-        if piece[:-1].isalpha() and piece[-1] in ".,":
-            return (*self.word[" " + piece[:-1]], *self.word[piece[-1]])
-        return self._piece(" " + piece)
+            return [" " + piece]
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        return self.words(" " + piece)
 
-    def encode(self, text: str) -> np.ndarray:
-        """The token ids of a text.
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """The token ids of each text.
 
-        A single space always starts a word of the pattern, so a text without double
-        spaces is cut at its spaces and the pieces are remembered with their tokens.
+        A space between two other signs always starts a word of the pattern, so a text in which every
+        space is of that kind is cut at its spaces; others are cut by the pattern as a whole.
         """
-        if "  " in text:
-            found = map(self.word.__getitem__, self.words(text))
-        else:
-            head, *rest = text.split(" ")
-            found = chain((self.first[head],), map(self.spaced.__getitem__, rest))
-        return np.fromiter(chain.from_iterable(found), np.int32)
+        if len(self.of_piece) > REMEMBER or len(self.of_word) > REMEMBER:
+            self.of_piece.clear()
+            self.of_word.clear()
+        split = [None if t is None else t.split(" ") for t in texts]
+        pieces: set[str] = set()
+        for s in split:
+            if s:
+                pieces.update(s[1:])
+        fresh = {p: self._cut(p) for p in pieces if p not in self.of_piece}
+        odd = {p for p, c in fresh.items() if c is None} | {p for p in pieces if self.of_piece.get(p, ()) is None}
+        # the words of each text's head, or of the whole text where it can't be cut at its spaces
+        whole = [s is not None and (not s[0] or s[0][-1].isspace() or not odd.isdisjoint(s[1:])) for s in split]
+        heads = [[] if s is None else self.words(t if w else s[0]) for t, s, w in zip(texts, split, whole, strict=True)]
+        wanted = {w for c in fresh.values() if c for w in c}
+        wanted.update(*heads)
+        self.learn(wanted)
+        of = self.of_word.__getitem__
+        for p, c in fresh.items():
+            self.of_piece[p] = None if c is None else of(c[0]) if len(c) == 1 else tuple(chain.from_iterable(map(of, c)))
+        piece = self.of_piece.__getitem__
+        out: list[np.ndarray | None] = []
+        for s, w, h in zip(split, whole, heads, strict=True):
+            rest = () if s is None or w else map(piece, s[1:])
+            out.append(None if s is None else np.fromiter(chain.from_iterable(chain(map(of, h), rest)), np.int32))
+        return out
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.by_id.__getitem__, ids)).decode("utf-8", "replace")
-
-
-class _Memory(dict):
-    """Remembers a function's values; starts afresh when full. Long keys are not kept."""
-
-    def __init__(self, of, limit: int):
-        self.of, self.limit = of, limit
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def encode_whole(self, text: str) -> np.ndarray:
+        """The token ids of a text cut by the pattern alone."""
+        words = self.words(text)
+        self.learn(set(words))
+        return np.fromiter(chain.from_iterable(map(self.of_word.__getitem__, words)), np.int32)
+
+    def decode_all(self, parts: list[np.ndarray | None]) -> pa.Array:
+        """The text of each list of ids; bytes that make no text are replaced."""
+        some = [p for p in parts if p is not None]
+        row = self.label[np.concatenate([*some, np.zeros(0, np.int32)]).astype(np.int64)]
+        if len(row) and row.min() < 0:
+            raise KeyError("an id isn't in the vocabulary")
+        size = self.size[row]
+        ends = np.cumsum(size)
+        data = self.bytes[np.repeat(self.off[row] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        count = np.cumsum([0] + [0 if p is None else len(p) for p in parts])
+        off = np.concatenate(([0], ends))[count]
+        if off[-1] < 1 << 31:
+            out = pa.StringArray.from_buffers(len(parts), pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data))
+            try:
+                out.validate(full=True)
+                return pc.if_else(pa.array([p is not None for p in parts], pa.bool_()), out, pa.scalar(None, pa.string()))
+            except pa.ArrowInvalid:
+                pass
+        return pa.array([None if p is None else data[a:b].tobytes().decode("utf-8", "replace") for p, a, b in zip(parts, off[:-1], off[1:], strict=True)], pa.string())
 
-    def __missing__(self, key: str):
-        found = self.of(key)
-        if len(key) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[key] = found
-        return found
+    def decode(self, ids) -> str:
+        return self.decode_all([np.array(ids, np.int64)])[0].as_py()
 
 
 @lru_cache(maxsize=2)
@@ -314,12 +422,12 @@ def _with(docs: DataFrame, added: list[tuple[str, str]], text_col: str, path: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(path, sent)
         for x in batches:
-            for row in range(0, x.num_rows, 200):
-                y = x.slice(row, 200)
-                parts = [None if t is None else e.encode(t) for t in y.column(at).to_pylist()]
+            for row, stop in chunks(x.column(at)):
+                y = x.slice(row, stop - row)
+                parts = e.encode_all(y.column(at).to_pylist())
                 columns = [*y.columns, _lists(parts)]
                 if decode_too:
-                    columns.append(pa.array([None if p is None else e.decode(p.tolist()) for p in parts], pa.string()))
+                    columns.append(e.decode_all(parts))
                 yield pa.RecordBatch.from_arrays(columns, names=[*y.schema.names, *(n for n, _ in added)])
 
     return map_rows(docs, run, ", ".join(f"`{n}` {t}" for n, t in added))
@@ -335,7 +443,7 @@ def decode(tokens: DataFrame, tokens_col: str = "tokens", decoded_col: str = "de
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(path, sent)
         for x in batches:
-            text = pa.array([None if t is None else e.decode(t) for t in x.column(at).to_pylist()], pa.string())
+            text = e.decode_all([None if t is None else np.array(t, np.int64) for t in x.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*x.columns, text], names=[*x.schema.names, decoded_col])
 
     return map_rows(tokens, run, f"`{decoded_col}` string")

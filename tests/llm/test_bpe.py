@@ -42,6 +42,45 @@ def pair_any(pair):
     return pair
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "it's", " ", "  ", "\n", "\t", "\u00a0", "x1", "...", "'s", "é", "\n ", " \n"]), max_size=12))
+def test_cutting_at_spaces_is_cutting_by_the_pattern(pieces):
+    """Also with merges that join a line break and a space."""
+    text = "".join(pieces)
+    merges = [(b"\n", b" "), (b" ", b"a"), (b"\n", b"\n"), (b" ", b" "), (b"a", b"b"), (b" a", b"b"), (b"'", b"s")]
+    e = bpe.Encoder(bpe.compile_merges(merges))
+    assert e.encode(text).tolist() == e.encode_whole(text).tolist()
+
+
+def test_many_words_together_are_as_one_by_one(pair):
+    mine, _ = pair
+    words = [w.encode() for t in TEXTS for w in mine.words(t)] + [b"", b"q" * 700, bytes(range(256))]
+    token, off = mine.paths(words)
+    for k, w in enumerate(words):
+        own = token[off[k] : off[k + 1]].tolist()
+        assert own == mine.path(w) and b"".join(mine.labels[y] for y in own) == w
+
+
+def test_arcs_agree_with_the_gadgets(pair):
+    mine, _ = pair
+    rng = np.random.default_rng(2)
+    n = len(mine.labels)
+    before, token = rng.integers(0, n, 20_000), rng.integers(0, n, 20_000)
+    want = [mine.has(mine.leads[p], y) for p, y in zip(before.tolist(), token.tolist())]
+    for _ in range(2):
+        assert mine.arcs(before, token).tolist() == want
+    assert 0 < sum(want) < len(want)
+
+
+def test_decoding_what_is_no_text(pair):
+    mine, _ = pair
+    ids = [mine.ids[0xFF].item(), mine.ids[0x41].item()]
+    assert mine.decode(ids) == "\ufffdA"
+    assert mine.decode_all([None, np.zeros(0, np.int32), np.array(ids[1:])]).to_pylist() == [None, "", "A"]
+    with pytest.raises(KeyError):
+        mine.decode([10**6])
+
+
 def _merged(word: bytes, merges):
     parts = [word[k : k + 1] for k in range(len(word))]
     for a, b in merges:
