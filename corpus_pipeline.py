@@ -2,6 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and reread as the next stage's docs.
+
+Defined cases, for the pipeline and each of its stages.  A null or empty text is scored like an
+empty one by the ranking, is never a duplicate, overlaps no benchmark item, holds no personal data and has
+null or no tokens.  Rows without an id go through all stages: they are never duplicates.  Texts are read
+whole, whatever their length.  Equal scores are treated alike; of a group of near-duplicates the least
+id stays, and of rows that repeat id and text one.  Rows that share an id but not a text are
+documents of their own.  Extra columns pass through under any name, but the last stage
+replaces columns called tokens and decoded.  Labels and items that are null, or of unknown documents, count for
+nothing; without labels of both sides every document is kept.  An empty table gives an empty result.
+Pseudonyms are linked within a session (see ``pii.session_key``).
 """
 
 from __future__ import annotations
