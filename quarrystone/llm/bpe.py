@@ -351,8 +351,10 @@ class Encoder:
     def decode_all(self, parts: list[np.ndarray | None]) -> pa.Array:
         """The text of each list of ids; bytes that make no text are replaced."""
         some = [p for p in parts if p is not None]
-        row = self.label[np.concatenate([*some, np.zeros(0, np.int32)]).astype(np.int64)]
-        if len(row) and row.min() < 0:
+        ids = np.concatenate([*some, np.zeros(0, np.int32)]).astype(np.int64)
+        known = (ids >= 0) & (ids < len(self.label))
+        row = self.label[np.where(known, ids, 0)]
+        if not known.all() or len(row) and row.min() < 0:
             raise KeyError("an id isn't in the vocabulary")
         size = self.size[row]
         ends = np.cumsum(size)
