@@ -53,17 +53,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrystone.llm._text import arrow_batches, chunks, hash_words, mix64, named
-from quarrystone.session import discard, materialize
+from quarrystone.session import cleaning, discard, materialize, scratch_path
 
 CUT = 5
-FOLDS = 4
+FOLDS = 2
 SCALE = 1_000_000
-SLOT_BITS = 18
+SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
 #: Tokens in a chunk, of which a piece of one text is at most one in PIECES, and tokens in a bucket on average.
-CHUNK_TOKENS = 400_000
+CHUNK_TOKENS = 500_000
 PIECES = 5
-BUCKET_TOKENS = 250_000
+BUCKET_TOKENS = 300_000
+#: Rounds in which buckets are evaluated, so that only a part of them is shuffled at a time.
+ROUNDS = 4
 #: A word's trigrams are spread if it is more frequent than this and than one in HOT_WORDS tokens.
 HOT_TOKENS = 300_000
 HOT_WORDS = 1 << 20
@@ -532,6 +534,7 @@ class Model:
     divisor: np.ndarray
     unseen: np.ndarray
     hot: dict[str, np.ndarray]
+    paths: tuple[str, ...]
 
 
 def evaluate(b: Bucket, slots: Slots, d: tuple[np.ndarray, ...], divisor: np.ndarray, unseen: np.ndarray, hot: dict[str, np.ndarray], asked: np.ndarray, fold: np.ndarray) -> np.ndarray:
@@ -643,7 +646,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     slim = docs.select(named(id_col).alias("id"), F.lower(named(text_col)).alias("text"), fold.alias("fold")).where("text is not null")
     by = [f"c{k}" for k in range(folds)]
     counted = slim.select("text", "fold").mapInArrow(lambda x: _unigrams(x, folds), "w long, " + ", ".join(f"{c} long" for c in by))
-    unigrams, _ = materialize(counted.groupBy("w").agg(*(F.sum(c).alias(c) for c in by)), "unigrams")
+    unigrams, unigrams_path = materialize(counted.groupBy("w").agg(*(F.sum(c).alias(c) for c in by)), "unigrams")
     tokens, n1 = _unigram_figures(unigrams, folds)
     total = int(tokens.sum())
     d1 = [discounts([0, *n]) for n in n1]
@@ -670,19 +673,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         row = {"part": t.column("part")[0].as_py(), "chunks": t.column("chunk").to_pylist(), "folds": t.column("fold").to_pylist(), "blocks": blocks, "n": b.histogram().ravel().tolist(), "asks": b.asks(parts)}
         return pa.Table.from_pylist([row], _NGRAMS_ARROW)
 
-    ngrams, _ = materialize(asked.groupBy("part").applyInArrow(store, _NGRAMS), "ngrams")
+    ngrams, ngrams_path = materialize(asked.groupBy("part").applyInArrow(store, _NGRAMS), "ngrams")
+    paths = [unigrams_path, ngrams_path]
     answers, sums, hot_n = None, None, np.zeros((folds, CUT + 1), np.int64)
     if len(slots.hot):
         pairs = ngrams.select("part", F.explode("asks").alias("x")).select("part", "x.*")
-        answers, _ = materialize(pairs.groupBy("ask").applyInArrow(lambda t: _answer_pairs(t, sent.value, d1, divisor, unseen), "part int, ask int, block binary"), "hot")
+        answers, path = materialize(pairs.groupBy("ask").applyInArrow(lambda t: _answer_pairs(t, sent.value, d1, divisor, unseen), "part int, ask int, block binary"), "hot")
         sums = _hot_sums(answers.where("part is null"), len(slots.hot), folds)
         hot_n = sums["n"].sum(0)
         answers = answers.where("part is not null")
+        paths.append(path)
     size = 2 * folds * (CUT + 1)
     got = ngrams.agg(*(F.coalesce(F.sum(F.col("n")[k]), F.lit(0)).alias(f"n{k}") for k in range(size))).first()
     n3, n2 = np.array(list(got), np.int64).reshape(2, folds, CUT + 1)
     d2, d3 = ([discounts([0, *map(int, n)]) for n in x] for x in (n2 + hot_n, n3))
-    return Model(unigrams, held, ngrams, answers, sent, folds, buckets, parts, rare_parts, tokens, (np.array(d1), np.array(d2), np.array(d3)), divisor, unseen, _hot_histories(sums, slots, np.array(d2), folds))
+    return Model(unigrams, held, ngrams, answers, sent, folds, buckets, parts, rare_parts, tokens, (np.array(d1), np.array(d2), np.array(d3)), divisor, unseen, _hot_histories(sums, slots, np.array(d2), folds), tuple(paths))
 
 
 def _unigram_figures(unigrams: DataFrame, folds: int) -> tuple[np.ndarray, list[list[int]]]:
@@ -787,16 +792,25 @@ def _answers(model: Model, asked: tuple[int, ...]) -> DataFrame:
             at += n
         return pa.table([pa.array(numbers), pa.array([t.column("part")[k].as_py()] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "part", "block"])
 
-    rows = model.ngrams.select("part", "chunks", "folds", "blocks", F.lit(None).cast("int").alias("ask"), F.lit(None).cast("binary").alias("block"))
-    if model.shared is not None:
-        rows = rows.unionByName(model.shared, allowMissingColumns=True)
-    return rows.groupBy("part").applyInArrow(run, "chunk long, part int, block binary").where("block is not null")
-
-
-def scores(model: Model, asked: tuple[int, ...] | None = None, each: bool = False) -> DataFrame:
+    spark, found = model.ngrams.sparkSession, []
+    path = scratch_path(spark, "answers")
+    for k in range(ROUNDS):
+        own = F.pmod(F.col("part"), F.lit(ROUNDS)) == k
+        rows = model.ngrams.where(own).select("part", "chunks", "folds", "blocks", F.lit(None).cast("int").alias("ask"), F.lit(None).cast("binary").alias("block"))
+        if model.shared is not None:
+            rows = rows.unionByName(model.shared.where(own), allowMissingColumns=True)
+        got = rows.groupBy("part").applyInArrow(run, "chunk long, part int, block binary").where("block is not null")
+        with cleaning(spark):
+            got.write.parquet(f"{path}/{k}")
+        found.append(f"{path}/{k}")
+    return spark.read.schema(got.schema).parquet(*found)
+
+
+def scores(model: Model, asked: tuple[int, ...] | None = None, each: bool = False, keep: bool = True) -> DataFrame:
     """(id, n_tokens, logprob) of the documents of the folds ``asked`` (all), each under the model of the other folds; natural logarithms.
 
-    With ``each``, (id, place, logprob) of every token instead.
+    With ``each``, (id, place, logprob) of every token instead.  Without ``keep``, the model's tables of n-grams are
+    deleted as soon as they were read.
     """
     spark = model.chunks.sparkSession
     arrow_batches(spark)
@@ -814,7 +828,11 @@ def scores(model: Model, asked: tuple[int, ...] | None = None, each: bool = Fals
             values = [c.ids, pa.array(c.n), pa.array(np.add.reduceat(lp, np.cumsum(c.n) - c.n))]
         return pa.RecordBatch.from_arrays(values, names=["id", "n_tokens", "lp"])
 
-    told = _told(model.chunks.where(F.col("fold").isin(*folds)), [_answers(model, folds)])
+    answers = _answers(model, folds)
+    if not keep:
+        for path in model.paths:
+            discard(spark, path)
+    told = _told(model.chunks.where(F.col("fold").isin(*folds)), [answers])
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("lp", T.LongType())])
     rows = _each_chunk(told, sent, model.rare_parts, total, schema).where("id is not null")
     if each:
@@ -824,11 +842,11 @@ def scores(model: Model, asked: tuple[int, ...] | None = None, each: bool = Fals
 
 def cross_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
     """(id, n_tokens, logprob) of every document under the model of the folds it isn't in."""
-    return scores(train(docs, id_col, text_col, folds))
+    return scores(train(docs, id_col, text_col, folds), keep=False)
 
 
 def score(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", each: bool = False) -> DataFrame:
     """(id, n_tokens, logprob) of ``docs`` under the model of ``corpus``, both with the same columns."""
     slim = lambda df, f: df.select(named(id_col).alias("id"), named(text_col).alias("text"), F.lit(f).alias("fold"))
     both = slim(corpus, 0).unionByName(slim(docs, 1))
-    return scores(train(both, "id", "text", 2, F.col("fold")), (1,), each)
+    return scores(train(both, "id", "text", 2, F.col("fold")), (1,), each, keep=False)
