@@ -12,6 +12,8 @@ lineage with a written table each round, so a lost executor costs a reread.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,7 +125,7 @@ def duplicates(symbols: DataFrame, at_least: int = 2) -> DataFrame:
     return grouped.where(F.col("n_files") >= at_least)
 
 
-def impact(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, file, distance) of everything that reaches ``seeds(seed, file)`` against the edges.
 
     A semi-naive reverse closure for any number of seeds at once: each round joins the
@@ -133,7 +135,7 @@ def impact(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> Data
     back = edges.select(F.col("dst").alias("file"), F.col("src").alias("next")).distinct()
     frontier, path = materialize(seeds.select("seed", "file", F.lit(0).alias("distance")).distinct(), "impact")
     reached, paths = frontier, [path]
-    for step in range(1, max_rounds + 1):
+    for step in count(1):
         found = frontier.join(back, "file").select("seed", F.col("next").alias("file")).distinct()
         new = found.join(reached.select("seed", "file"), ["seed", "file"], "left_anti").select("seed", "file", F.lit(step).alias("distance"))
         frontier, path = materialize(new, "impact")
@@ -268,16 +270,40 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
-def call_graph(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
+def call_graph(calls: DataFrame, imports: DataFrame, symbols: DataFrame, whole: DataFrame | None = None) -> DataFrame:
     """(file, caller, callee, origin, target): where each called name comes from.
 
-    A name is local if the file defines it, else imported if the file imports it, else unknown.
+    A name is local if the file defines it, else imported if the file imports it or, by ``whole(src, dst)``,
+    if a file that it imports as a whole exports the name (the least such file); else unknown.
     """
     local = symbols.select("file", F.col("name").alias("callee"), F.lit(True).alias("__local")).distinct()
     brought = imports.select("file", F.coalesce("alias", "symbol").alias("callee"), F.col("target").alias("__target")).groupBy("file", "callee").agg(F.min("__target").alias("__target"), F.lit(True).alias("__brought"))
     rows = calls.select("file", "caller", "callee").distinct().join(local, ["file", "callee"], "left").join(brought, ["file", "callee"], "left")
-    origin = F.when(F.col("__local"), "local").when(F.col("__brought"), "import").otherwise("unknown")
-    return rows.select("file", "caller", "callee", origin.alias("origin"), F.when(F.col("__local"), F.col("file")).otherwise(F.col("__target")).alias("target"))
+    if whole is None:
+        rows = rows.withColumn("__near", F.lit(None).cast("string"))
+    else:
+        offered = symbols.where(F.coalesce("exported", F.col("visibility") == "public")).select(F.col("file").alias("dst"), F.col("name").alias("callee")).distinct()
+        near = calls.select("file", "callee").distinct().join(whole.select(F.col("src").alias("file"), "dst").distinct(), "file").join(offered, ["dst", "callee"]).groupBy("file", "callee").agg(F.min("dst").alias("__near"))
+        rows = rows.join(near, ["file", "callee"], "left")
+    origin = F.when(F.col("__local"), "local").when(F.col("__brought") | F.col("__near").isNotNull(), "import").otherwise("unknown")
+    target = F.when(F.col("__local"), F.col("file")).otherwise(F.coalesce("__target", "__near"))
+    return rows.select("file", "caller", "callee", origin.alias("origin"), target.alias("target"))
+
+
+def called_by(graph: DataFrame) -> DataFrame:
+    """(file, name, n_callers, callers): of every called name with a known file, who calls it, as file:caller."""
+    who = F.concat_ws(":", "file", "caller")
+    return graph.where("target is not null").groupBy(F.col("target").alias("file"), F.col("callee").alias("name")).agg(F.count_distinct(who).alias("n_callers"), F.array_join(F.sort_array(F.collect_set(who)), ",").alias("callers"))
+
+
+def language_breakdown(files: DataFrame) -> DataFrame:
+    """(language, n_files, n_symbols): files by language."""
+    return files.groupBy("language").agg(F.count(F.lit(1)).alias("n_files"), F.sum("symbol_count").alias("n_symbols"))
+
+
+def outline(symbols: DataFrame) -> DataFrame:
+    """``symbols`` without signatures and notes."""
+    return symbols.drop("signature", "doc")
 
 
 def nearest_ancestor(files: DataFrame, markers: DataFrame) -> DataFrame:

@@ -50,15 +50,20 @@ FILE_LIMITS = {"lines": 500, "imports": 15, "exports": 10}
 def parameter_list(signature: Column) -> Column:
     """The parameters of a signature, split at commas outside brackets; null without a parameter list.
 
-    Each round removes the innermost pairs of brackets, so default values and generic
-    types of up to six levels don't split.
+    One pass over the signs counts how many brackets are open, to any depth; commas within
+    brackets become another sign, and what follows the list's own closing bracket is left out.
     """
-    s = F.regexp_extract(signature, r"(?s)[(](.*)[)]", 1)
-    inner = F.regexp_replace(s, "[-=]>", "~")
-    for _ in range(6):
-        inner = F.regexp_replace(inner, r"[(][^()\[\]{}<>]*[)]|\[[^()\[\]{}<>]*\]|[{][^()\[\]{}<>]*[}]|<[^()\[\]{}<>]*>", "~")
-    # A result type after the list may hold brackets of its own: cut at the first one left over.
-    inner = F.regexp_replace(inner, r"(?s)[)].*$", "")
+    s = F.regexp_replace(F.regexp_extract(signature, r"(?s)[(](.*)$", 1), "[-=]>", "~")
+    state = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+
+    def step(acc: Column, c: Column) -> Column:
+        opens, closes = c.isin("(", "[", "{", "<"), c.isin(")", "]", "}", ">")
+        done = acc["depth"] < 0
+        depth = F.when(done, acc["depth"]).when(opens, acc["depth"] + 1).when(closes, acc["depth"] - 1).otherwise(acc["depth"])
+        kept = F.when(done | (depth < 0), acc["text"]).when((c == ",") & (acc["depth"] > 0), F.concat(acc["text"], F.lit(";"))).otherwise(F.concat(acc["text"], c))
+        return F.struct(depth.alias("depth"), kept.alias("text"))
+
+    inner = F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), state, step, lambda acc: acc["text"])
     parts = F.filter(F.transform(F.split(inner, ","), F.trim), lambda p: (p != "") & (p != "this") & ~p.startswith("this:"))
     return F.when(signature.rlike(r"(?s)[(].*[)]"), parts)
 
@@ -174,10 +179,12 @@ def coverage_summary(files: DataFrame, links: DataFrame) -> DataFrame:
 def merge_coverage(files: DataFrame, report: DataFrame) -> DataFrame:
     """(file, line_cov, branch_cov, matched): a report's ratios under full, then base names.
 
-    ``report`` has file, line_cov and branch_cov; a base name that occurs twice counts by its last row (greatest path).
+    ``report`` has file, line_cov and branch_cov and may have a column n, the row's place in the report; a name
+    that occurs twice counts by its last row (without n, that of the greatest path, then the greatest ratios).
     """
-    full = report.groupBy("file").agg(F.max_by("line_cov", "line_cov").alias("l1"), F.max_by("branch_cov", "line_cov").alias("b1"), F.lit("path").alias("m1"))
-    base = report.groupBy(basename(F.col("file")).alias("__base")).agg(F.max_by("line_cov", "file").alias("l2"), F.max_by("branch_cov", "file").alias("b2"), F.lit("name").alias("m2"))
+    last = F.struct(*(["n"] if "n" in report.columns else []), "file", "line_cov", "branch_cov")
+    full = report.groupBy("file").agg(F.max_by("line_cov", last).alias("l1"), F.max_by("branch_cov", last).alias("b1"), F.lit("path").alias("m1"))
+    base = report.groupBy(basename(F.col("file")).alias("__base")).agg(F.max_by("line_cov", last).alias("l2"), F.max_by("branch_cov", last).alias("b2"), F.lit("name").alias("m2"))
     rows = files.select("file").distinct().join(full, "file", "left").withColumn("__base", basename(F.col("file"))).join(base, "__base", "left")
     return rows.select("file", F.when(F.col("m1").isNotNull(), F.col("l1")).otherwise(F.col("l2")).alias("line_cov"), F.when(F.col("m1").isNotNull(), F.col("b1")).otherwise(F.col("b2")).alias("branch_cov"), F.coalesce("m1", "m2").alias("matched"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,76 +22,94 @@ def lines_of(texts: DataFrame, file: str = "file", text: str = "content") -> Dat
 
 @dataclass(frozen=True)
 class LineRule:
-    """A rule over one line; patterns are in the common part of Java's and RE2's syntax."""
+    """A rule over one line; patterns are in the common part of Java's and RE2's syntax.
+
+    ``needs``: small letters of which some must occur in the line, whatever its case; the pattern is tried on such lines only.
+    """
 
     id: str
     severity: str
     pattern: str
     unless: str | None = None
     files: str | None = None
+    needs: tuple[str, ...] = ()
 
 
 _Q = "['\"]"
 _START = "(^|[^A-Za-z0-9_])"
 RULES: tuple[LineRule, ...] = (
-    LineRule("eval", "critical", _START + r"eval[ \t]*[(]", _START + r"eval[ \t]*[.][ \t]*[A-Za-z0-9_]"),
-    LineRule("inner-html", "high", r"[.]innerHTML[ \t]*=[^+=]"),
-    LineRule("document-write", "high", _START + r"document[ \t]*[.][ \t]*write[ \t]*[(]"),
-    LineRule("dangerously-set-inner-html", "high", "dangerouslySet" + "InnerHTML"),
-    LineRule("child-process", "medium", f"require[ \\t]*[(][ \\t]*{_Q}child_process{_Q}|import[ \\t].*{_START}child_process"),
-    LineRule("shell-exec", "high", _START + r"exec(Sync)?[ \t]*[(][ \t]*([`$]|[A-Za-z0-9_]+[ \t]*[,+)])"),
-    LineRule("weak-crypto", "medium", f"(?i)createHash[ \\t]*[(][ \\t]*{_Q}(sha1|md5){_Q}"),
-    LineRule("hardcoded-secret", "high", f"(?i)(passwd|password|token|secret|api_?key)[ \\t]*[:=][ \\t]*{_Q}[^'\"]{{8,}}{_Q}", "(?i)(changeme|dummy|example|fake|mock|placeholder|sample|test|your[-_]?key|xxx|<|>|[*])"),
-    LineRule("sql-injection", "high", _START + r"(execute|query)[ \t]*[(][^)]*[+]"),
-    LineRule("http-url", "low", "[\"'`]http://", "[\"'`]http://(localhost|example[.]com|schema[.]org|127[.]0[.]0[.]1|0[.]0[.]0[.]0)"),
-    LineRule("no-rate-limit", "medium", r"[.][ \t]*(all|delete|get|patch|post|put)[ \t]*[(][ \t]*[\"'`]", files="[.][jt]sx?$"),
-    LineRule("prototype-pollution", "high", "__proto__|constructor[ \\t]*[.][ \\t]*prototype|Object[.]assign[ \\t]*[(][ \\t]*[{][ \\t]*[}][^)]*(user|data|input|body|params|req)"),
+    LineRule("eval", "critical", _START + r"eval[ \t]*[(]", _START + r"eval[ \t]*[.][ \t]*[A-Za-z0-9_]", needs=("eval",)),
+    LineRule("inner-html", "high", r"[.]innerHTML[ \t]*=[^+=]", needs=("innerhtml",)),
+    LineRule("document-write", "high", _START + r"document[ \t]*[.][ \t]*write[ \t]*[(]", needs=("document",)),
+    LineRule("dangerously-set-inner-html", "high", "dangerouslySet" + "InnerHTML", needs=("dangerouslysetinnerhtml",)),
+    LineRule("child-process", "medium", f"require[ \\t]*[(][ \\t]*{_Q}child_process{_Q}|import[ \\t].*{_START}child_process", needs=("child_process",)),
+    LineRule("shell-exec", "high", _START + r"exec(Sync)?[ \t]*[(][ \t]*([`$]|[A-Za-z0-9_]+[ \t]*[,+)])", needs=("exec",)),
+    LineRule("weak-crypto", "medium", f"(?i)createHash[ \\t]*[(][ \\t]*{_Q}(sha1|md5){_Q}", needs=("createhash",)),
+    LineRule("hardcoded-secret", "high", f"(?i)(passwd|password|token|secret|api_?key)[ \\t]*[:=][ \\t]*{_Q}[^'\"]{{8,}}{_Q}", "(?i)(changeme|dummy|example|fake|mock|placeholder|sample|test|your[-_]?key|xxx|<|>|[*])", needs=("passwd", "password", "token", "secret", "apikey", "api_key")),
+    LineRule("sql-injection", "high", _START + r"(execute|query)[ \t]*[(][^)]*[+]", needs=("execute", "query")),
+    LineRule("http-url", "low", "[\"'`]http://", "[\"'`]http://(localhost|example[.]com|schema[.]org|127[.]0[.]0[.]1|0[.]0[.]0[.]0)", needs=("http://",)),
+    LineRule("no-rate-limit", "medium", r"[.][ \t]*(all|delete|get|patch|post|put)[ \t]*[(][ \t]*[\"'`]", files="[.][jt]sx?$", needs=("all", "delete", "get", "patch", "post", "put")),
+    LineRule("prototype-pollution", "high", "__proto__|constructor[ \\t]*[.][ \\t]*prototype|Object[.]assign[ \\t]*[(][ \\t]*[{][ \\t]*[}][^)]*(user|data|input|body|params|req)", needs=("__proto__", "constructor", "assign")),
 )
 _COMMENT = r"^[ \t]*(//|#|[*]|/[*])"
 _LIMITER = "(?i)(limiter|throttle|rateLimit)"
 
 
-def scan_lines(lines: DataFrame, rules: Iterable[LineRule] = RULES, near: int = 5) -> DataFrame:
-    """(file, line_no, rule, severity, snippet): every rule on every line in one pass.
+def scan_files(texts: DataFrame, rules: Iterable[LineRule] = RULES, near: int = 5, file: str = "file", text: str = "content") -> DataFrame:
+    """(file, line_no, rule, severity, snippet): every rule on every line, nothing shuffled.
 
+    Lines stay in their file's row until one of the rules' letters is found in them; patterns run on those only.
     Comment lines are skipped.  A route without a limiter is reported unless a limiter
-    keyword stands within ``near`` lines, found by a window over the lines of the files that
-    the rule looks at.
+    keyword stands within ``near`` lines, which are at hand in the same row.
     """
     rules = list(rules)
-    comment = F.col("text").rlike(_COMMENT)
+    low = lambda c: F.lower(c)
+    any_of = lambda tests: reduce(or_, tests, F.lit(False))
+    letters = sorted({w for r in rules for w in r.needs})
+    may = (lambda c: any_of(F.contains(low(c), F.lit(w)) for w in letters)) if all(r.needs for r in rules) else (lambda _: F.lit(True))
+    routes = any(r.id == "no-rate-limit" for r in rules)
+    numbered = F.filter(F.transform(F.col("__lines"), lambda x, i: F.struct((i + 1).alias("n"), x.alias("text"))), lambda s: may(s["text"]))
+    limited = lambda n: F.exists(F.slice(F.col("__lines"), F.greatest(n - near, F.lit(1)), n + near + 1 - F.greatest(n - near, F.lit(1))), lambda x: x.rlike(_LIMITER))
+    found = F.transform(numbered, lambda s: F.struct(s["n"].alias("line_no"), s["text"].alias("text"), (limited(s["n"]) if routes else F.lit(False)).alias("limited")))
+    held = texts.select(F.col(file).alias("file"), F.col(text).alias("__text")).where(may(F.col("__text")))
+    rows = held.select("file", F.split("__text", "\n", -1).alias("__lines")).select("file", F.explode(found).alias("x")).select("file", "x.*").where(~F.col("text").rlike(_COMMENT))
 
     def hit(r: LineRule) -> Column:
-        c = F.col("text").rlike(r.pattern) & ~comment
+        c = F.col("text").rlike(r.pattern)
         if r.unless:
             c = c & ~F.col("text").rlike(r.unless)
         if r.files:
             c = c & F.col("file").rlike(r.files)
-        return c
+        if r.id == "no-rate-limit":
+            c = c & ~F.col("limited")
+        return (any_of(F.contains(low(F.col("text")), F.lit(w)) for w in r.needs) & c) if r.needs else c
 
-    plain = [r for r in rules if r.id != "no-rate-limit"]
-    findings = lambda rs, only: F.filter(F.array(*(F.when(hit(r) if only is None else hit(r) & only, F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"))) for r in rs)), lambda x: x.isNotNull())
-    out = lines.select("file", "line_no", "text", F.explode(findings(plain, None)).alias("f"))
-    routes = [r for r in rules if r.id == "no-rate-limit"]
-    if routes:
-        frame = Window.partitionBy("file").orderBy("line_no").rowsBetween(-near, near)
-        own = lines.where(F.col("file").rlike(routes[0].files)).withColumn("__near", F.max(F.col("text").rlike(_LIMITER).cast("int")).over(frame))
-        out = out.unionByName(own.select("file", "line_no", "text", F.explode(findings(routes, F.col("__near") == 0)).alias("f")))
-    return out.select("file", "line_no", "f.rule", "f.severity", F.left(F.trim("text"), F.lit(120)).alias("snippet"))
+    findings = F.array_compact(F.array(*(F.when(hit(r), F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"))) for r in rules)))
+    hits = rows.select("file", "line_no", "text", F.explode(findings).alias("f"))
+    return hits.select("file", "line_no", "f.rule", "f.severity", F.left(F.trim("text"), F.lit(120)).alias("snippet"))
 
 
 # TF-IDF
 
 
 def term_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(doc, term, n, length) from an array column of tokens."""
-    rows = docs.select(F.col(id_col).alias("doc"), tokens.alias("__t"))
-    return rows.select("doc", F.size("__t").alias("length"), F.explode("__t").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"), F.first("length").alias("length"))
+    """(doc, term, n, length) from an array column of tokens: counted within the row, so nothing is shuffled."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.size(tokens).alias("length"), F.array_sort(tokens).alias("__t")).where("length > 0")
+    at = lambda k: F.element_at(F.col("__t"), k)
+    # where a run of equal tokens begins; the next run's beginning ends it
+    starts = F.filter(F.sequence(F.lit(1), F.col("length")), lambda k: (k == 1) | (at(k) != at(F.greatest(k - 1, F.lit(1)))))
+    runs = rows.select("doc", "length", "__t", starts.alias("__s"))
+    pairs = F.arrays_zip(F.transform("__s", at).alias("term"), F.zip_with(F.slice(F.concat("__s", F.array(F.col("length") + 1)), F.lit(2), F.size("__s")), "__s", lambda b, a: b - a).alias("n"))
+    return runs.select("doc", "length", F.explode(pairs).alias("x")).select("doc", F.col("x.term").alias("term"), F.col("x.n").cast("long").alias("n"), "length")
 
 
 def tfidf(counts: DataFrame, n_docs: int) -> DataFrame:
-    """(doc, term, weight): tf = n / length, idf = ln(N / df)."""
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(doc, term, weight): tf = n / length, idf = ln(N / df).
+
+    The document counts are written first, so Spark knows their size: it sends them to every task while they are
+    small, and beyond that joins by a shuffle, in which it splits terms that most documents hold.
+    """
+    df, _ = materialize(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
     return counts.join(df, "term").select("doc", "term", (F.col("n") / F.col("length") * F.log(F.lit(float(n_docs)) / F.col("df"))).alias("weight"))
 
 
@@ -148,6 +168,27 @@ SYNONYMS: tuple[str, ...] = (
     "copy clone duplicate",
     "sort order rank",
     "filter select where",
+    "lock mutex semaphore guard",
+    "retry repeat again backoff",
+    "encrypt cipher encode hash obfuscate",
+    "decrypt decipher",
+    "permission role grant privilege access",
+    "database db storage repository",
+    "schema model entity",
+    "request req call query",
+    "response reply answer result",
+    "event signal trigger hook",
+    "queue stack fifo backlog",
+    "thread worker process",
+    "sort rank arrange",
+    "filter select pick exclude",
+    "log trace record audit",
+    "debug inspect diagnose",
+    "import require include",
+    "export expose share",
+    "enable activate allow",
+    "disable deactivate deny",
+    "show reveal visible",
 )
 
 

@@ -90,26 +90,6 @@ def duplicate_symbols(spark: SparkSession, d: str) -> DataFrame:
     return G.duplicates(A.table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.lit(True).alias("exported")))
 
 
-def _dearest_edges(spark: SparkSession, d: str) -> DataFrame:
-    """A thin graph over all lines: each supplier imports the part of its dearest line, each part the supplier of its own."""
-    l = A.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.max(F.struct("l_extendedprice", "l_partkey")).alias("b"))
-    byorder = A.table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max_by("l_suppkey", F.struct("l_extendedprice", "l_suppkey")).alias("s"))
-    one = l.select(A._p("l_suppkey", "s").alias("src"), F.concat(F.lit("p"), F.col("b.l_partkey").cast("string")).alias("dst"))
-    two = byorder.select(A._p("l_partkey", "p").alias("src"), A._p("s", "s").alias("dst"))
-    return one.unionByName(two).distinct()
-
-
-_THIN = """th AS (SELECT 's' || l_suppkey AS src, 'p' || max({'x': l_extendedprice, 'p': l_partkey}).p AS dst FROM lineitem GROUP BY l_suppkey
- UNION SELECT 'p' || l_partkey, 's' || max({'x': l_extendedprice, 's': l_suppkey}).s FROM lineitem GROUP BY l_partkey)"""
-
-
-@query(f"WITH RECURSIVE {_THIN}, r AS (SELECT src AS file, dst AS seed FROM th WHERE dst = 's1' UNION SELECT e.src, r.seed FROM r JOIN th e ON e.dst = r.file) SELECT seed, file FROM r WHERE file <> seed")
-def change_impact(spark: SparkSession, d: str) -> DataFrame:
-    """All that depends on supplier 1's file, directly or not."""
-    seeds = spark.createDataFrame([("s1", "s1")], "seed string, file string")
-    return G.impact(_dearest_edges(spark, d), seeds).where("file <> seed").select("seed", "file")
-
-
 def _line_edges(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct edge of all lines: a line's supplier and part import each other."""
     l = A.table(spark, d, "lineitem").select(A._p("l_suppkey", "s").alias("src"), A._p("l_partkey", "p").alias("dst")).distinct()
@@ -120,20 +100,29 @@ _ALL_LINES = """al AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst F
 
 
 @query(f"WITH RECURSIVE {_ALL_LINES}, r AS (SELECT src AS file, dst AS seed FROM al WHERE dst = 's1' UNION SELECT e.src, r.seed FROM r JOIN al e ON e.dst = r.file) SELECT seed, file FROM r WHERE file <> seed")
-def change_impact_all(spark: SparkSession, d: str) -> DataFrame:
-    """``change_impact`` over the edges of all lines, not only the dearest."""
+def change_impact(spark: SparkSession, d: str) -> DataFrame:
+    """All that depends on supplier 1's file, directly or not, over the edges of all lines."""
     seeds = spark.createDataFrame([("s1", "s1")], "seed string, file string")
     return G.impact(_line_edges(spark, d), seeds).where("file <> seed").select("seed", "file")
 
 
-@query(
-    f"""WITH {_P},
-two AS (SELECT a.src || ' > ' || a.dst || ' > ' || a.src AS cycle, 2 AS length FROM pe a JOIN pe b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst),
-three AS (SELECT a.src || ' > ' || a.dst || ' > ' || b.dst || ' > ' || a.src AS cycle, 3 AS length FROM pe a JOIN pe b ON b.src = a.dst JOIN pe c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst)
-SELECT * FROM two UNION ALL SELECT * FROM three"""
-)
+#: Elementary cycles of two and three files, and every strongly connected component of more.
+_CYCLES = """two AS (SELECT a.src || ' > ' || a.dst || ' > ' || a.src AS cycle, 2 AS length FROM pe a JOIN pe b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst),
+three AS (SELECT a.src || ' > ' || a.dst || ' > ' || b.dst || ' > ' || a.src AS cycle, 3 AS length FROM pe a JOIN pe b ON b.src = a.dst JOIN pe c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst),
+reach AS (SELECT src, dst FROM pe UNION SELECT r.src, e.dst FROM reach r JOIN pe e ON e.src = r.dst),
+strong AS (SELECT a.src AS file, min(a.dst) AS component FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src GROUP BY a.src),
+larger AS (SELECT 'component: ' || string_agg(file, ', ' ORDER BY file) AS cycle, count(*)::INTEGER AS length FROM strong GROUP BY component HAVING count(*) > 3),
+cycles AS (SELECT * FROM two UNION ALL SELECT * FROM three UNION ALL SELECT * FROM larger)"""
+
+
+def import_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Elementary cycles of at most three files, and components of more."""
+    return G.all_cycles(A.part_imports(spark, d).distinct(), 3)
+
+
+@query(f"WITH RECURSIVE {_P}, {_CYCLES} SELECT * FROM cycles")
 def circular_deps(spark: SparkSession, d: str) -> DataFrame:
-    return G.elementary_cycles(A.part_imports(spark, d).distinct(), 3)
+    return import_cycles(spark, d)
 
 
 _PAGE_EDGES = r"""pg AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS src, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS link FROM pages),

@@ -166,9 +166,9 @@ def coverage_merge(spark: SparkSession, d: str) -> DataFrame:
 
 # The report over the part graph and the events' spans.
 
-_METRICS = f"""WITH {A.PART_SQL}, {A.CUSTOMER_SQL}, {_COUPLED}, {_CX},
+_METRICS = f"""WITH RECURSIVE {A.PART_SQL}, {A.CUSTOMER_SQL}, {_COUPLED}, {_CX}, {graph_plans._CYCLES},
 m AS (SELECT (SELECT count(*) FROM cs WHERE exported AND kind IN ('function', 'class', 'const') AND symbol_id NOT IN (SELECT dst FROM di)) AS dead,
- (SELECT count(*) FROM pe a JOIN pe b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst) AS cycles, (SELECT count(*) FROM cx WHERE complexity > 20) AS very_high, (SELECT count(*) FROM cx WHERE complexity > 10 AND complexity <= 20) AS high,
+ (SELECT count(*) FROM cycles) AS cycles, (SELECT count(*) FROM cx WHERE complexity > 20) AS very_high, (SELECT count(*) FROM cx WHERE complexity > 10 AND complexity <= 20) AS high,
  (SELECT count(*) FROM (SELECT count(DISTINCT src) AS n FROM di GROUP BY dst ORDER BY n DESC LIMIT 8) WHERE n >= 8) AS god_nodes,
  (SELECT count(*) FROM pe JOIN cp a ON a.file = src JOIN cp b ON b.file = dst WHERE {_SEVERITY} > 0) AS sdp,
  (SELECT {rounded_sql('count(DISTINCT user_id)::DOUBLE / (SELECT count(*) FROM customer)', 2)} FROM events) AS coverage, (SELECT max(complexity) FROM cx) AS max_complexity),
@@ -180,12 +180,11 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
     sym, imp = A.customer_symbols(spark, d), A.day_imports(spark, d)
     edges = A.part_imports(spark, d).distinct()
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     cx = _complexity(spark, d)
     tops = imp.groupBy("dst").agg(F.count_distinct("src").alias("n")).orderBy(F.desc("n"), "dst").limit(8)
     parts = [
         n(G.dead_exports(sym, imp).where("confidence = 'high'"), "dead"),
-        n(edges.where("src < dst").join(back, ["src", "dst"], "left_semi"), "cycles"),
+        n(graph_plans.import_cycles(spark, d), "cycles"),
         cx.agg(F.count_if(F.col("complexity") > 20).alias("very_high"), F.count_if(F.col("complexity").between(11, 20)).alias("high"), F.max("complexity").alias("max_complexity")),
         tops.agg(F.count_if(F.col("n") >= 8).alias("god_nodes")),
         n(G.layer_violations(edges, G.coupling(A.part_files(spark, d), edges)), "sdp"),
@@ -252,22 +251,12 @@ def breaking_changes(spark: SparkSession, d: str) -> DataFrame:
     return D.breaking(_diff(spark, d), A.table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("k")), ["k"])
 
 
-@query(
-    f"""WITH RECURSIVE {_DIFF}, {graph_plans._THIN},
-seeds AS (SELECT DISTINCT 's' || k AS seed FROM df WHERE change = 'removed'), r AS (SELECT seed, seed AS file FROM seeds UNION SELECT r.seed, e.src FROM r JOIN th e ON e.dst = r.file) SELECT seed, file FROM r WHERE seed <> file"""
-)
-def blast_radius(spark: SparkSession, d: str) -> DataFrame:
-    """What depends on the suppliers that bear the numbers of removed customers."""
-    broken = _diff(spark, d).where("change = 'removed'").select(A._p("k", "s").alias("file"))
-    return D.blast_radius(broken, graph_plans._dearest_edges(spark, d)).select("seed", "file")
-
-
 @query(
     f"""WITH RECURSIVE {_DIFF}, {graph_plans._ALL_LINES},
 seeds AS (SELECT DISTINCT 's' || k AS seed FROM df WHERE change = 'removed'), r AS (SELECT seed, seed AS file FROM seeds UNION SELECT r.seed, e.src FROM r JOIN al e ON e.dst = r.file) SELECT seed, file FROM r WHERE seed <> file"""
 )
-def blast_radius_all(spark: SparkSession, d: str) -> DataFrame:
-    """``blast_radius`` over the edges of all lines, not only the dearest."""
+def blast_radius(spark: SparkSession, d: str) -> DataFrame:
+    """What depends, over the edges of all lines, on the suppliers that bear the numbers of removed customers."""
     broken = _diff(spark, d).where("change = 'removed'").select(A._p("k", "s").alias("file"))
     return D.blast_radius(broken, graph_plans._line_edges(spark, d)).select("seed", "file")
 

@@ -34,7 +34,7 @@ f AS ({' UNION ALL '.join(arms)}) SELECT file, line_no, rule, severity, left(tri
 
 @query(_scan_sql())
 def security_scan(spark: SparkSession, d: str) -> DataFrame:
-    return S.scan_lines(S.lines_of(A.sources(spark, d)))
+    return S.scan_files(A.sources(spark, d))
 
 
 @query(f"WITH {A.SOURCES_SQL} SELECT file, count(*) AS lines, max(length(text)) AS longest FROM sl GROUP BY file")

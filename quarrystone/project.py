@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import dirname
-from quarrystone.operators import context, graph, quality, resolve, search
+from quarrystone.operators import context, crosslang, graph, quality, resolve, search
 from quarrystone.session import materialize
 from quarrystone.sources import parse, scan
 
@@ -16,10 +16,11 @@ from quarrystone.sources import parse, scan
 class Project:
     """Relations and analyses of a folder of source files."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, files: DataFrame | None = None, aliases: list[tuple[str, str]] = (), packages: DataFrame | None = None, roots: list[str] | None = None):
-        """From ``folder``, or from ``files(file, language, content)``."""
+    def __init__(self, spark: SparkSession, folder: str | None = None, files: DataFrame | None = None, aliases: list[tuple[str, str]] = (), packages: DataFrame | None = None, roots: list[str] | None = None, manifests: DataFrame | None = None):
+        """From ``folder``, or from ``files(file, language, content)`` and, for Go and Rust, ``manifests(file, content)``."""
         self.spark, self.aliases, self.packages = spark, list(aliases), packages
         self.sources = files if files is not None else scan.source_files(spark, folder, roots=roots)
+        self.manifests = manifests if manifests is not None or folder is None else scan.named_files(spark, folder, ("Cargo.toml", "go.mod"), roots=roots)
 
     @cached_property
     def relations(self) -> parse.Relations:
@@ -44,7 +45,13 @@ class Project:
         # a Python import of a module by name reaches the file
         module = whole.where(F.col("file").rlike("[.]pyi?$") & ~F.col("is_namespace") & F.col("target").endswith(".py"))
         lost = module.where(F.regexp_extract("target", r"([^/]+)[.]py$", 1) == F.col("symbol")).select(F.col("file").alias("src"), F.col("target").alias("dst"))
-        return materialize(graph.wire_imports(whole, self.symbols).unionByName(lost).distinct(), "edges")[0]
+        return materialize(graph.wire_imports(whole, self.symbols).unionByName(lost).unionByName(crosslang.edges(self.cross_targets, self.symbols)).distinct(), "edges")[0]
+
+    @cached_property
+    def cross_targets(self) -> DataFrame:
+        """What imports of packages, namespaces and modules reach."""
+        marks = None if self.manifests is None else crosslang.roots(self.manifests)
+        return materialize(crosslang.targets(self.relations.imports, self.sources, self.symbols, marks), "crosslang")[0]
 
     @property
     def file_edges(self) -> DataFrame:
@@ -87,13 +94,25 @@ class Project:
         return quality.smells(self.files.select("file", "lines"), self.symbols, quality.SMELL_LIMITS | limits)
 
     def security(self) -> DataFrame:
-        return search.scan_lines(search.lines_of(self.sources))
+        return search.scan_files(self.sources)
 
     def unused_params(self) -> DataFrame:
         return quality.unused_params(self.relations.params, self.relations.uses)
 
     def call_graph(self) -> DataFrame:
-        return graph.call_graph(self.relations.calls, self.resolved, self.symbols)
+        named = self.cross_targets.where("not whole").select("file", "symbol", F.lit(None).cast("string").alias("alias"), "target")
+        imports = self.resolved.where("target is not null").select("file", "symbol", "alias", "target").unionByName(named)
+        whole = self.cross_targets.where("whole").select(F.col("file").alias("src"), F.col("target").alias("dst"))
+        return graph.call_graph(self.relations.calls, imports, self.symbols, whole)
+
+    def called_by(self) -> DataFrame:
+        return graph.called_by(self.call_graph())
+
+    def languages(self) -> DataFrame:
+        return graph.language_breakdown(self.files)
+
+    def outline(self) -> DataFrame:
+        return graph.outline(self.symbols)
 
     def similar(self, at_least: int = 2) -> DataFrame:
         below = self.symbols.groupBy(F.col("parent_id").alias("symbol_id")).agg(F.count(F.lit(1)).alias("n_children"), F.bool_or(F.col("kind").isin("function", "method")).alias("has_nested"))

@@ -81,7 +81,7 @@ class _Python(ast.NodeVisitor):
         private = name.startswith("_") and not (name.startswith("__") and name.endswith("__"))
         marks = [ast.unparse(d) for d in getattr(node, "decorator_list", ())]
         start = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", ()))])
-        return self.out.symbol(name, kind, start, node.end_lineno, parent, "private" if private else "public", (not private) if parent is None else None, signature, doc[:500] if doc else None, marks)
+        return self.out.symbol(name, kind, start, node.end_lineno, parent, "private" if private else "public", (not private) if parent is None else None, signature, doc or None, marks)
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
         if self.fn is None:
@@ -251,7 +251,7 @@ def _doc_before(lines: list[str], line: int) -> str | None:
         out.append(re.sub(r"^\s*(?:/\*+|\*/|\*|//+|#+)\s?|\s*\*/\s*$", "", lines[k]).strip())
         k -= 1
     doc = " ".join(x for x in reversed(out) if x)
-    return doc[:500] or None
+    return doc or None
 
 
 def _brace(out: Parsed, text: str) -> None:

@@ -46,6 +46,15 @@ def source_files(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES, r
     return rows.select("file", "language", F.col("length").alias("size"), text.alias("content")).withColumn("hash", content_key(F.col("content")))
 
 
+def named_files(spark: SparkSession, folder: str, names: tuple[str, ...], roots: list[str] | None = None) -> DataFrame:
+    """(file, content) of the files under ``folder`` that bear one of ``names``, such as manifests; paths are relative to it."""
+    base = guard(folder, roots) if roots else (folder if "://" in folder else str(Path(folder).resolve()))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(names) + "}").load(base)
+    bare = (base.rstrip("/") + "/").split("://", 1)[-1].lstrip("/")
+    rows = raw.select(F.substr(F.regexp_replace("path", "^[a-z0-9]+:/*", ""), F.lit(len(bare) + 1)).alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return rows.where(scannable(F.col("file")))
+
+
 def _underscored(spark: SparkSession, base: str) -> DataFrame:
     """(file, length, content) of the files below a mounted folder whose names, or a folder's, start with an underscore."""
     names = []

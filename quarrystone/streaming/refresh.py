@@ -49,17 +49,19 @@ class VersionedTable:
 def watch(files: DataFrame, state: VersionedTable, on_change: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
     """Follow a stream of (file, hash, content): only rows whose hash is new reach ``on_change``.
 
-    ``state`` has (file, hash).  The latest row of a file within a batch counts.
+    ``state`` has (file, hash).  The latest row of a file within a batch counts: by the column ``modified`` if the
+    stream has it (on a tie, the greater hash), and without it, by the hash alone.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         if number in state.versions():
             return
         known = state.read(number)
-        latest = df.dropDuplicates(["file", "hash"])
-        status = changed_files(latest.select("file", "hash").distinct(), known).where("status = 'changed'").select("file")
+        order = F.struct(*(["modified"] if "modified" in df.columns else []), "hash")
+        latest = df.groupBy("file").agg(F.max_by(F.struct(*(c for c in df.columns if c != "file")), order).alias("x")).select("file", "x.*").select(*df.columns)
+        status = changed_files(latest.select("file", "hash"), known).where("status = 'changed'").select("file")
         on_change(latest.join(status, "file", "left_semi"), number)
-        now = latest.groupBy("file").agg(F.max("hash").alias("hash"))
+        now = latest.select("file", "hash")
         state.write(known.join(now, "file", "left_anti").unionByName(now), number)
 
     writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -38,7 +38,7 @@ obj.__proto__ = 1
 
 def test_security_rules(spark):
     files = spark.createDataFrame([("a.js", CODE), ("r.js", "app.get('/x', f)\n"), ("s.js", "const limiter = 1\n\napp.post('/x', f)\n"), ("t.txt", "app.get('/x', f)"), ("n.js", None), ("e.js", "")], "file string, content string")
-    rows = {(r["file"], r["line_no"], r["rule"]) for r in S.scan_lines(S.lines_of(files)).collect()}
+    rows = {(r["file"], r["line_no"], r["rule"]) for r in S.scan_files(files).collect()}
     assert rows == {("a.js", 2, "eval"), ("a.js", 4, "inner-html"), ("a.js", 5, "document-write"), ("a.js", 6, "weak-crypto"), ("a.js", 7, "hardcoded-secret"), ("a.js", 10, "http-url"), ("a.js", 11, "sql-injection"), ("a.js", 12, "shell-exec"), ("a.js", 13, "prototype-pollution"), ("r.js", 1, "no-rate-limit")}
 
 
