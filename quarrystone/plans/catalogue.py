@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.plans import graph_plans, quality_plans, text_plans  # noqa: F401
+from quarrystone.plans import graph_plans, quality_plans, source_plans, text_plans  # noqa: F401
 from quarrystone.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

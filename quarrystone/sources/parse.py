@@ -222,9 +222,9 @@ def _closing(text: str, at: int) -> int:
 
 
 def _exported(language: str, name: str, before: str, mods: str, nested: bool) -> bool | None:
-    if nested:
-        return None
     head = f"{before} {mods}"
+    if nested:
+        return bool(re.search(r"\bpublic\b", head)) if language in ("java", "csharp") else None
     if language in _SCRIPT:
         return bool(re.search(r"\bexport\b", head))
     if language == "go":
@@ -326,7 +326,7 @@ def _fields(out: Parsed, code: str, brace: int, stop: int, owner: dict, starts:
         if name in _NOT_CALLS or brace + m.start(m.lastindex) in found:
             continue
         line = _line_of(starts, brace + m.start(m.lastindex))
-        out.symbol(name.lstrip("#"), "field", line, line, owner, _visibility(m.group(), name), None, re.sub(r"\s+", " ", m.group()).strip(" ;,"))
+        out.symbol(name.lstrip("#"), "field", line, line, owner, _visibility(m.group(), name), bool(re.search(r"\bpublic\b", m.group())) if out.language in ("java", "csharp") else None, re.sub(r"\s+", " ", m.group()).strip(" ;,"))
 
 
 def _flows(out: Parsed, code: str, starts: list[int], bodies: list[tuple[int, int, dict]]) -> None:
@@ -343,7 +343,7 @@ def _flows(out: Parsed, code: str, starts: list[int], bodies: list[tuple[int, in
             continue
         out.calls.append({"file": out.file, "caller": inside[-1]["qualified_name"] if inside else "<module>", "callee": name, "line_no": _line_of(starts, m.start())})
     for a, b, s in spans:
-        for name, kind in _parameters(s["signature"] or ""):
+        for name, kind in _parameters(s["signature"] or "", out.language):
             out.params.append({"file": out.file, "fn": s["qualified_name"], "name": name, "type": kind})
             for t in re.findall(r"[A-Za-z_]\w*", kind or ""):
                 out.type_refs.append({"file": out.file, "symbol": s["qualified_name"], "role": "param", "line": s["start_line"], "type_name": t})
@@ -360,7 +360,10 @@ def _flows(out: Parsed, code: str, starts: list[int], bodies: list[tuple[int, in
                 out.type_refs.append({"file": out.file, "symbol": s["qualified_name"], "role": "field", "line": s["start_line"], "type_name": t})
 
 
-def _parameters(signature: str) -> list[tuple[str, str | None]]:
+def _parameters(signature: str, language: str = "") -> list[tuple[str, str | None]]:
+    if language == "go":
+        # the receiver of a method isn't a parameter
+        signature = re.sub(r"^func\s*\([^)]*\)\s*(?=\w)", "func ", signature)
     a = signature.find("(")
     if a < 0:
         return []
@@ -385,6 +388,8 @@ def _parameters(signature: str) -> list[tuple[str, str | None]]:
         m = re.fullmatch(rf"(?:(?:public|private|protected|readonly)\s+)*({_ID})\??\s*(?::\s*(.+))?", p, re.S)
         if m:
             out.append((m.group(1), m.group(2)))
+        elif language == "go" and (m := re.fullmatch(rf"({_ID})\s+(.+)", p, re.S)):
+            out.append((m.group(1), m.group(2).strip()))
         elif m := re.fullmatch(rf"(.+?)[\s*&]+\$?({_ID})", p, re.S):
             out.append((m.group(2), m.group(1).strip()))
     return out
