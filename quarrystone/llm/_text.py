@@ -9,6 +9,7 @@ finaliser spreads it.  Nothing here loops over words in Python.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -89,6 +90,14 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def release() -> None:
+    """Give freed memory back to the system, where its C library can: workers are kept between tasks, and with them what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Words:
     """The words of some texts: ``h`` hashes, ``off`` where each text's words start (n+1)."""
 

@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrystone.llm._text import arrow_batches, chunks, hash_words, mix64, named
+from quarrystone.llm._text import arrow_batches, chunks, hash_words, mix64, named, release
 from quarrystone.session import cleaning, discard, materialize, scratch_path
 
 CUT = 5
@@ -61,13 +61,13 @@ SCALE = 1_000_000
 SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
 #: Tokens in a chunk, of which a piece of one text is at most one in PIECES, and tokens in a bucket on average.
-CHUNK_TOKENS = 500_000
+CHUNK_TOKENS = 400_000
 PIECES = 5
-BUCKET_TOKENS = 300_000
+BUCKET_TOKENS = 250_000
 #: Rounds in which buckets are evaluated, so that only a part of them is shuffled at a time.
 ROUNDS = 4
 #: A word's trigrams are spread if it is more frequent than this and than one in HOT_WORDS tokens.
-HOT_TOKENS = 300_000
+HOT_TOKENS = 250_000
 HOT_WORDS = 1 << 20
 #: Bytes of text that are hashed at a time.
 TEXT_BYTES = 1 << 18
@@ -210,6 +210,7 @@ def _unigrams(batches: Iterator[pa.RecordBatch], folds: int) -> Iterator[pa.Reco
         if size > 500_000:
             yield merged()
             size = 0
+    release()
     if texts.any():
         for k in range(folds):
             held.append((np.array([START, END]), np.array([k, k]), np.array([texts[k], texts[k]])))
@@ -288,6 +289,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], slots: Slots, folds: int, chu
     for f in range(folds):
         if held[f]:
             yield flush(f)
+    release()
 
 
 class Chunk:
@@ -630,6 +632,7 @@ def _each_chunk(told: DataFrame, slots, rare_parts: int, run, schema: str | T.St
                 row = {n: x.column(n)[k] for n in x.schema.names}
                 row |= {n: row[n].as_py() for n in ("chunk", "fold", "codes", "rare", "parts", "told")} | {n: row[n].values for n in ("ids", "lens")}
                 yield run(Chunk(row, slots.value, rare_parts))
+                release()
 
     return told.mapInArrow(rows, schema)
 
@@ -668,6 +671,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     asked = _each_chunk(held, sent, rare_parts, lambda c: _ask_trigrams(c, buckets), _ASK)
 
     def store(t: pa.Table) -> pa.Table:
+        release()
         blocks = [b.as_py() for b in t.column("block")]
         b = Bucket(t.column("fold").to_numpy(), [_trigram_block(x) for x in blocks], sent.value)
         row = {"part": t.column("part")[0].as_py(), "chunks": t.column("chunk").to_pylist(), "folds": t.column("fold").to_pylist(), "blocks": blocks, "n": b.histogram().ravel().tolist(), "asks": b.asks(parts)}
@@ -779,6 +783,7 @@ def _answers(model: Model, asked: tuple[int, ...]) -> DataFrame:
     sent, d, divisor, unseen, hot, parts = model.sent, model.d, model.divisor, model.unseen, model.hot, model.parts
 
     def run(t: pa.Table) -> pa.Table:
+        release()
         asks = t.column("ask").to_pylist()
         k = asks.index(None)
         numbers, folds = (t.column(c)[k].values.to_numpy() for c in ("chunks", "folds"))
