@@ -754,17 +754,23 @@ def _rare_parts(rare: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hot_sums(answers: DataFrame, size: int, folds: int) -> dict[str, np.ndarray]:
-    """n (hot words by folds by r), big and lower: a row for each part comes to the driver, one number set for each hot word."""
-    out = {"n": np.zeros((size, folds, CUT + 1), np.int64), "big": np.zeros((size, folds)), "lower": np.zeros((size, folds))}
-    for r in answers.select("block").toLocalIterator():
-        head, *sums = unpack(bytes(r["block"]))
-        wide = CUT + 3
-        for k in range(folds):
-            own = sums[k * wide : (k + 1) * wide]
-            out["n"][head, k] += np.stack(own[: CUT + 1], axis=1)
-            out["big"][head, k] += own[CUT + 1]
-            out["lower"][head, k] += own[CUT + 2]
-    return out
+    """n (hot words by folds by r), big and lower, added up over the parts: one row for each hot word comes to the driver."""
+    wide = CUT + 3
+    names = [f"x{j}" for j in range(folds * wide)]
+    kinds = ["double" if j % wide == wide - 1 else "long" for j in range(folds * wide)]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for block in x.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in unpack(block.as_py())], names=["head", *names])
+
+    rows = answers.select("block").mapInArrow(spread, "head long, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    got = rows.groupBy("head").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    head = got.column("head").to_numpy()
+    x = np.zeros((size, folds, wide))
+    for j, n in enumerate(names):
+        x[head, j // wide, j % wide] = got.column(n).to_numpy()
+    return {"n": x[:, :, : CUT + 1].astype(np.int64), "big": x[:, :, CUT + 1], "lower": x[:, :, CUT + 2]}
 
 
 def _hot_histories(sums: dict[str, np.ndarray] | None, slots: Slots, d2: np.ndarray, folds: int) -> dict[str, np.ndarray]:
