@@ -38,10 +38,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrystone.llm._text import arrow_batches
-from quarrystone.session import discard, materialize
+from quarrystone.session import cleaning, discard, materialize
 
-#: Bytes of html in a range on average; a task works on one range, at times on a few.
-RANGE_BYTES = 32 << 20
+#: Bytes of html in a range on average, unless that makes more than MAX_RANGES, whose bounds go through the driver; a task works on one range.
+RANGE_BYTES = 8 << 20
+MAX_RANGES = 100_000
 
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!doctype[^>]*>", re.I | re.S)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul|body|html|title|option)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|\n", re.I)
@@ -141,10 +142,11 @@ def page_differences(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     keyed = _keyed(pages, id_col, url_col, html_col)
     tie = _tie(keyed.schema["id"].dataType)
     slim, slim_path = materialize(keyed.where("host is not null").select("host", "path", tie.alias("tie"), F.octet_length("html").alias("n")), "addresses")
-    parts = max(1, -(-(slim.agg(F.sum("n")).first()[0] or 0) // RANGE_BYTES))
+    parts = min(MAX_RANGES, max(1, -(-(slim.agg(F.sum("n")).first()[0] or 0) // RANGE_BYTES)))
     ranged = slim.repartitionByRange(parts, "host", "path", "tie").withColumn("part", F.spark_partition_id())
     key = F.struct("host", "path", "tie")
-    ends = ranged.groupBy("part").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy("lo").collect()
+    with cleaning(spark):
+        ends = ranged.groupBy("part").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy("lo").collect()
     discard(spark, slim_path)
     bounds = [tuple(x.encode() for x in r["lo"]) for r in ends][1:]
     last = [tuple(x.encode() for x in r["hi"]) for r in ends]
@@ -173,7 +175,7 @@ def page_differences(pages: DataFrame, id_col: str = "page_id", url_col: str = "
 
     placed = keyed.withColumn("tie", tie).mapInArrow(place, f"part int, ghost boolean, id {kind}, url string, html string, host string, path string, tie string")
     spot = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.xxhash64("id", "url"), F.lit(parts)).cast("int"))
-    sorted_parts = placed.repartition(parts, spot).sortWithinPartitions("part", "host", "path", "tie", "html", "ghost")
+    sorted_parts = placed.repartitionById(parts, spot).sortWithinPartitions("part", "host", "path", "tie", "html", "ghost")
     schema = f"`{id_col}` {kind}, url string, text string, n_lines int, n_shared int"
     return sorted_parts.mapInArrow(lambda batches: _difference(batches, id_col), schema)
 
