@@ -36,14 +36,16 @@ def build_session(master: str = "local[*]", name: str = "quarrystone", **conf: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only if that is unset.
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only if that is unset in local mode.
 
-    The fallback serves local mode, where driver and executors share one disk.
+    There driver and executors share one disk; elsewhere the setting is needed.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     holder = spark.sparkContext
+    if not holder.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     found = getattr(holder, "_quarrystone_scratch", None)
     if found is None:
         found = tempfile.mkdtemp(prefix="quarrystone-")
