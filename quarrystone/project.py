@@ -11,6 +11,7 @@ from quarrystone.functions.text import dirname
 from quarrystone.operators import context, crosslang, graph, quality, resolve, search
 from quarrystone.session import materialize
 from quarrystone.sources import parse, scan
+from quarrystone.sources.config import read_config
 
 
 class Project:
@@ -18,8 +19,13 @@ class Project:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, files: DataFrame | None = None, aliases: list[tuple[str, str]] = (), packages: DataFrame | None = None, roots: list[str] | None = None, manifests: DataFrame | None = None):
         """From ``folder``, or from ``files(file, language, content)`` and, for Go and Rust, ``manifests(file, content)``."""
-        self.spark, self.aliases, self.packages = spark, list(aliases), packages
-        self.sources = files if files is not None else scan.source_files(spark, folder, roots=roots)
+        self.spark, self.packages = spark, packages
+        self.config = read_config(folder)
+        self.aliases = [*aliases, *self.config.aliases.items()]
+        self.sources = files if files is not None else scan.source_files(spark, folder, self.config.max_file_bytes, roots)
+        if self.config.ignore:
+            steps = F.split(F.regexp_replace("file", "/?[^/]*$", ""), "/")
+            self.sources = self.sources.where(~F.arrays_overlap(steps, F.lit(self.config.ignore)))
         self.manifests = manifests if manifests is not None or folder is None else scan.named_files(spark, folder, ("Cargo.toml", "go.mod"), roots=roots)
 
     @cached_property
@@ -91,7 +97,7 @@ class Project:
         return quality.complexity(self.symbols.where(F.col("kind").isin("function", "method")), self.relations.decisions)
 
     def smells(self, **limits: int) -> DataFrame:
-        return quality.smells(self.files.select("file", "lines"), self.symbols, quality.SMELL_LIMITS | limits)
+        return quality.smells(self.files.select("file", "lines"), self.symbols, quality.SMELL_LIMITS | self.config.smells | limits)
 
     def security(self) -> DataFrame:
         return search.scan_files(self.sources)
@@ -138,8 +144,18 @@ class Project:
         )
         return quality.health_score(row)
 
-    def gate(self, thresholds: dict[str, float], baseline: DataFrame | None = None) -> DataFrame:
-        return quality.quality_gate(self.metrics(), thresholds, baseline)
+    def gate(self, thresholds: dict[str, float] | None = None, baseline: DataFrame | None = None) -> DataFrame:
+        return quality.quality_gate(self.metrics(), self.config.gate | (thresholds or {}), baseline)
+
+    def rules(self, **limits: float) -> DataFrame:
+        """Files above the limits of lines, imports and exports."""
+        n = lambda df, name: df.groupBy("file").agg(F.count(F.lit(1)).alias(name))
+        counts = self.files.select("file", "lines").join(n(self.relations.imports, "imports"), "file", "left").join(n(self.symbols.where("exported"), "exports"), "file", "left").na.fill(0)
+        return quality.general_rules(counts, quality.FILE_LIMITS | self.config.rules | limits)
+
+    def arch(self, rules: list[dict] = ()) -> DataFrame:
+        """Violations of glob rules: those given and those of the settings."""
+        return graph.arch_rules(self.file_edges, [*rules, *self.config.arch])
 
     def fixes(self, max_priority: int = 3) -> DataFrame:
         found = self.security().select("file", "rule", F.col("line_no").cast("int").alias("line_no"))

@@ -7,6 +7,7 @@ the page it makes; ``write_json`` writes tables of any size where they are.
 from __future__ import annotations
 
 import html
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,3 +122,31 @@ def skeleton_tree(symbols: DataFrame, files: list[str]) -> dict[str, list[dict]]
         (parent["children"] if parent else out[r["file"]]).append(node)
         by_id[r["symbol_id"]] = node
     return out
+
+
+def skeleton_page(symbols: DataFrame, files: list[str]) -> str:
+    """One page with the nested symbols of a few files, folded at each symbol that has others below it."""
+    esc = html.escape
+
+    def item(node: dict) -> str:
+        lines = f"{node['start_line']}-{node['end_line']}"
+        head = f"<b>{esc(node['name'])}</b> <i>{esc(node['kind'])}</i> <small>{lines}</small> <code>{esc(node.get('signature', ''))}</code>"
+        below = "".join(map(item, node["children"]))
+        return f"<li><details open><summary>{head}</summary><ul>{below}</ul></details></li>" if below else f"<li>{head}</li>"
+
+    parts = "".join(f"<section><h2>{esc(f)}</h2><ul>{''.join(map(item, nodes))}</ul></section>" for f, nodes in skeleton_tree(symbols, files).items())
+    return f"<!DOCTYPE html><title>Symbols</title><meta charset=utf-8><body>{parts}</body>"
+
+
+def graph_page(file_edges: DataFrame, coupled: DataFrame, limit: int = 500) -> str:
+    """One page that draws the ``limit`` most coupled files on a circle, their imports as lines; pointing at one shows its figures."""
+    files = coupled.orderBy(F.desc(F.col("ca") + F.col("ce")), "file").limit(limit)
+    nodes = [r.asDict() for r in files.select("file", "ca", "ce", "instability").collect()]
+    place = {r["file"]: k for k, r in enumerate(nodes)}
+    own = files.select("file")
+    inner = file_edges.join(own.withColumnRenamed("file", "src"), "src", "left_semi").join(own.withColumnRenamed("file", "dst"), "dst", "left_semi")
+    links = sorted((place[r["src"]], place[r["dst"]]) for r in inner.select("src", "dst").collect())
+    at = [(400 + 360 * math.cos(2 * math.pi * k / max(1, len(nodes))), 400 + 360 * math.sin(2 * math.pi * k / max(1, len(nodes)))) for k in range(len(nodes))]
+    lines = "".join(f'<line x1="{at[a][0]:.0f}" y1="{at[a][1]:.0f}" x2="{at[b][0]:.0f}" y2="{at[b][1]:.0f}" stroke="#999"/>' for a, b in links)
+    dots = "".join(f'<circle cx="{x:.0f}" cy="{y:.0f}" r="5"><title>{html.escape(n["file"])}: in {n["ca"]}, out {n["ce"]}, instability {n["instability"]}</title></circle>' for n, (x, y) in zip(nodes, at, strict=True))
+    return f'<!DOCTYPE html><title>Imports</title><meta charset=utf-8><svg viewBox="0 0 800 800" xmlns="http://www.w3.org/2000/svg">{lines}{dots}</svg>'
