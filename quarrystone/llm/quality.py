@@ -3,17 +3,24 @@
 A labelled document of quality 1 that isn't toxic is preferred over every labelled
 document of quality 0 or that is toxic.  With P(a beats b) = 1 / (1 + exp(s(b) - s(a)))
 and s(x) = w . phi(x), the weights w minimise the logistic loss on the feature
-differences phi(a) - phi(b) of all such pairs, taken in blocks, plus an L2 term.  Features are shares of
+differences phi(a) - phi(b) of all such pairs, plus an L2 term.  Features are shares of
 character classes, shape figures, repetition figures and the weight of marker words:
 words, and word beginnings of LEAD bytes, whose document counts differ between the preferred
 documents and either the toxic or the other ones by a log-likelihood ratio of at least MIN_G2.  All documents are scored; those under a quantile of the
 preferred labelled documents' scores are rejected.  Of the levels in LEVELS the one
 that best separates the labelled sides is taken (the lowest on a tie).
 
-Only the fit is bounded, by SAMPLE_ROWS labelled documents, drawn by the hash of the id.
-Scoring covers every document and its whole text.
-
-Defined cases.  A null text scores like an empty one.  Rows without an id are scored
+Nothing is sampled: counts, moments, pairs and threshold cover every labelled document, and
+scoring every document, with its whole text.  Their features stay in a table, and each step of Newton's
+method is a pass over it.  A pass needn't visit pairs: loss, gradient and Hessian depend on a pair
+through s(a) - s(b) only, by functions without a pole nearer than pi to the real line, so within
+a cell of CELL in s a polynomial through NODES Chebyshev points gives them to some 1e-13.  A task therefore
+adds up, per side and cell, each point's share of 1, phi and phi phi' of its rows, and the driver sums over
+pairs of points.  Their number depends on the range of the scores, not on the rows.  The quantiles are
+ranks, found exactly by counting below ever closer edges.
+
+Defined cases.  A null text scores like an empty one.  Rows that share a labelled id but not a text are
+labelled documents of their own; a repeated row counts once in the fit.  Rows without an id are scored
 and kept or rejected like others.  Labels without an id or with a null quality are
 ignored unless toxic; a null toxic counts as 0; a document with several labels is
 preferred only if all say so.  Labels of unknown documents are ignored.  If the labels
@@ -24,22 +31,36 @@ rejected.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from numpy.polynomial.chebyshev import chebvander
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm._text import arrow_batches, buffers, chunks, hash_words, map_rows
-from quarrystone.session import materialize
+from quarrystone.session import discard, materialize
 
-SAMPLE_ROWS = 20_000
 MIN_G2 = 30.0
 LEAD = 6
 L2 = 1e-3
 LEVELS = (0.0, 0.0005, 0.001, 0.002, 0.005)
+#: Width of a cell of scores, and points in each.
+CELL, NODES = 2.0, 16
+#: Pairs of points looked at together.
+BLOCK_PAIRS = 1 << 20
+#: Tasks of a pass over the features at most, as each sends its sums to the driver.
+TASKS = 64
+#: Parts into which a pass cuts the range where a rank lies.
+EDGES = 1 << 13
+
+_AT = np.cos((np.arange(NODES) + 0.5) * np.pi / NODES)
+_TO_NODES = (chebvander(_AT, NODES - 1) * np.r_[1.0, np.full(NODES - 1, 2.0)]).T / NODES
 
 _CLASS = np.zeros(256, np.int64)
 _CLASS[65:91] = 1
@@ -152,72 +173,126 @@ def _markers(sample: DataFrame, sides: dict[int, int]) -> tuple[np.ndarray, np.n
     return h[order], np.array([r["w"] for r in top])[order]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn the ranking from at most ``sample_rows`` labelled documents."""
+def _summed(table: DataFrame, of: Callable[[np.ndarray, np.ndarray], Any], merge: Callable[[Any, Any], Any]) -> Any:
+    """``of`` the sides and features of every batch, merged within each task and then here; the table has a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for x in batches:
+            if x.num_rows:
+                found = of(x.column(0).to_numpy(zero_copy_only=False), x.column(1).flatten().to_numpy().reshape(x.num_rows, -1))
+                total = found if total is None else merge(total, found)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["total"])
+
+    return reduce(merge, (pickle.loads(r["total"]) for r in table.mapInArrow(run, "total binary").collect()))
+
+
+def _spread(_: np.ndarray, x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and sums of squared deviations."""
+    return len(x), x.mean(0), ((x - x.mean(0)) ** 2).sum(0)
+
+
+def _merge_spread(a: tuple, b: tuple) -> tuple[int, np.ndarray, np.ndarray]:
+    n, gap = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + gap**2 * (a[0] * b[0] / n)
+
+
+def _moments(z: np.ndarray) -> np.ndarray:
+    """1, the features and the upper half of their products, one row each."""
+    left, right = np.triu_indices(z.shape[1])
+    return np.hstack((np.ones((len(z), 1)), z, z[:, left] * z[:, right]))
+
+
+def _cells(bad: np.ndarray, z: np.ndarray, w: np.ndarray) -> dict[tuple[bool, int], np.ndarray]:
+    """By side and cell of scores: the moments of its rows, shared out among the cell's points."""
+    s = z @ w
+    cell = np.floor(s / CELL).astype(np.int64)
+    share = chebvander(2 * (s / CELL - cell) - 1, NODES - 1) @ _TO_NODES
+    moments = _moments(z)
+    keys, which = np.unique(np.stack((bad.astype(np.int64), cell), 1), axis=0, return_inverse=True)
+    which = which.ravel()
+    return {(bool(b), int(c)): share[rows].T @ moments[rows] for k, (b, c) in enumerate(keys) for rows in (np.flatnonzero(which == k),)}
+
+
+def _merge_cells(a: dict, b: dict) -> dict:
+    for key, block in b.items():
+        a[key] = a[key] + block if key in a else block
+    return a
+
+
+def _points(cells: dict[tuple[bool, int], np.ndarray], bad: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A side's points and their moments."""
+    own = sorted(c for b, c in cells if b == bad)
+    return np.concatenate([(c + (_AT + 1) / 2) * CELL for c in own]), np.concatenate([cells[bad, c] for c in own])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learn the ranking from all labelled documents."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    chosen = labelled_side(labels).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    sample, _ = materialize(slim.join(F.broadcast(chosen), "__id").select("__id", "__bad", "__text").dropDuplicates(["__id"]), "labelled")
-    sides = {r["__bad"]: r["n"] for r in sample.groupBy("__bad").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled, labelled_path = materialize(slim.join(labelled_side(labels), "__id").select("__id", "__bad", "__text").distinct(), "labelled")
+    sides = {r["__bad"]: r["n"] for r in labelled.groupBy("__bad").agg(F.count(F.lit(1)).alias("n")).collect()}
     k = len(FEATURES)
     if len(sides) < 2 or 0 not in sides:
+        discard(spark, labelled_path)
         return Model(np.zeros(k), np.zeros(k), np.ones(k), np.zeros(0, np.uint64), np.zeros(0), 0.0, 0.0)
-    markers, weight = _markers(sample, sides)
+    markers, weight = _markers(labelled, sides)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            f = features(x.column(2), markers, weight)
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(list(f))], names=["id", "bad", "f"])
-
-    kind = sample.schema["__id"].dataType.simpleString()
-    got = sample.mapInArrow(run, f"id {kind}, bad int, f array<double>").toPandas().sort_values("id")
-    x, bad = np.stack(got["f"].to_numpy()), (got["bad"].to_numpy() > 0).astype(int)
-    mean, scale = x.mean(0), x.std(0)
+            f = features(x.column(1), markers, weight)
+            yield pa.RecordBatch.from_arrays([pa.array(x.column(0).to_numpy() > 0), pa.array(list(f), pa.list_(pa.float64()))], names=["bad", "f"])
+
+    table, path = materialize(labelled.select("__bad", "__text").mapInArrow(run, "bad boolean, f array<double>"), "features")
+    discard(spark, labelled_path)
+    table = table.coalesce(TASKS)
+    n, mean, square = _summed(table, _spread, _merge_spread)
+    scale = np.sqrt(square / n)
     scale[scale < 1e-9] = 1.0
-    z = (x - mean) / scale
-    weights = fit_pairs(z[bad == 0], z[bad == 1])
-    scores = np.round(z @ weights, 9)
-    level, threshold = choose_threshold(scores[bad == 0], scores[bad == 1])
-    return Model(weights, mean, scale, markers, weight, level, threshold)
 
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        cells = _summed(table, lambda bad, x: _cells(bad, (x - mean) / scale, w), _merge_cells)
+        return _pair_sums(_points(cells, False), _points(cells, True), w, L2)
 
-#: Pairs looked at together.
-BLOCK_PAIRS = 1 << 20
+    weights = _newton(sums, k)
+    model = Model(weights, mean, scale, markers, weight, 0.0, 0.0)
+    level, threshold = choose_threshold(lambda edges: _summed(table, lambda bad, x: _below(bad, model.score(x), edges), np.add), sides[0], n - sides[0])
+    discard(spark, path)
+    return Model(weights, mean, scale, markers, weight, level, threshold)
 
 
-def _pair_sums(preferred: np.ndarray, other: np.ndarray, w: np.ndarray, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Loss, gradient and Hessian at ``w``, averaged over all pairs of a preferred and another row."""
-    n, k = len(preferred) * len(other), preferred.shape[1]
-    loss, grad, hess = 0.0, np.zeros(k), np.zeros((k, k))
-    right = other @ w
-    column, square = np.zeros(len(other)), np.zeros(len(other))
-    step = max(1, BLOCK_PAIRS // len(other))
-    for at in range(0, len(preferred), step):
-        x = preferred[at : at + step]
-        gap = ((x @ w)[:, None] - right[None]).astype(np.float32)
+def _pair_sums(preferred: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], w: np.ndarray, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and Hessian at ``w``, averaged over all pairs; a side is its points' scores and moments."""
+    (left, a), (right, b) = preferred, other
+    k = len(w)
+    loss, grad, cross, half = 0.0, np.zeros(k), np.zeros((k, k)), np.zeros(k * (k + 1) // 2)
+    step = max(1, BLOCK_PAIRS // len(right))
+    for at in range(0, len(left), step):
+        x = a[at : at + step]
+        gap = left[at : at + step, None] - right
         e = np.exp(-np.abs(gap))
-        loss += float(np.log1p(e).sum(dtype=np.float64) - np.minimum(gap, 0).sum(dtype=np.float64))
-        p = np.where(gap > 0, e, np.float32(1)) / (1 + e)
-        q = p * (1 - p)
-        grad -= p.sum(1, dtype=np.float64) @ x
-        column += p.sum(0, dtype=np.float64)
-        square += q.sum(0, dtype=np.float64)
-        mixed = x.T @ (q.astype(np.float64) @ other)
-        hess += (x * q.sum(1, dtype=np.float64)[:, None]).T @ x - mixed - mixed.T
-    grad += column @ other
-    hess += (other * square[:, None]).T @ other
+        loss += float(x[:, 0] @ (np.log1p(e) - np.minimum(gap, 0)) @ b[:, 0])
+        p, q = np.where(gap > 0, e, 1.0) / (1 + e), e / (1 + e) ** 2
+        grad += (x[:, 0] @ p) @ b[:, 1 : k + 1] - (p @ b[:, 0]) @ x[:, 1 : k + 1]
+        half += (x[:, 0] @ q) @ b[:, k + 1 :] + (q @ b[:, 0]) @ x[:, k + 1 :]
+        cross += x[:, 1 : k + 1].T @ (q @ b[:, 1 : k + 1])
+    hess = np.zeros((k, k))
+    hess[np.triu_indices(k)] = half
+    hess = hess + np.triu(hess, 1).T - cross - cross.T
+    n = a[:, 0].sum() * b[:, 0].sum()
     return loss / n + l2 / 2 * (w @ w), grad / n + l2 * w, hess / n + l2 * np.eye(k)
 
 
-def fit_pairs(preferred: np.ndarray, other: np.ndarray, l2: float = L2) -> np.ndarray:
-    """Newton's method on the Bradley-Terry loss over all pairs."""
-    w = np.zeros(preferred.shape[1])
-    loss, grad, hess = _pair_sums(preferred, other, w, l2)
+def _newton(sums: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """The least loss of ``k`` weights, by Newton's method with shorter steps where needed."""
+    w = np.zeros(k)
+    loss, grad, hess = sums(w)
     for _ in range(50):
         step, size = np.linalg.solve(hess, grad), 1.0
         while True:
-            found = _pair_sums(preferred, other, w - size * step, l2)
+            found = sums(w - size * step)
             if found[0] <= loss + 1e-9 or size < 1e-6:
                 break
             size /= 2
@@ -227,10 +302,35 @@ def fit_pairs(preferred: np.ndarray, other: np.ndarray, l2: float = L2) -> np.nd
     return w
 
 
-def choose_threshold(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
-    """The level in LEVELS, and the preferred side's score there, with the best kept-minus-passed share."""
-    best = max(LEVELS, key=lambda q: ((good >= (t := np.quantile(good, q, method="lower"))).mean() - (bad >= t).mean(), -q))
-    return best, float(np.quantile(good, best, method="lower"))
+def fit_pairs(preferred: np.ndarray, other: np.ndarray, l2: float = L2) -> np.ndarray:
+    """The weights for all pairs of rows held here, each row a point of its own."""
+    a, b = _moments(preferred), _moments(other)
+    return _newton(lambda w: _pair_sums((preferred @ w, a), (other @ w, b), w, l2), preferred.shape[1])
+
+
+def _below(bad: np.ndarray, scores: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """How many preferred and other scores, in units of 1e-9, are below each edge."""
+    at = np.searchsorted(edges, np.rint(scores * 1e9).astype(np.int64), side="right")
+    return np.stack([np.cumsum(np.bincount(at[bad == k], minlength=len(edges) + 1))[:-1] for k in (False, True)])
+
+
+def choose_threshold(below: Callable[[np.ndarray], np.ndarray], good: int, bad: int) -> tuple[float, float]:
+    """The level in LEVELS, and the preferred side's score there, with the best kept-minus-passed share.
+
+    ``below`` counts the ``good`` preferred and ``bad`` other scores under each of some edges, as ``_below`` does.
+    """
+    ranks = [int(np.floor(q * (good - 1))) for q in LEVELS]
+    low, high = [-(1 << 62)] * len(ranks), [1 << 62] * len(ranks)
+    while True:
+        edges = np.unique([lo + (hi - lo) * j // EDGES for lo, hi in set(zip(low, high)) for j in range(EDGES + 1)])
+        counts = below(edges)
+        at = [int(np.searchsorted(counts[0], r, side="right")) - 1 for r in ranks]
+        low, high = [int(edges[k]) for k in at], [int(edges[k + 1]) for k in at]
+        if all(hi - lo == 1 for lo, hi in zip(low, high)):
+            break
+    gain = [int(counts[1][k]) * good - int(counts[0][k]) * bad for k in at]
+    best = max(range(len(LEVELS)), key=lambda j: (gain[j], -LEVELS[j]))
+    return LEVELS[best], low[best] / 1e9
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
