@@ -64,7 +64,7 @@ def parameter_list(signature: Column) -> Column:
         return F.struct(depth.alias("depth"), kept.alias("text"))
 
     inner = F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), state, step, lambda acc: acc["text"])
-    parts = F.filter(F.transform(F.split(inner, ","), F.trim), lambda p: (p != "") & (p != "this") & ~p.startswith("this:"))
+    parts = F.filter(F.transform(F.split(inner, ","), lambda p: F.trim(p)), lambda p: (p != "") & (p != "this") & ~p.startswith("this:"))
     return F.when(signature.rlike(r"(?s)[(].*[)]"), parts)
 
 

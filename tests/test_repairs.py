@@ -114,3 +114,9 @@ def test_callers_through_whole_imports(spark):
     g = G.call_graph(calls, none, symbols, whole)
     assert got(g) == [("a.cs", "M.run", "go", "import", "t.cs"), ("a.cs", "M.run", "mine", "local", "a.cs"), ("b.cs", "N.run", "go", "unknown", None)]
     assert got(G.called_by(g)) == [("a.cs", "mine", 1, "a.cs:M.run"), ("t.cs", "go", 1, "a.cs:M.run")]
+
+
+def test_parameters_are_trimmed_of_spaces(spark):
+    rows = [("f(a, this, b)", ["a", "b"]), ("f(a,  , b)", ["a", "b"]), ("f(0a, 1b1, this: T, 2c)", ["0a", "1b1", "2c"]), ("f( this )", [])]
+    df = spark.createDataFrame([(s,) for s, _ in rows], "s string").select("s", Q.parameter_list(F.col("s")).alias("p"))
+    assert {r["s"]: r["p"] for r in df.collect()} == dict(rows)
