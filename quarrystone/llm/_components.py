@@ -1,47 +1,5 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components, as the corpus operators use them."""
 
-Each step is one aggregation and one join over the edge table, so no node's
-neighbourhood has to fit in a task; after O(log n) rounds the edges are stars
-around each component's least node.  Every round is written to the shared folder
-and reread, which cuts the lineage and survives the loss of executors.
-"""
+from quarrystone.operators.components import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from quarrystone.session import discard, materialize
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the least node of its component, for every node of an edge.
-
-    Nulls and self loops are dropped, repeated and reversed edges count once; with
-    no edges the result is empty.  A node without edges doesn't occur.
-    """
-    x, y = F.col(a), F.col(b)
-    now = edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where(x.isNotNull() & y.isNotNull() & (F.col("u") > F.col("v"))).distinct()
-    spark = edges.sparkSession
-    now, path = materialize(now, "components")
-    mark = _mark(now)
-    while mark[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        large, mid = materialize(large, "components")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        new, new_path = materialize(small, "components")
-        discard(spark, mid)
-        discard(spark, path)
-        before, now, path = mark, new, new_path
-        mark = _mark(now)
-        if mark == before:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """Number and order-free checksum of the edges: equal marks mean that a round changed nothing."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+__all__ = ["components"]

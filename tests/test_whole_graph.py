@@ -1,7 +1,11 @@
 """Closures over the edges of all lines, against a breadth-first search."""
 
 import datetime
+import random
 
+from quarrystone.operators import components as C
+from quarrystone.operators import delta as D
+from quarrystone.operators import graph as G
 from quarrystone.plans import graph_plans, quality_plans
 
 LINES = [(1, 1, 9.0), (1, 2, 1.0), (2, 2, 8.0), (2, 3, 2.0), (3, 3, 7.0), (4, 4, 5.0)]
@@ -33,3 +37,28 @@ def test_closures_follow_every_line(spark, tmp_path):
     got = lambda f: sorted(tuple(r) for r in f(spark, d).select("seed", "file").collect())
     assert got(graph_plans.change_impact) == sorted(_reach("s1"))
     assert got(quality_plans.blast_radius) == sorted(_reach("s1") | _reach("s4"))
+
+
+def test_blast_radius_does_not_write_pairs_in_rounds(spark, tmp_path, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("pairs of seed and file are closed in rounds")
+
+    monkeypatch.setattr(D, "impact", refuse)
+    monkeypatch.setattr(G, "impact", refuse)
+    got = sorted(tuple(r) for r in quality_plans.blast_radius(spark, _tables(spark, tmp_path)).collect())
+    assert got == sorted(_reach("s1") | _reach("s4"))
+
+
+def test_linked_against_a_search(spark, monkeypatch):
+    monkeypatch.setattr(C, "FOREST_EDGES", 7)
+    pick = random.Random(3)
+    pairs = [(pick.randrange(90), pick.randrange(90)) for _ in range(60)] + [(k, k + 1) for k in range(200, 260)] + [(5, 5), (None, 3), (4, None)]
+    groups = {k: {k} for p in pairs if None not in p for k in p}
+    for a, b in pairs:
+        if None not in (a, b) and groups[a] is not groups[b]:
+            groups[a] |= groups[b]
+            for k in groups[b]:
+                groups[k] = groups[a]
+    edges, seeds = spark.createDataFrame(pairs, "src long, dst long"), [5, 7, 210, 1000]
+    got = G.linked(edges, spark.createDataFrame([(k, k) for k in seeds + [7]], "seed long, file long")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((s, k) for s in seeds for k in groups.get(s, ()) if k != s)
