@@ -49,6 +49,14 @@ def test_blast_radius_does_not_write_pairs_in_rounds(spark, tmp_path, monkeypatc
     assert got == sorted(_reach("s1") | _reach("s4"))
 
 
+def test_change_impact_does_not_copy_or_sort_the_edges(spark, tmp_path, monkeypatch):
+    written, real = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, label: (written.append(label), real(df, label))[1])
+    df = graph_plans.change_impact(spark, _tables(spark, tmp_path))
+    assert sorted(tuple(r) for r in df.collect()) == sorted(_reach("s1")) and set(written) == {"impact"}
+    assert "HashAggregate" not in df._jdf.queryExecution().toString()
+
+
 def test_linked_against_a_search(spark, monkeypatch):
     monkeypatch.setattr(C, "FOREST_EDGES", 7)
     pick = random.Random(3)
