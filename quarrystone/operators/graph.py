@@ -12,14 +12,18 @@ lineage with a written table each round, so a lost executor costs a reread.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import rounded
 from quarrystone.operators.components import components, forest
-from quarrystone.session import discard, materialize
+from quarrystone.session import discard, materialize, ship
 
 #: Kinds that are only ever used through an explicit import.
 CERTAIN_KINDS = ("function", "class", "method", "const", "var")
@@ -169,59 +173,103 @@ def linked(edges: DataFrame, seeds: DataFrame, named=lambda c: c) -> DataFrame:
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
     """The edges left when files without incoming or outgoing edges are peeled off until none is left."""
+    spark = edges.sparkSession
     now, path = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "core")
-    spark, n = edges.sparkSession, None
     while True:
-        m = now.count()
-        if m == n or not m:
+        ends = now.select(F.col("src").alias("file"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(now.select(F.col("dst").alias("file"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        loose, loose_path = materialize(ends.groupBy("file").agg(F.max("out").alias("out"), F.max("into").alias("into")).where("out = 0 or into = 0").select("file"), "loose")
+        if loose.isEmpty():
+            discard(spark, loose_path)
             return now
-        n = m
-        both = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        now, new = materialize(both, "core")
+        now, new = materialize(now.join(loose.withColumnRenamed("file", "src"), "src", "left_anti").join(loose.withColumnRenamed("file", "dst"), "dst", "left_anti").select("src", "dst"), "core")
         discard(spark, path)
+        discard(spark, loose_path)
         path = new
 
 
-def elementary_cycles(edges: DataFrame, max_length: int = 3) -> DataFrame:
+def elementary_cycles(edges: DataFrame, max_length: int = 3, named=lambda c: c) -> DataFrame:
     """(cycle, length): every elementary cycle of at most ``max_length`` files, each once.
 
     A cycle is written from its least file, closed, joined by ' > '.  Paths start at the
     least file and only visit greater ones, so each cycle is found once and no closure is needed.
+    Files may be numbers, which are compared as such while paths grow; ``named`` turns one into its name.
     """
-    core = cyclic_core(edges)
+    return _elementary(cyclic_core(edges), max_length, named)
+
+
+def _elementary(core: DataFrame, max_length: int, named) -> DataFrame:
     step = core.select(F.col("src").alias("__at"), F.col("dst").alias("__to"))
     paths = core.where("src < dst").select(F.col("src").alias("root"), F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
-    found = None
-    for n in range(2, max_length + 1):
-        closed = paths.join(core.select(F.col("src").alias("at"), F.col("dst").alias("root")), ["at", "root"], "left_semi").select(F.array_join(F.concat("path", F.array("root")), " > ").alias("cycle"), F.lit(n).alias("length"))
-        found = closed if found is None else found.unionByName(closed)
-        if n < max_length:
+    found = paths.join(core.select(F.col("src").alias("at"), F.col("dst").alias("root")), ["at", "root"], "left_semi").select("path") if max_length >= 2 else paths.where("false").select("path")
+    for n in range(3, max_length + 1):
+        if n == max_length:
+            closed = _closed_by_lists(core, paths)
+        else:
             wider = paths.join(step, paths["at"] == step["__at"]).where((F.col("__to") > F.col("root")) & ~F.array_contains("path", F.col("__to")))
             paths = wider.select("root", F.col("__to").alias("at"), F.concat("path", F.array("__to")).alias("path"))
-    return found
+            closed = paths.join(core.select(F.col("src").alias("at"), F.col("dst").alias("root")), ["at", "root"], "left_semi").select("path")
+        found = found.unionByName(closed)
+    names = found.select(F.transform("path", lambda c: named(c)).alias("f")).withColumn("k", F.array_position("f", F.array_min("f")).cast("int"))
+    turned = names.select(F.concat(F.slice("f", F.col("k"), F.size("f")), F.slice("f", F.lit(1), F.col("k"))).alias("f"))
+    return turned.select(F.array_join("f", " > ").alias("cycle"), (F.size("f") - 1).alias("length"))
+
+
+def _closed_by_lists(core: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path): ``paths(root, at, path)`` with one more file, from which an edge leads back to the root.
+
+    That file is in what imports the root and in what the path's end imports.  Both are lists, so a path is one row
+    that meets its two lists, and the longest paths, most of which don't close, are never rows.
+    """
+    into, out = _lists(core.where("src > dst"), "dst", "src"), _lists(core, "src", "dst")
+    held = paths.join(into.select(F.col("key").alias("root"), F.col("list").alias("into")), "root").select("at", "path", "into")
+    last = held.join(out.select(F.col("key").alias("at"), F.col("list").alias("out")), "at").select("path", F.explode(F.array_intersect("into", "out")).alias("x"))
+    return last.where(~F.array_contains("path", F.col("x"))).select(F.concat("path", F.array("x")).alias("path"))
+
+
+def _lists(edges: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, list): the values of each key in lists of at most an Arrow batch's rows; a key may have several."""
+    ship(edges.sparkSession)
+    kind = edges.schema[key].dataType.simpleString()
+    return edges.select(key, value).repartition(key).sortWithinPartitions(key).mapInArrow(_gather, f"key {kind}, list array<{kind}>")
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key, value = batch.column(0), batch.column(1)
+        new = pc.not_equal(key.slice(1), key.slice(0, max(len(key) - 1, 0))).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([np.zeros(min(len(key), 1), "int32"), np.flatnonzero(new) + 1]).astype("int32")
+        bounds = pa.array(np.append(starts, len(key)).astype("int32"))
+        yield pa.RecordBatch.from_arrays([key.take(pa.array(starts)), pa.ListArray.from_arrays(bounds, value)], ["key", "list"])
 
 
 def cycle_groups(edges: DataFrame) -> DataFrame:
     """(component, file) of every strongly connected component of at least two files, whatever the length of its cycles.
 
-    ``component`` is its least file.  The least label is sent along the edges and against them until
-    nothing changes: files with both equal to one label are its component, and edges that leave it are
-    dropped.  What remains is peeled and done again.
+    ``component`` is its least file.  The least label is sent along the edges until nothing changes.  A file whose label
+    is its own is the least of its component, which is what reaches it against the edges between files of that label:
+    there each file is reached once.  Edges that leave a label or a component are dropped; what remains is peeled and done again.
     """
-    spark, found = edges.sparkSession, None
-    rest = cyclic_core(edges)
+    return _groups(cyclic_core(edges))
+
+
+def _groups(core: DataFrame) -> DataFrame:
+    spark, found, rest = core.sparkSession, None, core
     while not rest.isEmpty():
         nodes = rest.select(F.col("src").alias("file")).unionByName(rest.select(F.col("dst").alias("file"))).distinct()
-        fwd, back = _least_reaching(nodes, rest), _least_reaching(nodes, rest.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        both, _ = materialize(fwd.withColumnRenamed("label", "down").join(back.withColumnRenamed("label", "up"), "file"), "labels")
-        done = both.where("down = up").select(F.col("down").alias("component"), "file")
+        labels = _least_reaching(nodes, rest)
+        a = labels.select(F.col("file").alias("src"), F.col("label").alias("a"))
+        b = labels.select(F.col("file").alias("dst"), F.col("label").alias("b"))
+        within, within_path = materialize(rest.join(a, "src").join(b, "dst").where("a = b").select("src", "dst"), "within")
+        roots = labels.where("file = label").select(F.col("file").alias("seed"), "file")
+        # within a label only its own root is reached, so a file occurs once
+        done, _ = materialize(roots.unionByName(impact(within, roots, stored=True).where("file <> seed").select("seed", "file")).withColumnRenamed("seed", "component"), "labels")
         found = done if found is None else found.unionByName(done)
-        # edges between files whose labels differ join no two files of one component
-        a = both.where("down <> up").select(F.col("file").alias("src"), F.col("down").alias("d"), F.col("up").alias("u"))
-        b = both.where("down <> up").select(F.col("file").alias("dst"), F.col("down").alias("d"), F.col("up").alias("u"))
-        rest = cyclic_core(rest.join(a, "src").join(b, ["dst", "d", "u"]).select("src", "dst"))
+        off = lambda c: done.select(F.col("file").alias(c))
+        rest = cyclic_core(within.join(off("src"), "src", "left_anti").join(off("dst"), "dst", "left_anti"))
+        discard(spark, within_path)
     if found is None:
-        return spark.createDataFrame([], "component string, file string")
+        kind = core.schema["src"].dataType.simpleString()
+        return spark.createDataFrame([], f"component {kind}, file {kind}")
     sized = found.groupBy("component").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("component")
     return found.join(sized, "component", "left_semi")
 
@@ -241,18 +289,23 @@ def _least_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return now
 
 
-def long_cycles(edges: DataFrame, max_length: int) -> DataFrame:
+def long_cycles(edges: DataFrame, max_length: int, named=lambda c: c) -> DataFrame:
     """(cycle, length): one row for every strongly connected component of more than ``max_length`` files: its sorted files and their number.
 
     A longer cycle needs such a component; one may be without it, as a chain of mutual imports is.
     """
-    groups = cycle_groups(edges).groupBy("component").agg(F.sort_array(F.collect_list("file")).alias("f")).where(F.size("f") > max_length)
+    return _long(cyclic_core(edges), max_length, named)
+
+
+def _long(core: DataFrame, max_length: int, named) -> DataFrame:
+    groups = _groups(core).groupBy("component").agg(F.sort_array(F.collect_list(named(F.col("file")))).alias("f")).where(F.size("f") > max_length)
     return groups.select(F.concat(F.lit("component: "), F.array_join("f", ", ")).alias("cycle"), F.size("f").alias("length"))
 
 
-def all_cycles(edges: DataFrame, max_length: int) -> DataFrame:
-    """``elementary_cycles`` and ``long_cycles``: a graph with any cycle has at least one row."""
-    return elementary_cycles(edges, max_length).unionByName(long_cycles(edges, max_length))
+def all_cycles(edges: DataFrame, max_length: int, named=lambda c: c) -> DataFrame:
+    """``elementary_cycles`` and ``long_cycles`` of one core: a graph with any cycle has at least one row."""
+    core = cyclic_core(edges)
+    return _elementary(core, max_length, named).unionByName(_long(core, max_length, named))
 
 
 def arch_rules(edges: DataFrame, rules: list[dict], src: str = "src", dst: str = "dst") -> DataFrame:

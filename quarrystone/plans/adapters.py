@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,11 +21,19 @@ def part_files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(_p("p_partkey", "p").alias("file"), F.col("p_brand").alias("module"))
 
 
+def part_links(spark: SparkSession, d: str) -> DataFrame:
+    """Import edges by the parts' keys."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("long").alias("dst"))
+    a = lines.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("dst").alias("src"))
+    return a.join(lines, ["l_orderkey", "l_linenumber"]).select("src", "dst").where("src <> dst")
+
+
+def part_name(key: Column) -> Column:
+    return F.concat(F.lit("p"), key.cast("string"))
+
+
 def part_imports(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    a = lines.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), _p("l_partkey", "p").alias("src"))
-    b = lines.select("l_orderkey", "l_linenumber", _p("l_partkey", "p").alias("dst"))
-    return a.join(b, ["l_orderkey", "l_linenumber"]).select("src", "dst").where("src <> dst")
+    return part_links(spark, d).select(part_name(F.col("src")).alias("src"), part_name(F.col("dst")).alias("dst"))
 
 
 PART_SQL = """pf AS (SELECT 'p' || p_partkey AS file, p_brand AS module FROM part),

@@ -1,5 +1,7 @@
 """Cycles longer than the enumerated length."""
 
+from pyspark.sql import functions as F
+
 from quarrystone.operators import graph as G
 from quarrystone.project import Project
 
@@ -25,3 +27,9 @@ def test_project_counts_a_ring_of_seven(spark, monkeypatch):
     edges = spark.createDataFrame(_ring("c", 7), SCHEMA)
     monkeypatch.setattr(Project, "file_edges", edges)
     assert [r["length"] for r in Project(spark, files=spark.createDataFrame([], "file string, language string, content string")).cycles().collect()] == [7]
+
+
+def test_cycles_of_numbers_are_written_from_the_least_name(spark):
+    edges = spark.createDataFrame([(9, 10), (10, 9), (2, 10), (10, 30), (30, 2)], "src long, dst long")
+    found = G.elementary_cycles(edges, 3, lambda c: F.concat(F.lit("p"), c.cast("string")))
+    assert sorted(tuple(r) for r in found.collect()) == [("p10 > p30 > p2 > p10", 3), ("p10 > p9 > p10", 2)]
