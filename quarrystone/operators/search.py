@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import identifier_words, rounded, size_bucket, stem
-from quarrystone.session import materialize
+from quarrystone.session import materialize, ship
 
 
 def lines_of(texts: DataFrame, file: str = "file", text: str = "content") -> DataFrame:
@@ -94,7 +97,7 @@ def scan_files(texts: DataFrame, rules: Iterable[LineRule] = RULES, near: int =
 
 def term_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     """(doc, term, n, length) from an array column of tokens: counted within the row, so nothing is shuffled."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.size(tokens).alias("length"), F.array_sort(tokens).alias("__t")).where("length > 0")
+    rows = docs.select(F.col(id_col).alias("doc"), F.size(tokens).alias("length"), F.sort_array(tokens).alias("__t")).where("length > 0")
     at = lambda k: F.element_at(F.col("__t"), k)
     # where a run of equal tokens begins; the next run's beginning ends it
     starts = F.filter(F.sequence(F.lit(1), F.col("length")), lambda k: (k == 1) | (at(k) != at(F.greatest(k - 1, F.lit(1)))))
@@ -103,14 +106,66 @@ def term_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return runs.select("doc", "length", F.explode(pairs).alias("x")).select("doc", F.col("x.term").alias("term"), F.col("x.n").cast("long").alias("n"), "length")
 
 
+def word_counts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(doc, term, n, length): ``term_counts`` of the runs of ASCII letters and digits in a text, in small letters.
+
+    A document is counted at once from its bytes, without a row for each word.
+    """
+    ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    held = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text).cast("binary").alias("text"))
+    return held.mapInArrow(_count_words, f"doc {kind}, term string, n long, length long")
+
+
+#: Bytes of words: capitals become small, all that is no ASCII letter or digit becomes a blank.
+_WORD_BYTES = bytes(ord(c.lower()) if c.isascii() and c.isalnum() else 32 for c in map(chr, range(256)))
+_ROWS = 100_000
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kind, at, sizes, lengths, terms, ns = batch.schema.field(0).type, [], [], [], [], []
+
+        def rows() -> pa.RecordBatch:
+            doc = batch.column(0).take(pa.array(np.repeat(at, sizes)))  # noqa: B023
+            term = pa.array(terms, pa.binary()).cast(pa.string())  # noqa: B023
+            return pa.RecordBatch.from_arrays([doc.cast(kind), term, pa.array(ns, pa.int64()), pa.array(np.repeat(lengths, sizes))], ["doc", "term", "n", "length"])  # noqa: B023
+
+        for k, text in enumerate(batch.column(1)):
+            words = text.as_py().translate(_WORD_BYTES).split()
+            if not words:
+                continue
+            counted = Counter(words)
+            at.append(k)
+            sizes.append(len(counted))
+            lengths.append(len(words))
+            terms.extend(counted.keys())
+            ns.extend(counted.values())
+            if len(terms) >= _ROWS:
+                yield rows()
+                at, sizes, lengths, terms, ns = [], [], [], [], []
+        if terms:
+            yield rows()
+
+
+#: Terms whose document counts every task holds at most; the others, each in few documents, are joined by a shuffle.
+HOT_TERMS = 262_144
+
+
 def tfidf(counts: DataFrame, n_docs: int) -> DataFrame:
     """(doc, term, weight): tf = n / length, idf = ln(N / df).
 
-    The document counts are written first, so Spark knows their size: it sends them to every task while they are
-    small, and beyond that joins by a shuffle, in which it splits terms that most documents hold.
+    The document counts are written first.  Those of the ``HOT_TERMS`` terms in most documents are sent to every task,
+    so most rows stay where they are; only the rest of the rows are shuffled.
     """
     df, _ = materialize(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
-    return counts.join(df, "term").select("doc", "term", (F.col("n") / F.col("length") * F.log(F.lit(float(n_docs)) / F.col("df"))).alias("weight"))
+    if df.count() <= HOT_TERMS:
+        joined = counts.join(F.broadcast(df), "term")
+    else:
+        hot, _ = materialize(df.orderBy(F.desc("df"), "term").limit(HOT_TERMS), "hot")
+        cold, _ = materialize(df.join(F.broadcast(hot.select("term")), "term", "left_anti"), "cold")
+        joined = counts.join(F.broadcast(hot), "term").unionByName(counts.join(F.broadcast(hot.select("term")), "term", "left_anti").join(cold, "term"))
+    return joined.select("doc", "term", (F.col("n") / F.col("length") * F.log(F.lit(float(n_docs)) / F.col("df"))).alias("weight"))
 
 
 def cosine_search(weights: DataFrame, query: list[str], k: int = 20) -> DataFrame:

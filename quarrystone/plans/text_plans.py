@@ -42,10 +42,6 @@ def line_metrics(spark: SparkSession, d: str) -> DataFrame:
     return S.lines_of(A.sources(spark, d)).groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.max(F.length("text")).alias("longest"))
 
 
-def _tokens():
-    return F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), 0), F.lower)
-
-
 _TFIDF = """w AS (SELECT doc_id AS doc, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS term, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS length FROM documents),
 tc AS (SELECT doc, term, count(*) AS n, any_value(length) AS length FROM w GROUP BY doc, term),
 tf AS (SELECT doc, term, n::DOUBLE / length * ln((SELECT count(*)::DOUBLE FROM documents) / df) AS weight FROM tc JOIN (SELECT term, count(*) AS df FROM tc GROUP BY term) USING (term))"""
@@ -54,7 +50,7 @@ _WORDS = ["worthless", "the", "und", "worthless"]
 
 def _weights(spark: SparkSession, d: str) -> DataFrame:
     docs = A.table(spark, d, "documents")
-    return S.tfidf(S.term_counts(docs, "doc_id", _tokens()), docs.count())
+    return S.tfidf(S.word_counts(docs, "doc_id", "text"), docs.count())
 
 
 @query(f"WITH {_TFIDF} SELECT doc, count(*) AS n_terms, round(sqrt(sum(weight * weight)), 6) AS norm FROM tf GROUP BY doc")

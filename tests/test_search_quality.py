@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +126,20 @@ def test_merge_coverage_falls_back_to_the_name(spark):
     report = spark.createDataFrame([("src/a.ts", 0.8, 0.75), ("build/b.ts", 0.5, None)], "file string, line_cov double, branch_cov double")
     got = {r["file"]: (r["line_cov"], r["branch_cov"], r["matched"]) for r in Q.merge_coverage(files, report).collect()}
     assert got == {"src/a.ts": (0.8, 0.75, "path"), "src/b.ts": (0.5, None, "name"), "src/c.ts": (None, None, None)}
+
+
+def test_words_are_counted_from_bytes(spark, monkeypatch):
+    monkeypatch.setattr(S, "_ROWS", 2)
+    texts = {1: "The theİx Key 7a\n7A the", 2: None, 3: "", 4: "äö --", 5: "b b B c", None: "n"}
+    docs = spark.createDataFrame(list(texts.items()), "id long, t string")
+    want = sorted((k, w, n, sum(c.values())) for k, t in texts.items() if t for c in [Counter(w.lower() for w in re.findall("[A-Za-z0-9]+", t))] for w, n in c.items() if k)
+    got = [tuple(r) for r in S.word_counts(docs, "id", "t").collect()]
+    assert sorted(r for r in got if r[0]) == want and [r for r in got if not r[0]] == [(None, "n", 1, 1)]
+
+
+def test_rare_terms_weigh_the_same_by_a_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(1, 30) if k % j == 0) + " all") for k in range(40)], "id long, t string")
+    weights = lambda: sorted((r["doc"], r["term"], round(r["weight"], 12)) for r in S.tfidf(S.word_counts(docs, "id", "t"), 40).collect())
+    want = weights()
+    monkeypatch.setattr(S, "HOT_TERMS", 3)
+    assert weights() == want and len(want) > 100
